@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.common import table
 from tessera.llm.decontam import op1
+from tessera.llm.jaccard import op2
 from tessera.llm.quality_rules import op9
 
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op1_decontamination": lambda s, d: op1(s, docs(s, d), table(s, d, "benchmark")),
+        "op2_ngram_jaccard": lambda s, d: op2(s, docs(s, d)),
         "op9_quality_rules": lambda s, d: op9(s, docs(s, d)),
     }
 

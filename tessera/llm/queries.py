@@ -5,7 +5,9 @@ from __future__ import annotations
 from tessera.llm.common import table
 from tessera.llm.decontam import op1
 from tessera.llm.jaccard import op2
+from tessera.llm.packing import op8
 from tessera.llm.quality_rules import op9
+from tessera.llm.rans import op10
 
 
 def queries() -> dict:
@@ -13,7 +15,9 @@ def queries() -> dict:
     return {
         "op1_decontamination": lambda s, d: op1(s, docs(s, d), table(s, d, "benchmark")),
         "op2_ngram_jaccard": lambda s, d: op2(s, docs(s, d)),
+        "op8_packing": lambda s, d: op8(docs(s, d)),
         "op9_quality_rules": lambda s, d: op9(s, docs(s, d)),
+        "op10_rans_ids": lambda s, d: op10(s, docs(s, d)),
     }
 
 

@@ -82,3 +82,42 @@ def crc(ids) -> int:
     import numpy as np
 
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def token_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def rans(docs):
+    out, start = [], 0
+    for (doc, _), ids in zip(sorted(docs), token_ids([t for _, t in sorted(docs)])):
+        out.append((doc, start, len(ids) + 1, crc(ids + [2])))
+        start += len(ids) + 1
+    return out
+
+
+def check_packing(docs, pieces, room=2048):
+    """pieces: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset). Returns the number of sequences and of ids."""
+    ids = {d: x + [1] for (d, _), x in zip(docs, token_ids([t for _, t in docs]))}
+    at, seq = defaultdict(list), defaultdict(list)
+    for d, start, n, c, total, s, off in pieces:
+        assert n > 0 and total == len(ids[d]) and c == crc(ids[d][start : start + n])
+        at[d].append((start, n))
+        seq[s].append((off, n))
+    for d in ids:
+        end = 0
+        for start, n in sorted(at[d]):
+            assert start == end
+            end += n
+        assert end == len(ids[d])
+    for x in seq.values():
+        end = 0
+        for off, n in sorted(x):
+            assert off == end
+            end += n
+        assert end <= room
+    return len(seq), sum(map(len, ids.values()))

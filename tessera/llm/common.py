@@ -38,7 +38,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path) if not by else self.spark.read.parquet(path)
 

@@ -59,6 +59,15 @@ def _line(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " "), "[0-9]", "0"))
 
 
+def _line_hashes(text: Column) -> Column:
+    """(hash, words) of each normalised line with a word."""
+    words = F.filter(F.transform(F.split(text, "\n"), _line), lambda x: x != "")
+    return F.transform(words, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+
+
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def figures(docs: DataFrame, *keep: Column) -> DataFrame:
     """uid, doc_id, host, the base figures, and hs: (hash, words) of each normalised line with a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -74,13 +83,13 @@ def figures(docs: DataFrame, *keep: Column) -> DataFrame:
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (count("ln") - count(F.array_distinct("ln"))).alias("n_dup_lines"),
         _repeat_words(F.col("w")).cast("long").alias("n_repeat_words"),
-        F.transform("ln", lambda x: F.struct(F.xxhash64(_line(x)).alias("h"), F.size(F.split(F.trim(_line(x)), " ")).alias("n"))).alias("hs"),
+        _line_hashes(F.col("t")).alias("hs"),
     )
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def common_lines(d: DataFrame, limits: LineLimits) -> DataFrame:
-    """host, h: the lines above the limits. d has uid, host and hs."""
+    """host, h: the lines above the limits. d has host and hs."""
     h = F.array_sort(F.array_distinct(F.transform("hs", lambda x: x.h)))
     # Copies agree in their smallest line hash; a line that is itself the smallest is told by the next.
     lines = d.select("host", h.alias("hh")).select("host", F.get("hh", F.lit(0)).alias("a"), F.get("hh", F.lit(1)).alias("b"), F.explode("hh").alias("h"))
@@ -91,35 +100,35 @@ def common_lines(d: DataFrame, limits: LineLimits) -> DataFrame:
     return flagged.alias("f").join(hosts.alias("t"), F.col("f.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > limits.share * F.col("of")).select("f.host", "h")
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """The base figures, base_failed, n_line_words (words in removed lines) and kept, a row per document."""
-    scratch = Scratch(spark, "quality")
-    d = scratch.write(figures(docs), "figures")
-    # Of figures that are written, only columns that are asked for are read again.
-    flagged = small(scratch.write(common_lines(d, limits), "common"))
-    lines = d.select("uid", "host", F.explode("hs").alias("x")).select("uid", "host", "x.h", "x.n")
-    gone = lines.alias("l").join(flagged.alias("f"), (F.col("l.h") == F.col("f.h")) & F.col("l.host").eqNullSafe(F.col("f.host")), "left_semi")
-    gone = gone.groupBy("uid").agg(F.sum("n").cast("long").alias("n_line_words"))
-    out = d.drop("hs", "host").join(gone, "uid", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
+def _judged(spark: SparkSession, docs: DataFrame, limits: LineLimits) -> DataFrame:
+    """uid, doc_id, the base figures, n_line_words and kept; `key` tells rows that differ in any column apart."""
+    key = F.xxhash64(*docs.columns) if docs.columns else F.lit(0)
+    host, lines = F.col("source").alias("host"), _line_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("hs")
+    # The lines are counted in a light pass of their own, so that no text or figure is written or shuffled.
+    flagged = small(Scratch(spark, "quality").write(common_lines(docs.select(host, lines), limits), "common"))
+    d = figures(docs, key.alias("key"))
+    # The first element, which matches no line, keeps a row of each document.
+    first = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("n"))
+    d = d.select("*", F.posexplode(F.concat(F.array(first), "hs")).alias("at", "x")).drop("hs")
+    d = d.join(flagged.select(F.col("host").alias("fh"), F.col("h").alias("fx")), (F.col("x.h") == F.col("fx")) & F.col("host").eqNullSafe(F.col("fh")), "left")
+    d = d.where((F.col("at") == 0) | F.col("fx").isNotNull())
+    own = [F.max(F.when(F.col("at") == 0, F.col(c))).alias(c) for c in FIGURES]
+    d = d.groupBy("uid", "doc_id", "key").agg(*own, F.sum(F.when(F.col("fx").isNotNull(), F.col("x.n")).otherwise(0)).cast("long").alias("n_line_words"))
     left = F.col("n_words") - F.col("n_line_words")
     depleted = (F.col("n_line_words") > 0) & ((left < limits.left_words) | (left < limits.left_share * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("uid")
+    return d.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
+    """doc_id, the base figures, base_failed, n_line_words (words in removed lines) and kept, a row per document."""
+    return _judged(spark, docs.select("doc_id", "text", "source"), limits).select("doc_id", *FIGURES, "n_line_words", "kept")
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """The documents that the rules keep, with their columns as they were."""
-    cols = docs.columns
-    scratch = Scratch(spark, "quality")
-    d = docs.select(F.struct(*cols).alias("row"), "doc_id", "text", "source")
-    d = scratch.write(figures(d, F.col("row")).where(~F.col("base_failed")), "rest")
-    flagged = small(scratch.write(common_lines(d, limits), "common"))
-    lines = d.select("uid", "host", F.explode("hs").alias("x")).select("uid", "host", "x.h", "x.n")
-    gone = lines.alias("l").join(flagged.alias("f"), (F.col("l.h") == F.col("f.h")) & F.col("l.host").eqNullSafe(F.col("f.host")), "left_semi").groupBy("uid").agg(F.sum("n").alias("n"))
-    out = d.select("uid", "row", "n_words").join(gone, "uid", "left")
-    left = F.col("n_words") - F.coalesce("n", F.lit(0))
-    return out.where(F.col("n").isNull() | ((left >= limits.left_words) & (left >= limits.left_share * F.col("n_words")))).select("row.*")
+    """The documents that the rules keep, with their columns as they were. Equal rows have equal verdicts."""
+    gone = small(Scratch(spark, "quality").write(_judged(spark, docs, limits).where("not kept").select("key").distinct(), "gone"))
+    return docs.withColumn("_key", F.xxhash64(*docs.columns)).join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti").select(*docs.columns)
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words")
-    return quality_rules(spark, docs).select(*cols)
+    return quality_rules(spark, docs)

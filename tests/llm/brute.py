@@ -121,3 +121,17 @@ def check_packing(docs, pieces, room=2048):
             end += n
         assert end <= room
     return len(seq), sum(map(len, ids.values()))
+
+
+def secrets(docs):
+    """doc_id, n_assign, n_access, n_hex, base_sha256"""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        n = Counter(x[2] for x in found)
+        out.append((doc, n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found)))))
+    return out

@@ -6,6 +6,7 @@ from tessera.llm.classifier import op5
 from tessera.llm.common import table
 from tessera.llm.decontam import op1
 from tessera.llm.jaccard import op2
+from tessera.llm.katz import op3
 from tessera.llm.packing import op8
 from tessera.llm.quality_rules import op9
 from tessera.llm.rans import op10
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": lambda s, d: op1(s, docs(s, d), table(s, d, "benchmark")),
         "op2_ngram_jaccard": lambda s, d: op2(s, docs(s, d)),
+        "op3_katz_backoff": lambda s, d: op3(s, docs(s, d)),
         "op5_quality_classifier": lambda s, d: op5(s, docs(s, d), table(s, d, "labels")),
         "op6_secret_scan": lambda s, d: op6(docs(s, d)),
         "op8_packing": lambda s, d: op8(docs(s, d)),

@@ -135,3 +135,44 @@ def secrets(docs):
         n = Counter(x[2] for x in found)
         out.append((doc, n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found)))))
     return out
+
+
+def held(doc, remainder):
+    return zlib.crc32(str(doc).encode()) % 5 == remainder
+
+
+def katz(docs, discounts, gt=5):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; and the sums of P(. | v) over all words for some v."""
+    import math
+
+    split = {d: SPACED.findall((t or "").translate(LOWER)) for d, t in docs}
+    uni, bi = Counter(), Counter()
+    for d, w in split.items():
+        if not held(d, 1):
+            uni.update([*w, "</s>"])
+            bi.update(zip(["<s>", *w], [*w, "</s>"]))
+    begin = Counter()
+    for (v, _), c in bi.items():
+        begin[v] += c
+    n, types = sum(uni.values()), len(uni)
+    d1, d2 = discounts(Counter(uni.values())), discounts(Counter(bi.values()), 2)
+    disc = lambda c, d: float(c) if c > gt else c * d[c]
+    mass = sum(disc(c, d1) for c in uni.values())
+    total = n if n - mass > 1e-9 * n else n + 1
+    p1 = {w: disc(c, d1) / total for w, c in uni.items()}
+    unk = 1 - mass / total
+    table = {k: disc(c, d2) for k, c in bi.items() if c >= 2}
+    sq, sp = Counter(), Counter()
+    for (v, w), q in table.items():
+        sq[v] += q
+        sp[v] += p1[w]
+    den = {v: c + 1 if sq[v] >= c * (1 - 1e-9) else c for v, c in begin.items()}
+    alpha = {v: (den[v] - sq[v]) / den[v] / (1 - sp[v]) for v in begin}
+    prob = lambda v, w: table[v, w] / den[v] if (v, w) in table else alpha.get(v, 1.0) * p1.get(w, unk)
+    out = []
+    for d, w in split.items():
+        t = [*w, "</s>"]
+        base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (types + 1))) for x in t)
+        out.append((d, held(d, 1), len(t), sum(uni[x] > 0 for x in t), n, base, sum(math.log10(prob(v, x)) for v, x in zip(["<s>", *w], t))))
+    sums = [sum(prob(v, w) for w in [*uni, None]) for v in [x for x, _ in begin.most_common(3)] + ["<s>"]]
+    return out, sums

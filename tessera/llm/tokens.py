@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -25,10 +27,14 @@ class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
+        # Words of lower-case letters need neither normalising nor cutting.
+        self.plain = Tokenizer.from_str(self.tokenizer.to_str())
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(True)
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -45,16 +51,18 @@ class Encoder:
 
     def _encode(self, words: list[str]) -> None:
         """Adds words as they are. Words of letters alone are one piece each, so they can share a call."""
-        alone = [w for w in words if w.isalpha() and _SPLITS not in w]
-        got = np.array(self.tokenizer.encode(" ".join(alone), add_special_tokens=False).ids if alone else [], np.uint32)
-        ends = np.flatnonzero(self.ends[got]) + 1 if len(got) else np.zeros(0, np.int64)
+        alone = [w for w in words if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
+        joined = [" ".join(alone[i : i + 256]) for i in range(0, len(alone), 256)]
+        got = [x.ids for x in self.plain.encode_batch_fast(joined, add_special_tokens=False)]
+        got = np.fromiter(chain.from_iterable(got), np.uint32)
+        ends = np.flatnonzero(self.ends[got]) + 1
         if len(ends) == len(alone):
             self._add(alone, got, np.diff(ends, prepend=0))
-            words = [w for w in words if not w.isalpha() or _SPLITS in w]
+            words = [w for w in words if w not in self.at]
         if words:
             got = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
             lens = np.fromiter(map(len, got), np.int64, len(got))
-            self._add(words, np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum())), lens)
+            self._add(words, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
 
     def _gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.first[k + 1] - self.first[k]
@@ -98,9 +106,11 @@ class Encoder:
         words = [w for x in split for w in x]
         if len(self.at) > self.KEEP:
             self._forget()
-        if new := list({w for w in words if w not in self.at}):
-            self._learn(new)
-        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        k = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if len(missed := np.flatnonzero(k < 0)):
+            missing = [words[i] for i in missed.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            k[missed] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
         self.uses += np.bincount(k, minlength=len(self.uses))
         ids, n = self._gather(k)
         ends = np.concatenate([[0], np.cumsum(n)])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernel import CHUNK
+from tessera.llm.kernel import CHUNK, pieces, raw
 from tessera.llm.tokens import VOCABULARY, encoder
 
 LENGTH, SEPARATOR = 2048, 1
@@ -104,17 +104,11 @@ def _pack(vocabulary: str, length: int, separator: int):
         enc, part, blocks, rows, size = encoder(vocabulary), TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             docs, texts = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text")
-            i = 0
-            while i < len(docs):
-                j, n = i, 0
-                while j < len(docs) and (j == i or n < CHUNK):
-                    n += len(texts[j].as_py() or "")
-                    j += 1
-                ids, at = enc.encode(texts[i:j].to_pylist())
+            for i, j in pieces(raw(texts)[1], 2 * CHUNK):
+                ids, at = enc.encode(texts[i:j])
                 for k, d in enumerate(docs[i:j]):
                     rows.append((d, ids[at[k] : at[k + 1]].astype("<u4").tobytes() + np.uint32(separator).astype("<u4").tobytes()))
                     size += len(rows[-1][1])
-                i = j
                 if len(rows) >= BLOCK or size >= 8 * CHUNK:
                     yield block(rows, (part << 12) + blocks)
                     blocks, rows, size = blocks + 1, [], 0

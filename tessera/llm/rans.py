@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, small
-from tessera.llm.kernel import CHUNK
+from tessera.llm.kernel import CHUNK, pieces, raw
 from tessera.llm.tokens import VOCABULARY, encoder
 
 END = 2
@@ -33,7 +33,9 @@ _U32 = np.uint64(32)
 
 def table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and their frequencies out of 2**BITS, each at least 1."""
-    symbols, n = np.unique(ids, return_counts=True)
+    n = np.bincount(ids)
+    symbols = np.flatnonzero(n)
+    n = n[symbols]
     if len(symbols) > 1 << BITS:
         raise ValueError(f"more than {1 << BITS} symbols in a segment")
     f = np.maximum(1, n * (1 << BITS) // max(1, len(ids)))
@@ -86,7 +88,9 @@ def decode_block(words: np.ndarray, states: np.ndarray, n: int, slot: np.ndarray
 def pack_segment(doc_ids: list[int | None], lens: list[int], ids: np.ndarray) -> bytes:
     symbols, f = table(ids)
     cum = np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64)
-    k = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1, np.int64)
+    place[symbols] = np.arange(len(symbols))
+    k = place[ids]
     checkpoints, body = [], b""
     for at in range(0, len(ids), BLOCK):
         part = k[at : at + BLOCK]
@@ -139,19 +143,14 @@ def _write(vocabulary: str, end: int):
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([pack_segment(docs, lens, flat)], pa.binary())], ["part", "seg", "n_ids", "data"])
 
         for batch in batches:
-            names, texts, i = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text"), 0
-            while i < len(names):
-                j, n = i, 0
-                while j < len(names) and (j == i or n < CHUNK):
-                    n += len(texts[j].as_py() or "")
-                    j += 1
-                got, at = enc.encode(texts[i:j].to_pylist())
+            names, texts = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text")
+            for i, j in pieces(raw(texts)[1], 2 * CHUNK):
+                got, at = enc.encode(texts[i:j])
                 got = np.insert(got, at[1:], end)
                 docs += names[i:j]
                 lens += (np.diff(at) + 1).tolist()
                 ids.append(got)
                 size += len(got)
-                i = j
                 if size >= SEGMENT:
                     yield flush()
                     seg += 1

@@ -8,14 +8,14 @@ numpy, from a table of bounded size that forgets words seen once first.
 from __future__ import annotations
 
 import os
-import re
 from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-_odd = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary
 _SPLITS = "\u0130"  # the letter whose lower case is a letter and a mark
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
@@ -100,21 +100,26 @@ class Encoder:
         self.at, self.first, self.ids, self.uses = {}, np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self._add(names, ids, n)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where each text starts, the end last."""
-        split = [(t.split(" ") if _odd.search(t) else t.split()) if t else [] for t in texts]
-        words = [w for x in split for w in x]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(texts.fill_null("") if texts.null_count else texts)
+        words = split.flatten().dictionary_encode()
         if len(self.at) > self.KEEP:
             self._forget()
-        k = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        own = words.dictionary.to_pylist()
+        k = np.fromiter(map(self.at.get, own, repeat(-1)), np.int64, len(own))
         if len(missed := np.flatnonzero(k < 0)):
-            missing = [words[i] for i in missed.tolist()]
-            self._learn(list(dict.fromkeys(missing)))
+            missing = [own[i] for i in missed.tolist()]
+            self._learn(missing)
             k[missed] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
-        self.uses += np.bincount(k, minlength=len(self.uses))
-        ids, n = self._gather(k)
+        at = words.indices.to_numpy()
+        self.uses += np.bincount(k, np.bincount(at, minlength=len(own)), len(self.uses)).astype(np.int64)
+        ids, n = self._gather(k[at])
         ends = np.concatenate([[0], np.cumsum(n)])
-        return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])]
+        off = split.offsets.to_numpy()
+        return ids, ends[off - off[0]]
 
 
 _encoders: dict[str, Encoder] = {}

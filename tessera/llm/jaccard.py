@@ -200,9 +200,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with their columns as they were."""
-    found = near_duplicates(spark, docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that are the smallest of their component, with their columns as they were; one row where a doc_id
+    repeats. Documents without a doc_id stay, equal texts of theirs once."""
+    found = near_duplicates(spark, docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    found = Scratch(spark, "kept").write(found, "kept")
+    out = docs.join(small(found.where("rows = 1").select("doc_id")), "doc_id", "left_semi")
+    if found.where("rows > 1").limit(1).count():
+        out = out.unionByName(docs.join(small(found.where("rows > 1").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if docs.where("doc_id is null").limit(1).count():
+        out = out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return out.select(*docs.columns)
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from tessera.llm.chat import op7
 from tessera.llm.classifier import op5
 from tessera.llm.common import table
 from tessera.llm.decontam import op1
@@ -21,9 +23,11 @@ def queries() -> dict:
         "op3_katz_backoff": lambda s, d: op3(s, docs(s, d)),
         "op5_quality_classifier": lambda s, d: op5(s, docs(s, d), table(s, d, "labels")),
         "op6_secret_scan": lambda s, d: op6(docs(s, d)),
+        "op7_chat_formatting": lambda s, d: op7(table(s, d, "conversations")),
         "op8_packing": lambda s, d: op8(docs(s, d)),
         "op9_quality_rules": lambda s, d: op9(s, docs(s, d)),
         "op10_rans_ids": lambda s, d: op10(s, docs(s, d)),
+        "pipeline": corpus_pipeline.run,
     }
 
 

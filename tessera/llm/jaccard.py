@@ -6,7 +6,8 @@
    groups of copies.
 3. The adaptive multi-match prefix join finds every other link. Shingles are ordered by frequency. A prefix that is l - 1
    longer than the plain one must share l shingles; each document takes the l of least estimated cost, from the
-   frequencies of its own prefix. Only pairs that stage 2 has not connected are candidates, and each is verified.
+   frequencies of its own prefix. Only pairs that stage 2 has not connected are candidates, of which the sizes, the
+   places of the shared shingles and a bound on the difference of the sets strike most; each that is left is verified.
 4. Components of all verified links.
 
 Cases: null and empty texts have size 0 and link with nothing. A null doc_id takes the id of a document with an equal
@@ -113,6 +114,13 @@ def prefix(s: np.ndarray, sketch: np.ndarray, floor: int) -> tuple[np.ndarray, i
     return s[order[:most]], 1 + int(np.argmin(cost))
 
 
+def parity(s: np.ndarray) -> tuple[int, int]:
+    """For each of 128 bins whether the set has an odd number of shingles there. Where two sets' bins differ, they
+    differ by a shingle at least."""
+    odd = np.packbits((np.bincount((s >> np.uint64(8)).astype(np.int64) & 127, minlength=128) & 1).astype(np.uint8))
+    return tuple(odd.view(np.int64).tolist())
+
+
 def _prefixes(sketch):
     def run(batches):
         counts = sketch.value
@@ -126,9 +134,9 @@ def _prefixes(sketch):
                         if doc is None or not len(s):
                             continue
                         p, l = prefix(s, counts, floor)
-                        rows.append((doc, len(s), l, p.view(np.int64)))
+                        rows.append((doc, len(s), l, p.view(np.int64), *parity(s)))
                     if rows:
-                        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "n", "l", "prefix"])
+                        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.int64())], ["doc_id", "n", "l", "prefix", "p", "q"])
 
     return run
 
@@ -171,7 +179,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = scratch.write(outline.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("minima").alias("minima")), "classes")
 
     shared = classes.select("rep", "n", F.posexplode("minima").alias("j", "m"))
-    lead = shared.groupBy("j", "m").agg(F.min(F.struct("rep", "n")).alias("x"), F.count("*").alias("c")).where("c > 1").select("j", "m", F.col("x.rep").alias("a"), F.col("x.n").alias("na"))
+    # The leader is the most central of a minimum's classes, the one whose minima most others have: of copies with edits
+    # of their own, that is what they were copied from.
+    sizes = shared.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1")
+    shared = scratch.write(shared.join(sizes, ["j", "m"]), "shared")
+    central = shared.groupBy("rep").agg(F.sum("c").alias("central"))
+    lead = shared.join(central, "rep").groupBy("j", "m").agg(F.max(F.struct("central", (-F.col("rep")).alias("a"), F.col("n"))).alias("x")).select("j", "m", (-F.col("x.a")).alias("a"), F.col("x.n").alias("na"))
     stars = shared.join(lead, ["j", "m"]).where("a <> rep").where(DEN * F.least("n", "na") >= NUM * F.greatest("n", "na")).select("a", F.col("rep").alias("b")).distinct()
     links = verified(scratch, d, stars, "stars")
     joined = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -179,16 +192,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps = classes.select(F.col("rep").alias("doc_id"), "k1").groupBy("doc_id").agg(F.count("*").alias("of"))
     nodes = reps.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
     nodes = scratch.write(nodes, "nodes")
-    found = d.mapInArrow(_prefixes(sketch), "doc_id long, n long, l long, prefix array<long>")
+    found = d.mapInArrow(_prefixes(sketch), "doc_id long, n long, l long, prefix array<long>, p long, q long")
     index = scratch.write(found.join(nodes, "doc_id"), "index")
-    plain = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
-    post = index.select("doc_id", "root", "n", "l", plain.alias("plain"), F.posexplode("prefix").alias("i", "token"))
-    post = post.select("token", "doc_id", "root", (F.col("n") * 65536 + F.col("l") * 256 + F.greatest(F.lit(1), F.col("i") - F.col("plain") + 2)).alias("meta"))
+    post = index.select("doc_id", "root", "n", "l", "p", "q", F.posexplode("prefix").alias("i", "token"))
+    post = post.select("token", "doc_id", "root", "p", "q", (F.shiftleft("n", 32) + F.shiftleft("l", 24) + F.col("i")).alias("meta"))
     a, b = post.alias("a"), post.alias("b")
-    n, l, at = (lambda x: F.shiftright(F.col(f"{x}.meta"), 16)), (lambda x: F.shiftright(F.col(f"{x}.meta"), 8).bitwiseAND(255)), (lambda x: F.col(f"{x}.meta").bitwiseAND(255))
+    n, at = (lambda x: F.shiftright(F.col(f"{x}.meta"), 32)), (lambda x: F.col(f"{x}.meta").bitwiseAND(0xFFFFFF))
+    l = F.shiftright(F.col("a.meta"), 24).bitwiseAND(255)  # noqa: E741
     larger = (n("a") > n("b")) | ((n("a") == n("b")) & (F.col("a.doc_id") > F.col("b.doc_id")))
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & larger & (DEN * n("b") >= NUM * n("a")) & (at("a") <= l("a")) & (at("b") <= l("a"))
-    more = a.join(b, on).groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), l("a").alias("l")).agg(F.count("*").alias("c")).where("c >= l").select("a", "b").distinct()
+    # Sets of these sizes that link share `need` shingles, so l of them in the prefixes that are l longer than n - need.
+    need = F.expr(f"({NUM} * (shiftright(a.meta, 32) + shiftright(b.meta, 32)) + {NUM + DEN - 1}) div {NUM + DEN}")
+    apart = sum(F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in "pq")
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & larger & (DEN * n("b") >= NUM * n("a"))
+    on = on & (at("a") < n("a") - need + l) & (at("b") < n("b") - need + l) & (apart <= n("a") + n("b") - 2 * need)
+    more = a.join(b, on).groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), l.alias("l")).agg(F.count("*").alias("c")).where("c >= l").select("a", "b").distinct()
     rest = verified(scratch, d, more, "rest")
     scratch.drop("index")
 

@@ -22,10 +22,10 @@ def newlines(text: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<k, line, match>>: the matches of a pattern that never matches the empty text. A line is counted from 1.
 
-    One pass over the gaps between matches carries the line, so a text with many matches costs no more than its length.
+    One pass over the gaps between matches carries the line on; null text has none.
     """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), g.alias("g")))
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g")))
 
     def step(acc: Column, p: Column) -> Column:
         line = acc.line + newlines(F.coalesce(p.g, F.lit("")))

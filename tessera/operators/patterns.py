@@ -35,7 +35,11 @@ IGNORED_DIRS = (".git", "build", "out", "bin", "obj", "__pycache__", ".venv", "n
 def scan_patterns(files: DataFrame, catalogue: tuple[Pattern, ...] = LEGACY, text: Column | None = None) -> DataFrame:
     """file_id, pattern, severity, line, match, message, tag. Patterns are literals, compiled once a task."""
     text = F.col("text") if text is None else text
-    per = [F.transform(matches(text, p.regex), lambda m, p=p: F.struct(F.lit(p.name).alias("pattern"), F.lit(p.severity).alias("severity"), m.line.alias("line"), m.match.alias("match"), F.lit(p.message).alias("message"))) for p in catalogue]
+
+    def found(p: Pattern) -> Column:
+        return F.transform(matches(text, p.regex), lambda m: F.struct(F.lit(p.name).alias("pattern"), F.lit(p.severity).alias("severity"), m["line"].alias("line"), m["match"].alias("match"), F.lit(p.message).alias("message")))
+
+    per = [found(p) for p in catalogue]
     return files.select("file_id", F.explode(F.concat(*per)).alias("f")).select("file_id", "f.*", F.lit(TAG).alias("tag"))
 
 

@@ -13,6 +13,7 @@ from tessera.llm.packing import op8
 from tessera.llm.quality_rules import op9
 from tessera.llm.rans import op10
 from tessera.llm.secrets import op6
+from tessera.llm.suffix_dedup import op4
 
 
 def queries() -> dict:
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op1_decontamination": lambda s, d: op1(s, docs(s, d), table(s, d, "benchmark")),
         "op2_ngram_jaccard": lambda s, d: op2(s, docs(s, d)),
         "op3_katz_backoff": lambda s, d: op3(s, docs(s, d)),
+        "op4_suffix_dedup": lambda s, d: op4(s, docs(s, d)),
         "op5_quality_classifier": lambda s, d: op5(s, docs(s, d), table(s, d, "labels")),
         "op6_secret_scan": lambda s, d: op6(docs(s, d)),
         "op7_chat_formatting": lambda s, d: op7(table(s, d, "conversations")),

@@ -176,3 +176,23 @@ def katz(docs, discounts, gt=5):
         out.append((d, held(d, 1), len(t), sum(uni[x] > 0 for x in t), n, base, sum(math.log10(prob(v, x)) for v, x in zip(["<s>", *w], t))))
     sums = [sum(prob(v, w) for w in [*uni, None]) for v in [x for x, _ in begin.most_common(3)] + ["<s>"]]
     return out, sums
+
+
+def repeats(docs, size=50):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256"""
+    least = {}
+    data = [(d, (t or "").encode()) for d, t in docs]
+    for d, b in data:
+        for i in range(len(b) - size + 1):
+            w = b[i : i + size]
+            if least.get(w, d) >= d:
+                least[w] = d
+    out = []
+    for d, b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - size + 1):
+            if least[b[i : i + size]] < d:
+                gone[i : i + size] = b"\1" * size
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out.append((d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
+    return out

@@ -34,7 +34,9 @@ from tessera.llm.kernel import mix, spans, texts, word_hashes
 START, END = np.uint64(1), np.uint64(2)
 GT, HOT, SPREAD = 5, 1 << 15, 16
 #: Bytes of text to a bucket.
-BUCKET = 18 << 20
+BUCKET = 12 << 20
+#: So many tokens are sorted at once in a task.
+TOKENS = 2_200_000
 _A = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -78,9 +80,9 @@ def _count(n_buckets: int):
                     if len(v):
                         parts.append((v, w, np.ones(len(v), np.int64)))
                         size += len(v)
-                    if size > 4_000_000:
+                    if size > TOKENS:
                         parts = [packed(parts)]
-                        size = len(parts[0][0]) // 2
+                        size = len(parts[0][0]) // 4
             if not parts:
                 return
             v, w, c = packed(parts)
@@ -216,12 +218,32 @@ def _ask(n_buckets: int, shared, norm: float, n_train: int, end: float):
     def base(c):
         return np.log10((c + 0.5) / norm)
 
+    names = ["bucket", "task", "v", "n", "p", "k", "docs", "size"]
+    counts = lambda starts, n: np.diff(starts, append=n)
+
+    def sent(task, parts, size):
+        """What is gathered, by bucket; parts is emptied."""
+        if not parts:
+            return
+        v, p, d = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        bucket = (np.where(v == 0, p, v) % np.uint64(n_buckets)).astype(np.int32)
+        order = np.lexsort((d, p, v, bucket))
+        v, p, d, bucket = v[order], p[order], d[order], bucket[order]
+        at = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        for b in range(n_buckets):
+            i, j = at[b], at[b + 1]
+            if i < j:
+                new_p = np.flatnonzero(np.concatenate([[True], (p[i + 1 : j] != p[i : j - 1]) | (v[i + 1 : j] != v[i : j - 1])]))
+                pv = v[i:j][new_p]
+                new_v = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([task], pa.int32()), pa.array([pv[new_v].tobytes()]), pa.array([_squeeze(counts(new_v, len(new_p)))]), pa.array([p[i:j][new_p].tobytes()]), pa.array([_squeeze(counts(new_p, j - i))]), pa.array([_squeeze(d[i:j])]), pa.array([size], pa.int64())], names)
+
     def run(batches):
         from pyspark import TaskContext
 
-        task, hot, docs, parts = TaskContext.get().partitionId(), shared.value, 0, []
+        task, hot, docs, parts, size = TaskContext.get().partitionId(), shared.value, 0, [], 0
         ids, fold, n_tokens, known, sb, sc = [], [], [], [], [], []
-        names = ["bucket", "task", "v", "n", "p", "k", "docs", "size"]
         with np.errstate(over="ignore"):
             for batch in batches:
                 ids += batch.column("doc_id").to_pylist()
@@ -241,24 +263,14 @@ def _ask(n_buckets: int, shared, norm: float, n_train: int, end: float):
                     v = np.where(is_hot, np.uint64(0), v)[rest]
                     p = np.where(done, np.uint64(0), p)[rest]
                     parts.append((v, p, (at[rest] + docs).astype(np.uint32)))
-                    docs += k
+                    docs, size = docs + k, size + len(v)
+                    if size >= TOKENS:
+                        yield from sent(task, parts, docs)
+                        size = 0
             if docs:
-                yield pa.record_batch([pa.array([-1 - task], pa.int32()), pa.array([task], pa.int32()), pa.array([_docs(ids, fold)]), pa.array([np.concatenate(n_tokens).astype("<i8").tobytes()]), pa.array([np.concatenate(known).astype("<i8").tobytes()]), pa.array([np.concatenate(sb).tobytes()]), pa.array([np.concatenate(sc).tobytes()]), pa.array([docs], pa.int64())], names)
-                v, p, d = (np.concatenate(x) for x in zip(*parts))
-                parts.clear()
-                bucket = (np.where(v == 0, p, v) % np.uint64(n_buckets)).astype(np.int32)
-                order = np.lexsort((d, p, v, bucket))
-                v, p, d, bucket = v[order], p[order], d[order], bucket[order]
-                at = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                for b in range(n_buckets):
-                    i, j = at[b], at[b + 1]
-                    if i == j:
-                        continue
-                    new_p = np.flatnonzero(np.concatenate([[True], (p[i + 1 : j] != p[i : j - 1]) | (v[i + 1 : j] != v[i : j - 1])]))
-                    pv = v[i:j][new_p]
-                    new_v = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
-                    counts = lambda starts, n: np.diff(starts, append=n)
-                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([task], pa.int32()), pa.array([pv[new_v].tobytes()]), pa.array([_squeeze(counts(new_v, len(new_p)))]), pa.array([p[i:j][new_p].tobytes()]), pa.array([_squeeze(counts(new_p, j - i))]), pa.array([_squeeze(d[i:j])]), pa.array([docs], pa.int64())], names)
+                yield from sent(task, parts, docs)
+                own = [_docs(ids, fold), np.concatenate(n_tokens).astype("<i8").tobytes(), np.concatenate(known).astype("<i8").tobytes(), np.concatenate(sb).tobytes(), np.concatenate(sc).tobytes()]
+                yield pa.record_batch([pa.array([-1 - task], pa.int32()), pa.array([task], pa.int32()), *[pa.array([x]) for x in own], pa.array([docs], pa.int64())], names)
 
     return run
 
@@ -339,7 +351,7 @@ def _answer(norm: float, unknown: float):
 
 
 def _total(t: pa.Table) -> pa.Table:
-    size = t["size"][0].as_py()
+    size = max(t["size"].to_pylist())
     base, score, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
     for ids, n, k, b, s in zip(*(t[x].to_pylist() for x in ("ids", "n", "known", "base", "score"))):
         b, s = np.frombuffer(b, np.float64), np.frombuffer(s, np.float64)

@@ -29,12 +29,12 @@ ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 
 _PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{1,63})["']?\x20*(?::=|=>|[:=])\x20*(?:(?P<quote>["'`])(?P<quoted>(?:(?!(?P=quote))[^\\\n]|\\[^\n]){1,4096}?)(?P=quote)|(?P<bare>[A-Za-z0-9+/_.=$@!%^&*-]{2,4096}))"""
+    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?\x20*(?::=|=>|[:=])\x20*(?:(?P<quote>["'`])(?P<quoted>(?:(?!(?P=quote))[^\\\n]|\\[^\n]){1,4096}?)(?P=quote)|(?P<bare>[A-Za-z0-9+/_.=$@!%^&*-]{1,4096}))"""
     r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{1,63})>(?P<inner>[^<>\n]{2,4096})</(?P=tag)>"""
 )
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{1,63}\Z")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}\Z")
 #: Parts of target names and how far each speaks for a secret.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authorization": 0.8, "bearer": 0.8, "auth": 0.6, "key": 0.5, "salt": 0.5, "signature": 0.4}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "pw": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authorization": 0.8, "bearer": 0.8, "auth": 0.6, "key": 0.5, "salt": 0.5, "signature": 0.4}
 #: Parts that make a name harmless.
 HARMLESS = {"public", "field", "label", "length", "count", "limit", "max", "min", "type", "name", "path", "file", "url", "hint", "help", "column", "id"}
 PLACEHOLDER = re.compile(r"(?i)^(?:none|null|true|false|changeme|example|your[_-].*|xxx+|\*+|\.+|todo|undefined|<.*>|\$\{?.*\}?|%.*%)$")

@@ -20,43 +20,69 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     size = n + 1
     order = np.argsort(group, kind="stable")
     members: list[list[int]] = [x.tolist() for x in np.split(order, np.cumsum(np.bincount(group))[:-1])]
+    live = [len(x) for x in members]  # of members, that are still in the group
     above = list(range(1, len(members))) + [-1]  # the next higher group
     below = list(range(-1, len(members) - 1))
-    done = [False] * len(members)
+    done = bytearray(len(members))
     prev = [-1] * size
     at = len(members) - 1
     while at >= 0:
-        done[at] = True
-        count: dict[int, int] = {}
-        for s in sorted([s for s in members[at] if g[s] == at]):
+        done[at] = 1
+        n_live, own = live[at], members[at]
+        if n_live == 1:
+            s = own[0]
+            if len(own) > 1:
+                s = next(x for x in own if g[x] == at)
             p = s - 1
             while p >= 0 and done[g[p]]:
                 p = prev[p]
             prev[s] = p
-            if p >= 0:
-                count[p] = count.get(p, 0) + 1
+            if p >= 0 and live[h := g[p]] > 1:
+                new, up = len(members), above[h]
+                members.append([p])
+                live.append(1)
+                live[h] -= 1
+                done.append(0)
+                above.append(up)
+                below.append(h)
+                above[h] = new
+                if up >= 0:
+                    below[up] = new
+                g[p] = new
+            at = below[at]
+            continue
+        count: dict[int, int] = {}
+        if n_live:
+            if n_live < len(own):
+                own = [x for x in own if g[x] == at]
+            own.sort()
+            for s in own:
+                p = s - 1
+                while p >= 0 and done[g[p]]:
+                    p = prev[p]
+                prev[s] = p
+                if p >= 0:
+                    count[p] = count.get(p, 0) + 1
         if count:
-            moved: dict[tuple[int, int], int] = {}
-            if len(count) > 1:
-                items = sorted(count.items(), key=lambda x: -x[1])
-            else:
-                items = list(count.items())
-            for p, k in items:
-                h = g[p]
-                new = moved.get((h, k))
-                if new is None:
-                    new = moved[h, k] = len(members)
-                    members.append([])
-                    done.append(False)
-                    up = above[h]
-                    above.append(up)
-                    below.append(h)
-                    above[h] = new
-                    if up >= 0:
-                        below[up] = new
-                members[new].append(p)
-            for (h, k), new in moved.items():
-                for p in members[new]:
+            moved: dict[tuple[int, int], list[int]] = {}
+            for p, k in count.items():
+                moved.setdefault((k, g[p]), []).append(p)
+            # Of one group, those with the most pointers end up highest; all of a group alike stay as they are.
+            for k, h in sorted(moved, reverse=True) if len(moved) > 1 else moved:
+                ps = moved[k, h]
+                if len(ps) == live[h]:
+                    continue
+                new, up = len(members), above[h]
+                members.append(ps)
+                live.append(len(ps))
+                live[h] -= len(ps)
+                done.append(0)
+                above.append(up)
+                below.append(h)
+                above[h] = new
+                if up >= 0:
+                    below[up] = new
+                for p in ps:
                     g[p] = new
         at = below[at]
     # Where each group begins: lowest group first.

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is still taken whole.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _CHAR = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)

@@ -104,12 +104,12 @@ def _pack(vocabulary: str, length: int, separator: int):
         enc, part, blocks, rows, size = encoder(vocabulary), TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             docs, texts = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text")
-            for i, j in pieces(raw(texts)[1], 2 * CHUNK):
+            for i, j in pieces(raw(texts)[1], 8 * CHUNK):
                 ids, at = enc.encode(texts[i:j])
                 for k, d in enumerate(docs[i:j]):
                     rows.append((d, ids[at[k] : at[k + 1]].astype("<u4").tobytes() + np.uint32(separator).astype("<u4").tobytes()))
                     size += len(rows[-1][1])
-                if len(rows) >= BLOCK or size >= 8 * CHUNK:
+                if len(rows) >= BLOCK or size >= 32 * CHUNK:
                     yield block(rows, (part << 12) + blocks)
                     blocks, rows, size = blocks + 1, [], 0
         if rows:

@@ -144,7 +144,7 @@ def _write(vocabulary: str, end: int):
 
         for batch in batches:
             names, texts = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text")
-            for i, j in pieces(raw(texts)[1], 2 * CHUNK):
+            for i, j in pieces(raw(texts)[1], 8 * CHUNK):
                 got, at = enc.encode(texts[i:j])
                 got = np.insert(got, at[1:], end)
                 docs += names[i:j]

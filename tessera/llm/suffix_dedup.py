@@ -6,7 +6,7 @@ its 32-byte pieces; neighbouring windows mostly share it, and make up a run. Equ
   2  a block sends the distinct least hashes of its runs to buckets, and gets back, a bit each, which of them occur in
      other documents too;
   3  of those runs it sends each distinct string once, with the smallest doc_id that holds it. Where the strings of one
-     least hash differ, they are suffix-sorted (gsaca) and neighbours whose first 50 bytes agree share their smallest
+     least hash differ, they are suffix-sorted (gsaca), their common piece being one symbol, and neighbours whose first 50 bytes agree share their smallest
      doc_id; where they are all alike there is nothing to sort. Blocks get back the smallest doc_id of each window;
   4  a block removes what a smaller doc_id covers.
 No document is sent anywhere, no pair of documents is made, and a passage that many documents hold is sent once a block.
@@ -29,8 +29,8 @@ from tessera.llm.gsaca import suffix_array
 from tessera.llm.kernel import _CHAR, _R, _R_INV, CHUNK, mix, powers, raw
 
 LENGTH, PIECE = 50, 32
-#: Bytes of text to a bucket; symbols to a suffix array, unless the strings of one hash are more.
-BUCKET, BATCH = 12 << 20, 1 << 15
+#: Bytes of text to a block and to a bucket; symbols to a suffix array, unless the strings of one hash are more.
+BLOCK, BUCKET, BATCH = 4 << 20, 12 << 20, 1 << 15
 LAST = np.iinfo(np.int64).max
 
 
@@ -136,7 +136,7 @@ def _pack(batches):
         ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
         for i, d in enumerate(ids):
             t = data[off[i] : off[i + 1]].tobytes()
-            if docs and size + len(t) > CHUNK:
+            if docs and size + len(t) > BLOCK:
                 yield block()
                 k, docs, lens, texts, size = k + 1, [], [], [], 0
             docs.append(LAST if d is None else d)
@@ -203,46 +203,69 @@ def _send_strings(n_buckets: int):
     return run
 
 
-def smallest(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window of each string, one after another, the smallest doc of the strings that hold it. The strings of a
-    group are neighbours; windows of different groups are different."""
+def anchors(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where in each string the piece of the least hash m begins; -1 where it occurs more than once."""
+    text = gather(data, starts, lens)
+    h = _prefix_hash(text)
+    hashes = mix(mix((h[PIECE:] - h[:-PIECE]) * powers(_R_INV, len(text))[: len(text) - PIECE + 1]))
+    ends = np.cumsum(lens)
+    owner, offset = np.repeat(np.arange(len(lens)), lens), np.arange(len(text)) - np.repeat(ends - lens, lens)
+    at = np.flatnonzero((hashes == m[owner[: len(hashes)]]) & (offset[: len(hashes)] <= lens[owner[: len(hashes)]] - PIECE))
+    out = np.full(len(lens), -1)
+    out[owner[at]] = offset[at]
+    out[np.bincount(owner[at], minlength=len(lens)) != 1] = -1
+    return out
+
+
+def smallest(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, m: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window of each string, one after another, the smallest doc of the strings that hold it. Strings of one
+    least hash m are neighbours; those of different hashes have no window in common.
+
+    The strings of a hash have its piece in common, so that piece is one symbol of theirs, and a window is as many
+    symbols as bytes are not in it, and one. Where a string has the piece twice, its hash's strings are sorted as bytes.
+    """
     windows = lens - LENGTH + 1
     base = np.cumsum(windows) - windows
     out = np.repeat(doc, windows)
-    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    alone = np.diff(np.append(cuts, len(group))) == 1
-    todo, batch, symbols = [], [], 0
-    for c, e, one in zip(cuts.tolist(), np.append(cuts[1:], len(group)).tolist(), alone.tolist()):
-        if one:
-            continue
-        batch += range(c, e)
-        symbols += int(lens[c:e].sum()) + e - c
-        if symbols >= BATCH:
-            todo.append(batch)
-            batch, symbols = [], 0
-    if batch:
-        todo.append(batch)
-    for ks in todo:
-        k = np.array(ks)
-        n = lens[k] + 1
-        # A symbol below all bytes ends each string.
-        ends = np.cumsum(n)
-        text = np.zeros(int(ends[-1]), np.int64)
-        where = np.ones(len(text), bool)
-        where[ends - 1] = False
-        text[where] = gather(data, starts[k], lens[k]).astype(np.int64) + 1
-        owner = np.repeat(np.arange(len(k)), n)
-        offset = np.arange(len(text)) - np.repeat(ends - n, n)
-        sa = suffix_array(text)
-        sa = sa[offset[sa] < windows[k][owner[sa]]]
-        view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-        same = np.zeros(len(sa), bool)
-        for i in range(1, len(sa), 1 << 15):
-            j = min(i + (1 << 15), len(sa))
-            same[i:j] = (view[sa[i - 1 : j - 1]] == view[sa[i:j]]).all(1)
-        first = np.flatnonzero(~same)
-        least = np.minimum.reduceat(doc[k][owner[sa]], first)
-        out[base[k][owner[sa]] + offset[sa]] = np.repeat(least, np.diff(np.append(first, len(sa))))
+    new = np.concatenate([[True], m[1:] != m[:-1]])
+    group = np.cumsum(new) - 1
+    several = np.flatnonzero((np.bincount(group) > 1)[group])
+    if not len(several):
+        return out
+    with np.errstate(over="ignore"):
+        anchor = np.full(len(lens), -1)
+        anchor[several] = anchors(data, starts[several], lens[several], m[several])
+    plain = np.zeros(int(group[-1]) + 1, bool)
+    plain[group[several[anchor[several] < 0]]] = True
+    for short in (True, False):
+        ks = several[plain[group[several]] != short]
+        size = lens[ks] - (PIECE - 1) * short + 1
+        # Batches end where a group does.
+        batch = np.cumsum(size) // BATCH
+        batch = np.maximum.accumulate(np.where(np.concatenate([[True], group[ks][1:] != group[ks][:-1]]), batch, 0)) if len(ks) else batch
+        cuts = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])) if len(ks) else []
+        for i, j in zip(cuts, np.append(cuts[1:], len(ks))):
+            k, n = ks[i:j], size[i:j]
+            # A symbol below all bytes ends each string.
+            ends = np.cumsum(n)
+            owner = np.repeat(np.arange(len(k)), n)
+            offset = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            byte = np.minimum(offset + (PIECE - 1) * (short & (offset > anchor[k][owner])), lens[k][owner] - 1)
+            text = data[starts[k][owner] + byte].astype(np.int64) + 1
+            if short:
+                own = offset == anchor[k][owner]
+                text[own] = 257 + group[k][owner[own]] - group[k[0]]
+            text[ends - 1] = 0
+            sa = suffix_array(text)
+            sa = sa[offset[sa] < windows[k][owner[sa]]]
+            view = np.lib.stride_tricks.sliding_window_view(text.astype(np.int32), LENGTH - (PIECE - 1) * short)
+            same = np.zeros(len(sa), bool)
+            for p in range(1, len(sa), 1 << 14):
+                q = min(p + (1 << 14), len(sa))
+                same[p:q] = (view[sa[p - 1 : q - 1]] == view[sa[p:q]]).all(1)
+            first = np.flatnonzero(~same)
+            least = np.minimum.reduceat(doc[k][owner[sa]], first)
+            out[base[k][owner[sa]] + offset[sa]] = np.repeat(least, np.diff(np.append(first, len(sa))))
     return out
 
 

@@ -40,7 +40,7 @@ class Scratch:
         path = f"{self.base}/{name}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path) if not by else self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")

@@ -157,8 +157,6 @@ class Model:
         grams = docs.select("text").mapInArrow(_count(n_buckets), "bucket int, v binary, n binary, w binary, c binary")
         grams = grams.groupBy("bucket").applyInArrow(_merge, "kind int, v long, w long, c long")
         grams = scratch.write(grams, "grams", "kind")
-        empty = spark.createDataFrame([], "kind int, v long, w long, c long")
-        grams = grams.select("kind", "v", "w", "c") if "kind" in grams.columns else empty
         free_shuffles(spark)
         words = scratch.write(grams.where("kind = 0").groupBy(F.col("v").alias("w")).agg(F.sum("c").alias("c")), "counts")
         n_docs = words.where(F.col("w") == int(START)).agg(F.sum("c")).first()[0] or 0

@@ -2,7 +2,7 @@
 
 A segment holds the ids of documents in turn. Its header has the documents, the frequency table that all its blocks
 share, and a checkpoint for each block: its number of ids, where its bytes are, the states of its interleaved lanes and
-a checksum of its ids. So each block is decoded by itself, and a block's lanes are decoded side by side in numpy.
+a checksum of its ids and bytes. So each block is decoded by itself, and a block's lanes are decoded side by side in numpy.
 
 Segments are rows of a Parquet table (part, seg, n_ids, data) in ascending doc_id order, so that any store that Spark
 writes will do.
@@ -97,7 +97,7 @@ def pack_segment(doc_ids: list[int | None], lens: list[int], ids: np.ndarray) ->
         lanes = max(1, min(LANES, len(part) // 64))
         words, states = encode_block(part, f, cum, lanes)
         payload = states.tobytes() + words.astype("<u4").tobytes()
-        checkpoints.append(struct.pack("<IIQII", len(part), lanes, len(body), len(payload), zlib.crc32(ids[at : at + BLOCK].astype("<u4").tobytes())))
+        checkpoints.append(struct.pack("<IIQII", len(part), lanes, len(body), len(payload), zlib.crc32(payload, zlib.crc32(ids[at : at + BLOCK].astype("<u4").tobytes()))))
         body += payload
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lens, "<u4").tobytes()
     head = zlib.compress(docs + np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes() + f.astype("<u4").tobytes(), 6)
@@ -125,7 +125,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
         states = np.frombuffer(data, "<u8", lanes, body + start)
         words = np.frombuffer(data, "<u4", (size - 8 * lanes) // 4, body + start + 8 * lanes).astype(np.uint64)
         ids = symbols[decode_block(words, states, n, slot, f, cum)]
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(data[body + start : body + start + size], zlib.crc32(ids.astype("<u4").tobytes())) != crc:
             raise ValueError(f"damaged block {b}")
         out.append(ids)
     return [None if x else int(d) for d, x in zip(ids_, null)], lens, np.concatenate(out) if out else np.zeros(0, np.uint32)

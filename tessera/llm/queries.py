@@ -33,5 +33,48 @@ def queries() -> dict:
     }
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
+
+OP1 = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(10, len(w)) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM items)),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+lengths AS (SELECT DISTINCT m FROM wins),
+grams AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, lengths WHERE len(w) >= m)),
+hits AS (SELECT DISTINCT doc_id, m, i, item FROM grams JOIN wins USING (m, win)),
+hit_words AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)"""
+
+OP2 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) >= 5 THEN w[i:i + 4] ELSE w END, ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+reach AS (SELECT a AS doc_id, b AS to_id FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.to_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id
+FROM docs d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT doc_id, min(to_id) AS m FROM reach GROUP BY doc_id) r USING (doc_id)"""
+
+
+OP4 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i + 1:i + 50] AS s FROM (SELECT *, unnest(range(0, octet_length(b) - 49)) AS i FROM d WHERE octet_length(b) >= 50)),
+smallest AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM w JOIN smallest USING (s) WHERE m < doc_id),
+spans AS (SELECT doc_id, min(j) AS a, max(j) + 1 AS e FROM (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS g FROM gone) GROUP BY doc_id, g),
+cuts AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+kept AS (SELECT doc_id, sum(e - a) AS n, count(*) AS k, string_agg(hex(b[p + 1:a]), '' ORDER BY a) || hex(any_value(b)[max(e) + 1:]) AS h FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, octet_length(d.b) AS n_bytes, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, coalesce(k.k, 0) AS n_spans, sha256(CASE WHEN k.h IS NULL THEN d.b ELSE unhex(k.h) END) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express. Scores, packings, files and lexing are held against plain Python in tests/llm."""
+    out = {"op1_decontamination": OP1, "op2_ngram_jaccard": OP2, "op4_suffix_dedup": OP4}
+    if corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out

@@ -457,3 +457,24 @@ def unnest(parsed: DataFrame, what: str) -> DataFrame:
 def call_table(functions: DataFrame) -> DataFrame:
     """file_id, src, pos, name, display, kind"""
     return functions.select("file_id", F.col("unique_fqn").alias("src"), F.posexplode("call_details").alias("pos", "c")).select("file_id", "src", "pos", "c.name", "c.display", "c.kind")
+
+
+def token_table(files: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """file_id, pos, kind, text, start_byte, end_byte, line: the tokens of each text, comments left out."""
+    names = ("file_id", "pos", "kind", "text", "start_byte", "end_byte", "line")
+    schema = "file_id long, pos int, kind string, text string, start_byte int, end_byte int, line int"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for i, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist()):
+                text, at, size, line, rows = text or "", 0, 0, 1, []
+                for k, x in enumerate(tokens(text, max_tokens)):
+                    between = text[at : x.start]
+                    size, line = size + len(between.encode()), line + between.count("\n")
+                    n = len(x.text.encode())
+                    rows.append((i, k, "preprocessor" if x.kind == "pp" else x.kind, x.text, size, size + n, line))
+                    size, line, at = size + n, line + x.text.count("\n"), x.end
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], target)
+
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "text").mapInArrow(run, schema)

@@ -9,12 +9,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera import native
+from tessera import native, tools
 from tessera.functions import text as T
 from tessera.functions.regexops import mask, matches
 from tessera.operators import graph, guard, parity, patterns
-from tessera.operators.extract import call_table, extract, read_text, unnest
+from tessera.operators.extract import call_table, extract, read_text, token_table, unnest
 from tessera.operators.rules import RULES, apply_rule, masked, modernize_text
+from tessera.plans.bridge import Bridge
 from tessera.plans.workflow import lite, modernize
 from tessera.sources import files as S
 from tessera.sources.config import Settings, read_bool, read_int
@@ -209,6 +210,42 @@ def test_native(spark):
     assert not native.verify(spark.createDataFrame([(1, "int main( {")], "file_id long, text string")).first().success
 
 
+def test_tokens(spark):
+    rows = token_table(spark.createDataFrame([(1, "int é;\n/* c */ x += 1;"), (2, None)], "file_id long, text string")).collect()
+    assert [(r.text, r.start_byte, r.line) for r in rows] == [("int", 0, 1), ("é", 4, 1), (";", 6, 1), ("x", 16, 2), ("+=", 18, 2), ("1", 21, 2), (";", 22, 2)]
+
+
+def test_bridge():
+    def fails(system, text):
+        raise RuntimeError("busy")
+
+    b = Bridge({"modernizer": lambda s, t: t.upper(), "fixer": fails}, wait=0.001, capacity=2)
+    assert b("a") == "A" == b("a") and b.stats["hits"] == 1
+    assert b.ask("fixer", "", "p = NULL;") == "p = nullptr;" and b.stats["failures"] == 3 and b.ask("planner", "", "x") is None
+    for t in "bcd":
+        b(t)
+    assert len(b.known) == 2 and b.healthy()[0] and not Bridge().healthy()[0]
+    with pytest.raises(ValueError):
+        Bridge({"cook": fails})
+
+
+def test_tools(spark, tmp_path, capsys):
+    (tmp_path / "a.cpp").write_text("#include <stdio.h>\nint main() { char *p = NULL; return p == NULL; }\n")
+    root = str(tmp_path)
+    r = json.loads(tools.modernize_file(spark, "a.cpp", root))
+    assert r["status"] == "success" and r["output"] == "a_modernized.cpp" and "nullptr" in (tmp_path / "a_modernized.cpp").read_text()
+    assert json.loads(tools.modernize_file(spark, "../x.cpp", root))["status"] == "error"
+    tools.print_report(json.dumps(r))
+    assert "rating" in capsys.readouterr().out
+    assert tools.legacy_patterns(spark, str(tmp_path / "a.cpp")).count() == 2 and tools.extract_functions(spark, str(tmp_path / "a.cpp")).first().name == "main"
+    assert tools.search(spark, "nullptr", root, "*.cpp").count() == 1
+    assert json.loads(tools.run_compiler("rm -rf x", root))["message"] == "only compilers may be run"
+    assert json.loads(tools.run_binary("none", root))["status"] == "error"
+    # Some boxes have the driver of a compiler without the compiler.
+    if native.usable("g++") and json.loads(tools.run_compiler("g++ a.cpp -o a.out", root))["status"] == "success":
+        assert json.loads(tools.run_binary("a.out", root))["exit_code"] == 1
+
+
 def test_no_foreign_imports():
     """The core stands without the training-data subpackage."""
     for top, _, names in os.walk(os.path.join(os.path.dirname(__file__), "..", "tessera")):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, small, table
+from tessera.llm.common import Scratch, row_key, table, without
 from tessera.llm.decontam import decontaminate
 from tessera.llm.jaccard import keep_one
 from tessera.llm.packing import pack
@@ -30,10 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
-    key = F.xxhash64(*docs.columns)
-    found = decontaminate(spark, docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = small(Scratch(spark, "benchmark").write(found.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "gone"))
-    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").select(*docs.columns)
+    found = decontaminate(spark, docs.select(row_key(docs).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, Scratch(spark, "benchmark").write(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "gone"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,19 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key is not among gone (key), a written table. Equal rows share a key."""
+    name = "_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, row_key(docs)).join(small(gone.withColumnRenamed("key", name)), name, "left_anti").select(*docs.columns)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*docs.columns)
+
+
 def held_out(doc_id: Column, remainder: int) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5) == remainder
 

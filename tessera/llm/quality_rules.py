@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, let, small
+from tessera.llm.common import Scratch, let, row_key, small, without
 
 SPACE, WORD, SYMBOLS = " \t\n\x0b\x0c\r", r"[^\x20\x09-\x0D]+", "#*$%&|<>"
 WINDOW = 8
@@ -102,7 +102,7 @@ def common_lines(d: DataFrame, limits: LineLimits) -> DataFrame:
 
 def _judged(spark: SparkSession, docs: DataFrame, limits: LineLimits) -> DataFrame:
     """uid, doc_id, the base figures, n_line_words and kept; `key` tells rows that differ in any column apart."""
-    key = F.xxhash64(*docs.columns) if docs.columns else F.lit(0)
+    key = row_key(docs)
     host, lines = F.col("source").alias("host"), _line_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("hs")
     # The lines are counted in a light pass of their own, so that no text or figure is written or shuffled.
     flagged = small(Scratch(spark, "quality").write(common_lines(docs.select(host, lines), limits), "common"))
@@ -126,8 +126,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, limits: LineLimits = Lin
 
 def filter_quality(spark: SparkSession, docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that the rules keep, with their columns as they were. Equal rows have equal verdicts."""
-    gone = small(Scratch(spark, "quality").write(_judged(spark, docs, limits).where("not kept").select("key").distinct(), "gone"))
-    return docs.withColumn("_key", F.xxhash64(*docs.columns)).join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti").select(*docs.columns)
+    gone = Scratch(spark, "quality").write(_judged(spark, docs, limits).where("not kept").select("key").distinct(), "gone")
+    return without(docs, gone)
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ START, END = np.uint64(1), np.uint64(2)
 GT, HOT, SPREAD = 5, 1 << 15, 16
 #: Bytes of text to a bucket.
 BUCKET = 12 << 20
-#: So many tokens are sorted at once in a task.
-TOKENS = 2_200_000
+#: So many tokens are sorted at once in a task, in pass 2 and in pass 1.
+TOKENS, COUNTED = 2_200_000, 1_500_000
 _A = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -71,6 +71,20 @@ def _count(n_buckets: int):
         new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         return v[order[new]], w[order[new]], np.add.reduceat(c[order], new)
 
+    def sent(parts):
+        """What is gathered, by bucket; parts is emptied."""
+        v, w, c = packed(parts)
+        parts.clear()
+        bucket = (((mix(v) >> np.uint64(8)) + (mix(w) % np.uint64(SPREAD)) * np.uint64(0x9E3779B1)) % np.uint64(n_buckets)).astype(np.int32)
+        order = np.lexsort((v, bucket))
+        v, w, c, bucket = v[order], w[order], c[order], bucket[order]
+        at = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        for b in range(n_buckets):
+            i, j = at[b], at[b + 1]
+            if i < j:
+                u, n = np.unique(v[i:j], return_counts=True)
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([u.tobytes()]), pa.array([_squeeze(n)]), pa.array([w[i:j].tobytes()]), pa.array([_squeeze(c[i:j])])], ["bucket", "v", "n", "w", "c"])
+
     def run(batches):
         parts, size = [], 0
         with np.errstate(over="ignore"):
@@ -78,23 +92,14 @@ def _count(n_buckets: int):
                 for _, _, data, off in texts(batch):
                     v, w, _ = pairs(data, off)
                     if len(v):
-                        parts.append((v, w, np.ones(len(v), np.int64)))
+                        parts.append((v, w, np.ones(len(v), np.int32)))
                         size += len(v)
-                    if size > TOKENS:
-                        parts = [packed(parts)]
-                        size = len(parts[0][0]) // 4
-            if not parts:
-                return
-            v, w, c = packed(parts)
-            bucket = ((mix(v) >> np.uint64(8)) + (mix(w) % np.uint64(SPREAD)) * np.uint64(0x9E3779B1)) % np.uint64(n_buckets)
-        order = np.lexsort((v, bucket))
-        v, w, c, bucket = v[order], w[order], c[order], bucket[order]
-        at = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
-        for b in range(n_buckets):
-            i, j = at[b], at[b + 1]
-            if i < j:
-                u, n = np.unique(v[i:j], return_counts=True)
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([u.tobytes()]), pa.array([_squeeze(n)]), pa.array([w[i:j].tobytes()]), pa.array([_squeeze(c[i:j])])], ["bucket", "v", "n", "w", "c"])
+                    if size >= COUNTED:
+                        yield from sent(parts)
+                        size = 0
+            if parts:
+                yield from sent(parts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -269,6 +274,7 @@ def _ask(n_buckets: int, shared, norm: float, n_train: int, end: float):
                 yield from sent(task, parts, docs)
                 own = [_docs(ids, fold), np.concatenate(n_tokens).astype("<i8").tobytes(), np.concatenate(known).astype("<i8").tobytes(), np.concatenate(sb).tobytes(), np.concatenate(sc).tobytes()]
                 yield pa.record_batch([pa.array([-1 - task], pa.int32()), pa.array([task], pa.int32()), *[pa.array([x]) for x in own], pa.array([docs], pa.int64())], names)
+        pa.default_memory_pool().release_unused()
 
     return run
 

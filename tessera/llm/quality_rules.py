@@ -1,9 +1,9 @@
 """Quality rules: repetition figures of each document, and lines that too many documents of a host share.
 
 Everything is DataFrame functions. Lines are hashed after normalising; for each host the documents that hold a line are
-counted, with one pre-aggregated row per task and line. A line above the limits is removed unless its documents are
-mostly copies of one another (those are for near-duplicate removal, which keeps one of them); a document of which too
-little is left is rejected.
+counted, with one pre-aggregated row per task, line and document. A line above the limits is removed unless its
+documents are mostly copies of one document, with the same set of lines (those are for near-duplicate removal, which
+keeps one of them); a document of which too little is left is rejected.
 
 Cases: null or empty text has no words and fails the base rules. Repeated rows are judged row by row and count as
 copies. A null host is a host of its own. Very long texts are judged whole; extra columns are ignored.
@@ -24,9 +24,9 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line goes if over `docs` documents and over `share` of its host's documents hold it, and if no more than
-    `copies` of those documents are copies of one another. A document goes if under `left_words` words, or under
-    `left_share` of its words, are left."""
+    """A line goes if over `docs` documents and over `share` of its host's documents hold it, unless more than `copies`
+    of those documents are copies of one and no more than `docs` of them are different. A document goes if under
+    `left_words` words, or under `left_share` of its words, are left."""
 
     docs: int = 20
     share: float = 0.02
@@ -91,12 +91,11 @@ def figures(docs: DataFrame, *keep: Column) -> DataFrame:
 def common_lines(d: DataFrame, limits: LineLimits) -> DataFrame:
     """host, h: the lines above the limits. d has host and hs."""
     h = F.array_sort(F.array_distinct(F.transform("hs", lambda x: x.h)))
-    # Copies agree in their smallest line hash; a line that is itself the smallest is told by the next.
-    lines = d.select("host", h.alias("hh")).select("host", F.get("hh", F.lit(0)).alias("a"), F.get("hh", F.lit(1)).alias("b"), F.explode("hh").alias("h"))
-    lines = lines.select("host", "h", F.when(F.col("h") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("like"))
-    per_line = lines.groupBy("host", "h", "like").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    # Copies have the same set of lines. `own` is the number of different sets among a line's documents.
+    lines = d.select("host", h.alias("hh")).select("host", F.xxhash64("hh").alias("like"), F.explode("hh").alias("h"))
+    per_line = lines.groupBy("host", "h", "like").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("own"))
     hosts = d.groupBy("host").agg(F.count("*").alias("of"))
-    flagged = per_line.where((F.col("n") > limits.docs) & (F.col("top") <= limits.copies * F.col("n")))
+    flagged = per_line.where((F.col("n") > limits.docs) & ((F.col("top") <= limits.copies * F.col("n")) | (F.col("own") > limits.docs)))
     return flagged.alias("f").join(hosts.alias("t"), F.col("f.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > limits.share * F.col("of")).select("f.host", "h")
 
 

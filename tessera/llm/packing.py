@@ -14,6 +14,7 @@ Cases: null or empty text is the separator id alone. Repeated rows are packed ea
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -29,45 +30,65 @@ LENGTH, SEPARATOR = 2048, 1
 QUADRATIC = 1 / 1024
 #: Documents in a block at most.
 BLOCK = 8192
-#: So many of the cheapest sequences are asked for room before a piece is cut.
-TRIES = 64
 
 
 def place(lengths: list[int], room: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """(piece, from, length, sequence, offset) for pieces under `room` ids, in as few sequences as the ids fill."""
     total = sum(lengths)
     n = -(-total // room)
-    used, heap, out = [0] * n, [(0.0, s) for s in range(n)], []
-    cost = [0.0] * n
+    used, cost, out = [0] * n, [0.0] * n, []
+    # Sequences by what is left in them, the cheapest first, below a tree of the least (cost, sequence) of each range.
+    none, size = (math.inf, n), 1 << room.bit_length()
+    heaps, least = [[] for _ in range(room + 1)], [none] * (2 * size)
+
+    def follow(free: int) -> None:
+        k = free + size
+        least[k] = heaps[free][0] if heaps[free] else none
+        while k > 1:
+            k >>= 1
+            least[k] = min(least[2 * k], least[2 * k + 1])
+
+    def cheapest(left: int) -> int:
+        """The cheapest sequence with room for `left` ids; n if there is none."""
+        k = left + size
+        best = least[k]
+        while k > 1:
+            if not k & 1:
+                best = min(best, least[k + 1])
+            k >>= 1
+        return best[1]
+
+    def emptiest() -> int:
+        k = 1
+        while k < size:
+            k = 2 * k + 1 if least[2 * k + 1] < none else 2 * k
+        return least[k][1]
 
     def put(piece: int, start: int, length: int, s: int) -> None:
+        free = room - used[s]
         out.append((piece, start, length, s, used[s]))
         used[s] += length
         cost[s] += length + QUADRATIC * length * length
-
+        # The sequence is the first of its heap.
+        heapq.heappop(heaps[free])
+        follow(free)
+        if free > length:
+            heapq.heappush(heaps[free - length], (cost[s], s))
+            follow(free - length)
+
+    if n:
+        heaps[room] = [(0.0, s) for s in range(n)]
+        follow(room)
     for piece in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        start, left, passed = 0, lengths[piece], []
+        start, left = 0, lengths[piece]
         while left:
-            if heap and len(passed) < TRIES:
-                c, s = heapq.heappop(heap)
-                if used[s] + left > room:
-                    passed.append((c, s))
-                    continue
-                put(piece, start, left, s)
-                left = 0
-                if used[s] < room:
-                    heapq.heappush(heap, (cost[s], s))
-            else:
-                # None of the cheapest has room for the whole: fill the emptiest of them.
-                c, s = min(passed, key=lambda x: (used[x[1]], x[1]))
-                passed.remove((c, s))
-                take = min(left, room - used[s])
-                put(piece, start, take, s)
-                start, left = start + take, left - take
-                if used[s] < room:
-                    passed.append((cost[s], s))
-        for x in passed:
-            heapq.heappush(heap, x)
+            s, take = cheapest(left), left
+            if s == n:
+                # None has room for the whole.
+                s = emptiest()
+                take = room - used[s]
+            put(piece, start, take, s)
+            start, left = start + take, left - take
     return out
 
 

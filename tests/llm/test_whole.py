@@ -1,6 +1,8 @@
 """Cases that lie beyond bounds which operators once had."""
 
-from tessera.llm import quality_rules
+import random
+
+from tessera.llm import packing, quality_rules
 
 
 def test_template_of_many_lines(spark):
@@ -13,3 +15,23 @@ def test_template_of_many_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.n_line_words, r.kept) for r in quality_rules.op9(spark, df).collect()}
     assert all(got[i] == (120, False) for i in range(60)) and all(got[i] == (0, True) for i in range(100, 160))
+
+
+def test_place_asks_every_sequence():
+    """Each piece goes where a look at all sequences sends it, and is cut only where none has room."""
+    r, cuts = random.Random(1), 0
+    for n, middle in ((3000, 5), (400, 6.5), (1, 5)):
+        lengths = [min(2047, max(1, round(r.lognormvariate(middle, 1)))) for _ in range(n)]
+        k = -(-sum(lengths) // 2048)
+        used, cost = [0] * k, [0.0] * k
+        for i, start, m, s, off in packing.place(lengths):
+            left = lengths[i] - start
+            with_room = [(cost[x], x) for x in range(k) if used[x] + left <= 2048]
+            if with_room:
+                assert (m, s) == (left, min(with_room)[1])
+            else:
+                assert used[s] == min(used) and m == 2048 - used[s]
+                cuts += 1
+            assert off == used[s]
+            used[s], cost[s] = used[s] + m, cost[s] + m + packing.QUADRATIC * m * m
+    assert cuts

@@ -31,6 +31,8 @@ from tessera.llm.kernel import _CHAR, _R, _R_INV, CHUNK, mix, powers, raw
 LENGTH, PIECE = 50, 32
 #: Bytes of text to a block and to a bucket; symbols to a suffix array, unless the strings of one hash are more.
 BLOCK, BUCKET, BATCH = 4 << 20, 12 << 20, 1 << 15
+#: Windows to a run at most, so that its length and bounds fit 16 bits.
+WINDOWS = 1 << 15
 LAST = np.iinfo(np.int64).max
 
 
@@ -70,6 +72,10 @@ def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         first, last = marks[:-1], marks[1:]
         good = ok[first]
         first, last = first[good], last[good]
+        # A stretch of a short period is one run of any length: it is broken, and its parts share their least hash.
+        n = -(-(last - first) // WINDOWS)
+        first = np.repeat(first, n) + WINDOWS * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        last = np.minimum(first + WINDOWS, np.repeat(last, n))
         end = last + LENGTH - 1
         bytes_hash = mix((h[end] - h[first]) * inverse[first] + (end - first).astype(np.uint64))
         out.append((mix(m[first]), first + a, last + a, bytes_hash))

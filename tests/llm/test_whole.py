@@ -1,8 +1,9 @@
 """Cases that lie beyond bounds which operators once had."""
 
+import hashlib
 import random
 
-from tessera.llm import packing, quality_rules
+from tessera.llm import packing, quality_rules, suffix_dedup
 
 
 def test_template_of_many_lines(spark):
@@ -35,3 +36,16 @@ def test_place_asks_every_sequence():
             assert off == used[s]
             used[s], cost[s] = used[s] + m, cost[s] + m + packing.QUADRATIC * m * m
     assert cuts
+
+
+def test_long_runs(spark):
+    """Stretches of over 65,535 equal bytes that two documents share, as whole runs and with different ends."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    r = random.Random(4)
+    own = ["".join(r.choice("bcdefghij klmnop") for _ in range(300)) for _ in range(5)]
+    long, more = "a" * 100_000, "-=" * 40_000
+    rows = [(1, long), (2, own[0] + long), (3, own[1] + more + own[2]), (4, own[3] + more + own[4]), (5, own[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.op4(spark, df).collect()}
+    want = {1: (0, 0, sha(long)), 2: (100_000, 1, sha(own[0])), 3: (0, 0, sha(rows[2][1])), 4: (80_000, 1, sha(own[3] + own[4])), 5: (300, 1, sha(""))}
+    assert got == want

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from tessera.llm import packing, quality_rules, suffix_dedup
+from tessera.llm import chat, packing, quality_rules, suffix_dedup
 
 
 def test_template_of_many_lines(spark):
@@ -49,3 +49,20 @@ def test_long_runs(spark):
     got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.op4(spark, df).collect()}
     want = {1: (0, 0, sha(long)), 2: (100_000, 1, sha(own[0])), 3: (0, 0, sha(rows[2][1])), 4: (80_000, 1, sha(own[3] + own[4])), 5: (300, 1, sha(""))}
     assert got == want
+
+
+def test_long_transcripts(spark):
+    """Transcripts of many blocks and chunks, by number and by lines, are those of one pass over all their rows."""
+    r = random.Random(6)
+    says = ["hello?", "Sure, here is it", "- a\n- b", "what is this\nplease", "You are a helper", "fine", "Assistant: done", "x\ny\nz"]
+    rows = [(1, t, None, r.choice(says)) for t in range(1500)]
+    rows += [(2, t, None, "it goes on\nand on " + str(t)) for t in range(1100)]  # one turn throughout
+    rows += [(None, None, r.choice([None, "user", "bot"]), f"{i}\n" * 30) for i in range(600)]
+    rows += [(4, t, None, r.choice(says)) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = sorted(((x.conv_id, x.turn, x.role, x.n_lines, x.rendered) for x in chat.format_chats(df).collect()), key=repr)
+    want = []
+    for c in (1, 2, None, 4):
+        mine = sorted({x[1:] for x in rows if x[0] == c}, key=lambda x: [(v is not None, v or 0) if not isinstance(v, str) else (True, v) for v in x])
+        want += [(c, *x) for x in chat.turns(mine)]
+    assert got == sorted(want, key=repr)

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and what an assignment-aware reading of a text adds.
 
 The reading takes a text as source or configuration code: it lexes names, literals and assignment marks, turns them into
-(name, literal) pairs (NAME = "x", name: x, "name": "x", set name x, --name=x, <name>x</name>), carries constants from
+(name, literal) pairs (NAME = "x", name: x, "name": "x", name: type = "x", set name x, --name=x, <name>x</name>), carries constants from
 one name to the next (a = "x"; password = a), and scores each literal by the target names that it reaches: how
 sensitive the name is, and how much the literal looks like a value rather than a word, path or placeholder.
 
@@ -28,9 +28,15 @@ ASSIGN = re.compile("(" + "|".join(map(_any_case, ("password", "passwd", "secret
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 
+_WS, _BARE = r"[\x20\t]*+", r"[A-Za-z0-9+/_.=$@!%^&*-]++"
+_TYPE = r"&?(?:'[a-z]+\x20)?(?:[A-Za-z_][A-Za-z0-9_.]*(?:::|\x20))?(?P<type>[A-Za-z_][A-Za-z0-9_.]*)(?:[\[<][^\n=\"'`]{0,200}?[\]>])*(?:" + _WS + r"\|" + _WS + r"[A-Za-z_][A-Za-z0-9_.]*)*\??"
+#: An equals sign after a type stands apart or before a quote; x: a=b has the value a=b.
+_MARK = "(?::" + _WS + _TYPE + r"(?:[\x20\t]++=[\x20\t]++|" + _WS + "=" + _WS + "(?=[\"'`]))|(?::=|=>|[:=]))"
+_quoted = lambda quote, name: rf"(?P<{quote}>[\"'`])(?P<{name}>(?:(?!(?P={quote}))[^\\\n]|\\[^\n])++)(?P={quote})"
 _PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?\x20*(?::=|=>|[:=])\x20*(?:(?P<quote>["'`])(?P<quoted>(?:(?!(?P=quote))[^\\\n]|\\[^\n]){1,4096}?)(?P=quote)|(?P<bare>[A-Za-z0-9+/_.=$@!%^&*-]{1,4096}))"""
-    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{1,63})>(?P<inner>[^<>\n]{2,4096})</(?P=tag)>"""
+    r"""(?<![A-Za-z0-9_.\-])[Ss][Ee][Tt][\x20\t]++(?:-[A-Za-z]+[\x20\t]++)*(?P<set>[A-Za-z_][A-Za-z0-9_.\-]{0,63})[\x20\t]++(?:""" + _quoted("mark", "put") + r"""|(?![:=]|[A-Za-z_][A-Za-z0-9_.\-]*[:=][^=\s])(?P<plain>""" + _BARE + r"""))(?=[\s;,)]|\Z)(?![\x20\t]*[:=])"""
+    r"""|(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?""" + _WS + _MARK + _WS + "(?:" + _quoted("quote", "quoted") + "|(?P<bare>" + _BARE + "))"
+    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{1,63})>(?P<inner>[^<>\n]{2,}+)</(?P=tag)>"""
 )
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}\Z")
 #: Parts of target names and how far each speaks for a secret.
@@ -64,14 +70,16 @@ def literals(text: str) -> list[tuple[int, int]]:
     held: dict[str, tuple[int, int, str]] = {}
     found = set()
     for m in _PAIR.finditer(text):
-        name = m["name"] or m["tag"]
-        group = "quoted" if m["quoted"] is not None else "bare" if m["bare"] is not None else "inner"
+        name = m["name"] or m["tag"] or m["set"]
+        group = next(g for g in ("quoted", "bare", "inner", "put", "plain") if m[g] is not None)
         value, at = m[group], (m.start(group), m.end(group))
-        if group == "bare" and _NAME.match(value) and (known := held.get(value)):
+        if group in ("bare", "plain") and _NAME.match(value) and (known := held.get(value)):
             at, value = known[:2], known[2]
-        held[name] = (*at, value)
-        if (s := sensitivity(name)) and s * looks(value) >= THRESHOLD * 0.5 and looks(value) >= THRESHOLD:
-            found.add(at)
+        # In `settings: password = x` what stands for a type is a name.
+        for n in filter(None, (name, m["type"])):
+            held[n] = (*at, value)
+            if (s := sensitivity(n)) and s * looks(value) >= THRESHOLD * 0.5 and looks(value) >= THRESHOLD:
+                found.add(at)
     return sorted(found)
 
 
@@ -86,7 +94,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text or "</" in text:
+    if "=" in text or ":" in text or "</" in text or "set" in low:
         base = sorted((a, b) for _, a, b in spans)
         starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
         covered = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from tessera.llm import chat, packing, quality_rules, suffix_dedup
+from tessera.llm import chat, packing, quality_rules, secrets, suffix_dedup
 
 
 def test_template_of_many_lines(spark):
@@ -66,3 +66,16 @@ def test_long_transcripts(spark):
         mine = sorted({x[1:] for x in rows if x[0] == c}, key=lambda x: [(v is not None, v or 0) if not isinstance(v, str) else (True, v) for v in x])
         want += [(c, *x) for x in chat.turns(mine)]
     assert got == sorted(want, key=repr)
+
+
+def test_secrets_of_any_length_and_form():
+    r = random.Random(8)
+    value = "".join(r.choice("abcXYZ0189+/") for _ in range(5000))
+    short = "Zk93+xQp77/aa"
+    forms = [f'private_key = "{value}"', f"private_key={value}", f"<passphrase>{value}</passphrase>", f"set private_key {value}", f"auth\t=\t'{short}'", f"access_key\t:\t{short}", f'db_pwd: str = "{short}"', f"db_pwd: Optional[str] = '{short}'", f'db_pwd: &str = "{short}"', f"set db_pwd {short}", f"set -x db_pwd '{short}'", f'settings: passphrase = "{short}"', f"set the passphrase = {short}"]
+    for text in forms:
+        hidden = value if value in text else short
+        a = text.index(hidden)
+        assert ("literal", a, a + len(hidden)) in secrets.scan(text), text[:60]
+        assert hidden[-8:] not in secrets.redacted(text)
+    assert secrets.scan("set the table, set passphrase to something; db_pwd: str = None") == []

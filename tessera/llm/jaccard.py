@@ -144,15 +144,16 @@ def _prefixes(sketch):
 def _verify(batches):
     with np.errstate(over="ignore"):
         for batch in batches:
-            sets = {}
+            # By text, as the rows of a repeated doc_id can have different ones.
+            sets, at = {}, {}
             for side in "ab":
-                ids, at = np.unique(batch.column(side).to_numpy(), return_index=True)
-                sub = batch.take(pa.array(at))
-                for i, j, data, off in texts(sub, "t" + side):
-                    sets |= {(side, x): s for x, s in zip(ids[i:j].tolist(), shingle_sets(data, off))}
-            good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = sets["a", a], sets["b", b]
+                coded = batch.column("t" + side).dictionary_encode()
+                at[side] = coded.indices.to_pylist()
+                for i, j, data, off in texts(pa.record_batch([coded.dictionary], ["text"]), "text"):
+                    sets |= {(side, i + k): s for k, s in enumerate(shingle_sets(data, off))}
+            good, none = [], np.zeros(0, np.uint64)
+            for a, b in zip(at["a"], at["b"]):
+                x, y = sets.get(("a", a), none), sets.get(("b", b), none)
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(n > 0 and DEN * n >= NUM * (len(x) + len(y) - n))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))

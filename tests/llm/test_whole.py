@@ -3,7 +3,9 @@
 import hashlib
 import random
 
-from tessera.llm import chat, packing, quality_rules, secrets, suffix_dedup
+import pyarrow as pa
+
+from tessera.llm import chat, jaccard, packing, quality_rules, secrets, suffix_dedup
 
 
 def test_template_of_many_lines(spark):
@@ -79,3 +81,11 @@ def test_secrets_of_any_length_and_form():
         assert ("literal", a, a + len(hidden)) in secrets.scan(text), text[:60]
         assert hidden[-8:] not in secrets.redacted(text)
     assert secrets.scan("set the table, set passphrase to something; db_pwd: str = None") == []
+
+
+def test_verify_reads_each_rows_texts():
+    """Rows of a doc_id that repeats with different texts are compared by their own, in any order."""
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "vw")
+    for ta, tb in (([one, two, None], [two, two, two]), ([two, two], [one, two])):
+        batch = pa.record_batch([pa.array([1] * len(ta), pa.int64()), pa.array([2] * len(ta), pa.int64()), pa.array(ta), pa.array(tb)], ["a", "b", "ta", "tb"])
+        assert [len(x) for x in jaccard._verify([batch])] == [1]

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 #: Comments, string and character literals, then runs of anything else. Possessive, so no input can exhaust the regex stack.
 TOKEN = r"""(?s)//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^/"']++|."""
 
+#: Which of those tokens are comments and literals: a quote that closes nothing is a token by itself.
+LITERAL = r"""(?s)\A(?://|/\*|["'].)"""
+
 
 def mask(text: Column) -> Column:
     """Comments and literals blanked; length and newlines stay."""
-    blank = lambda t: F.when(t.rlike(r"(?s)\A(?://|/\*.*\*/\z|\".*\"\z|'.*'\z)"), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
+    blank = lambda t: F.when(t.rlike(LITERAL), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), blank), "")
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.regexops import lines, strip
 
+# What marks a fenced block, a sanitizer's finding, a crash and a size, the reasons given for a crash, and the end of
+# a text that was cut.
 FENCE = r"(?is)```(?:cpp|c\+\+|cxx|cc|c)?\s*\n?(.*?)```"
 SANITIZER = r"(?i)(?:AddressSanitizer|UndefinedBehaviorSanitizer|LeakSanitizer|ERROR:\s*(?:address|leak|undefined))"
 CRASH = r"(?i)segmentation fault|access violation|illegal instruction|floating point exception|aborted|stack overflow"
+RESIDENT, ALLOCATED = r"Maximum resident set size \(kbytes\):\s*(\d+)", r"(\d+)\s+byte\(s\)\s+allocated"
+CRASHED, SIGNALLED, EXITED = "Process crashed (detected from stderr).", "Process terminated by signal %d (platform-dependent).", "Process exited with non-zero status %d."
 SUFFIX = "\n...<truncated>"
 
 
@@ -60,19 +66,28 @@ def sanitizer_lines(stderr: Column) -> Column:
 def crash_reason(exit_code: Column, stderr: Column, timed_out: Column) -> Column:
     return (
         F.when(timed_out, "timeout")
-        .when(F.coalesce(stderr, F.lit("")).rlike(CRASH), "Process crashed (detected from stderr).")
+        .when(F.coalesce(stderr, F.lit("")).rlike(CRASH), CRASHED)
         .when(exit_code.isNull(), "execution_error")
-        .when(exit_code < 0, F.concat(F.lit("Process terminated by signal "), (-exit_code).cast("string"), F.lit(" (platform-dependent).")))
-        .when(exit_code != 0, F.concat(F.lit("Process exited with non-zero status "), exit_code.cast("string"), F.lit(".")))
+        .when(exit_code < 0, F.format_string(SIGNALLED, -exit_code))
+        .when(exit_code != 0, F.format_string(EXITED, exit_code))
         .otherwise("")
     )
 
 
+def crash_reason_of(exit_code: int | None, stderr: str, timed_out: bool) -> str:
+    """The same for one run on an executor."""
+    if timed_out or exit_code is None:
+        return "timeout" if timed_out else CRASHED if re.search(CRASH, stderr) else "execution_error"
+    if re.search(CRASH, stderr):
+        return CRASHED
+    return SIGNALLED % -exit_code if exit_code < 0 else EXITED % exit_code if exit_code else ""
+
+
 def peak_memory_kb(stderr: Column) -> Column:
     def number(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(stderr, pattern, 1), F.lit("")).cast("long")
 
-    return F.coalesce(number(r"Maximum resident set size \(kbytes\):\s*(\d+)"), _allocated_kb(number(r"(\d+)\s+byte\(s\)\s+allocated")))
+    return F.coalesce(number(RESIDENT), _allocated_kb(number(ALLOCATED)))
 
 
 def _allocated_kb(size: Column) -> Column:

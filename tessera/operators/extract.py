@@ -42,6 +42,9 @@ _TOKEN = re.compile(
     re.S | re.M,
 )
 _INCLUDE = re.compile(r"\s*#\s*include\b")
+_CONDITION = re.compile(r"\s*#\s*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b")
+#: Words whose brackets tell nothing about what is declared.
+_ATTRIBUTES = {"__attribute__", "__declspec", "alignas", "explicit", "requires"}
 _IMPORT = re.compile(r"""^\s*(?:export\s+)?import\s+(?:(<[^>]+>)|("(?:[^"\\]|\\.)*")|([\w.]+))\s*;""", re.M)
 _MODULE = re.compile(r"^\s*(?:export\s+)?module\s+([\w.]+)\s*;", re.M)
 _QUALIFIERS = {"const", "volatile", "mutable", "constexpr", "register", "static", "inline"}
@@ -68,18 +71,60 @@ def tokens(text: str, limit: int | None = None) -> list[Token]:
     return out
 
 
-def _close(t: list[Token], i: int, opening: str, closing: str) -> int:
-    """The place of the token that closes the one at i, or the end."""
-    depth = 0
-    for k in range(i, len(t)):
-        if t[k].kind == "op":
-            if t[k].text == opening:
-                depth += 1
-            elif t[k].text == closing:
-                depth -= 1
-                if not depth:
-                    return k
-    return len(t)
+def _pairs(t: list[Token]) -> dict[int, int]:
+    """The place of the token that closes each opening bracket that is closed, and the other way round. Each kind of
+    bracket is matched by itself."""
+    opened: dict[str, list[int]] = {")": [], "]": [], "}": []}
+    closer = {"(": ")", "[": "]", "{": "}"}
+    pair = {}
+    for i, x in enumerate(t):
+        if x.kind == "op":
+            if x.text in closer:
+                opened[closer[x.text]].append(i)
+            elif x.text in opened and opened[x.text]:
+                j = opened[x.text].pop()
+                pair[i], pair[j] = j, i
+    return pair
+
+
+def one_branch(t: list[Token]) -> list[Token]:
+    """The tokens without directives. Of a conditional all branches stay if each closes the braces that it opens; else
+    only the first does, as the others open or close the same braces again."""
+    gone = bytearray(len(t))
+    # Of each open conditional: the end of its first branch, the depth before it, whether all branches are balanced, the
+    # depth behind the first, and the least depth about and within it.
+    frames: list[list] = []
+    depth = low = 0
+
+    def branch(frame: list) -> None:
+        frame[2] = frame[2] and depth == frame[1] == low
+        frame[4] = min(frame[4], low)
+        if frame[3] is None:
+            frame[3] = depth
+
+    for i, x in enumerate(t):
+        if x.kind == "pp":
+            gone[i] = 1
+            word = m[1] if (m := _CONDITION.match(x.text)) else ""
+            if word.startswith("if"):
+                frames.append([None, depth, True, None, low])
+                low = depth
+            elif word and frames:
+                frame = frames[-1]
+                branch(frame)
+                if frame[0] is None:
+                    frame[0] = i
+                if word == "endif":
+                    frames.pop()
+                    if not frame[2]:
+                        gone[frame[0] : i] = b"\1" * (i - frame[0])
+                    depth, low = frame[3], frame[4]
+                else:
+                    depth = low = frame[1]
+        elif x.kind == "op" and x.text in "{}":
+            depth += 1 if x.text == "{" else -1
+            low = min(low, depth)
+    return [x for x, g in zip(t, gone) if not g]
 
 
 def _split(t: list[Token]) -> list[list[Token]]:
@@ -153,13 +198,7 @@ def calls(t: list[Token], text: str) -> list[dict]:
             seen.add((kind, display))
             out.append({"name": name, "display": display, "kind": kind})
 
-    opened: list[int] = []
-    pair: dict[int, int] = {}
-    for i, x in enumerate(t):
-        if x.text in ("(", "[", "{") and x.kind == "op":
-            opened.append(i)
-        elif x.text in (")", "]", "}") and x.kind == "op" and opened:
-            pair[i] = opened.pop()
+    pair = _pairs(t)
     for i, x in enumerate(t):
         if x.text != "(" or x.kind != "op" or not i:
             continue
@@ -214,18 +253,19 @@ def calls(t: list[Token], text: str) -> list[dict]:
     return out
 
 
-def casts(t: list[Token], text: str) -> list[tuple[int, str]]:
+def casts(t: list[Token], text: str, pair: dict[int, int]) -> list[tuple[int, str]]:
     """C-style casts: a type in brackets before an operand. (start, text)"""
     out = []
     for i, x in enumerate(t):
         if x.text != "(" or (i and (t[i - 1].kind == "name" and t[i - 1].text not in ("return", "case", "else") or t[i - 1].text in (")", "]", ">"))):
             continue
-        j = _close(t, i, "(", ")")
-        inner = t[i + 1 : j]
-        if not inner or j + 1 >= len(t) or not all(y.kind == "name" or y.text in ("*", "&", "::", "<", ">") for y in inner):
+        j = i + 1
+        while j < len(t) and (t[j].kind == "name" or t[j].text in ("*", "&", "::", "<", ">")):
+            j += 1
+        if j == i + 1 or j + 1 >= len(t) or pair.get(i) != j:
             continue
-        names = [y.text for y in inner if y.kind == "name"]
-        if not (inner[-1].text == "*" or names and all(n in _BUILTIN | _QUALIFIERS | {"struct"} for n in names)):
+        names = [y.text for y in t[i + 1 : j] if y.kind == "name"]
+        if not (t[j - 1].text == "*" or names and all(n in _BUILTIN | _QUALIFIERS | {"struct"} for n in names)):
             continue
         y = t[j + 1]
         if y.kind in ("name", "number", "string") or y.text in ("(", "*", "&"):
@@ -233,10 +273,7 @@ def casts(t: list[Token], text: str) -> list[tuple[int, str]]:
             while k + 1 < len(t) and t[k].text in ("*", "&"):
                 k += 1
             while k + 1 < len(t) and t[k + 1].text in ("(", "[", ".", "->", "::"):
-                if t[k + 1].text in ("(", "["):
-                    k = min(len(t) - 1, _close(t, k + 1, t[k + 1].text, ")" if t[k + 1].text == "(" else "]"))
-                else:
-                    k = min(len(t) - 1, k + 2)
+                k = pair.get(k + 1, len(t) - 1) if t[k + 1].text in ("(", "[") else min(len(t) - 1, k + 2)
             out.append((x.start, text[x.start : t[k].end]))
     return out
 
@@ -252,14 +289,25 @@ class Reading:
         every = tokens(text, limit)
         heads = [re.sub(r"\s+$", "", x.text).strip() for x in every if x.kind == "pp" and _INCLUDE.match(x.text)]
         self.headers = list(dict.fromkeys(heads))
-        self.t = [x for x in every if x.kind != "pp"]
+        self.t = one_branch(every)
+        self.pair = _pairs(self.t)
         self.imports = sorted(
             [("import", (m[1] or m[2] or m[3]).strip(), self.line(m.start()), m[0].strip()) for m in _IMPORT.finditer(text)]
             + [("module_decl", m[1].strip(), self.line(m.start()), m[0].strip()) for m in _MODULE.finditer(text)],
             key=lambda x: x[2],
         )
-        self.casts = [(self.line(a), m) for a, m in casts(self.t, text)]
-        self.read(0, len(self.t), [])
+        self.casts = [(self.line(a), m) for a, m in casts(self.t, text, self.pair)]
+        # Scopes wait here, the innermost first, so that no depth of nesting is a depth of calls.
+        self.waiting: list[tuple[int, int, list[str]]] = [(0, len(self.t), [])]
+        self.warnings: list[tuple[int, str]] = []
+        while self.waiting:
+            self.read(*self.waiting.pop())
+        for found in (self.functions, self.types, self.globals):
+            found.sort(key=lambda x: x[0])
+        self.functions, self.types, self.globals = ([x for _, x in found] for found in (self.functions, self.types, self.globals))
+        for k, g in enumerate(self.globals):
+            g["pos"] = k
+        self.warning = min(self.warnings)[1] if self.warnings else None
 
     def line(self, at: int) -> int:
         return bisect_right(self.line_at, at)
@@ -269,23 +317,23 @@ class Reading:
 
     def read(self, i: int, end: int, scope: list[str]) -> None:
         start = i
-        t = self.t
+        t, pair = self.t, self.pair
         while i < end:
             x = t[i].text if t[i].kind == "op" else ""
             if x in ("(", "["):
-                i = _close(t, i, x, ")" if x == "(" else "]") + 1
+                i = pair.get(i, len(t)) + 1
             elif x == ";":
                 self.statement(start, i, scope)
                 i = start = i + 1
             elif x == ":" and i == start + 1 and t[start].text in ("public", "private", "protected"):
                 i = start = i + 1
             elif x == "}":
-                self.warning = self.warning or f"a brace closes nothing on line {self.line(t[i].start)}"
+                self.warnings.append((t[i].start, f"a brace closes nothing on line {self.line(t[i].start)}"))
                 i = start = i + 1
             elif x == "{":
-                close = _close(t, i, "{", "}")
-                if close >= end and close == len(t):
-                    self.warning = self.warning or f"the brace of line {self.line(t[i].start)} is not closed"
+                close = pair.get(i, len(t))
+                if close == len(t):
+                    self.warnings.append((t[i].start, f"the brace of line {self.line(t[i].start)} is not closed"))
                     return
                 more = self.block(start, i, close, scope)
                 i = close + 1
@@ -294,39 +342,68 @@ class Reading:
             else:
                 i += 1
 
+    def plain(self, start: int, i: int) -> list[int]:
+        """The places of the tokens from start to i without attributes, and what stands in their brackets."""
+        out, t = [], self.t
+        while start < i:
+            x = t[start]
+            if x.kind == "name" and x.text in _ATTRIBUTES and start + 1 < i and t[start + 1].text == "(":
+                start = self.pair.get(start + 1, i) + 1
+            elif x.text == "[" and start + 1 < i and t[start + 1].text == "[" and self.pair.get(start, i) < i:
+                start = self.pair[start] + 1
+            else:
+                out.append(start)
+                start += 1
+        return out
+
     def block(self, start: int, i: int, close: int, scope: list[str]) -> bool:
         """What a brace at i, after the tokens from start, is. Whether the statement goes on behind it."""
         t = self.t
-        head = t[start:i]
-        k = 0
-        if head and head[0].text == "template":
+        at = self.plain(start, i)
+        template = bool(at) and t[at[0]].text == "template"
+        while at and t[at[0]].text == "template":
             depth = 0
-            for k in range(1, len(head)):
-                depth += (head[k].text == "<") - (head[k].text == ">")
+            for k in range(1, len(at)):
+                depth += (t[at[k]].text == "<") - (t[at[k]].text == ">")
                 if not depth:
                     break
-            k += 1
-        words = [x.text for x in head[k:]]
+            at = at[k + 1 :] if len(at) > 1 else []
+        words = [t[j].text for j in at]
         if not words:
             return False
         if "namespace" in words[:2]:
             names = [w for w in words[words.index("namespace") + 1 :] if re.match(r"\w", w)]
-            self.read(i + 1, close, scope + names)
+            self.waiting.append((i + 1, close, scope + names))
             return False
         if words[0] == "extern" and len(words) == 2:
-            self.read(i + 1, close, scope)
+            self.waiting.append((i + 1, close, scope))
             return False
         flat = words[: words.index("(")] if "(" in words else words
         kind = next((w for w in flat if w in ("class", "struct", "enum", "union")), None)
-        if kind and "(" not in words and "=" not in words:
+        if kind and ("(" not in words or ":" in flat) and "=" not in words:
             self.type(start, i, close, scope, words, kind)
             return True
-        if "=" in flat:
+        if "operator" not in flat and "=" in flat:
             return True
         if "(" in words:
-            self.function(start, start + k, i, close, scope, k > 0)
+            if self.initialises(at):
+                return True
+            self.function(start, at, i, close, scope, template)
         return False
 
+    def initialises(self, at: list[int]) -> bool:
+        """Whether a brace after these tokens gives a member its first value: A(int a) : x{a} {}"""
+        k, t = len(at) - 1, self.t
+        depth = 0
+        while k >= 0 and (depth or t[at[k]].text == ">"):
+            depth += (t[at[k]].text == ">") - (t[at[k]].text == "<")
+            k -= 1
+        if k < 0 or t[at[k]].kind != "name":
+            return False
+        while k >= 2 and t[at[k - 1]].text == "::":
+            k -= 2
+        return k >= 1 and t[at[k - 1]].text in (":", ",")
+
     def type(self, start: int, i: int, close: int, scope: list[str], words: list[str], kind: str) -> None:
         t = self.t
         at = words.index(kind) + 1 + (kind == "enum" and len(words) > words.index(kind) + 1 and words[words.index(kind) + 1] in ("class", "struct"))
@@ -343,15 +420,15 @@ class Reading:
         typedef = words[0] == "typedef"
         after = [x.text for x in t[close + 1 : end] if x.kind == "name"]
         if names and kind != "union":
-            self.add_type(names[0], kind, start, close, scope, bases)
+            self.add_type(i, names[0], kind, start, close, scope, bases)
         if typedef and after:
-            self.add_type(after[0], "typedef", start, min(end, len(t) - 1), scope, [])
+            self.add_type(i, after[0], "typedef", start, min(end, len(t) - 1), scope, [])
         if kind in ("class", "struct") and names:
-            self.read(i + 1, close, scope + names[:1])
+            self.waiting.append((i + 1, close, scope + names[:1]))
 
-    def add_type(self, name: str, kind: str, start: int, last: int, scope: list[str], bases: list[str]) -> None:
+    def add_type(self, order: int, name: str, kind: str, start: int, last: int, scope: list[str], bases: list[str]) -> None:
         a, b = self.t[start].start, self.t[last].end
-        self.types.append({"pos": a, "fqn": "::".join([*scope, name]), "name": name, "kind": kind, "source_code": self.text[a:b], "start_line": self.line(a), "end_line": self.line(b - 1), "bases": bases})
+        self.types.append((order, {"pos": a, "fqn": "::".join([*scope, name]), "name": name, "kind": kind, "source_code": self.text[a:b], "start_line": self.line(a), "end_line": self.line(b - 1), "bases": bases}))
 
     def statement(self, start: int, i: int, scope: list[str]) -> None:
         t = self.t[start:i]
@@ -361,14 +438,14 @@ class Reading:
         if words[0] == "typedef":
             names = [x.text for x in t if x.kind == "name"]
             if len(names) > 1:
-                self.add_type(names[-1], "typedef", start, i, scope, [])
+                self.add_type(i, names[-1], "typedef", start, i, scope, [])
         elif words[0] == "using" and "=" in words:
-            self.add_type(words[1], "type_alias", start, i, scope, [])
+            self.add_type(i, words[1], "type_alias", start, i, scope, [])
         elif not scope and words[0] not in ("using", "import", "export", "module", "class", "struct", "enum", "union", "extern", "friend", "template", "return", "namespace", "static_assert") and "(" not in words and len([x for x in t if x.kind == "name"]) > 1:
             text = self.text[t[0].start : self.t[i].end].strip()
             line = self.line(t[0].start)
             for name in re.findall(r"\b([A-Za-z_][A-Za-z0-9_]*)\b(?=\s*(?:=|;|,))", text):
-                self.globals.append({"pos": len(self.globals), "name": name, "line": line, "declaration": text})
+                self.globals.append((i, {"pos": 0, "name": name, "line": line, "declaration": text}))
 
     def owned_from(self, at: int) -> int:
         """Where a function begins together with the comment above it."""
@@ -383,30 +460,50 @@ class Reading:
             first = r
         return self.line_at[first] if seen else at
 
-    def function(self, owner: int, start: int, i: int, close: int, scope: list[str], template: bool) -> None:
+    def declarator(self, at: list[int]) -> tuple[int, int]:
+        """Among these tokens: which names the function, and which opens its parameters. A function that returns a
+        pointer to a function has its own name within brackets: int (*pick(int a))(int)"""
+        text = [self.t[j].text for j in at]
+        k = text.index("(")
+        n = k + 1
+        while n < len(at) and text[n] in ("*", "&", "&&", "const"):
+            n += 1
+        if n > k + 1 and n + 1 < len(at) and self.t[at[n]].kind == "name" and text[n + 1] == "(":
+            return n, n + 1
+        return k - 1, k
+
+    @staticmethod
+    def named_from(text: list[str], k: int) -> int:
+        """Where the name that ends at k, perhaps with template arguments, begins."""
+        depth = 0
+        while k >= 0 and (depth or text[k] == ">"):
+            depth += (text[k] == ">") - (text[k] == "<")
+            k -= 1
+        return k
+
+    def function(self, owner: int, at: list[int], i: int, close: int, scope: list[str], template: bool) -> None:
         t = self.t
-        k = start
-        while k < i and t[k].text != "(":
-            k += 1
-        at = k - 1
-        if at >= start and t[at].text == "operator":  # operator()
-            k = _close(t, k, "(", ")") + 1
-            name, at = "operator()", at
-        elif any(x.text == "operator" for x in t[start:k]):
-            at = next(j for j in range(start, k) if t[j].text == "operator")
-            name = "".join(x.text for x in t[at:k])
-        elif at >= start and t[at].kind == "name" and t[at].text not in KEYWORDS:
-            name = t[at].text
+        text = [t[j].text for j in at]
+        own, k = self.declarator(at)
+        if own >= 0 and text[own] == "operator":  # operator()
+            name, k = "operator()", k + 2
+            if k >= len(at) or text[k] != "(":
+                return
+        elif "operator" in text[:k]:
+            own = text.index("operator")
+            name = "".join(text[own:k])
+        elif (first := self.named_from(text, own)) >= 0 and t[at[first]].kind == "name" and text[first] not in KEYWORDS:
+            name, own = "".join(text[first : own + 1]), first
         else:
             return
         parts = [name]
-        while at - 2 >= start and t[at - 1].text == "::" and t[at - 2].kind == "name":
-            at -= 2
-            parts.insert(0, t[at].text)
+        while own >= 2 and text[own - 1] == "::" and (first := self.named_from(text, own - 2)) >= 0 and t[at[first]].kind == "name":
+            parts.insert(0, "".join(text[first : own - 1]))
+            own = first
         overlap = next((n for n in range(min(len(scope), len(parts)), 0, -1) if scope[-n:] == parts[:n]), 0) if len(parts) > 1 else 0
         fqn = "::".join([*scope, *parts[overlap:]])
-        shut = _close(t, k, "(", ")")
-        params = [p for p in map(parameter, _split(t[k + 1 : shut])) if p]
+        shut = self.pair.get(at[k], i)
+        params = [p for p in map(parameter, _split(t[at[k] + 1 : shut])) if p]
         begin = self.owned_from(t[owner].start)
         signature, body = self.text[begin : t[i].start].strip(), self.text[t[i].start : t[close].end]
         inner = t[i : close + 1]
@@ -416,22 +513,23 @@ class Reading:
         complexity = words.count("for") + words.count("while") + words.count("if") + words.count("switch") + words.count("?") + len(called)
         lowered, low = body.lower(), signature.lower()
         digest = hashlib.md5(",".join(p["type"] for p in params).encode()).hexdigest()[:8]
-        own = set(re.findall(r"\w+", signature))
+        said = set(re.findall(r"\w+", signature))
         first, last = self.line(begin), self.line(t[close].start)
-        self.functions.append(
+        self.functions.append((
+            i,
             {
                 "pos": begin, "fqn": fqn, "unique_fqn": f"{fqn}#{digest}", "name": name, "signature": signature, "signature_hash": digest, "body": body, "function_hash": hashlib.sha256(body.encode()).hexdigest(),
                 "parameters": params, "call_details": called, "start_byte": self.byte(begin), "end_byte": self.byte(t[close].end), "start_line": first, "end_line": last, "loc": max(1, last - first + 1), "complexity": complexity,
-                "is_template": template or "template<" in low, "modifiers": [m for m in MODIFIERS if m in own],
+                "is_template": template or "template<" in low, "modifiers": [m for m in MODIFIERS if m in said],
                 "legacy_patterns": {"has_raw_pointer": "*" in signature and "const" not in low, "has_printf": "printf" in lowered, "has_malloc": "malloc" in lowered, "has_free": "free" in lowered, "has_null_macro": bool(re.search(r"\bNULL\b", body))},
-            }
-        )
+            },
+        ))
 
 
 def read_text(text: str | None, limit: int | None = None) -> dict:
     try:
         r = Reading(text or "", limit)
-    except (IndexError, RecursionError, ValueError) as e:
+    except (IndexError, ValueError) as e:
         return {"functions": [], "types": [], "headers": [], "imports": [], "globals": [], "casts": [], "parse_warning": f"{type(e).__name__}: {e}"}
     record = lambda names, rows: [dict(zip(names, x)) for x in rows]
     return {"functions": r.functions, "types": r.types, "headers": record(("pos", "header"), enumerate(r.headers)), "imports": record(("kind", "target", "line", "raw"), r.imports), "globals": r.globals, "casts": record(("line", "match"), r.casts), "parse_warning": r.warning}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.scratch import Scratch
+
 
 def normalized(name, display):
     """What a call is looked up by: the display if it is qualified, else the name."""
@@ -86,20 +88,37 @@ def function_context(functions: DataFrame, calls: DataFrame, types: DataFrame) -
     return f.select("file_id", F.col("unique_fqn").alias("id"), "body").join(sig, ["file_id", "id"], "left").join(src, ["file_id", "id"], "left")
 
 
+def lookup_functions(functions: DataFrame, asked: DataFrame) -> DataFrame:
+    """file_id, name, n, unique_fqn of each asked (file_id, name): an exact id, else a qualified name. n tells how many
+    have it, and unique_fqn is null unless that is one."""
+    f = last_records(functions).select("file_id", "unique_fqn", "fqn")
+    keys = f.select("file_id", "unique_fqn", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.col(c).alias("name")) for t, c in enumerate(("unique_fqn", "fqn"))])).alias("k")).select("file_id", "unique_fqn", "k.*")
+    per = keys.join(asked.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi").groupBy("file_id", "name", "tier").agg(F.count("*").alias("n"), F.min("unique_fqn").alias("unique_fqn"))
+    first = per.groupBy("file_id", "name").agg(F.min_by(F.struct("n", "unique_fqn"), "tier").alias("x"))
+    out = asked.select("file_id", "name").join(first, ["file_id", "name"], "left")
+    n = F.coalesce("x.n", F.lit(0))
+    return out.select("file_id", "name", n.alias("n"), F.when(n == 1, F.col("x.unique_fqn")).alias("unique_fqn"))
+
+
 def lookup_function(functions: DataFrame, file_id: int, name: str) -> DataFrame:
     """The record of an exact id, else of a qualified name; a qualified name that several share is an error."""
-    f = last_records(functions.where(F.col("file_id") == file_id))
-    exact = f.where(F.col("unique_fqn") == name).withColumn("tier", F.lit(0))
-    both = exact.unionByName(f.where(F.col("fqn") == name).withColumn("tier", F.lit(1)))
-    best = F.min("tier").over(Window.partitionBy())
-    n = F.count("*").over(Window.partitionBy("tier"))
-    return both.withColumn("best", best).withColumn("n", n).where("tier = best").withColumn("fqn", F.when((F.col("tier") == 1) & (F.col("n") > 1), F.raise_error(F.lit(f"{name} is ambiguous"))).otherwise(F.col("fqn"))).drop("tier", "best", "n")
-
-
-def call_closure(edge_list: DataFrame, rounds: int = 32) -> DataFrame:
-    """Extension: file_id, src, dst of all transitive calls, by a recursive query."""
-    spark = edge_list.sparkSession
-    edge_list.createOrReplaceTempView("tessera_edges")
-    return spark.sql(f"""WITH RECURSIVE r(file_id, src, dst, n) AS (SELECT file_id, src, dst, 1 FROM tessera_edges UNION ALL
-        SELECT r.file_id, r.src, e.dst, r.n + 1 FROM r JOIN tessera_edges e ON e.file_id = r.file_id AND e.src = r.dst WHERE r.n < {rounds})
-        SELECT DISTINCT file_id, src, dst FROM r""")
+    own = functions.where(F.col("file_id") == file_id)
+    found = lookup_functions(own, own.sparkSession.createDataFrame([(file_id, name)], "file_id long, name string"))
+    sure = F.when(F.col("n") > 1, F.raise_error(F.lit(f"{name} is ambiguous"))).otherwise(F.col("unique_fqn"))
+    return last_records(own).join(found.select("file_id", sure.alias("unique_fqn")), ["file_id", "unique_fqn"], "left_semi")
+
+
+def call_closure(edge_list: DataFrame) -> DataFrame:
+    """Extension: file_id, src, dst of all transitive calls. Paths double in each round, so a chain of n calls takes
+    log2(n) rounds; a round works on the pairs that the one before added, and ends when there are none."""
+    scratch = Scratch(edge_list.sparkSession, "closure")
+    new = known = scratch.write(edge_list.select("file_id", "src", "dst").distinct(), "0")
+    k = 0
+    while not new.isEmpty():
+        k += 1
+        ahead, behind = new.withColumnsRenamed({"src": "mid"}), new.withColumnsRenamed({"dst": "mid"})
+        longer = behind.join(known.withColumnsRenamed({"src": "mid"}), ["file_id", "mid"]).union(ahead.join(known.withColumnsRenamed({"dst": "mid"}), ["file_id", "mid"]).select("file_id", "mid", "src", "dst"))
+        step = longer.select("file_id", "src", "dst").distinct().join(known, ["file_id", "src", "dst"], "left_anti")
+        new = scratch.write(step, str(k))
+        known = known.unionByName(new)
+    return known

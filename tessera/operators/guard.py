@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The messages of issues.
+REMOVED = "CRITICAL: Function '%s' missing from modernized code."
+SIGNATURE = "WARNING: Parameter count changed in '%s' (%d -> %d)"
+LOGIC = "CAUTION: Potential logic deletion in '%s' (complexity dropped %d -> %d)"
+MALLOC, FREE = "malloc pattern leaked into output", "free pattern leaked into output"
+
 
 def _first(functions: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id", "name").orderBy("pos", "unique_fqn")
@@ -15,21 +21,21 @@ def _first(functions: DataFrame) -> DataFrame:
 def removed_functions(before: DataFrame, after: DataFrame) -> DataFrame:
     """An issue per record of a name that no function has any more."""
     gone = before.join(after.select("file_id", "name").distinct(), ["file_id", "name"], "left_anti")
-    return gone.select("file_id", F.lit("regression").alias("category"), F.format_string("CRITICAL: Function '%s' missing from modernized code.", "name").alias("message"), F.lit("high").alias("severity"))
+    return gone.select("file_id", F.lit("regression").alias("category"), F.format_string(REMOVED, "name").alias("message"), F.lit("high").alias("severity"))
 
 
 def signature_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     x = after.join(_first(before), ["file_id", "name"]).withColumn("n", F.size("parameters")).where("n <> params_before")
-    return x.select("file_id", F.lit("signature").alias("category"), F.format_string("WARNING: Parameter count changed in '%s' (%d -> %d)", "name", "params_before", "n").alias("message"), F.lit("medium").alias("severity"))
+    return x.select("file_id", F.lit("signature").alias("category"), F.format_string(SIGNATURE, "name", "params_before", "n").alias("message"), F.lit("medium").alias("severity"))
 
 
 def logic_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     x = after.join(_first(before), ["file_id", "name"]).where("complexity_before > 5 and complexity < complexity_before / 2")
-    return x.select("file_id", F.lit("logic_drift").alias("category"), F.format_string("CAUTION: Potential logic deletion in '%s' (complexity dropped %d -> %d)", "name", "complexity_before", "complexity").alias("message"), F.lit("medium").alias("severity"))
+    return x.select("file_id", F.lit("logic_drift").alias("category"), F.format_string(LOGIC, "name", "complexity_before", "complexity").alias("message"), F.lit("medium").alias("severity"))
 
 
 def leaks(files: DataFrame) -> DataFrame:
-    found = F.array(F.when(F.contains("text", F.lit("malloc")), "malloc pattern leaked into output"), F.when(F.contains("text", F.lit("free(")), "free pattern leaked into output"))
+    found = F.array(F.when(F.contains("text", F.lit("malloc")), MALLOC), F.when(F.contains("text", F.lit("free(")), FREE))
     return files.select("file_id", F.lit("leak").alias("category"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("message"), F.lit("medium").alias("severity"))
 
 

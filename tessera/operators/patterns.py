@@ -24,9 +24,9 @@ class Pattern:
 
 # Fixed values.
 LEGACY = (
-    Pattern("char_pointer_array", "critical", r"\bchar\s*\*\s*[A-Za-z_][A-Za-z0-9_]*\s*(?:\[[^\]]*\])", "char* array usage detected; prefer std::string/std::array/std::span."),
+    Pattern("char_pointer_array", "critical", r"\bchar\s*\*\s*[A-Za-z_][A-Za-z0-9_]*\s*(\[[^\]]*\])", "char* array usage detected; prefer std::string/std::array/std::span."),
     Pattern("null_macro", "major", r"\bNULL\b", "NULL macro detected; replace with nullptr."),
-    Pattern("manual_delete", "critical", r"\bdelete\s*(?:\[\])?\s*[A-Za-z_][A-Za-z0-9_]*\s*;", "Manual delete detected; prefer std::unique_ptr or stack allocation."),
+    Pattern("manual_delete", "critical", r"\bdelete\s*(\[\])?\s*[A-Za-z_][A-Za-z0-9_]*\s*;", "Manual delete detected; prefer std::unique_ptr or stack allocation."),
 )
 CAST = Pattern("c_style_cast", "major", "", "Potential C-style cast detected; prefer static_cast/reinterpret_cast.")
 IGNORED_DIRS = (".git", "build", "out", "bin", "obj", "__pycache__", ".venv", "node_modules")

@@ -25,8 +25,8 @@ class Bridge:
         self.known: OrderedDict[str, str] = OrderedDict()
         self.stats: Counter[str] = Counter()
 
-    def ask(self, role: str, system: str, text: str) -> str | None:
-        """The model's answer; without one the rewritten text for roles that write code, else None."""
+    def ask(self, role: str, system: str, text: str, code: str | None = None) -> str | None:
+        """The model's answer; without one the rewritten code (the text unless told) for roles that write code, else None."""
         key = hashlib.sha256("\0".join((role, system, text)).encode()).hexdigest()
         if key in self.known:
             self.known.move_to_end(key)
@@ -43,14 +43,20 @@ class Bridge:
                 if k + 1 < self.tries:
                     time.sleep(self.wait * 2**k * (1 + random.random() / 4))
         if not answer:
-            return modernize_text(text)[0] if role in CODE_ROLES else None
+            return modernize_text(text if code is None else code)[0] if role in CODE_ROLES else None
         self.known[key] = answer
         while len(self.known) > self.capacity:
             self.known.popitem(last=False)
         return answer
 
-    def __call__(self, text: str) -> str:
-        return self.ask("modernizer", "", text) or text
+    def __call__(self, text: str, plan: str = "") -> str:
+        """Called as a rewriter; a plan goes before the text."""
+        return self.ask("modernizer", "", f"{plan}\n\n{text}" if plan else text, text) or text
+
+    def fix(self, text: str, errors: str, about: str) -> str:
+        """Called as a fixer: the errors and the lines about them go before the text."""
+        asked = "\n\n".join(x for x in ("Compiler errors:\n" + errors, "Lines:\n" + about if about else "", "```cpp\n" + text + "\n```") if x)
+        return self.ask("fixer", "Repair the compiler errors and change nothing else: same names, types and parameters. Answer with the whole code.", asked, text) or text
 
     def healthy(self) -> tuple[bool, str]:
         return bool(self.models), f"{len(self.models)} of {len(ROLES)} roles have a model"

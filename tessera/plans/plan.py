@@ -16,17 +16,32 @@ TRANSFORMATIONS = {
 FLAGS = ("memory_modernization", "container_upgrade", "string_modernization", "chrono_upgrade", "macro_cleanup", "type_safety")
 
 
+#: What a text mentions, and what is said of it.
+TRIGGERS = {"C-style FILE* API usage": ("FILE*",), "Preprocessor macro usage": ("#define",), "typedef detected": ("typedef",), "legacy C-style time API usage": ("time_t", "localtime")}
+
+
+def triggers(text: Column) -> dict[str, Column]:
+    """Of each finding of a whole text whether it holds."""
+    return {what: text.rlike("|".join(r"\Q" + x + r"\E" for x in words)) for what, words in TRIGGERS.items()}
+
+
 def analyzer_findings(files: DataFrame, functions: DataFrame, types: DataFrame) -> DataFrame:
     """file_id, finding: of function flags, type definitions and what the text mentions."""
     flag = lambda name, text: F.when(F.col(f"legacy_patterns.{name}"), F.concat(F.lit(text), F.col("unique_fqn")))
     kept = lambda *c: F.explode(F.filter(F.array(*c), lambda x: x.isNotNull())).alias("finding")
     own = functions.select("file_id", kept(flag("has_malloc", "malloc in "), flag("has_free", "free in "), flag("has_printf", "printf in "), flag("has_raw_pointer", "unprotected raw pointer in "), flag("has_null_macro", "NULL macro in ")))
     defs = types.select("file_id", F.concat(F.lit("legacy type definition: "), "fqn").alias("finding")).distinct()
-    has = lambda *x: F.col("text").rlike("|".join(r"\Q" + y + r"\E" for y in x))
-    text = files.select("file_id", kept(F.when(has("FILE*"), "C-style FILE* API usage"), F.when(has("#define"), "Preprocessor macro usage"), F.when(has("typedef"), "typedef detected"), F.when(has("time_t", "localtime"), "legacy C-style time API usage")))
+    text = files.select("file_id", kept(*[F.when(c, what) for what, c in triggers(F.col("text")).items()]))
     return own.union(defs).union(text)
 
 
+def file_metrics(files: DataFrame, functions: DataFrame, findings: DataFrame) -> DataFrame:
+    """file_id, n_findings, function_count (by id) of every file."""
+    of = lambda df, what, name: df.groupBy("file_id").agg(what.alias(name))
+    out = files.select("file_id").distinct().join(of(findings, F.count("*"), "n_findings"), "file_id", "left").join(of(functions, F.countDistinct("unique_fqn"), "function_count"), "file_id", "left")
+    return out.na.fill(0, ["n_findings", "function_count"])
+
+
 def targets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, target: what to work on, general_modernization if nothing else."""
     any_of = lambda regex: F.max(F.col("finding").rlike(regex))

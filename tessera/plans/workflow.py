@@ -1,80 +1,130 @@
-"""From source files to modernized files, scored: analyze, rewrite, guard, verify, and again for what needs it."""
+"""From source files to modernized files, scored: analyze, plan, rewrite, guard, verify, and again, or to the fixer, what
+needs it."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fenced_code, plausible_code
 from tessera.operators import guard
 from tessera.operators.extract import extract, unnest
 from tessera.operators.graph import last_records
+from tessera.operators.patterns import error_context
 from tessera.operators.rules import apply_rules
-from tessera.plans.plan import analyzer_findings, plan, rating, route, score
+from tessera.plans.plan import analyzer_findings, file_metrics, plan, rating, route, score
+from tessera.sources.scratch import Scratch
 
-Rewriter = Callable[[str], str]
+#: A function of a text, or of a text and its plan (a line for each transformation).
+Rewriter = Callable[..., str]
+#: A function of a text, the compiler's output for it and the lines about its errors.
+Fixer = Callable[[str, str, str], str]
+#: (file_id, text) to (file_id, success, error_log).
+Verify = Callable[[DataFrame], DataFrame]
 
 
-def rewrite(files: DataFrame, rewriter: Rewriter) -> DataFrame:
-    """file_id, text by a function of a text, called once for each distinct text. Its failures keep the text."""
-    import time
+def _call(f: Callable[..., str], *args: str, tries: int = 3) -> str | None:
+    for k in range(tries):
+        try:
+            return f(*args)
+        except Exception:  # whatever a model bridge raises
+            time.sleep(0.1 * 2**k)
+    return None
+
+
+def ask(rows: DataFrame, f: Callable[..., str], *columns: str) -> DataFrame:
+    """rows with `answer`, by a function of those columns that is called once for each distinct set of them; null where
+    it fails."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                new = None
-                for k in range(3):
-                    try:
-                        new = rewriter(t or "")
-                        break
-                    except Exception:  # whatever a model bridge raises
-                        time.sleep(0.1 * 2**k)
-                out.append(new if new and new.strip() else t)
-            yield pa.record_batch([b.column("key"), pa.array(out, pa.string())], ["key", "new"])
-
-    keyed = files.select("file_id", F.sha2("text", 256).alias("key"), "text")
-    new = keyed.dropDuplicates(["key"]).select("key", "text").mapInArrow(run, "key string, new string")
-    return keyed.join(new, "key").select("file_id", F.col("new").alias("text"))
+            args = zip(*(b.column(c).to_pylist() for c in columns))
+            yield pa.record_batch([b.column("key"), pa.array([_call(f, *(x or "" for x in a)) for a in args], pa.string())], ["key", "answer"])
+
+    key = F.sha2(F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])), 256)
+    keyed = rows.withColumn("key", key)
+    answers = keyed.select("key", *columns).dropDuplicates(["key"]).mapInArrow(run, "key string, answer string")
+    return keyed.join(answers, "key").drop("key")
+
+
+def rewrite(files: DataFrame, rewriter: Rewriter) -> DataFrame:
+    """file_id, text by a function of a text (and of the column `plan`, if there is one): the code of its answer. A failure
+    or a blank answer keeps the text."""
+    args = ("text", "plan") if "plan" in files.columns else ("text",)
+    code = fenced_code(F.col("answer"))
+    return ask(files.select("file_id", *args), rewriter, *args).select("file_id", F.when(F.coalesce(code, F.lit("")) != "", code).otherwise(F.col("text")).alias("text"))
 
 
 def lite(files: DataFrame, rewriter: Rewriter | None = None) -> DataFrame:
-    """Rewriting alone: rules, the rewriter, and rules again."""
+    """Rewriting alone: rules, the rewriter, and rules again. file_id, text, applied (by the last rules), normalized
+    (whether the first rules applied) and enforced (whether the last ones did)."""
+    changed = F.size("applied") > 0
     first = apply_rules(files)
-    return apply_rules(rewrite(first, rewriter)) if rewriter else first
+    if rewriter is None:
+        return first.withColumns({"normalized": changed, "enforced": F.lit(False)})
+    first = Scratch(files.sparkSession, "rewrite").write(first.join(files.select("file_id", "plan"), "file_id") if "plan" in files.columns else first, "rules")
+    last = apply_rules(rewrite(first, rewriter)).withColumn("enforced", changed)
+    return last.join(first.select("file_id", changed.alias("normalized")), "file_id")
 
 
-def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Callable[[DataFrame], DataFrame] | None = None, max_attempts: int = 3) -> DataFrame:
-    """file_id, text, new_text, n_findings, risk_score, n_issues, semantic_ok, success, attempts, score, rating.
+def fix(broken: DataFrame, fixer: Fixer, verify: Verify) -> DataFrame:
+    """file_id, text: of (file_id, text, error_log), by a fixer that sees the errors and the lines about them. Its answer is
+    taken if it looks like code and compiles; else the text stays."""
+    scratch = Scratch(broken.sparkSession, "fix")
+    lines = error_context(broken.select("file_id", F.col("error_log").alias("error_text")), broken.select("file_id", "text"))
+    about = lines.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("error_line", "line", "text"))), lambda x: F.format_string("%d: %s", x.line, x.text)), "\n").alias("about"))
+    asked = ask(broken.select("file_id", "text", "error_log").join(about, "file_id", "left"), fixer, "text", "error_log", "about")
+    answers = scratch.write(asked.select("file_id", "text", fenced_code(F.col("answer")).alias("answer")), "answers")
+    good = verify(answers.where(plausible_code(F.col("answer"))).select("file_id", F.col("answer").alias("text"))).where("success").select("file_id", F.lit(True).alias("ok"))
+    return answers.join(good, "file_id", "left").select("file_id", F.when(F.col("ok"), F.col("answer")).otherwise(F.col("text")).alias("text"))
 
-    verify takes (file_id, text) and gives (file_id, success, error_log); without it every file succeeds. Files that
-    the router sends on are tried again, the rest are done; each round is checkpointed, so lineage doesn't grow.
-    """
-    spark = files.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+def _plan_lines(plans: DataFrame) -> DataFrame:
+    return plans.select("file_id", F.array_join(F.transform("transformations", lambda t: F.concat(F.lit("- "), t.type, F.lit(": "), t.description)), "\n").alias("plan"))
+
+
+def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify | None = None, max_attempts: int = 3, fixer: Fixer | None = None, planned: bool = False) -> DataFrame:
+    """file_id, text, new_text, n_findings, function_count, risk_score, normalized, enforced, n_issues, issues, semantic_ok,
+    success, error_log, attempts, score, rating.
+
+    verify takes (file_id, text) and gives (file_id, success, error_log); without it every file succeeds. With planned the
+    rewriter gets the plan of its file too. After each attempt the router tells where a file goes: it is done, or the
+    fixer repairs what didn't compile (without a fixer that is written anew), or it is planned, and rewritten from the
+    original, again. Each round is written once and read from there: a text is rewritten, read and compiled once a round.
+    """
+    scratch = Scratch(files.sparkSession, "modernize")
     files = files.select("file_id", "text")
-    parsed = extract(files).checkpoint()
+    parsed = scratch.write(extract(files), "parsed")
     before = last_records(unnest(parsed, "functions"))
     found = analyzer_findings(files, before, unnest(parsed, "types"))
-    plans = plan(found, files).select("file_id", "n_findings", "risk_score")
-    todo, done = files, None
+    plans = scratch.write(plan(found, files).join(file_metrics(files, before, found).select("file_id", "function_count"), "file_id"), "plans")
+    anew, broken, done = files, None, None
     for attempt in range(1, max_attempts + 1):
-        new = lite(todo, rewriter).select("file_id", "text")
-        after = unnest(extract(new), "functions")
-        s = guard.summary(guard.issues(before.join(todo.select("file_id"), "file_id", "left_semi"), after, new), new).select("file_id", "n_issues", "semantic_ok")
-        v = verify(new) if verify else new.select("file_id", F.lit(True).alias("success"), F.lit("").alias("error_log"))
+        source = anew.join(_plan_lines(plans), "file_id") if planned and rewriter else anew
+        new = lite(source, rewriter).select("file_id", "text", "normalized", "enforced")
+        if broken is not None:
+            fixed = fix(broken, fixer, verify).join(broken.select("file_id", "normalized", "enforced"), "file_id")
+            new = new.unionByName(fixed)
+        new = scratch.write(new, f"new{attempt}")
+        after = unnest(scratch.write(extract(new), f"read{attempt}"), "functions")
+        found = scratch.write(guard.issues(before.join(new.select("file_id"), "file_id", "left_semi"), after, new), f"issues{attempt}")
+        issues = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("category", "message", "severity"))).alias("issues"))
+        s = guard.summary(found, new).select("file_id", "n_issues", "semantic_ok").join(issues, "file_id", "left")
+        v = verify(new.select("file_id", "text")) if verify else new.select("file_id", F.lit(True).alias("success"), F.lit("").alias("error_log"))
         r = new.withColumnRenamed("text", "new_text").join(s, "file_id").join(v, "file_id").withColumn("attempts", F.lit(attempt))
-        r = r.withColumn("next", route(F.col("success"), F.col("semantic_ok"), F.lit(attempt), F.lit(max_attempts), F.col("error_log"))).checkpoint()
+        r = scratch.write(r.withColumn("next", route(F.col("success"), F.col("semantic_ok"), F.lit(attempt), F.lit(max_attempts), F.col("error_log"))), f"round{attempt}")
         ended = r.where("next = 'end'")
         done = ended if done is None else done.unionByName(ended)
-        todo = files.join(r.where("next <> 'end'").select("file_id"), "file_id", "left_semi")
-        if attempt == max_attempts or not r.where("next <> 'end'").limit(1).count():
+        to_fixer = (F.col("next") == "fixer") & F.lit(fixer is not None and verify is not None)
+        counts = r.agg(F.count_if(to_fixer).alias("broken"), F.count_if((F.col("next") != "end") & ~to_fixer).alias("anew")).first()
+        if not counts.broken and not counts.anew:
             break
-    out = files.join(plans, "file_id").join(done, "file_id")
-    s = score(F.col("n_findings"), F.col("success"), F.col("semantic_ok"))
-    return out.select("file_id", "text", "new_text", "n_findings", "risk_score", "n_issues", "semantic_ok", "success", "attempts", F.round(s, 6).alias("score"), rating(F.round(s, 6)).alias("rating"))
+        broken = r.where(to_fixer).select("file_id", F.col("new_text").alias("text"), "error_log", "normalized", "enforced") if counts.broken else None
+        anew = files.join(r.where((F.col("next") != "end") & ~to_fixer).select("file_id"), "file_id", "left_semi")
+    out = files.join(plans.select("file_id", "n_findings", "function_count", "risk_score"), "file_id").join(done, "file_id")
+    s = F.round(score(F.col("n_findings"), F.col("success"), F.col("semantic_ok")), 6)
+    return out.select("file_id", "text", "new_text", "n_findings", "function_count", "risk_score", "normalized", "enforced", "n_issues", "issues", "semantic_ok", "success", "error_log", "attempts", s.alias("score"), rating(s).alias("rating"))

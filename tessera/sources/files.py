@@ -78,8 +78,18 @@ def write_outputs(results: DataFrame, target: str) -> None:
 
 
 def report(results: DataFrame) -> DataFrame:
-    """path and a JSON report of metrics, semantic and verification columns."""
-    return results.select("path", F.to_json(F.struct(F.col("path").alias("file"), *[c for c in results.columns if c in ("metrics", "semantic", "verification")])).alias("report"))
+    """file and a JSON report (file, metrics, semantic, verification) of each row of what modernize returns; the file is
+    its path, or its file_id where there is none."""
+    name = F.col("path" if "path" in results.columns else "file_id").cast("string").alias("file")
+    metrics = F.struct(F.col("n_findings").alias("legacy_pattern_count"), "function_count", "attempts", "score", "rating")
+    semantic = F.struct("semantic_ok", F.round(0.05 * F.col("n_issues"), 6).alias("risk_score"), "issues")
+    verification = F.struct("success", "error_log")
+    return results.select(name, F.to_json(F.struct(name, metrics.alias("metrics"), semantic.alias("semantic"), verification.alias("verification"))).alias("report"))
+
+
+def write_reports(results: DataFrame, target: str) -> None:
+    """A JSON line for each file; each task writes its own part."""
+    report(results).select(F.col("report").alias("value")).write.mode("overwrite").text(target)
 
 
 def token_graph(text: str, limit: int = 1000) -> str:

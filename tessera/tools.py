@@ -76,7 +76,7 @@ def modernize_file(spark: SparkSession, path: str, root: str, output: str | None
     row = done.drop("text").join(files, "file_id").first()
     out = outputs(spark.createDataFrame([(path, row.text, row.new_text)], "path string, text string, new_text string")).first()
     wrote = json.loads(write_code(output or out.path, out.text, root))
-    report = {k: v for k, v in row.asDict().items() if k not in ("text", "new_text", "path", "file_id")}
+    report = {k: v for k, v in row.asDict(recursive=True).items() if k not in ("text", "new_text", "path", "file_id", "applied")}
     return result(wrote["status"], file=path, output=output or out.path, **report)
 
 

@@ -14,7 +14,7 @@ from tessera.functions import text as T
 from tessera.functions.regexops import mask, matches
 from tessera.operators import graph, guard, parity, patterns
 from tessera.operators.extract import call_table, extract, read_text, token_table, unnest
-from tessera.operators.rules import RULES, apply_rule, masked, modernize_text
+from tessera.operators.rules import RULES, apply_rule, edits, masked, modernize_text
 from tessera.plans.bridge import Bridge
 from tessera.plans.workflow import lite, modernize
 from tessera.sources import files as S
@@ -253,3 +253,96 @@ def test_no_foreign_imports():
             for n in names:
                 if n.endswith(".py"):
                     assert not re.search(r"tessera\.llm|corpus_pipeline", open(os.path.join(top, n)).read())
+
+
+def test_reader_odd_shapes():
+    """Operators among members, conditionals that share a brace, attributes, declarators and members' first values."""
+    assert list(_one("class A { A& operator=(const A& o) { return *this; } bool operator==(const A& o) const { return true; } int operator()(int x) { return x; } int f() { return 1; } int y = 3; int h() { return 4; } };")) == ["A::operator=", "A::operator==", "A::operator()", "A::f", "A::h"]
+    assert list(_one("int a() { return 1; }\n#ifdef X\nint z(int q) {\n#else\nint z(long q) {\n#endif\n return 2; }\nint c() { return 3; }")) == ["a", "z", "c"]
+    assert list(_one("#if A\nint a() { return 1; }\n#elif B\nint b() { return 1; }\n#else\nint c() { return 2; }\n#endif\nint d() { return 1;}")) == ["a", "b", "c", "d"]
+    assert list(_one("void f() {\n#ifdef A\n#if B\n if (x) {\n#endif\n#else\n if (y) {\n#endif\n g(); }\n}\nint k() { return 1; }")) == ["f", "k"]
+    assert list(_one('#ifdef C\nextern "C" {\n#endif\nint k() { return 1; }\n#ifdef C\n}\n#endif\nint m() { return 1; }')) == ["k", "m"]
+    assert list(_one("__attribute__((noinline)) int w() { return 1; }\nint (*fp(int a))(int) { return 0; }\n[[nodiscard]] static int q(int x) { return x; }\nalignas(16) struct S { int y() { return 1; } };")) == ["w", "fp", "q", "S::y"]
+    assert _one("int (*fp(int a))(int) { return 0; }")["fp"]["parameters"][0]["name"] == "a"
+    assert [f["name"] for f in read_text("struct A { A(int a) : x{a}, v{1, 2} { go(); } explicit(true) A(long b) : x(1), v{} {} int g() { return 1; } };")["functions"]] == ["A", "A", "g"]
+    assert list(_one("template<> int A<int>::f<long>(int x) { return x; }")) == ["A<int>::f<long>"]
+
+
+def test_reader_is_linear():
+    """Neither nested brackets nor nested scopes nor blank lines take long or fail."""
+    import time
+
+    began = time.time()
+    assert _one("int f() { return " + "(" * 30000 + "1" + ")" * 30000 + "; }")["f"]
+    assert len(read_text("namespace a {" * 3000 + "int f() { return 1; }" + "}" * 3000)["functions"]) == 1
+    for text in ("\n" * 60000, "   \n" * 60000, "x;" + "\n" * 60000 + "y;"):
+        modernize_text(text)
+    assert time.time() - began < 20
+
+
+@given(st.lists(st.sampled_from(["\n", "\n\n", " ", "\t", "#define A 1", "#define f(x) x", "x();", "x();\n", "x(); y();", "// c", '"s"', "/* a\nb */", "NULL", "\r\n"]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_linear_rules_are_the_rules(parts):
+    """What is compiled for speed finds what the rule's own regex finds."""
+    text = "".join(parts)
+    for rule in RULES:
+        if rule.linear:
+            want = [m.span() for m in re.compile(rule.regex, re.M).finditer(masked(text)) if not rule.same or text[slice(*m.span("a"))] == text[slice(*m.span("b"))]]
+            assert [(a, b) for a, b, _ in edits(text, rule)] == want
+
+
+def test_closure_of_long_chains_and_diamonds(spark):
+    chain = [(1, f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
+    diamonds = [(2, f"{i}", f"{i}{s}") for i in range(12) for s in "ab"] + [(2, f"{i}{s}", f"{i + 1}") for i in range(12) for s in "ab"]
+    c = graph.call_closure(spark.createDataFrame(chain + diamonds, "file_id int, src string, dst string"))
+    assert c.where("file_id = 1").count() == 820 and c.where("file_id = 2 and src = '0'").count() == 36
+
+
+def test_lookup_many(spark):
+    f = unnest(extract(spark.createDataFrame([(1, "int f(int a) { return 1; }\nint f(char a) { return 2; }\nint g() { return 0; }")], "file_id long, text string")), "functions")
+    ids = {r.name: r.unique_fqn for r in f.where("name = 'g'").collect()}
+    asked = spark.createDataFrame([(1, "f"), (1, "g"), (1, ids["g"]), (1, "none"), (2, "g")], "file_id long, name string")
+    assert {(r.file_id, r.name): (r.n, r.unique_fqn) for r in graph.lookup_functions(f, asked).collect()} == {(1, "f"): (2, None), (1, "g"): (1, ids["g"]), (1, ids["g"]): (1, ids["g"]), (1, "none"): (0, None), (2, "g"): (0, None)}
+
+
+def test_workflow_routes(spark):
+    """What doesn't compile goes to the fixer, whose answer must look like code and compile; a lost function is planned and
+    written again; each text is rewritten once a round."""
+    code = "int f(int a) { return a; } // padding"
+    files = spark.createDataFrame([(1, code), (2, code + " two"), (3, code + " three"), (4, code + " four")], "file_id long, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def rewriter(t):
+        calls.add(1)
+        return {" two": t + "\nBROKEN line;", "hree": t + "\nBROKEN HARD;", "four": "int other() { return 1; }"}.get(t[-4:], t)
+
+    def verify(f):
+        bad = F.contains("text", F.lit("BROKEN"))
+        return f.select("file_id", (~bad).alias("success"), F.when(bad, "a.cpp:2:1: error: BROKEN").otherwise("").alias("error_log"))
+
+    def fixer(text, errors, about):
+        assert "error: BROKEN" in errors and "2: BROKEN" in about
+        return "short" if "HARD" in text else "```cpp\n" + text.replace("BROKEN line;", "") + "\n```"
+
+    out = {r.file_id: r for r in modernize(files, rewriter, verify, 3, fixer).collect()}
+    assert [(out[i].attempts, out[i].success, out[i].semantic_ok) for i in (1, 2, 3, 4)] == [(1, True, True), (2, True, True), (3, False, True), (3, True, False)]
+    assert "BROKEN" not in out[2].new_text and out[3].error_log and out[4].issues[0].category == "regression"
+    assert calls.value == 4 + 1 + 1  # all files once, and the fourth in two more rounds
+    r = json.loads(S.report(modernize(files, lambda t, p: t, planned=True)).first().report)
+    assert set(r) == {"file", "metrics", "semantic", "verification"} and r["metrics"]["function_count"] == 1 and r["verification"]["success"]
+
+
+def test_run_facts(tmp_path):
+    """Exit codes, time limits with what was written until then, crashes and findings, of scripts that stand for programs."""
+    def script(name, body):
+        p = tmp_path / name
+        p.write_text("#!/bin/sh\n" + body)
+        p.chmod(0o755)
+        return str(p)
+
+    assert native.run_program(script("ok", "cat"), "x")["run_success"] and native.run_program(script("three", "exit 3"))["crash_reason"] == "Process exited with non-zero status 3."
+    late = native.run_program(script("late", "echo begun; exec sleep 20"), timeout=1)
+    assert late["timed_out"] and late["crash_reason"] == "timeout" and late["exit_code"] is None and late["stdout"] in ("begun\n", "")
+    r = native.run_program(script("san", "echo '==1==ERROR: AddressSanitizer: leak' >&2; echo '4096 byte(s) allocated' >&2; exit 1"))
+    assert r["sanitizer_findings"] == ["==1==ERROR: AddressSanitizer: leak"] and r["peak_memory_kb"]
+    assert native.run_program(str(tmp_path / "none"))["crash_reason"] in ("execution_error", "Process exited with non-zero status 127.")

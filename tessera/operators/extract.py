@@ -38,7 +38,7 @@ SCHEMA = (
 
 _TOKEN = re.compile(
     r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<pp>^[ \t]*\#(?:[^\n\\]|\\.)*)|(?P<string>(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|(?:u8|[uUL])?"(?:\\.|[^"\\\n])*"?|(?:u8|[uUL])?'(?:\\.|[^'\\\n])*'?)"""
-    r"""|(?P<name>~?[A-Za-z_]\w*)|(?P<number>\.?\d(?:[\w.']|[eEpP][+-])*)|(?P<op>::|->\*?|<<=|>>=|<=>|[-+*/%&|^=!<>]=|&&|\|\||\+\+|--|\.\.\.|\S)""",
+    r"""|(?P<name>~?[^\W\d]\w*)|(?P<number>\.?\d(?:[\w.']|[eEpP][+-])*)|(?P<op>::|->\*?|<<=|>>=|<=>|[-+*/%&|^=!<>]=|&&|\|\||\+\+|--|\.\.\.|\S)""",
     re.S | re.M,
 )
 _INCLUDE = re.compile(r"\s*#\s*include\b")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.regexops import matches, strip
+from tessera.operators.extract import extract
 
 TAG = "C++23 Overhaul"
 
@@ -47,6 +48,19 @@ def cast_findings(parsed: DataFrame) -> DataFrame:
     return parsed.select("file_id", F.explode("casts").alias("c")).select("file_id", F.lit(CAST.name).alias("pattern"), F.lit(CAST.severity).alias("severity"), "c.line", "c.match", F.lit(CAST.message).alias("message"), F.lit(TAG).alias("tag"))
 
 
+def ordered_findings(files: DataFrame) -> DataFrame:
+    """All findings of each file with `position` from 1: by line, then by pattern, then as they come."""
+
+    def found_by(p: Pattern) -> Column:
+        return F.transform(matches(F.col("text"), p.regex), lambda m, i: F.struct(F.lit(p.name).alias("pattern"), F.lit(p.severity).alias("severity"), m["line"].alias("line"), i.alias("i"), m["match"].alias("match"), F.lit(p.message).alias("message")))
+
+    per = [found_by(p) for p in LEGACY]
+    found = files.select("file_id", F.explode(F.concat(*per)).alias("f")).select("file_id", "f.*")
+    c = extract(files).select("file_id", F.posexplode("casts").alias("i", "c")).select("file_id", F.lit(CAST.name).alias("pattern"), F.lit(CAST.severity).alias("severity"), "c.line", "i", "c.match", F.lit(CAST.message).alias("message"))
+    by = Window.partitionBy("file_id").orderBy("line", "pattern", "i")
+    return found.unionByName(c).select("file_id", F.row_number().over(by).alias("position"), "pattern", "severity", "line", "match", "message", F.lit(TAG).alias("tag"))
+
+
 def search_lines(files: DataFrame, regex: str) -> DataFrame:
     """path, line, text of each line that the pattern finds; files below ignored folders are passed over."""
     kept = files.where(~F.coalesce(F.col("path"), F.lit("")).rlike("|".join(r"\Q" + d + r"\E" for d in IGNORED_DIRS)))

@@ -117,18 +117,20 @@ def modernize_text(text: str | None, rules: tuple[Rule, ...] = RULES, patterns:
 
 
 def apply_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """file_id, text, applied array<struct<description, times>>. A column patterns (map<string, int>), if any, gates."""
+    """file_id, text, applied array<struct<description, times>>, changed. A column patterns (map<string, int>), if any,
+    gates."""
     gated = "patterns" in files.columns
 
     def run(batches):
         for batch in batches:
             gates = batch.column("patterns").to_pylist() if gated else [None] * len(batch)
-            done = [modernize_text(t.as_py(), rules, dict(g) if g else None) for t, g in zip(batch.column("text"), gates)]
+            texts = batch.column("text").to_pylist()
+            done = [modernize_text(t, rules, dict(g) if g else None) for t, g in zip(texts, gates)]
             kind = pa.list_(pa.struct([("description", pa.string()), ("times", pa.int32())]))
-            yield pa.record_batch([batch.column("file_id"), pa.array([d[0] for d in done], pa.string()), pa.array([[{"description": a, "times": n} for a, n in d[1]] for d in done], kind)], ["file_id", "text", "applied"])
+            yield pa.record_batch([batch.column("file_id"), pa.array([d[0] for d in done], pa.string()), pa.array([[{"description": a, "times": n} for a, n in d[1]] for d in done], kind), pa.array([d[0] != (t or "") for d, t in zip(done, texts)])], ["file_id", "text", "applied", "changed"])
 
     cols = [F.col("file_id").cast("long").alias("file_id"), "text", *(["patterns"] if gated else [])]
-    return files.select(*cols).mapInArrow(run, "file_id long, text string, applied array<struct<description: string, times: int>>")
+    return files.select(*cols).mapInArrow(run, "file_id long, text string, applied array<struct<description: string, times: int>>, changed boolean")
 
 
 def hint_counts(text: Column, rules: tuple[Rule, ...] = RULES) -> list[Column]:

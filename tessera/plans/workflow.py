@@ -61,14 +61,13 @@ def rewrite(files: DataFrame, rewriter: Rewriter) -> DataFrame:
 
 def lite(files: DataFrame, rewriter: Rewriter | None = None) -> DataFrame:
     """Rewriting alone: rules, the rewriter, and rules again. file_id, text, applied (by the last rules), normalized
-    (whether the first rules applied) and enforced (whether the last ones did)."""
-    changed = F.size("applied") > 0
+    (whether the first rules changed it) and enforced (whether the last ones did)."""
     first = apply_rules(files)
     if rewriter is None:
-        return first.withColumns({"normalized": changed, "enforced": F.lit(False)})
+        return first.select("file_id", "text", "applied", F.col("changed").alias("normalized"), F.lit(False).alias("enforced"))
     first = Scratch(files.sparkSession, "rewrite").write(first.join(files.select("file_id", "plan"), "file_id") if "plan" in files.columns else first, "rules")
-    last = apply_rules(rewrite(first, rewriter)).withColumn("enforced", changed)
-    return last.join(first.select("file_id", changed.alias("normalized")), "file_id")
+    last = apply_rules(rewrite(first, rewriter)).withColumnRenamed("changed", "enforced")
+    return last.join(first.select("file_id", F.col("changed").alias("normalized")), "file_id")
 
 
 def fix(broken: DataFrame, fixer: Fixer, verify: Verify) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import unit_queries
 from tessera.functions import text as T
 from tessera.functions.regexops import mask
 from tessera.operators import graph, guard, includes, parity, patterns
@@ -15,8 +16,9 @@ from tessera.operators.extract import call_table, extract, unnest
 from tessera.operators.rules import apply_rules
 from tessera.plans import plan as P
 from tessera.plans.workflow import modernize
-from tessera.sources.corpus import FILE, FILE_ID, code_corpus, corpus_sql
+from tessera.sources.corpus import FILE, FILE_ID, FUNCTION, code_corpus, corpus_sql
 from tessera.sources.files import outputs
+from tessera.unit_queries import read_once
 
 _queries, _oracle = {}, {}
 
@@ -91,8 +93,8 @@ def rewritten_text_hash(spark, sf_dir):
 
 @query("SELECT doc_id, text LIKE '%FILE*%' AS has_file, text LIKE '%#define%' AS has_define, text LIKE '%typedef%' AS has_typedef, text LIKE '%time_t%' OR text LIKE '%localtime%' AS has_time FROM documents")
 def file_triggers(spark, sf_dir):
-    has = lambda *x: F.col("text").rlike("|".join(r"\Q" + y + r"\E" for y in x))
-    return _t(spark, sf_dir, "documents").select("doc_id", has("FILE*").alias("has_file"), has("#define").alias("has_define"), has("typedef").alias("has_typedef"), has("time_t", "localtime").alias("has_time"))
+    names = ("has_file", "has_define", "has_typedef", "has_time")
+    return _t(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in zip(names, P.triggers(F.col("text")).values())])
 
 
 @query(f"SELECT path, line, trim(line_text) AS text FROM {_LINES} WHERE regexp_matches(line_text, 'malloc|std::')")
@@ -122,14 +124,15 @@ def parameters(spark, sf_dir):
 
 @query(f"SELECT file_id, name, substr(md5(types), 1, 8) AS signature_hash, id AS unique_fqn FROM {_FACTS}")
 def signature_ids(spark, sf_dir):
-    f = _parts(spark, sf_dir, "functions")
-    own = F.left(F.md5(F.array_join(F.transform("parameters", lambda p: p.type), ",")), F.lit(8))
-    return f.select("file_id", "name", own.alias("signature_hash"), F.concat_ws("#", "fqn", own).alias("unique_fqn"))
+    return _parts(spark, sf_dir, "functions").select("file_id", "name", "signature_hash", "unique_fqn")
+
+
+_CODE = FUNCTION.replace("'[^A-Za-z0-9 ]', '_')", "'[^A-Za-z0-9 ]', '_', 'g')")
 
 
-@query(f"SELECT file_id, k, sha256(concat('v', k)) AS function_hash FROM {_FACTS}")
+@query(f"SELECT {FILE_ID} AS file_id, concat('fn_', p_partkey) AS name, sha256(regexp_extract({_CODE}, '(?s)[)] ([{{]\n.*[}}])\n\n$', 1)) AS function_hash FROM part")
 def body_hashes(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select(F.expr(FILE_ID).alias("file_id"), F.col("p_partkey").alias("k"), F.sha2(F.concat(F.lit("v"), F.col("p_partkey").cast("string")), 256).alias("function_hash"))
+    return _parts(spark, sf_dir, "functions").select("file_id", "name", "function_hash")
 
 
 @query(f"SELECT file_id, src, dst FROM {_EDGES}")
@@ -160,12 +163,12 @@ def priority_order(spark, sf_dir):
     return graph.priority_order(_corpus_degrees(spark, sf_dir)).select("file_id", "id", "node_class", F.col("position").cast("long").alias("position"))
 
 
-_STAR = "SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40"
+_STAR = "SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem"
 
 
 @query(f"WITH e AS ({_STAR}), d AS (SELECT id, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id) SELECT {_CLASS} AS node_class, count(*) AS n, CAST(sum(n_in) AS BIGINT) AS total_in, CAST(sum(n_out) AS BIGINT) AS total_out FROM d GROUP BY ALL")
 def node_classes(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40")
+    li = _t(spark, sf_dir, "lineitem")
     e = li.select(F.lit(0).alias("file_id"), F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
     nodes = e.select("file_id", F.col("src").alias("id")).union(e.select("file_id", "dst"))
     return graph.degrees(nodes, e).groupBy("node_class").agg(F.count("*").alias("n"), F.sum("n_in").cast("long").alias("total_in"), F.sum("n_out").cast("long").alias("total_out"))
@@ -173,7 +176,7 @@ def node_classes(spark, sf_dir):
 
 @query(f"SELECT file_id, id, '<vector>' AS header FROM {_FACTS} WHERE k % 7 = 0")
 def include_requirements(spark, sf_dir):
-    parsed = extract(code_corpus(spark, sf_dir)).persist()
+    parsed = read_once(spark, code_corpus(spark, sf_dir))
     return includes.include_requirements(unnest(parsed, "functions"), unnest(parsed, "headers"))
 
 
@@ -203,7 +206,7 @@ _FINDINGS = f"""(SELECT file_id, unnest(list_filter([CASE WHEN k % 5 = 0 THEN co
 
 def _analysis(spark, sf_dir):
     files = code_corpus(spark, sf_dir)
-    parsed = extract(files).persist()
+    parsed = read_once(spark, files)
     return P.analyzer_findings(files, graph.last_records(unnest(parsed, "functions")), unnest(parsed, "types")), files
 
 
@@ -320,11 +323,13 @@ def lru_keep(spark, sf_dir):
     return parity.keep_recent(e, 50).select("key", "last_used")
 
 
-@query(f"WITH w AS (SELECT DISTINCT file_id, e FROM (SELECT {FILE_ID} AS file_id, 3 AS e FROM part UNION ALL SELECT {FILE_ID}, 9 FROM part)) SELECT l.file_id, w.e AS error_line, l.line, l.line_text AS text FROM {_LINES} l JOIN w ON w.file_id = l.file_id AND abs(l.line - w.e) <= 2")
+@query(f"WITH w AS (SELECT DISTINCT file_id, unnest([3 + file_id // {FILE} % 5, 9, 14]) AS e FROM (SELECT {FILE_ID} AS file_id FROM part)) SELECT l.file_id, CAST(w.e AS INT) AS error_line, l.line, l.line_text AS text FROM {_LINES} l JOIN w ON w.file_id = l.file_id AND abs(l.line - w.e) <= 2")
 def error_context(spark, sf_dir):
+    """Errors differ by file; the fourth line and the second note of one line don't count."""
     files = code_corpus(spark, sf_dir)
-    errors = files.select("file_id", F.lit("a.cpp:9:1: error: x\na.cpp:3:7: error: y\na.cpp:9:2: note: z").alias("error_text"))
-    c = patterns.error_context(errors, files)
+    low = (3 + F.floor(F.col("file_id") / FILE) % 5).cast("string")
+    text = F.concat(F.lit("a.cpp:9:1: error: x\na.cpp:20:1: error: x\na.cpp:"), low, F.lit(":7: error: y\na.cpp:9:2: note: z\nb.cpp:14: error"))
+    c = patterns.error_context(files.select("file_id", text.alias("error_text")), files)
     return c.select("file_id", F.col("error_line").cast("int").alias("error_line"), F.col("line").cast("long").alias("line"), "text")
 
 
@@ -373,17 +378,18 @@ def output_files(spark, sf_dir):
     return r.select("o_orderkey", T.output_path(F.col("path")).alias("path"), T.output_text(F.col("new_text"), F.col("text")).alias("text"))
 
 
-@query(f"SELECT file_id, src AS id, string_agg(dst, ',' ORDER BY dst) AS callees FROM {_EDGES} GROUP BY ALL")
+@query(f"SELECT f.file_id, f.id, coalesce(e.dst, '') AS callees, '' AS types, regexp_extract({_CODE.replace('p_partkey', 'f.k')}, '(?s)[)] ([{{]\n.*[}}])\n\n$', 1) AS body FROM (SELECT t.*, p_name FROM {_FACTS} JOIN part ON p_partkey = t.k) f LEFT JOIN {_EDGES} ON e.file_id = f.file_id AND e.src = f.id")
 def function_context(spark, sf_dir):
-    parsed = extract(code_corpus(spark, sf_dir)).persist()
+    parsed = read_once(spark, code_corpus(spark, sf_dir))
     f = unnest(parsed, "functions")
-    c = graph.function_context(f, call_table(f), unnest(parsed, "types")).where("callee_signatures is not null")
-    return c.select("file_id", "id", F.array_join(F.transform("callee_signatures", lambda x: x.dst), ",").alias("callees"))
+    c = graph.function_context(f, call_table(f), unnest(parsed, "types"))
+    names = lambda col, x: F.coalesce(F.array_join(F.transform(col, lambda y: y[x]), ","), F.lit(""))
+    return c.select("file_id", "id", names("callee_signatures", "dst").alias("callees"), names("type_sources", "name").alias("types"), "body")
 
 
 @query(f"SELECT f.file_id, f.id AS unique_fqn, coalesce(e.dst, '') AS internal_calls, CASE WHEN k % 5 = 0 THEN 'free,malloc' ELSE 'printf' END AS external_calls FROM {_FACTS.replace(') t', ')')} f LEFT JOIN {_EDGES} ON e.file_id = f.file_id AND e.src = f.id")
 def function_map(spark, sf_dir):
-    f = _parts(spark, sf_dir, "functions").persist()
+    f = unnest(read_once(spark, code_corpus(spark, sf_dir)), "functions")
     m = graph.function_map(f, call_table(f))
     return m.select("file_id", "unique_fqn", F.array_join("internal_calls", ",").alias("internal_calls"), F.array_join("external_calls", ",").alias("external_calls"))
 
@@ -391,7 +397,7 @@ def function_map(spark, sf_dir):
 @query(f"WITH RECURSIVE e AS (SELECT {FILE_ID} AS file_id, p_partkey AS s, p_partkey - 7 AS d FROM part WHERE {_CALLS}), r AS (SELECT file_id, s, d FROM e UNION SELECT r.file_id, r.s, e.d FROM r JOIN e ON e.s = r.d AND e.file_id = r.file_id) SELECT file_id, concat('fn_', s) AS src, concat('fn_', d) AS dst FROM r")
 def call_closure(spark, sf_dir):
     f = _parts(spark, sf_dir, "functions")
-    c = graph.call_closure(graph.edges(graph.resolve_calls(call_table(f), f)).persist())
+    c = graph.call_closure(graph.edges(graph.resolve_calls(call_table(f), f)))
     name = lambda x: F.substring_index(x, "#", 1).alias(x)
     return c.select("file_id", name("src"), name("dst")).distinct()
 
@@ -402,11 +408,8 @@ def modernized(spark, sf_dir):
     return m.select("file_id", "n_findings", "risk_score", F.col("n_issues").cast("int").alias("n_issues"), "semantic_ok", "attempts", "score", "rating", F.md5("new_text").alias("text_md5"))
 
 
-@query()
-def output_diff(spark, sf_dir):
-    d = code_corpus(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("text").alias("before"))
-    new = apply_rules(code_corpus(spark, sf_dir)).select(F.col("file_id").alias("id"), F.col("text").alias("after"))
-    return parity.output_diff(d.join(new, "id"))
+_queries.update(unit_queries.QUERIES | {"output_diff": unit_queries.output_diff})
+_oracle.update(unit_queries.ORACLE | {"output_diff": unit_queries.diff_sql(_CORPUS, _REWRITTEN)})
 
 
 def queries() -> dict:

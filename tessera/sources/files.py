@@ -17,7 +17,8 @@ SOURCES = "*.{c,cc,cpp,cxx,h,hh,hpp,hxx}"
 def read_sources(spark: SparkSession, path: str, pattern: str = SOURCES) -> DataFrame:
     """file_id, path, text of the files below a path; file_id is a hash of the path. Filters on path reach the listing."""
     df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    p = F.col("_metadata.file_path")
+    # The path as it is, not as in an address.
+    p = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     return df.select(F.xxhash64(p).alias("file_id"), p.alias("path"), F.col("value").alias("text"))
 
 
@@ -92,6 +93,14 @@ def write_reports(results: DataFrame, target: str) -> None:
     report(results).select(F.col("report").alias("value")).write.mode("overwrite").text(target)
 
 
+def declaration_edges(parsed: DataFrame) -> DataFrame:
+    """file_id, child, parent: each type and function by its qualified name, and the type that encloses it, if any."""
+    names = F.array_distinct(F.concat(F.transform("types", lambda x: x.fqn), F.transform("functions", lambda x: x.fqn)))
+    n = parsed.select("file_id", names.alias("names"), F.transform("types", lambda x: x.fqn).alias("of")).select("file_id", "of", F.explode("names").alias("child"))
+    outer = F.regexp_replace("child", r"::[^:]+$", "")
+    return n.select("file_id", "child", F.when(F.array_contains("of", outer) & (outer != F.col("child")), outer).alias("parent"))
+
+
 def token_graph(text: str, limit: int = 1000) -> str:
     """Graphviz DOT of the declarations of one text: a node per type and function, an edge to what encloses it."""
     from tessera.operators.extract import read_text

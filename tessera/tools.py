@@ -62,8 +62,7 @@ def extract_functions(spark: SparkSession, path: str) -> DataFrame:
 
 def legacy_patterns(spark: SparkSession, path: str) -> DataFrame:
     """The findings of one file, by line and pattern."""
-    files = read_source(spark, path)
-    return patterns.scan_patterns(files).unionByName(patterns.cast_findings(extract(files))).orderBy("line", "pattern")
+    return patterns.ordered_findings(read_source(spark, path)).orderBy("position")
 
 
 def modernize_file(spark: SparkSession, path: str, root: str, output: str | None = None, rewriter: Rewriter | None = None, verify: bool = False, light: bool = False) -> str:

@@ -1,50 +1,19 @@
-"""Scratch tables, size-checked broadcasts and the reading of a table, shared by the operators."""
+"""Size-checked broadcasts, words, row keys and the reading of a table, shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: A frame is broadcast only if it has been counted and holds at most so many rows of a few numbers each.
-BROADCAST_ROWS = 400_000
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-_own: dict[str, str] = {}
-
+from tessera.sources.scratch import Scratch, scratch_root
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own where that is unset, as in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
+__all__ = ["Scratch", "ascii_lower", "fits", "free_shuffles", "held_out", "let", "row_key", "scratch_root", "small", "split_words", "table", "without"]
 
+#: A frame is broadcast only if it has been measured and holds at most so many rows and, of texts and arrays, bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 
-class Scratch:
-    """Tables written once and read again, so that a lost executor costs no recomputation and lineage stays short."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -59,9 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, else as it is. df should be a written table: it is counted."""
-    return F.broadcast(df) if df.count() <= rows else df
+def fits(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df, a written table, may be broadcast: it is counted, and measured if it holds texts or arrays."""
+    n = df.count()
+    if n > (BROADCAST_ROWS if rows is None else rows):
+        return False
+    if not any(isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType)) for f in df.schema):
+        return True
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a written table, marked for broadcast if it fits, else as it is."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def ascii_lower(c: Column) -> Column:
@@ -69,17 +48,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose row_key is not among gone (key), a written table. Equal rows share a key."""
+def split_words(text: Column, between: str) -> Column:
+    """What is left of a text when stretches of that class of characters are taken out; null has no words. Cutting is far
+    cheaper than a regular expression for the words themselves."""
+    return F.coalesce(F.array_remove(F.split(text, between + "+"), ""), F.array().cast("array<string>"))
+
+
+def row_key(docs: DataFrame, *columns: str) -> Column:
+    """128 bits that tell rows apart by these columns, of which nulls are told from empty texts."""
+    told = [F.coalesce(F.concat(F.lit("1"), F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("0")) for c in columns]
+    return F.md5(F.concat(*told))
+
+
+def without(docs: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
+    """The rows of docs whose row_key by these columns is not among gone (key), a written table."""
     name = "_key"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
-    return docs.withColumn(name, row_key(docs)).join(small(gone.withColumnRenamed("key", name)), name, "left_anti").select(*docs.columns)
-
-
-def row_key(docs: DataFrame) -> Column:
-    """A hash of all columns of a row."""
-    return F.xxhash64(*docs.columns)
+    return docs.withColumn(name, row_key(docs, *columns)).join(small(gone.withColumnRenamed("key", name)), name, "left_anti").select(*docs.columns)
 
 
 def held_out(doc_id: Column, remainder: int) -> Column:

@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, ascii_lower, small
+from tessera.llm.common import Scratch, ascii_lower, fits, split_words
 
-#: A word: no ASCII character but a digit or a letter.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: any ASCII character but a digit or a letter.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WINDOW = 10
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return split_words(ascii_lower(text), BETWEEN)
 
 
 def _starts(w: Column, m: int) -> Column:
@@ -31,8 +31,13 @@ def _starts(w: Column, m: int) -> Column:
     return F.when(F.size(w) >= m, F.sequence(F.lit(1), F.size(w) - (m - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(w: Column, m: int) -> Column:
-    return F.transform(_starts(w, m), lambda i: F.xxhash64(F.slice(w, i, m)))
+def _word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _hashes(wh: Column, m: int) -> Column:
+    """A hash of each window of m words, of their hashes: each word is hashed once."""
+    return F.transform(_starts(wh, m), lambda i: F.xxhash64(F.slice(wh, i, m)))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -40,31 +45,42 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     m = F.least(F.lit(size), F.size("w"))
     w = w.withColumn("m", m).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)))
-    return w.withColumn("g", F.slice("w", F.col("i"), F.col("m"))).select("item", "m", F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("win")).distinct()
+    return w.withColumn("g", F.slice("w", F.col("i"), F.col("m"))).select("item", "m", F.xxhash64(_word_hashes(F.col("g"))).alias("h"), F.array_join("g", " ").alias("win")).distinct()
 
 
 def window_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """A row per document with uid, doc_id, n_words, n_hit, items (sorted array of item ids)."""
+    """A row per document with uid, doc_id, n_words, n_hit, items (sorted array of item ids).
+
+    If the windows fit, they are broadcast, and a document's hashes are probed in the stage that makes them. Else only
+    (key of the document's words, place, hash) is shuffled to meet them, and the words are read again for what was found.
+    """
     scratch = Scratch(spark, "decontam")
     wins = scratch.write(benchmark_windows(benchmark, size).groupBy("m", "h", "win").agg(F.array_sort(F.collect_set("item")).alias("of")), "windows")
     # An item shorter than a window is a window of its own length, so at most `size` lengths occur.
     lengths = sorted(r.m for r in wins.select("m").distinct().collect()) or [size]
-    w = F.col("w")
-    d = docs.select("doc_id", F.col("text").alias("t")).select("doc_id", words(F.col("t")).alias("w")).withColumn("uid", F.monotonically_increasing_id())
+    d = docs.select("doc_id", F.col("text").alias("t")).select("doc_id", words(F.col("t")).alias("w"))
+    d = d.withColumn("wh", _word_hashes(F.col("w")))
+    n = F.size("w")
     # A first element that matches nothing keeps a row of each document without a second pass.
-    d = d.select("uid", "doc_id", "w", F.size("w").alias("n_words"), F.concat(F.array(F.lit(None).cast("long")), *[_hashes(w, m) for m in lengths]).alias("hs"))
-    n = F.col("n_words")
+    hashes = F.concat(F.array(F.lit(None).cast("long")), *[_hashes(F.col("wh"), m) for m in lengths])
     start, length, before = F.col("idx"), F.lit(lengths[0]), F.lit(0)
     for a, b in zip(lengths, lengths[1:]):
-        before = before + F.greatest(n - (a - 1), F.lit(0))
+        before = before + F.greatest(F.col("n_words") - (a - 1), F.lit(0))
         start = F.when(F.col("idx") > before, F.col("idx") - before).otherwise(start)
         length = F.when(F.col("idx") > before, F.lit(b)).otherwise(length)
-    hits = (
-        d.select("uid", "doc_id", "n_words", "w", F.posexplode("hs").alias("idx", "h"))
-        .join(small(wins), "h", "left")
-        .where((F.col("idx") == 0) | F.col("win").isNotNull())
-        .select("uid", "doc_id", "n_words", start.alias("start"), length.alias("len"), "m", "win", "of", F.when(F.col("idx") > 0, F.array_join(F.slice("w", F.greatest(start, F.lit(1)), length), " ")).alias("seen"))
-        .where(F.col("seen").isNull() | ((F.col("seen") == F.col("win")) & (F.col("len") == F.col("m"))))
+    if fits(wins):
+        d = d.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "w", n.alias("n_words"), hashes.alias("hs"))
+        found = d.select("uid", "doc_id", "n_words", "w", F.posexplode("hs").alias("idx", "h")).join(F.broadcast(wins), "h", "left").where((F.col("idx") == 0) | F.col("win").isNotNull())
+    else:
+        key = F.md5(F.array_join("w", " "))
+        grams = d.select(key.alias("key"), F.posexplode(hashes).alias("idx", "h")).where("idx > 0")
+        meet = grams.join(wins, "h").distinct().groupBy("key").agg(F.collect_list(F.struct("idx", "m", "win", "of")).alias("met"))
+        none = F.struct(F.lit(0).alias("idx"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("string").alias("win"), F.lit(None).cast("array<string>").alias("of"))
+        d = d.withColumn("key", key).join(meet, "key", "left").withColumn("uid", F.monotonically_increasing_id())
+        d = d.select("uid", "doc_id", "w", n.alias("n_words"), F.explode(F.concat(F.array(none), F.coalesce("met", F.array().cast("array<struct<idx: int, m: int, win: string, of: array<string>>>")))).alias("x"))
+        found = d.select("uid", "doc_id", "n_words", "w", "x.*")
+    hits = found.select("uid", "doc_id", "n_words", start.alias("start"), length.alias("len"), "m", "win", "of", F.when(F.col("idx") > 0, F.array_join(F.slice("w", F.greatest(start, F.lit(1)), length), " ")).alias("seen")).where(
+        F.col("seen").isNull() | ((F.col("seen") == F.col("win")) & (F.col("len") == F.col("m")))
     )
     hit = F.col("seen").isNotNull()
     hits = hits.select("uid", "doc_id", "n_words", F.when(hit, F.col("start")).alias("start"), F.when(hit, F.col("start") + F.col("len")).alias("end"), "of")

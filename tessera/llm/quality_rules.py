@@ -1,12 +1,12 @@
 """Quality rules: repetition figures of each document, and lines that too many documents of a host share.
 
-Everything is DataFrame functions. Lines are hashed after normalising; for each host the documents that hold a line are
-counted, with one pre-aggregated row per task, line and document. A line above the limits is removed unless its
-documents are mostly copies of one document, with the same set of lines (those are for near-duplicate removal, which
-keeps one of them); a document of which too little is left is rejected.
+Everything is DataFrame functions. Lines are hashed after normalising; for each host the distinct documents that hold a
+line are counted, pre-aggregated in each task. Documents with the same text are one document here, as they are for
+near-duplicate removal, which keeps one of them. A line above the limits is removed, and a document of which too
+little is left is rejected.
 
 Cases: null or empty text has no words and fails the base rules. Repeated rows are judged row by row and count as
-copies. A null host is a host of its own. Very long texts are judged whole; extra columns are ignored.
+one document. A null host is a host of its own. Very long texts are judged whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,21 +16,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, let, row_key, small, without
+from tessera.llm.common import Scratch, let, row_key, small, split_words, without
 
-SPACE, WORD, SYMBOLS = " \t\n\x0b\x0c\r", r"[^\x20\x09-\x0D]+", "#*$%&|<>"
+SPACE, BETWEEN, SYMBOLS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]", "#*$%&|<>"
 WINDOW = 8
 
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line goes if over `docs` documents and over `share` of its host's documents hold it, unless more than `copies`
-    of those documents are copies of one and no more than `docs` of them are different. A document goes if under
+    """A line goes if over `docs` distinct documents and over `share` of its host's hold it. A document goes if under
     `left_words` words, or under `left_share` of its words, are left."""
 
     docs: int = 20
     share: float = 0.02
-    copies: float = 0.5
     left_words: int = 20
     left_share: float = 0.25
 
@@ -74,7 +72,7 @@ def figures(docs: DataFrame, *keep: Column) -> DataFrame:
     d = docs.select("doc_id", text.alias("t"), F.col("source").alias("host"), *keep).withColumn("uid", F.monotonically_increasing_id())
     lines = F.split("t", "\n")
     worded = F.filter(lines, lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    d = d.withColumn("w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).withColumn("ln", worded)
+    d = d.withColumn("w", split_words(F.col("t"), BETWEEN)).withColumn("ln", worded)
     count = lambda c: F.size(c).cast("long")
     d = d.select(
         "uid", "doc_id", "host", *[c for c in d.columns if c not in ("uid", "doc_id", "host", "t", "w", "ln")],
@@ -89,22 +87,22 @@ def figures(docs: DataFrame, *keep: Column) -> DataFrame:
 
 
 def common_lines(d: DataFrame, limits: LineLimits) -> DataFrame:
-    """host, h: the lines above the limits. d has host and hs."""
-    h = F.array_sort(F.array_distinct(F.transform("hs", lambda x: x.h)))
-    # Copies have the same set of lines. `own` is the number of different sets among a line's documents.
-    lines = d.select("host", h.alias("hh")).select("host", F.xxhash64("hh").alias("like"), F.explode("hh").alias("h"))
-    per_line = lines.groupBy("host", "h", "like").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("own"))
-    hosts = d.groupBy("host").agg(F.count("*").alias("of"))
-    flagged = per_line.where((F.col("n") > limits.docs) & ((F.col("top") <= limits.copies * F.col("n")) | (F.col("own") > limits.docs)))
-    return flagged.alias("f").join(hosts.alias("t"), F.col("f.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > limits.share * F.col("of")).select("f.host", "h")
+    """host, h: the lines above the limits. d has host, hs, and like, a hash of the text."""
+    h = F.array_distinct(F.transform("hs", lambda x: x.h))
+    # Copies have the same text, so they are one row here.
+    of = d.select("host", "like", h.alias("hh"))
+    lines = of.select("host", "like", F.explode("hh").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    hosts = of.select("host", "like").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    common = lines.where(F.col("n") > limits.docs).alias("f").join(hosts.alias("t"), F.col("f.host").eqNullSafe(F.col("t.host")))
+    return common.where(F.col("n") > limits.share * F.col("of")).select("f.host", "h")
 
 
 def _judged(spark: SparkSession, docs: DataFrame, limits: LineLimits) -> DataFrame:
-    """uid, doc_id, the base figures, n_line_words and kept; `key` tells rows that differ in any column apart."""
-    key = row_key(docs)
+    """uid, doc_id, the base figures, n_line_words and kept; `key` tells rows of different text or host apart."""
+    key = row_key(docs, "text", "source")
     host, lines = F.col("source").alias("host"), _line_hashes(F.coalesce(F.col("text"), F.lit(""))).alias("hs")
     # The lines are counted in a light pass of their own, so that no text or figure is written or shuffled.
-    flagged = small(Scratch(spark, "quality").write(common_lines(docs.select(host, lines), limits), "common"))
+    flagged = small(Scratch(spark, "quality").write(common_lines(docs.select(host, lines, F.xxhash64("text").alias("like")), limits), "common"))
     d = figures(docs, key.alias("key"))
     # The first element, which matches no line, keeps a row of each document.
     first = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("n"))
@@ -126,7 +124,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, limits: LineLimits = Lin
 def filter_quality(spark: SparkSession, docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that the rules keep, with their columns as they were. Equal rows have equal verdicts."""
     gone = Scratch(spark, "quality").write(_judged(spark, docs, limits).where("not kept").select("key").distinct(), "gone")
-    return without(docs, gone)
+    return without(docs, gone, "text", "source")
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
-    found = decontaminate(spark, docs.select(row_key(docs).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return without(docs, Scratch(spark, "benchmark").write(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "gone"))
+    found = decontaminate(spark, docs.select(row_key(docs, "text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, Scratch(spark, "benchmark").write(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "gone"), "text")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,16 @@
 """Secret scans: fixed patterns, and what an assignment-aware reading of a text adds.
 
-The reading takes a text as source or configuration code: it lexes names, literals and assignment marks, turns them into
-(name, literal) pairs (NAME = "x", name: x, "name": "x", name: type = "x", set name x, --name=x, <name>x</name>), carries constants from
-one name to the next (a = "x"; password = a), and scores each literal by the target names that it reaches: how
-sensitive the name is, and how much the literal looks like a value rather than a word, path or placeholder.
+The reading lexes a text as source or configuration code, whichever it is: names, flags, strings (with prefixes, escapes,
+three quotes, back-quotes), marks, line ends, and gaps (blanks, continued lines, short comments). Then
+  1  targets and values are parsed into pairs: name = value, name: value, "name": value, name := value, name => value,
+     box["name"] = value, name: type = value, type name = value, name type = value, --name value, --name=value,
+     set name value, <name>value</name>, and YAML values on the lines below, with | or > or without. A value is strings and names joined by + . .. & or by
+     standing together (over line ends too), one string in a call, or a bare word;
+  2  constants are carried on: what a name is given, it gives to the names that are given it, whichever comes first, to a
+     fixpoint. So each name is as sensitive as the most sensitive name that it reaches;
+  3  a value is scored by that and by how much it looks like a value rather than a word, path or placeholder; the literals
+     of those above the threshold are spans, without their quotes.
+A text without any part of a sensitive name is not lexed: no literal of it could reach one.
 
 A text is scanned whole, by a worker that holds one batch. Spans are in code points, end exclusive.
 
@@ -15,9 +22,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,23 +36,28 @@ ASSIGN = re.compile("(" + "|".join(map(_any_case, ("password", "passwd", "secret
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-_WS, _BARE = r"[\x20\t]*+", r"[A-Za-z0-9+/_.=$@!%^&*-]++"
-_TYPE = r"&?(?:'[a-z]+\x20)?(?:[A-Za-z_][A-Za-z0-9_.]*(?:::|\x20))?(?P<type>[A-Za-z_][A-Za-z0-9_.]*)(?:[\[<][^\n=\"'`]{0,200}?[\]>])*(?:" + _WS + r"\|" + _WS + r"[A-Za-z_][A-Za-z0-9_.]*)*\??"
-#: An equals sign after a type stands apart or before a quote; x: a=b has the value a=b.
-_MARK = "(?::" + _WS + _TYPE + r"(?:[\x20\t]++=[\x20\t]++|" + _WS + "=" + _WS + "(?=[\"'`]))|(?::=|=>|[:=]))"
-_quoted = lambda quote, name: rf"(?P<{quote}>[\"'`])(?P<{name}>(?:(?!(?P={quote}))[^\\\n]|\\[^\n])++)(?P={quote})"
-_PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])[Ss][Ee][Tt][\x20\t]++(?:-[A-Za-z]+[\x20\t]++)*(?P<set>[A-Za-z_][A-Za-z0-9_.\-]{0,63})[\x20\t]++(?:""" + _quoted("mark", "put") + r"""|(?![:=]|[A-Za-z_][A-Za-z0-9_.\-]*[:=][^=\s])(?P<plain>""" + _BARE + r"""))(?=[\s;,)]|\Z)(?![\x20\t]*[:=])"""
-    r"""|(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})["']?""" + _WS + _MARK + _WS + "(?:" + _quoted("quote", "quoted") + "|(?P<bare>" + _BARE + "))"
-    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.\-]{1,63})>(?P<inner>[^<>\n]{2,}+)</(?P=tag)>"""
+_LEXER = re.compile(
+    r"""(?P<tag><(?P<of>[A-Za-z_][\w.\-]*+)>(?P<inner>[^<>\n]{2,}+)</(?P=of)>)"""
+    r"""|(?P<triple>(?:\b[rRbBfFuU]{1,2})?(?:\"{3}(?P<t1>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<t2>(?:[^'\\]|\\.|'(?!''))*+)'{3}))"""
+    r"""|(?P<string>(?<![^\W_])(?:[rRbBfFuUL]{1,2}(?=["']))?(?:"(?P<s1>(?:[^"\\\n]|\\.)*+)"|'(?P<s2>(?:[^'\\\n]|\\.)*+)'|`(?P<s3>(?:[^`\\\n]|\\.)*+)`))"""
+    r"""|(?P<gap>[\x20\t\r]++|\\\r?\n|/\*[^*=:]*+\*/)|(?P<line>\n)|(?P<flag>--[A-Za-z][\w.\-]*+)|(?P<name>[^\W\d][\w.\-]*+)"""
+    r"""|(?P<mark>:=|=>|===?|!=|<=|>=|::|\.\.|[=:+.&|>,;()\[\]{}*?!-])|(?P<other>[^\s"'`A-Za-z=:+.&|>,;()\[\]{}*?!-]++|.)""",
+    re.S,
 )
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}\Z")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=$@!%^&*-]++")
+_NAME = re.compile(r"[^\W\d][\w.]*\Z")
+_KEY = re.compile(r"[^\W\d][\w.\- ]*\Z")
+_BLOCK = re.compile(r"[\x20\t]*[|>][+-]?[\x20\t]*\n")
+_ASSIGNS, _JOINS = {"=", ":", ":=", "=>"}, {"+", ".", "..", "&"}
+_IN_TYPES = {"::", "[", "]", ".", "&", "|", "*", "?", ",", ">", "-"}
 #: Parts of target names and how far each speaks for a secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "pw": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authorization": 0.8, "bearer": 0.8, "auth": 0.6, "key": 0.5, "salt": 0.5, "signature": 0.4}
 #: Parts that make a name harmless.
 HARMLESS = {"public", "field", "label", "length", "count", "limit", "max", "min", "type", "name", "path", "file", "url", "hint", "help", "column", "id"}
 PLACEHOLDER = re.compile(r"(?i)^(?:none|null|true|false|changeme|example|your[_-].*|xxx+|\*+|\.+|todo|undefined|<.*>|\$\{?.*\}?|%.*%)$")
 THRESHOLD = 0.6
+#: No name is sensitive that holds none of these.
+_STEMS = re.compile("(?i)" + "|".join(sorted({"pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "bearer", "salt", "signature"})))
 
 
 def sensitivity(name: str) -> float:
@@ -65,21 +78,193 @@ def looks(literal: str) -> float:
     return min(1.0, 0.3 * (kinds - 1) + entropy / 6 + (0.1 if n >= 16 else 0.0))
 
 
+class _Bare(NamedTuple):
+    """A bare word that may be a name."""
+
+    name: str
+    start: int
+    end: int
+
+
+def _span(part) -> tuple[int, int]:
+    return part[1:] if isinstance(part, _Bare) else tuple(part)
+
+
+#: Where the text of a token is, by its kind.
+_INNER = {"tag": ("inner",), "triple": ("t1", "t2"), "string": ("s1", "s2", "s3")}
+
+
+class _Reader:
+    """A text's tokens, (kind, start, end, inner start, inner end) without gaps, and what is assigned to what."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens = text, []
+        #: A target and the parts of a value: a part is a literal's (start, end), or a bare word.
+        self.pairs: list[tuple[str, list]] = []
+        for m in _LEXER.finditer(text):
+            kind = m.lastgroup
+            if kind == "gap":
+                continue
+            inner = next((m.span(g) for g in _INNER.get(kind, ()) if m[g] is not None), m.span())
+            self.tokens.append((kind, *m.span(), *inner))
+        self.starts = [t[1] for t in self.tokens]
+
+    def word(self, i: int) -> str:
+        return self.text[self.tokens[i][3] : self.tokens[i][4]] if 0 <= i < len(self.tokens) else ""
+
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if 0 <= i < len(self.tokens) else ""
+
+    def after_lines(self, i: int) -> int:
+        while self.kind(i) == "line":
+            i += 1
+        return i
+
+    def atom(self, i: int, depth: int = 0) -> tuple[list, int]:
+        """The parts of what stands at i, and where it ends; no parts if it isn't a value, or one in over 50 brackets."""
+        kind = self.kind(i)
+        if kind in ("string", "triple"):
+            return [self.tokens[i][3:5]], i + 1
+        if self.word(i) == "(":
+            parts, j = self.value(i + 1, depth + 1) if depth < 50 else ([], i)
+            return (parts, j + 1) if parts and self.word(j) == ")" else ([], i)
+        if not kind or kind == "line" or not (m := _BARE.match(self.text, self.tokens[i][1])):
+            return [], i
+        a, b = m.span()
+        j = bisect_left(self.starts, b, i + 1)
+        if self.word(j) == "(" and self.tokens[j][1] == b:
+            # One string in a call: Secret("x")
+            return ([self.tokens[j + 1][3:5]], j + 3) if self.kind(j + 1) in ("string", "triple") and self.word(j + 2) == ")" else ([], i)
+        word = self.text[a:b]
+        return [_Bare(word, a, b) if _NAME.match(word) else (a, b)], j
+
+    def value(self, i: int, depth: int = 0) -> tuple[list, int]:
+        """The parts of the value at i, and where it ends."""
+        k = self.after_lines(i)
+        if k > i and self.kind(k) not in ("string", "triple"):
+            return [], i  # a value on the next line is a string
+        parts, i = self.atom(k, depth)
+        while parts:
+            k = self.after_lines(i)
+            if self.word(k) in _JOINS and self.kind(k) == "mark":
+                more, j = self.atom(self.after_lines(k + 1))
+            elif self.kind(k) in ("string", "triple") and self.kind(i - 1) in ("string", "triple") and self.word(k + 1) not in _ASSIGNS:
+                more, j = self.atom(k)
+            else:
+                break
+            if not more:
+                break
+            parts, i = parts + more, j
+        return parts, i
+
+    def below(self, i: int) -> list:
+        """The YAML value on the lines below the colon at i: what is indented further, if it isn't a mapping."""
+        text, at = self.text, self.tokens[i][2]
+        begin = text.rfind("\n", 0, at) + 1
+        indent = len(text[begin:at]) - len(text[begin:at].lstrip(" \t-"))
+        m = _BLOCK.match(text, at)
+        if m is None and self.kind(i + 1) != "line":
+            return []
+        at = m.end() if m else self.tokens[i + 1][2]
+        rows = []
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            row = text[at:end]
+            own = row.strip()
+            if own and len(row) - len(row.lstrip()) <= indent:
+                break
+            if own:
+                rows.append((at + row.index(own[0]), at + len(row.rstrip())))
+            at = end + 1
+            if m is None:
+                break
+        if m is None and rows and not _BARE.fullmatch(text, *rows[0]):
+            return []
+        return rows
+
+    def read(self) -> None:
+        t, pairs = self.tokens, self.pairs
+        for i, (kind, *_) in enumerate(t):
+            if kind == "tag":
+                m = _LEXER.match(self.text, t[i][1])
+                pairs.append((m["of"], [t[i][3:5]]))
+            elif kind == "flag" and self.word(i + 1) != "=":
+                if (parts := self.value(i + 1)[0]) and self.kind(i + 1) != "line":
+                    pairs.append((self.word(i).lstrip("-"), parts))
+            elif kind == "name" and self.word(i).lower() == "set":
+                j = i + 1
+                while self.word(j) == "-" and self.kind(j + 1) == "name":
+                    j += 2
+                if self.kind(j) == "name" and self.kind(j + 1) not in ("line", "") and not (self.kind(j + 1) == "mark" and self.word(j + 1) in _ASSIGNS):
+                    parts, k = self.value(j + 1)
+                    if parts and not (self.kind(k) == "mark" and self.word(k) in _ASSIGNS):
+                        pairs.append((self.word(j), parts))
+            elif kind == "mark" and self.word(i) in _ASSIGNS and i:
+                self.assignment(i)
+
+    def assignment(self, i: int) -> None:
+        names = []
+        k = i - 1
+        if self.word(k) == "]" and self.kind(k - 1) == "string":  # box["name"] =
+            names.append(self.word(k - 1))
+        elif self.kind(k) in ("name", "flag"):
+            names.append(self.word(k).lstrip("-"))
+            if self.kind(k - 1) == "name" and self.word(i) != ":":  # name type =
+                names.append(self.word(k - 1))
+        elif self.kind(k) == "string" and _KEY.match(self.word(k)):
+            names.append(self.word(k))
+        if not names:
+            # name: type[of, it] =
+            if self.word(i) != "=" or self.word(k) not in ("]", ">", "?"):
+                return
+        if self.word(i) == "=":
+            # What stands between a colon and an equals sign is a type, if there is only what types are made of.
+            while k >= 0 and (self.kind(k) in ("name", "other") or self.kind(k) == "mark" and self.word(k) in _IN_TYPES) and i - k < 64:
+                k -= 1
+            if self.word(k) == ":" and self.kind(k - 1) == "name":
+                names.append(self.word(k - 1))
+        parts, j = self.value(i + 1)
+        if self.word(i) == ":":
+            if len(parts) == 1 and isinstance(parts[0], _Bare) and self.kind(j) == "mark" and self.word(j) in ("=", "[", "<"):
+                return  # a type
+            parts = parts or self.below(i)
+        if parts:
+            self.pairs.extend((n.rstrip(".-"), parts) for n in dict.fromkeys(names))
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """The literals that reach a sensitive name, directly or through constants."""
-    held: dict[str, tuple[int, int, str]] = {}
-    found = set()
-    for m in _PAIR.finditer(text):
-        name = m["name"] or m["tag"] or m["set"]
-        group = next(g for g in ("quoted", "bare", "inner", "put", "plain") if m[g] is not None)
-        value, at = m[group], (m.start(group), m.end(group))
-        if group in ("bare", "plain") and _NAME.match(value) and (known := held.get(value)):
-            at, value = known[:2], known[2]
-        # In `settings: password = x` what stands for a type is a name.
-        for n in filter(None, (name, m["type"])):
-            held[n] = (*at, value)
-            if (s := sensitivity(n)) and s * looks(value) >= THRESHOLD * 0.5 and looks(value) >= THRESHOLD:
-                found.add(at)
+    if not _STEMS.search(text):
+        return []
+    r = _Reader(text)
+    r.read()
+    known = {n for n, _ in r.pairs}
+    # A bare word that is a known name stands for what that name is given.
+    pairs = [(n, [p.name if isinstance(p, _Bare) and p.name in known and p.name != n else p for p in parts]) for n, parts in r.pairs]
+    own = {n: sensitivity(n) for n in known}
+    reach, waiting = dict(own), [n for n in known if own[n]]
+    given: dict[str, set[str]] = {}
+    for n, parts in pairs:
+        given.setdefault(n, set()).update(p for p in parts if isinstance(p, str))
+    while waiting:
+        n = waiting.pop()
+        for m in given.get(n, ()):
+            if reach[m] < reach[n]:
+                reach[m] = reach[n]
+                waiting.append(m)
+    # What a name is given as a literal stands for it where values are joined.
+    told = {n: text[slice(*_span(parts[0]))] for n, parts in pairs if len(parts) == 1 and not isinstance(parts[0], str)}
+    show = lambda p: told.get(p, "") if isinstance(p, str) else text[slice(*_span(p))]
+    found, until = set(), 0
+    for n, parts in pairs:
+        spans = [_span(p) for p in parts if not isinstance(p, str)]
+        # In a run like key=x=y the value of x lies within that of key.
+        if (s := reach[n]) and spans and not (len(spans) == 1 and spans[0][1] == until):
+            look = looks("".join(map(show, parts)))
+            if s * look >= THRESHOLD * 0.5 and look >= THRESHOLD:
+                found.update(x for x in spans if x[0] < x[1])
+                until = spans[-1][1]
     return sorted(found)
 
 
@@ -94,7 +279,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text or "</" in text or "set" in low:
+    if "=" in text or ":" in text or "</" in text or "--" in text or "set" in low:
         base = sorted((a, b) for _, a, b in spans)
         starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
         covered = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b

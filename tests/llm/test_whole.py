@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pyarrow as pa
+import pytest
 
 from tessera.llm import chat, jaccard, packing, quality_rules, secrets, suffix_dedup
 
@@ -89,3 +90,37 @@ def test_verify_reads_each_rows_texts():
     for ta, tb in (([one, two, None], [two, two, two]), ([two, two], [one, two])):
         batch = pa.record_batch([pa.array([1] * len(ta), pa.int64()), pa.array([2] * len(ta), pa.int64()), pa.array(ta), pa.array(tb)], ["a", "b", "ta", "tb"])
         assert [len(x) for x in jaccard._verify([batch])] == [1]
+
+
+VALUE = "Zk93+xQp77/aa"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"set db_password {VALUE}", f"run --db-pw {VALUE} --verbose", f"run --db-pw={VALUE}", f'pw\t=\t"{VALUE}"', f'pw =\n    "{VALUE}"', f"db:\n  pw: |\n    {VALUE}\n  host: x", f"pw: >-\n  {VALUE}\nx: 1", f"pw:\n  {VALUE}\n", f'pw = """{VALUE}"""', f"pw = f'{VALUE}'",
+        f'cfg["db_pw"] = "{VALUE}"', f'{{"db_pw": "{VALUE}"}}', f'const char *db_pw = "{VALUE}";', f'var dbPw string = "{VALUE}"', f'String dbPw = "{VALUE}";', f"db_pwd: Optional[str] = '{VALUE}'", f'pw => "{VALUE}"', f"pw := `{VALUE}`", f'pw = Secret("{VALUE}")', f"<apiPw>{VALUE}</apiPw>",
+        f"export DB_PW={VALUE}", f"[db]\ndb_pw={VALUE}\nhost = x", f'pw = k\nk = "{VALUE}"', f'k = "{VALUE}"\nj = k\nauth_pw = j', f'auth_pw = j\nj = k\nk = "{VALUE}"', f'pw = /* here */ "{VALUE}"',
+    ],
+)
+def test_syntaxes(text):
+    """The value, and nothing else, of each syntax of source, shell, YAML and INI files that the docstring names."""
+    assert [text[a:b] for a, b in secrets.literals(text)] == [VALUE]
+
+
+def test_joined_values():
+    """Each part of a joined value is a span; names within it stand for what they are given."""
+    parts = lambda t: [t[a:b] for a, b in secrets.literals(t)]
+    for text in ('pw = "Zk93+xQ" + "p77/aa"', 'pw = ("Zk93+xQ"\n      "p77/aa")', '$db_pw = "Zk93+xQ" . "p77/aa";', "pw = 'Zk93+xQ' \\\n 'p77/aa'", 'pw = a + "p77/aa"\na = "Zk93+xQ"'):
+        assert set(parts(text)) >= {"p77/aa"} and "p77/aa" not in secrets.redacted(text), text
+    for text in ("don't say the key: it isn't nice, can't tell", "password = get_password()", 'label_key = "plain words"', "The key = a concept of great importance", "a = b\nb = a\npw = a", "key: value\nother:\n  - x", 'pw = "', "pw = '''", '"""', "=" * 50_000, "pw" + "=" * 50_000):
+        assert parts(text) == [], text[:50]
+
+
+def test_lexing_is_linear():
+    import time
+
+    began = time.time()
+    for text in ("pw = x " * 40_000, "'" * 100_000 + " key", '"""' * 30_000 + " key", "/*" * 50_000 + "key", "<key>" * 40_000, "key: |\n" * 20_000, "key=" * 20_000, "[" * 100_000 + "key", "key = " + "(" * 50_000):
+        secrets.literals(text)
+    assert time.time() - began < 30

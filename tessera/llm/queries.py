@@ -10,7 +10,7 @@ from tessera.llm.decontam import op1
 from tessera.llm.jaccard import op2
 from tessera.llm.katz import op3
 from tessera.llm.packing import op8
-from tessera.llm.quality_rules import op9
+from tessera.llm.quality_rules import FIGURES, op9
 from tessera.llm.rans import op10
 from tessera.llm.secrets import op6
 from tessera.llm.suffix_dedup import op4
@@ -30,6 +30,9 @@ def queries() -> dict:
         "op9_quality_rules": lambda s, d: op9(s, docs(s, d)),
         "op10_rans_ids": lambda s, d: op10(s, docs(s, d)),
         "pipeline": corpus_pipeline.run,
+        # What SQL can tell of op6 and op9: their figures without the method's own spans and verdicts.
+        "base_secret_counts": lambda s, d: op6(docs(s, d)).select("doc_id", "n_assign", "n_access", "n_hex"),
+        "base_quality_figures": lambda s, d: op9(s, docs(s, d)).select("doc_id", *FIGURES),
     }
 
 
@@ -72,9 +75,24 @@ SELECT d.doc_id, octet_length(d.b) AS n_bytes, CAST(coalesce(k.n, 0) AS BIGINT)
 FROM d LEFT JOIN kept k USING (doc_id)"""
 
 
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+BASE_SECRETS = f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+BASE_QUALITY = r"""
+WITH d AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN repeats USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can express. Scores, packings, files and lexing are held against plain Python in tests/llm."""
-    out = {"op1_decontamination": OP1, "op2_ngram_jaccard": OP2, "op4_suffix_dedup": OP4}
+    out = {"op1_decontamination": OP1, "op2_ngram_jaccard": OP2, "op4_suffix_dedup": OP4, "base_secret_counts": BASE_SECRETS, "base_quality_figures": BASE_QUALITY}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
@@ -232,11 +233,124 @@ def test_classifier(spark):
     out = classifier.op5(spark, docs, labels)
     j = out.join(labels, "doc_id").where("held_out").collect()
     right = sum(r.predicted == r.quality for r in j)
-    assert right / len(j) > 0.93 and all(r.predicted == 1 for r in j if r.quality == 1)
+    assert right / len(j) > max(0.93, sum(r.quality for r in j) / len(j) + 0.05) and all(r.predicted == 1 for r in j if r.quality == 1)
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (4, "é" * 70000)], "doc_id long, text string")
     assert all(0 <= r.score <= 1 for r in classifier.op5(spark, odd, labels.where("false")).collect())
 
 
+def test_features_by_loops():
+    """One bucket for each word and each 3 and 4 bytes of a word, equal for equal bytes (a word's, too), text by text."""
+    text = ["ab abc abcd é", "", "abcd  ab"]
+    raw = [t.encode() for t in text]
+    f, at = classifier.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    own = [[w.encode() for w in t.split()] + [w[i : i + n] for n in (3, 4) for w in (x.encode() for x in t.split()) for i in range(len(w) - n + 1)] for t in text]
+    assert np.diff(at).tolist() == [len(x) for x in own]
+    seen = {}
+    for names, a, b in zip(own, at[:-1], at[1:]):
+        assert all(seen.setdefault(k, x) == x for k, x in zip(names, f[a:b].tolist()))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_training_by_loops(monkeypatch):
+    """The vectorised steps against the same steps by plain loops, on 20 rows; and the score against the mean by hand."""
+    monkeypatch.setattr(classifier, "BITS", 6)
+    monkeypatch.setattr(classifier, "EPOCHS", 3)
+    r = random.Random(9)
+    rows = []
+    for i in range(20):
+        at = np.array(sorted(r.sample(range(64), 6)), np.int32)
+        share = np.array([r.random() for _ in at], np.float32)
+        rows.append((at, share / share.sum(), i % 2))
+    rng = np.random.default_rng(classifier.SEED)
+    emb = rng.uniform(-1 / classifier.DIM, 1 / classifier.DIM, (64, classifier.DIM)).astype(np.float32).tolist()
+    out, bias = [[0.0] * classifier.DIM for _ in range(2)], [0.0, 0.0]
+    for epoch in range(3):
+        rate = classifier.RATE * (1 - epoch / 3)
+        for i in rng.permutation(20):
+            at, share, y = rows[i]
+            v = [sum(float(s) * emb[a][k] for a, s in zip(at, share)) for k in range(classifier.DIM)]
+            z = [sum(o[k] * v[k] for k in range(classifier.DIM)) + b for o, b in zip(out, bias)]
+            e = [2.718281828459045 ** (x - max(z)) for x in z]
+            p = [x / sum(e) - (c == y) for c, x in enumerate(e)]
+            grad = [rate * sum(p[c] * out[c][k] for c in range(2)) for k in range(classifier.DIM)]
+            for c in range(2):
+                out[c] = [o - rate * p[c] * x for o, x in zip(out[c], v)]
+                bias[c] -= rate * 0.1 * p[c]
+            for a, s in zip(at, share):
+                emb[a] = [x - 20 * float(s) * g for x, g in zip(emb[a], grad)]
+    want = [sum(x * (o1 - o0) for x, o0, o1 in zip(e, *out)) for e in emb]
+    weights, b = classifier.train(rows)
+    assert weights == pytest.approx(want, abs=1e-4) and b == pytest.approx(bias[1] - bias[0], abs=1e-5)
+
+
+def test_classifier_held_out(spark):
+    """Far better than the best constant, and in ranking, on the fold that it never saw."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
+    rows = [(r.score, r.quality, r.predicted) for r in classifier.op5(spark, docs, labels).join(labels, "doc_id").where("held_out and quality is not null").collect()]
+    low, high = ([s for s, q, _ in rows if q == k] for k in (0, 1))
+    auc = sum((h > x) + (h == x) / 2 for h in high for x in low) / len(high) / len(low)
+    right = sum(q == p for _, q, p in rows) / len(rows)
+    constant = max(len(low), len(high)) / len(rows)
+    found = sum(p == 0 for _, q, p in rows if q == 0) / len(low)
+    print(f"op5 held out: {len(rows)} rows, AUC {auc:.3f}, accuracy {right:.3f} (constant {constant:.3f}), label 0 found {found:.2f}")
+    assert auc > 0.85 and right > constant + 0.08 and found > 0.7
+
+
+def test_chat_by_all_paths(spark):
+    """Roles of short transcripts without stated roles are those of the best of all paths."""
+    import itertools
+
+    r = random.Random(3)
+    says = ["hello?", "Sure, here is it", "- a", "what is this", "You are a helper", "fine", "Assistant: done", "User: x\ny"]
+    rows = [(c, t, None, r.choice(says)) for c in range(40) for t in range(r.randint(1, 5))]
+    got = {}
+    for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got.setdefault(x.conv_id, []).extend([x.role] * x.n_lines)
+    for c in range(40):
+        lines = [(line, None, i == 0) for k, _, _, t in rows if k == c for i, line in enumerate(t.split("\n"))]
+        said = [chat.emissions(t, s) for t, s, _ in lines]
+
+        def worth(path, lines=lines, said=said):
+            steps = ((chat.BETWEEN if begins or chat.MARKER.match(t) else chat.WITHIN)[a][b] for (t, _, begins), a, b in zip(lines[1:], path, path[1:]))
+            return chat.FIRST[path[0]] + sum(e[s] for e, s in zip(said, path)) + sum(steps)
+
+        best = max(map(worth, itertools.product(range(3), repeat=len(lines))))
+        assert worth([chat.ROLES.index(x) for x in got[c]]) == pytest.approx(best)
+
+
+def test_chat_without_roles(spark):
+    """With the stated roles blanked most turns still get theirs."""
+    real = table(spark, "/root/testdata/sf0.1", "conversations").where("role in ('system', 'user', 'assistant') and trim(text) <> ''")
+    told = real.select("conv_id", "turn", "role").dropDuplicates(["conv_id", "turn"])
+    out = chat.format_chats(real.selectExpr("conv_id", "turn", "CAST(NULL AS STRING) AS role", "text")).select("conv_id", "turn", "role").dropDuplicates(["conv_id", "turn"])
+    j = {(r.said, r.right): r.n for r in told.withColumnRenamed("role", "said").join(out, ["conv_id", "turn"], "left").selectExpr("said", "coalesce(role = said, false) AS right").groupBy("said", "right").agg(F.count("*").alias("n")).collect()}
+    n, ok = sum(j.values()), sum(v for (_, right), v in j.items() if right)
+    print(f"op7 without stated roles: {ok} of {n} turns, by role {sorted(j.items())}")
+    assert ok > 0.8 * n
+
+
+def test_chat_empty(spark):
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_sql(spark):
+    """Each query with SQL against DuckDB, on the smallest tables."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    c = duckdb.connect()
+    for t in os.listdir(SF):
+        c.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{SF}/{t}'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, SF)
+        cols = sorted(df.columns)
+        res = c.execute(sql)
+        names = [x[0] for x in res.description]
+        assert sorted(names) == cols
+        assert sorted(map(repr, (tuple(r[x] for x in cols) for r in df.collect()))) == sorted(map(repr, (tuple(r[names.index(x)] for x in cols) for r in res.fetchall()))), name
+
+
 def test_chat(spark):
     rows = [
         (1, 0, None, "System: You are a helpful assistant."), (1, 1, None, "Human: how do I sort a list?\nplease"), (1, 2, None, "AI: Sure, use sort:\n- a\n- b"), (1, 3, None, "### User: thanks?\n**Assistant:** welcome"),

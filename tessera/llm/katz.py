@@ -1,18 +1,19 @@
-"""Language-model scores: a bigram model with Katz back-off.
-
-P(w | v) = d(c) c(v w) / c(v) where the pair is in the table, else alpha(v) P(w); P(w) = d(c) c(w) / N for words of the
-training texts, and what the discounts leave is the unknown word's. d are Good-Turing discounts (up to a count of GT),
-and alpha(v) makes the probabilities that follow v add up to one exactly. Pairs seen once get no entry (Katz's own
-advice): their mass goes to back-off; every pair is counted all the same.
-
-A text's log10 probability is the sum over its tokens of log alpha(before) + log P(token), and a correction for each
-pair of the table. So
-  pass 1 counts pairs: each task adds up its own, packed by bucket; a word's count is that of the pairs it begins;
-  SQL   derives discounts, alpha and corrections, as tables partitioned by kind;
-  pass 2 sends each task's distinct pairs, with the documents they occur in, to the buckets of the tables, and each
-        task's documents get their sums back.
-Words and pairs that make up at least 1 / HOT of the training tokens (so HOT of them at most) are scored in the task, so
-that no bucket grows with a frequent word.
+"""Language-model scores: n-grams of any order with Katz back-off, evaluated recursively.
+
+P(w | h) = d(c) c(h w) / c(h) where training saw h w, else alpha(h) P(w | h'), h' being h without its first word, down to
+P(w) = d(c) c(w) / N of known words, and what the discounts leave for an unknown word. The d are Good-Turing discounts
+of each order (up to a count of GT), and alpha(h) makes the probabilities that follow h add up to one exactly. Every
+n-gram of the training texts is in the model, whatever its count. Texts begin with as many start marks as a context
+holds; the end counts as a token.
+
+The corpus is packed into blocks of word numbers, the unit of recovery. Each order takes one exchange: a block sends its
+distinct n-grams, by context, to the buckets of that order, with how often its training texts hold them; a bucket adds
+them up, keeps its part of the table, and answers each block with the counts of its n-grams, and the profile of
+each of its contexts: how many n-grams were seen once to GT times, the sum of the other counts, and the sum of the lower
+order's probabilities of those seen. From that a block has d, alpha and P of its tokens, hence what the next order needs:
+an n-gram that was seen has a seen suffix, whose probability is told by two whole numbers.
+A context of over 1 / HOT of all tokens (so HOT of them at most) is dealt to several buckets by the word that follows;
+its profile is added up, and broadcast. The table's parts are rows of a Parquet table for each order (see `table_of`).
 
 Cases: null or empty text is the end token alone. Repeated rows are counted and scored each. A null doc_id is in no
 fold: it is trained on, and held_out is false. Without training texts every token is unknown.
@@ -21,7 +22,6 @@ fold: it is trained on, and held_out is false. Without training texts every toke
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,367 +32,441 @@ from tessera.llm.common import Scratch, free_shuffles, held_out
 from tessera.llm.kernel import mix, spans, texts, word_hashes
 
 START, END = np.uint64(1), np.uint64(2)
-GT, HOT, SPREAD = 5, 1 << 15, 16
-#: Bytes of text to a bucket.
-BUCKET = 12 << 20
-#: So many tokens are sorted at once in a task, in pass 2 and in pass 1.
-TOKENS, COUNTED = 2_200_000, 1_500_000
+GT, HOT, ORDER = 5, 1 << 20, 2
+#: Tokens to a block, to a bucket, and of one context to a bucket.
+TOKENS, BUCKET, SPLIT = 1_000_000, 1_500_000, 500_000
 _A = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Of a context: n-grams seen once to GT times, and the sum of the other counts.
+PROFILE = GT + 1
+_ROWS = "kind int, block long, bucket int, a binary, b binary, c binary, d binary, e binary, stats array<long>"
 
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * _A + w)
+def _z(x: np.ndarray, kind: str = "<u8") -> bytes:
+    raw = x.astype(kind).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
 
 
-def pairs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Before, token, and the number of the text, of each token of the texts."""
-    starts, ends, first = spans(data, off)
-    w = word_hashes(data, starts, ends)
-    n = np.diff(first)
-    token = np.insert(w, first[1:], END)
-    before = np.insert(w, first[:-1], START)
-    return before, token, np.repeat(np.arange(len(n)), n + 1)
+def _un(z: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.frombuffer(pa.decompress(z[8:], int.from_bytes(z[:8], "little"), "zstd"), kind) if z else np.zeros(0, kind)
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * _A + w)
 
 
-def _spread(z: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(z), "<u4").astype(np.int64)
+def _begins(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new value begins among sorted ones."""
+    n = len(sorted_keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
-def _count(n_buckets: int):
-    def packed(parts):
-        v, w, c = (np.concatenate(x) for x in zip(*parts))
-        p = pair_key(v, w)
-        order = np.argsort(p, kind="stable")
-        p = p[order]
-        new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        return v[order[new]], w[order[new]], np.add.reduceat(c[order], new)
+def _pack(limit: int):
+    """Blocks: docs, flags (1: no doc_id, 2: held out), tokens to each, distinct word hashes, and the words' numbers."""
 
-    def sent(parts):
-        """What is gathered, by bucket; parts is emptied."""
-        v, w, c = packed(parts)
-        parts.clear()
-        bucket = (((mix(v) >> np.uint64(8)) + (mix(w) % np.uint64(SPREAD)) * np.uint64(0x9E3779B1)) % np.uint64(n_buckets)).astype(np.int32)
-        order = np.lexsort((v, bucket))
-        v, w, c, bucket = v[order], w[order], c[order], bucket[order]
-        at = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        for b in range(n_buckets):
-            i, j = at[b], at[b + 1]
-            if i < j:
-                u, n = np.unique(v[i:j], return_counts=True)
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([u.tobytes()]), pa.array([_squeeze(n)]), pa.array([w[i:j].tobytes()]), pa.array([_squeeze(c[i:j])])], ["bucket", "v", "n", "w", "c"])
+    def block(part: int, k: int, held: list):
+        ids, flags, lens, tokens = (np.concatenate(x) for x in zip(*held))
+        words, at = np.unique(tokens, return_inverse=True)
+        cols = [[(part << 32) + k], [ids.tobytes()], [flags.tobytes()], [_z(lens)], [words.tobytes()], [_z(at, "<u4")]]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64()] + [pa.binary()] * 5)], ["block", "docs", "flags", "lens", "words", "at"])
 
     def run(batches):
-        parts, size = [], 0
+        from pyspark import TaskContext
+
+        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
         with np.errstate(over="ignore"):
             for batch in batches:
-                for _, _, data, off in texts(batch):
-                    v, w, _ = pairs(data, off)
-                    if len(v):
-                        parts.append((v, w, np.ones(len(v), np.int32)))
-                        size += len(v)
-                    if size >= COUNTED:
-                        yield from sent(parts)
-                        size = 0
-            if parts:
-                yield from sent(parts)
+                null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flags = (null + 2 * batch.column("held_out").to_numpy(zero_copy_only=False)).astype(np.uint8)
+                for i, j, data, off in texts(batch):
+                    starts, ends, first = spans(data, off)
+                    held.append((ids[i:j], flags[i:j], np.diff(first) + 1, np.insert(word_hashes(data, starts, ends), first[1:], END)))
+                    size += len(held[-1][3])
+                    if size >= limit:
+                        yield block(part, k, held)
+                        k, size = k + 1, 0
+                        held.clear()
+            if held:
+                yield block(part, k, held)
         pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _merge(t: pa.Table) -> pa.Table:
-    """All counts of a bucket: kind 0 is a word (v) as what a pair begins with, 1 a pair seen twice or more, 2 the number of pairs (c) seen w times."""
-    v = np.concatenate([np.repeat(np.frombuffer(a.as_py(), np.uint64), _spread(b.as_py())) for a, b in zip(t["v"], t["n"])])
-    w = np.concatenate([np.frombuffer(a.as_py(), np.uint64) for a in t["w"]])
-    c = np.concatenate([_spread(a.as_py()) for a in t["c"]])
-    with np.errstate(over="ignore"):
-        p = pair_key(v, w)
-    order = np.argsort(p, kind="stable")
-    p = p[order]
-    new = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    v, w, c = v[order[new]], w[order[new]], np.add.reduceat(c[order], new)
-    o = np.argsort(v, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], v[o][1:] != v[o][:-1]]))
-    words, begins = v[o][first], np.add.reduceat(c[o], first)
-    often = c >= 2
-    of = np.bincount(np.minimum(c, GT + 2), minlength=GT + 3)
-    r = np.arange(1, GT + 2)
-    kind = np.repeat([0, 1, 2], [len(words), often.sum(), len(r)])
-    return pa.table(
-        {
-            "kind": pa.array(kind.astype(np.int32)),
-            "v": pa.array(np.concatenate([words, v[often], np.zeros(len(r), np.uint64)]).view(np.int64)),
-            "w": pa.array(np.concatenate([np.zeros(len(words), np.uint64), w[often], r.astype(np.uint64)]).view(np.int64)),
-            "c": pa.array(np.concatenate([begins, c[often], of[r]]).astype(np.int64)),
-        }
-    )
-
-
-def discounts(of: dict[int, int], least: int = 1) -> list[float]:
-    """d(r) for r from 0 to GT by Good and Turing from the counts of counts; (r - 0.5) / r where those don't serve; 0 below `least`."""
-    out = [0.0]
-    n1 = of.get(1, 0)
-    tail = (GT + 1) * of.get(GT + 1, 0) / n1 if n1 else 1.0
-    for r in range(1, GT + 1):
-        d = 0.0
-        if n1 and of.get(r, 0) and tail < 1:
-            d = ((r + 1) * of.get(r + 1, 0) / (r * of[r]) - tail) / (1 - tail)
-        out.append((d if 0 < d < 1 else (r - 0.5) / r) if r >= least else 0.0)
-    return out
+class Model:
+    """What a block needs besides the answers, for each order: d, and the profiles of split contexts, sorted by key."""
+
+    def __init__(self):
+        self.n = self.types = self.n_docs = 0
+        self.total = self.unknown = 1.0
+        self.n_buckets = 2
+        #: Contexts that occur more often than `large` are dealt to several buckets, `piece` of their tokens to each.
+        self.large = self.piece = SPLIT
+        self.discounts: list[list[float]] = [[]]
+        self.split: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [None, None]
+
+    def kept(self, c: np.ndarray, order: int) -> np.ndarray:
+        """d(c) c"""
+        few = np.array(self.discounts[order]) * np.arange(GT + 1)
+        return np.where(c > GT, c, few[np.minimum(c, GT)])
+
+    def weights(self, den: np.ndarray, profile: np.ndarray, below: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context what its counts are divided by, and alpha. Where no discount leaves anything, one more token
+        than was seen is taken to have followed. An unseen context leaves all to the lower order."""
+        d = np.array(self.discounts[order])
+        kept = profile[:, :GT] @ (d[1:] * np.arange(1, GT + 1)) + profile[:, GT]
+        by = np.where(kept >= den * (1 - 1e-9), den + 1, den).astype(np.float64)
+        least = self.unknown if order == 2 else 1e-15
+        alpha = np.where(den > 0, (by - kept) / np.maximum(by, 1) / np.maximum(1 - below, least), 1.0)
+        return np.maximum(by, 1), alpha
+
+
+class Block:
+    """A block's tokens, and the orders that are known of them."""
+
+    def __init__(self, row: dict, model: Model):
+        self.model = model
+        self.docs, self.flags, self.lens = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["flags"], "u1"), _un(row["lens"]).astype(np.int64)
+        self.words, self.at = np.frombuffer(row["words"], np.uint64), _un(row["at"], "<u4").astype(np.int64)
+        self.w = self.words[self.at]
+        self.begin = np.zeros(len(self.at), bool)
+        self.begin[np.cumsum(self.lens) - self.lens] = True
+        self.train = np.repeat(self.flags & 2 == 0, self.lens)
+        self.gram, self.order = self.w, 1
+
+    def shifted(self, x: np.ndarray, first) -> np.ndarray:
+        """Of each token what x says of the one before; `first` at the beginning of a text."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.begin] = first
+        return out
+
+    def learn_words(self, counts: np.ndarray) -> None:
+        """The counts of the block's words give P(w)."""
+        m = self.model
+        self.count = counts.astype(np.int64)[self.at]
+        self.known = self.count
+        self.by = np.full(len(self.at), m.total)
+        self.p = np.where(self.count > 0, m.kept(self.count, 1) / m.total, m.unknown)
+
+    def next_order(self) -> None:
+        """Contexts and n-grams of the next order, sorted by bucket, context and n-gram."""
+        m = self.model
+        self.context = self.shifted(self.gram, START)
+        self.den = self.shifted(self.count, m.n_docs)
+        self.gram = pair_key(self.context, self.w)
+        self.order += 1
+        key, at, self.of = np.unique(self.gram, return_index=True, return_inverse=True)
+        context, den = self.context[at], self.den[at]
+        several = np.where(den > m.large, -(-den // m.piece), 1).astype(np.uint64)
+        bucket = mix(context + mix(self.w[at]) % several) if len(at) else context
+        self.bucket = (bucket % np.uint64(m.n_buckets)).astype(np.int64)
+        self.sorted = np.lexsort((key, context, self.bucket))
+        self.keys, self.first = key, at
+
+    def send(self):
+        """A row for each bucket: contexts, n-grams to each, their c(h); n-grams, times here, and the two numbers that tell
+        the lower order's probability."""
+        s = self.sorted
+        context, bucket, at = self.context[self.first][s], self.bucket[s], self.first[s]
+        here = np.bincount(self.of, self.train, len(self.keys))[s].astype(np.int64)
+        cuts = np.append(_begins(bucket), len(s))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if i == j:
+                continue
+            new = _begins(context[i:j])
+            n = np.diff(np.append(new, j - i))
+            told = np.stack([here[i:j], self.count[at[i:j]], self.by[at[i:j]].astype(np.int64) if self.order > 2 else np.zeros(j - i, np.int64)])
+            yield int(bucket[i]), context[i:j][new].tobytes(), _z(np.stack([n, self.den[at[i:j]][new]])), self.keys[s[i:j]].tobytes(), _z(told)
+
+    def learn(self, answers: list[dict]) -> None:
+        """Counts and profiles, by bucket, give P of this order."""
+        m, s = self.model, self.sorted
+        answers = sorted(answers, key=lambda r: r["bucket"])
+        counts = np.concatenate([_un(r["a"]) for r in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
+        profile = np.concatenate([_un(r["b"]).reshape(PROFILE, -1).T for r in answers]).astype(np.int64) if answers else np.zeros((0, PROFILE), np.int64)
+        below = np.concatenate([_un(r["c"], "<f8") for r in answers]) if answers else np.zeros(0)
+        context, bucket = self.context[self.first][s], self.bucket[s]
+        new = _begins(bucket, context)
+        own = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(s))))
+        keys, many, under = m.split[self.order]
+        if len(keys) and len(new):
+            at = np.minimum(np.searchsorted(keys, context[new]), len(keys) - 1)
+            hit = keys[at] == context[new]
+            profile, below = profile.copy(), below.copy()
+            profile[hit], below[hit] = many[at[hit]], under[at[hit]]
+        by, alpha = m.weights(self.den[self.first[s]][new], profile, below, self.order)
+        place = np.empty(len(s), np.int64)
+        place[s] = np.arange(len(s))
+        place = place[self.of]
+        self.count = counts[place]
+        self.by = by[own[place]]
+        self.p = np.where(self.count > 0, m.kept(self.count, self.order) / self.by, alpha[own[place]] * self.p)
+
+
+def _known(row: dict, answers: list[dict], model: Model) -> Block:
+    """A block with all orders that have been answered."""
+    x = Block(row, model)
+    mine = [r for r in answers if r["order"] == 1]
+    counts = np.concatenate([_un(r["a"]) for r in sorted(mine, key=lambda r: r["bucket"])]) if mine else np.zeros(0)
+    x.learn_words(counts[np.argsort(np.argsort(x.words % np.uint64(model.n_buckets), kind="stable"), kind="stable")] if len(counts) else counts)
+    for order in range(2, max((r["order"] for r in answers), default=1) + 1):
+        x.next_order()
+        x.learn([r for r in answers if r["order"] == order])
+    return x
+
+
+_SENT = ["bucket", "block", "a", "b", "c", "d"]
+
+
+def _sent(rows) -> pa.Table:
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(_SENT, zip(*rows) if rows else [[]] * 6, types)})
+
+
+def _send_words(n_buckets: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = Block(row, None)
+                here = np.bincount(x.at, x.train, len(x.words)).astype(np.int64)
+                bucket = (x.words % np.uint64(n_buckets)).astype(np.int64)
+                s = np.argsort(bucket, kind="stable")
+                cuts = np.append(_begins(bucket[s]), len(s))
+                rows = [(int(bucket[s[i]]), row["block"], x.words[s[i:j]].tobytes(), b"", b"", _z(here[s[i:j]])) for i, j in zip(cuts[:-1], cuts[1:])]
+                yield from _sent(rows).to_batches()
 
+    return run
 
-def _discounted(c, d: list[float]):
-    """d(c) c as a column."""
-    x = F.lit(0.0)
-    for r in range(1, GT + 1):
-        x = F.when(c == r, r * d[r]).otherwise(x)
-    return F.when(c > GT, c.cast("double")).otherwise(x)
 
+def _stats(c: np.ndarray) -> list[int]:
+    """Sum and number of the counts, and how many are 1 to GT + 1."""
+    c = c[c > 0]
+    return [int(c.sum()), len(c), *np.bincount(np.minimum(c, GT + 2), minlength=GT + 3)[1 : GT + 2].tolist()]
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    names = ["kind", "block", "bucket", "a", "b", "c", "d", "e", "stats"]
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*rows), types)})
+
+
+def _merge_words(t: pa.Table) -> pa.Table:
+    """Kind 0 answers a block; kind 1 is the bucket's part of the table: words and counts."""
+    bucket = t["bucket"][0].as_py()
+    words = [np.frombuffer(x.as_py(), np.uint64) for x in t["a"]]
+    here = np.concatenate([_un(x.as_py()) for x in t["d"]]).astype(np.int64)
+    every, at = np.unique(np.concatenate(words), return_inverse=True)
+    c = np.bincount(at, here, len(every)).astype(np.int64)
+    ends = np.cumsum([len(x) for x in words])
+    rows = [(0, b, bucket, _z(c[at[e - len(x) : e]]), b"", b"", b"", b"", None) for b, x, e in zip(t["block"].to_pylist(), words, ends)]
+    seen = c > 0
+    return _answers([*rows, (1, 0, bucket, every[seen].tobytes(), _z(c[seen]), b"", b"", b"", _stats(c))])
+
+
+def _merge(shared, order: int):
+    """Kind 0 answers a block; kind 1 is the bucket's part of the table: contexts, n-grams to each, c(h), n-grams with counts,
+    profiles and sums of lower probabilities; kind 2 the same profiles of contexts that other buckets have, too."""
+
+    def run(t: pa.Table) -> pa.Table:
+        m, bucket = shared.value, t["bucket"][0].as_py()
+        contexts = [np.frombuffer(x.as_py(), np.uint64) for x in t["a"]]
+        sizes = [_un(x.as_py()).reshape(2, -1).astype(np.int64) for x in t["b"]]
+        grams = [np.frombuffer(x.as_py(), np.uint64) for x in t["c"]]
+        told = np.concatenate([_un(x.as_py()).reshape(3, -1) for x in t["d"]], axis=1).astype(np.int64)
+        heads, of_head = np.unique(np.concatenate(contexts), return_inverse=True)
+        den = np.zeros(len(heads), np.int64)
+        den[of_head] = np.concatenate([s[1] for s in sizes])
+        head = np.repeat(of_head, np.concatenate([s[0] for s in sizes]))
+        every, at, of = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
+        c = np.bincount(of, told[0], len(every)).astype(np.int64)
+        seen, head_of = c > 0, head[at]
+        lower = m.kept(told[1][at], order - 1) / (told[2][at] if order > 2 else m.total)
+        profile = np.zeros((PROFILE, len(heads)), np.int64)
+        for r in range(1, GT + 1):
+            profile[r - 1] = np.bincount(head_of[c == r], minlength=len(heads))
+        profile[GT] = np.bincount(head_of[c > GT], c[c > GT], len(heads))
+        below = np.bincount(head_of[seen], lower[seen], len(heads))
+        rows, g, h = [], 0, 0
+        for b, hs, s, gs in zip(t["block"].to_pylist(), contexts, sizes, grams):
+            mine, own = c[of[g : g + len(gs)]], of_head[h : h + len(hs)]
+            # Only contexts of an unseen n-gram need alpha.
+            bare = np.add.reduceat(mine == 0, np.cumsum(s[0]) - s[0]) > 0
+            rows.append((0, b, bucket, _z(mine), _z(profile[:, own]), _z(np.where(bare, below[own], 0.0), "<f8"), b"", b"", None))
+            g, h = g + len(gs), h + len(hs)
+        by = np.argsort(head_of[seen], kind="stable")
+        n = np.bincount(head_of[seen], minlength=len(heads))
+        rows.append((1, 0, bucket, heads.tobytes(), _z(np.concatenate([[n, den], profile])), every[seen][by].tobytes(), _z(c[seen][by]), _z(below, "<f8"), _stats(c)))
+        large = den > m.large
+        if large.any():
+            rows.append((2, 0, bucket, heads[large].tobytes(), _z(profile[:, large]), _z(below[large], "<f8"), b"", b"", None))
+        return _answers(rows)
 
-class Model:
-    """words: w, c, lp, la (log10 of P and of alpha). table: v, w, c, corr. Plain numbers: n, types, unknown (log10)."""
-
-    def __init__(self, spark: SparkSession, docs: DataFrame, n_buckets: int):
-        scratch = self.scratch = Scratch(spark, "katz")
-        # One task's rows of a bucket are added up where all rows of the bucket meet.
-        grams = docs.select("text").mapInArrow(_count(n_buckets), "bucket int, v binary, n binary, w binary, c binary")
-        grams = grams.groupBy("bucket").applyInArrow(_merge, "kind int, v long, w long, c long")
-        grams = scratch.write(grams, "grams", "kind")
-        free_shuffles(spark)
-        words = scratch.write(grams.where("kind = 0").groupBy(F.col("v").alias("w")).agg(F.sum("c").alias("c")), "counts")
-        n_docs = words.where(F.col("w") == int(START)).agg(F.sum("c")).first()[0] or 0
-        unigrams = words.where(F.col("w") != int(START))
-        got = unigrams.agg(F.sum("c"), F.count("*")).first()
-        self.n, self.types = (got[0] or 0) + n_docs, got[1] + (n_docs > 0)
-        of = {r.c: r.k for r in unigrams.where(F.col("c") <= GT + 1).groupBy("c").agg(F.count("*").alias("k")).collect()}
-        if 0 < n_docs <= GT + 1:
-            of[n_docs] = of.get(n_docs, 0) + 1
-        d1 = discounts(of)
-        mass = unigrams.agg(F.sum(_discounted(F.col("c"), d1))).first()[0] or 0.0
-        end_mass = float(n_docs if n_docs > GT else n_docs * d1[n_docs])
-        left = self.n - mass - end_mass
-        total = float(self.n) if left > 1e-9 * max(self.n, 1) else self.n + 1.0
-        beta = (total - mass - end_mass) / total if self.n else 1.0
-        self.unknown, self.end = math.log10(beta), math.log10(end_mass / total) if n_docs else math.log10(beta)
-        d2 = discounts({r.w: r.c for r in grams.where("kind = 2").groupBy("w").agg(F.sum("c").alias("c")).collect()}, 2)
-
-        p1 = _discounted(F.col("cw"), d1) / total
-        cw = words.where(F.col("w") != int(START)).select("w", F.col("c").alias("cw"))
-        table = grams.where("kind = 1").select("v", "w", "c").join(cw, "w", "left")
-        table = table.select("v", "w", "c", F.when(F.col("w") == int(END), end_mass / total).otherwise(p1).alias("p"), _discounted(F.col("c"), d2).alias("q"))
-        table = scratch.write(table, "pairs")
-        sums = table.groupBy("v").agg(F.sum("q").alias("sq"), F.sum("p").alias("sp"))
-        den = F.when(F.col("sq") >= F.col("c") * (1 - 1e-9), F.col("c") + 1).otherwise(F.col("c"))
-        alpha = (den - F.col("sq")) / den / F.greatest(1 - F.col("sp"), F.lit(beta))
-        words = words.join(sums.withColumnRenamed("v", "w"), "w", "left").select("w", "c", F.log10(_discounted(F.col("c"), d1) / total).alias("lp"), F.coalesce(F.log10(alpha), F.lit(0.0)).alias("la"), F.coalesce(den, F.col("c")).alias("den"))
-        self.words = scratch.write(words, "words")
-        back = self.words.select(F.col("w").alias("v"), "la", "den", F.col("c").alias("cv"))
-        corr = F.log10(F.col("q") / F.col("den")) - F.col("la") - F.log10("p")
-        self.table = table.join(back, "v").select("v", "w", "c", "cv", corr.alias("corr"))
-
-    def hot(self) -> dict:
-        """Arrays of the words and pairs that are at least 1 / HOT of all tokens, and of the start."""
-        least = max(1, -(-self.n // HOT))
-        w = self.words.where((F.col("c") >= least) | (F.col("w") == int(START))).select("w", "c", "lp", "la").collect()
-        t = self.table.where(F.col("c") >= least).select("v", "w", "corr").collect()
-        key = lambda rows, name: np.array([r[name] for r in rows], np.int64).view(np.uint64)
-        with np.errstate(over="ignore"):
-            p, words = pair_key(key(t, "v"), key(t, "w")), key(w, "w")
-        o, k = np.argsort(words), np.argsort(p)
-        g = [r.la if r.w == int(START) else r.lp + r.la for r in w]
-        return {"w": words[o], "c": np.array([r.c for r in w], np.int64)[o], "g": np.array(g, np.float64)[o], "p": p[k], "corr": np.array([r.corr for r in t], np.float64)[k], "least": least}
-
-
-def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of x is in the sorted keys, and whether it is."""
-    if not len(keys):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return at, keys[at] == x
-
-
-def _ask(n_buckets: int, shared, norm: float, n_train: int, end: float):
-    """Per task: rows for the buckets, and one (bucket under 0) with its documents and what is known here."""
-
-    def base(c):
-        return np.log10((c + 0.5) / norm)
-
-    names = ["bucket", "task", "v", "n", "p", "k", "docs", "size"]
-    counts = lambda starts, n: np.diff(starts, append=n)
-
-    def sent(task, parts, size):
-        """What is gathered, by bucket; parts is emptied."""
-        if not parts:
-            return
-        v, p, d = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        bucket = (np.where(v == 0, p, v) % np.uint64(n_buckets)).astype(np.int32)
-        order = np.lexsort((d, p, v, bucket))
-        v, p, d, bucket = v[order], p[order], d[order], bucket[order]
-        at = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        for b in range(n_buckets):
-            i, j = at[b], at[b + 1]
-            if i < j:
-                new_p = np.flatnonzero(np.concatenate([[True], (p[i + 1 : j] != p[i : j - 1]) | (v[i + 1 : j] != v[i : j - 1])]))
-                pv = v[i:j][new_p]
-                new_v = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
-                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([task], pa.int32()), pa.array([pv[new_v].tobytes()]), pa.array([_squeeze(counts(new_v, len(new_p)))]), pa.array([p[i:j][new_p].tobytes()]), pa.array([_squeeze(counts(new_p, j - i))]), pa.array([_squeeze(d[i:j])]), pa.array([size], pa.int64())], names)
+    return run
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        task, hot, docs, parts, size = TaskContext.get().partitionId(), shared.value, 0, [], 0
-        ids, fold, n_tokens, known, sb, sc = [], [], [], [], [], []
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                ids += batch.column("doc_id").to_pylist()
-                fold += batch.column("held_out").to_pylist()
-                for i, j, data, off in texts(batch):
-                    v, w, at = pairs(data, off)
-                    k = j - i
-                    p = pair_key(v, w)
-                    hw, is_hot = _find(hot["w"], v)
-                    hp, done = _find(hot["p"], p)
-                    word = is_hot & (v != START)
-                    n_tokens.append(np.bincount(at, minlength=k))
-                    known.append(np.bincount(at[word], minlength=k) + (n_train > 0))
-                    sb.append(np.bincount(at[word], base(hot["c"][hw[word]]), k) + base(n_train))
-                    sc.append(np.bincount(at[is_hot], hot["g"][hw[is_hot]], k) + np.bincount(at[done], hot["corr"][hp[done]], k) + end)
-                    rest = ~done | ~is_hot
-                    v = np.where(is_hot, np.uint64(0), v)[rest]
-                    p = np.where(done, np.uint64(0), p)[rest]
-                    parts.append((v, p, (at[rest] + docs).astype(np.uint32)))
-                    docs, size = docs + k, size + len(v)
-                    if size >= TOKENS:
-                        yield from sent(task, parts, docs)
-                        size = 0
-            if docs:
-                yield from sent(task, parts, docs)
-                own = [_docs(ids, fold), np.concatenate(n_tokens).astype("<i8").tobytes(), np.concatenate(known).astype("<i8").tobytes(), np.concatenate(sb).tobytes(), np.concatenate(sc).tobytes()]
-                yield pa.record_batch([pa.array([-1 - task], pa.int32()), pa.array([task], pa.int32()), *[pa.array([x]) for x in own], pa.array([docs], pa.int64())], names)
-        pa.default_memory_pool().release_unused()
+def _unpack_split(batches):
+    for batch in batches:
+        for a, b, c in zip(*(batch.column(x).to_pylist() for x in "abc")):
+            p = _un(b).reshape(PROFILE, -1).astype(np.int64)
+            yield pa.record_batch([pa.array(np.frombuffer(a, "<i8")), *map(pa.array, p), pa.array(_un(c, "<f8"))], ["context", *(f"p{i}" for i in range(PROFILE)), "below"])
 
-    return run
 
+def discounts(of: list[int]) -> list[float]:
+    """d(r) for r from 0 to GT by Good and Turing from how many were seen 1 to GT + 1 times; (r - 0.5) / r where those
+    don't serve."""
+    n = [0, *of]
+    out, tail = [0.0], (GT + 1) * n[GT + 1] / n[1] if n[1] else 1.0
+    for r in range(1, GT + 1):
+        d = 0.0
+        if n[1] and n[r] and tail < 1:
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail)
+        out.append(d if 0 < d < 1 else (r - 0.5) / r)
+    return out
 
-def _docs(ids, fold) -> bytes:
-    a = np.array([0 if x is None else x for x in ids], "<i8").tobytes()
-    return a + np.array([(x is None) + 2 * bool(y) for x, y in zip(ids, fold)], "u1").tobytes()
 
+def _score(shared):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        m, out = shared.value, []
+        norm = m.n + 0.5 * (m.types + 1)
+        answers = answers.to_pylist()
+        with np.errstate(over="ignore"):
+            for row in blocks.to_pylist():
+                x = _known(row, answers, m)
+                first = np.cumsum(x.lens) - x.lens
+                add = lambda v, first=first: np.add.reduceat(v, first)
+                out.append((x.docs, x.flags, x.lens, add((x.known > 0).astype(np.int64)), add(np.log10((x.known + 0.5) / norm)), add(np.log10(x.p))))
+        ids, flags, lens, known, base, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"doc_id": pa.array(ids, mask=(flags & 1).astype(bool)), "held_out": pa.array((flags & 2).astype(bool)), "n_tokens": pa.array(lens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
 
-def _pack_tables(n_buckets: int, least: int):
-    """Rows of kind 0 (word, its count, log10 P + log10 alpha) and 1 (pair, correction) as arrays of each bucket."""
+    return run
 
-    def run(batches):
-        keep: list[list] = []
+
+def _send(shared):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers = [], answers.to_pylist()
         with np.errstate(over="ignore"):
-            for b in batches:
-                kind, v, w = (b.column(x).to_numpy() for x in ("kind", "v", "w"))
-                v, w = v.view(np.uint64), w.view(np.uint64)
-                hot = b.column("cv").to_numpy() >= least
-                hot |= v == START
-                p = np.where(kind == 0, v, pair_key(v, w))
-                keep.append([np.where(hot & (kind == 1), p, v) % np.uint64(n_buckets), kind, p, b.column("c").to_numpy(), b.column("x").to_numpy()])
-            if keep:
-                bucket, kind, p, c, x = (np.concatenate(a) for a in zip(*keep))
-                order = np.lexsort((kind, bucket))
-                code = (bucket.astype(np.int64) * 2 + kind)[order]
-                at = np.searchsorted(code, np.arange(2 * n_buckets + 1))
-                for k in range(2 * n_buckets):
-                    o = order[at[k] : at[k + 1]]
-                    if len(o):
-                        yield pa.record_batch([pa.array([k // 2], pa.int32()), pa.array([k % 2], pa.int32()), pa.array([p[o].tobytes()]), pa.array([c[o].astype("<i8").tobytes() if k % 2 == 0 else b""]), pa.array([x[o].tobytes()])], ["bucket", "kind", "p", "c", "x"])
+            for row in blocks.to_pylist():
+                x = _known(row, answers, shared.value)
+                x.next_order()
+                rows += [(b, row["block"], *r) for b, *r in x.send()]
+        return _sent(rows)
 
     return run
 
 
-def _answer(norm: float, unknown: float):
-    def table(t: pa.Table, kind: int):
-        rows = [i for i, k in enumerate(t["kind"].to_pylist()) if k == kind]
-        get = lambda name, dtype: np.concatenate([np.frombuffer(t[name][i].as_py(), dtype) for i in rows]) if rows else np.zeros(0, dtype)
-        p, x = get("p", np.uint64), get("x", np.float64)
-        o = np.argsort(p)
-        return p[o], x[o], get("c", np.int64)[o] if kind == 0 else None
-
-    def run(asked: pa.Table, tables: pa.Table) -> pa.Table:
-        words, g, c = table(tables, 0)
-        keys, corr, _ = table(tables, 1)
-        out = {k: [] for k in ("task", "size", "known", "base", "score", "ids", "n")}
-        for r in range(len(asked)):
-            row = {k: asked[k][r].as_py() for k in asked.column_names}
-            out["task"].append(row["task"])
-            out["size"].append(row["size"])
-            if row["bucket"] < 0:
-                out["ids"].append(row["v"]), out["n"].append(row["n"]), out["known"].append(row["p"]), out["base"].append(row["k"]), out["score"].append(row["docs"])
-                continue
-            size = row["size"]
-            v, n, p, k, docs = np.frombuffer(row["v"], np.uint64), _spread(row["n"]), np.frombuffer(row["p"], np.uint64), _spread(row["k"]), _spread(row["docs"])
-            at, here = _find(words, v)
-            some = len(words) > 0
-            wb = np.where(here, np.log10(((c[at] if some else 0) + 0.5) / norm), np.log10(0.5 / norm))
-            wg = np.where(here, g[at] if some else 0.0, unknown)
-            wb[v == 0], wg[v == 0] = 0.0, 0.0
-            at, there = _find(keys, p)
-            fix = np.where(there, corr[at] if len(keys) else 0.0, 0.0)
-            fix[p == 0] = 0.0
-            of = np.repeat(np.arange(len(v)), n)
-            dp = np.repeat(np.arange(len(p)), k)
-            known = np.bincount(docs, here[of][dp], size)
-            # Only documents that occur here are sent on.
-            base, score = np.bincount(docs, wb[of][dp], size), np.bincount(docs, (wg[of] + fix)[dp], size)
-            used = np.flatnonzero(np.bincount(docs, minlength=size))
-            out["ids"].append(None)
-            out["n"].append(_squeeze(used))
-            out["known"].append(_squeeze(known[used])), out["base"].append(base[used].tobytes()), out["score"].append(score[used].tobytes())
-        types = {"task": pa.int32(), "size": pa.int64()}
-        return pa.table({k: pa.array(x, types.get(k, pa.binary())) for k, x in out.items()})
+class Trained:
+    """The written tables, and the numbers that every task needs."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, order: int = ORDER):
+        self.spark, self.order, self.scratch, self.model = spark, order, Scratch(spark, "katz"), Model()
+        m = self.model
+        fold = F.coalesce(held_out(F.col("doc_id"), 1), F.lit(False))
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("held_out"))
+        self.blocks = self.scratch.write(d.mapInArrow(_pack(TOKENS), "block long, docs binary, flags binary, lens binary, words binary, at binary"), "blocks")
+        m.n_buckets = max(2, -(-(self.blocks.count() * TOKENS) // BUCKET))
+        sent = "bucket int, block long, a binary, b binary, c binary, d binary"
+        words = self.blocks.mapInArrow(_send_words(m.n_buckets), sent)
+        self.parts = [None, self._write(words, _merge_words, 1)]
+        got = self._totals(1)
+        m.n, m.types, of = got[0], got[1], got[2:]
+        m.n_docs = self._end_count()
+        m.discounts.append(discounts(of))
+        if m.n:
+            # What the discounts leave is the unknown word's; where they leave nothing, one more token stands for it.
+            kept = sum(r * c * m.discounts[1][r] for r, c in enumerate(of[:GT], 1)) + m.n - sum(r * c for r, c in enumerate(of[:GT], 1))
+            m.total = float(m.n) if m.n - kept > 1e-9 * m.n else m.n + 1.0
+            m.unknown = (m.total - kept) / m.total
+            m.large = max(SPLIT, m.n // HOT)
+        for n in range(2, order + 1):
+            asked = self._cogroup(_send(self._shared()), sent)
+            self.parts.append(self._write(asked, _merge(self._shared(), n), n))
+            m.discounts.append(discounts(self._totals(n)[2:]))
+            m.split.append(self._split(n))
+
+    def _shared(self):
+        return self.spark.sparkContext.broadcast(self.model)
+
+    def _write(self, sent: DataFrame, merge, n: int) -> DataFrame:
+        out = self.scratch.write(sent.groupBy("bucket").applyInArrow(merge, _ROWS), f"order{n}", "kind")
+        free_shuffles(self.spark)
+        return out
+
+    def _cogroup(self, run, schema: str) -> DataFrame:
+        """run over each block with the answers that it has had."""
+        answers = None
+        for n, part in enumerate(self.parts[1:], 1):
+            part = part.where("kind = 0").select("block", F.lit(n).alias("order"), "bucket", "a", "b", "c")
+            answers = part if answers is None else answers.unionByName(part)
+        return self.blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+    def _totals(self, n: int) -> list[int]:
+        sums = [F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)) for i in range(GT + 3)]
+        return list(self.parts[n].where("kind = 1").agg(*sums).first())
+
+    def _end_count(self) -> int:
+        """How many training texts there are: each ends once."""
+        flags = self.blocks.select("flags").mapInArrow(_count_texts, "n long")
+        return flags.agg(F.sum("n")).first()[0] or 0
+
+    def _split(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = [f"p{i}" for i in range(PROFILE)]
+        plain = self.parts[n].where("kind = 2").select("a", "b", "c").mapInArrow(_unpack_split, "context long, " + ", ".join(f"{x} long" for x in names) + ", below double")
+        rows = plain.groupBy("context").agg(*[F.sum(x).alias(x) for x in (*names, "below")]).collect()
+        keys = np.array([r.context for r in rows], np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        return keys[by], np.array([[r[x] for x in names] for r in rows], np.int64).reshape(-1, PROFILE)[by], np.array([r.below for r in rows], np.float64)[by]
+
+    def table_of(self, n: int) -> DataFrame:
+        """context, gram, count, p: the n-grams that were seen, with P, and a row with no gram for each context's alpha in
+        p. For n = 1 the words. Contexts of several buckets have a row in each of them."""
+        shared = self._shared()
+        rows = self.parts[n].where("kind = 1").select("a", "b", "c", "d", "e")
+        return rows.mapInArrow(_table(shared, n), "context long, gram long, count long, p double")
+
+
+def _count_texts(batches):
+    for batch in batches:
+        yield pa.record_batch([pa.array([int((np.frombuffer(x, "u1") & 2 == 0).sum()) for x in batch.column("flags").to_pylist()], pa.int64())], ["n"])
+
+
+def _table(shared, n: int):
+    names = ["context", "gram", "count", "p"]
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                if n == 1:
+                    w, c = np.frombuffer(r["a"], "<i8"), _un(r["b"]).astype(np.int64)
+                    yield pa.record_batch([pa.nulls(len(w), pa.int64()), pa.array(w), pa.array(c), pa.array(m.kept(c, 1) / m.total)], names)
+                    continue
+                heads, sizes, grams, c, below = np.frombuffer(r["a"], np.uint64), _un(r["b"]).reshape(2 + PROFILE, -1).astype(np.int64), np.frombuffer(r["c"], "<i8"), _un(r["d"]).astype(np.int64), _un(r["e"], "<f8")
+                profile, keys = sizes[2:].T.copy(), m.split[n][0]
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, heads), len(keys) - 1)
+                    hit = keys[at] == heads
+                    below = np.where(hit, m.split[n][2][at], below)
+                    profile[hit] = m.split[n][1][at[hit]]
+                by, alpha = m.weights(sizes[1], profile, below, n)
+                own = np.repeat(np.arange(len(heads)), sizes[0])
+                signed = heads.view(np.int64)
+                yield pa.record_batch([pa.array(signed[own]), pa.array(grams), pa.array(c), pa.array(m.kept(c, n) / by[own])], names)
+                yield pa.record_batch([pa.array(signed), pa.nulls(len(heads), pa.int64()), pa.array(sizes[1]), pa.array(alpha)], names)
 
     return run
 
 
-def _total(t: pa.Table) -> pa.Table:
-    size = max(t["size"].to_pylist())
-    base, score, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
-    for ids, n, k, b, s in zip(*(t[x].to_pylist() for x in ("ids", "n", "known", "base", "score"))):
-        b, s = np.frombuffer(b, np.float64), np.frombuffer(s, np.float64)
-        if ids is not None:
-            doc, flag, tokens = np.frombuffer(ids, "<i8", size), np.frombuffer(ids, "u1", size, 8 * size), np.frombuffer(n, "<i8")
-            known += np.frombuffer(k, "<i8")
-            base += b
-            score += s
-        else:
-            used = _spread(n)
-            known[used] += _spread(k)
-            base[used] += b
-            score[used] += s
-    return pa.table({"doc_id": pa.array(doc, mask=(flag & 1).astype(bool)), "held_out": pa.array((flag & 2).astype(bool)), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
-
-
-def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents, learning from those that aren't held out."""
-    fold = F.coalesce(held_out(F.col("doc_id"), 1), F.lit(False))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", fold)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(2, -(-size // BUCKET))
-    model = Model(spark, d.where(~F.col("held_out")), n_buckets)
-    hot = model.hot()
-    words = model.words.where(F.col("w") != int(START)).select(F.lit(0).alias("kind"), F.col("w").alias("v"), F.col("w"), "c", F.col("c").alias("cv"), (F.col("lp") + F.col("la")).alias("x")).where(F.col("c") < hot["least"])
-    table = model.table.where(F.col("c") < hot["least"]).select(F.lit(1).alias("kind"), "v", "w", "c", "cv", F.col("corr").alias("x"))
-    tables = words.union(table).mapInArrow(_pack_tables(n_buckets, hot["least"]), "bucket int, kind int, p binary, c binary, x binary")
-    tables = model.scratch.write(tables, "tables")
-    n_docs = (model.words.where(F.col("w") == int(START)).select("c").first() or [0])[0]
-    for x in ("grams", "counts", "pairs", "words"):
-        model.scratch.drop(x)
-    free_shuffles(spark)
-    norm = model.n + 0.5 * (model.types + 1)
-    asked = d.mapInArrow(_ask(n_buckets, spark.sparkContext.broadcast(hot), norm, n_docs, model.end), "bucket int, task int, v binary, n binary, p binary, k binary, docs binary, size long")
-    answers = asked.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_answer(norm, model.unknown), "task int, size long, known binary, base binary, score binary, ids binary, n binary")
-    out = answers.groupBy("task").applyInArrow(_total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+def score(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents, learning from those that
+    aren't held out."""
+    t = Trained(spark, docs, order)
+    out = t._cogroup(_score(t._shared()), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(t.model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:

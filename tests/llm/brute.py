@@ -141,41 +141,68 @@ def held(doc, remainder):
     return zlib.crc32(str(doc).encode()) % 5 == remainder
 
 
-def katz(docs, discounts, gt=5):
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; and the sums of P(. | v) over all words for some v."""
+def turing(counts, gt=5):
+    """Good-Turing discounts with Katz's correction, from the counts themselves."""
+    of = Counter(counts)
+    out = {0: 0.0}
+    for r in range(1, gt + 1):
+        try:
+            k = (gt + 1) * of[gt + 1] / of[1]
+            d = ((r + 1) * of[r + 1] / of[r] / r - k) / (1 - k) if k < 1 else 0
+        except ZeroDivisionError:
+            d = 0
+        out[r] = d if 0 < d < 1 else 1 - 1 / (2 * r)
+    return out
+
+
+def katz(docs, order=2, gt=5):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; and the sums of P(. | h) over all words for
+    some contexts h of each length."""
     import math
 
-    split = {d: SPACED.findall((t or "").translate(LOWER)) for d, t in docs}
-    uni, bi = Counter(), Counter()
-    for d, w in split.items():
+    split = {i: SPACED.findall((t or "").translate(LOWER)) for i, (_, t) in enumerate(docs)}
+    counts = [None] + [Counter() for _ in range(order)]
+    padded = {i: ["<s>"] * (order - 1) + w + ["</s>"] for i, w in split.items()}
+    for i, (d, _) in enumerate(docs):
         if not held(d, 1):
-            uni.update([*w, "</s>"])
-            bi.update(zip(["<s>", *w], [*w, "</s>"]))
-    begin = Counter()
-    for (v, _), c in bi.items():
-        begin[v] += c
-    n, types = sum(uni.values()), len(uni)
-    d1, d2 = discounts(Counter(uni.values())), discounts(Counter(bi.values()), 2)
-    disc = lambda c, d: float(c) if c > gt else c * d[c]
-    mass = sum(disc(c, d1) for c in uni.values())
-    total = n if n - mass > 1e-9 * n else n + 1
-    p1 = {w: disc(c, d1) / total for w, c in uni.items()}
-    unk = 1 - mass / total
-    table = {k: disc(c, d2) for k, c in bi.items() if c >= 2}
-    sq, sp = Counter(), Counter()
-    for (v, w), q in table.items():
-        sq[v] += q
-        sp[v] += p1[w]
-    den = {v: c + 1 if sq[v] >= c * (1 - 1e-9) else c for v, c in begin.items()}
-    alpha = {v: (den[v] - sq[v]) / den[v] / (1 - sp[v]) for v in begin}
-    prob = lambda v, w: table[v, w] / den[v] if (v, w) in table else alpha.get(v, 1.0) * p1.get(w, unk)
+            t = padded[i]
+            for n in range(1, order + 1):
+                counts[n].update(tuple(t[k - n + 1 : k + 1]) for k in range(order - 1, len(t)))
+    d = [None] + [turing(c.values(), gt) for c in counts[1:]]
+    kept = lambda c, n: float(c) if c > gt else c * d[n][c]
+    uni = Counter({w: c for (w,), c in counts[1].items()})
+    n_all, types = sum(uni.values()), len(uni)
+    mass = sum(kept(c, 1) for c in uni.values())
+    total = n_all if n_all - mass > 1e-9 * n_all else n_all + 1
+    unknown = 1 - mass / total
+    follow = [None, None] + [{} for _ in range(2, order + 1)]
+    for n in range(2, order + 1):
+        for g, c in counts[n].items():
+            follow[n].setdefault(g[:-1], {})[g[-1]] = c
+    weights = {}
+
+    def prob(h, w):
+        if not h:
+            return kept(uni[w], 1) / total if w in uni else unknown
+        seen = follow[len(h) + 1].get(h)
+        if seen is None:
+            return prob(h[1:], w)
+        if h not in weights:
+            c, q = sum(seen.values()), sum(kept(x, len(h) + 1) for x in seen.values())
+            by = c + 1 if q >= c * (1 - 1e-9) else c
+            weights[h] = by, (by - q) / by / (1 - sum(prob(h[1:], x) for x in seen))
+        by, alpha = weights[h]
+        return kept(seen[w], len(h) + 1) / by if w in seen else alpha * prob(h[1:], w)
+
     out = []
-    for d, w in split.items():
-        t = [*w, "</s>"]
-        base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (types + 1))) for x in t)
-        out.append((d, held(d, 1), len(t), sum(uni[x] > 0 for x in t), n, base, sum(math.log10(prob(v, x)) for v, x in zip(["<s>", *w], t))))
-    sums = [sum(prob(v, w) for w in [*uni, None]) for v in [x for x, _ in begin.most_common(3)] + ["<s>"]]
-    return out, sums
+    for i, (doc, _) in enumerate(docs):
+        t = padded[i]
+        own = t[order - 1 :]
+        base = sum(math.log10((uni[x] + 0.5) / (n_all + 0.5 * (types + 1))) for x in own)
+        s = sum(math.log10(prob(tuple(t[k - order + 1 : k]), t[k])) for k in range(order - 1, len(t)))
+        out.append((doc, held(doc, 1), len(own), sum(uni[x] > 0 for x in own), n_all, base, s))
+    some = [h for n in range(2, order + 1) for h in sorted(follow[n], key=lambda h: -len(follow[n][h]))[:3] + list(follow[n])[:3]]
+    return out, [sum(prob(h, w) for w in [*uni, None]) for h in some]
 
 
 def repeats(docs, size=50):

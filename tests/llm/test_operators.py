@@ -91,15 +91,42 @@ def test_jaccard(spark, docs):
     assert got == sorted(brute.near(rows)) and sum(a != c for a, _, c in got) > 10
 
 
-def test_katz(spark, docs):
-    rows, _ = docs
-    want, sums = brute.katz(rows, katz.discounts)
+@pytest.mark.parametrize("order, blocks", [(2, "large"), (3, "large"), (2, "small"), (3, "small"), (4, "small")])
+def test_katz(spark, docs, monkeypatch, order, blocks):
+    """All n-grams, discounts and back-off against plain Python; with many blocks and contexts of several buckets, too."""
+    rows = docs[0] + [(docs[0][4][0], docs[0][4][1]), (docs[0][5][0], docs[0][6][1])]
+    if blocks == "small":
+        for name, value in (("TOKENS", 300), ("BUCKET", 400), ("SPLIT", 20), ("HOT", 200)):
+            monkeypatch.setattr(katz, name, value)
+    want, sums = brute.katz(rows, order)
     assert all(abs(s - 1) < 1e-9 for s in sums)
-    got = {r.doc_id: r for r in katz.op3(spark, frame(spark, rows)).collect()}
-    for d, held, n, known, total, base, score in want:
-        r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
-        assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=1e-6)
+    got = sorted((tuple(r) for r in katz.score(spark, frame(spark, rows), order).collect()), key=repr)
+    assert len(got) == len(want)
+    key = lambda x: (repr(x[0]), x[2], round(x[5], 4))
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:5] == w[:5]
+        assert g[5] == pytest.approx(w[5], abs=1e-6) and g[6] == pytest.approx(w[6], abs=1e-6)
+
+
+def test_katz_tables_add_up(spark, docs, monkeypatch):
+    """By the written tables alone, the probabilities of each context's words and what it leaves add up to one."""
+    monkeypatch.setattr(katz, "SPLIT", 50)
+    t = katz.Trained(spark, frame(spark, docs[0]), 3)
+    words = {r.gram: r.p for r in t.table_of(1).collect()}
+    assert sum(words.values()) + t.model.unknown == pytest.approx(1, abs=1e-9)
+    pairs = t.table_of(2).collect()
+    alpha = {r.context: r.p for r in pairs if r.gram is None}
+    with np.errstate(over="ignore"):
+        word_of = {(h, int(katz.pair_key(np.array([h], np.int64).view(np.uint64), np.array([w], np.int64).view(np.uint64)).view(np.int64)[0])): w for h in alpha for w in words}
+    seen = {}
+    for r in pairs:
+        if r.gram is not None:
+            seen.setdefault(r.context, {})[word_of[r.context, r.gram]] = r.p
+    for h, own in seen.items():
+        rest = 1 - sum(words[w] for w in own)
+        assert sum(own.values()) + alpha[h] * rest == pytest.approx(1, abs=1e-9)
+    three = t.table_of(3).where("gram is not null").groupBy("context").agg(F.sum("p").alias("p")).collect()
+    assert three and all(0 < r.p < 1 for r in three)
 
 
 def test_repeats(spark, docs):

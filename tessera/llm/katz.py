@@ -34,7 +34,9 @@ from tessera.llm.kernel import mix, spans, texts, word_hashes
 START, END = np.uint64(1), np.uint64(2)
 GT, HOT, ORDER = 5, 1 << 20, 2
 #: Tokens to a block, to a bucket, and of one context to a bucket.
-TOKENS, BUCKET, SPLIT = 1_000_000, 1_500_000, 500_000
+TOKENS, BUCKET, SPLIT = 2_000_000, 1_500_000, 500_000
+#: An order's buckets are served in so many passes, one after another, of which each frees its shuffles.
+PASSES = 2
 _A = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Of a context: n-grams seen once to GT times, and the sum of the other counts.
 PROFILE = GT + 1
@@ -42,15 +44,36 @@ _ROWS = "kind int, block long, bucket int, a binary, b binary, c binary, d binar
 
 
 def _z(x: np.ndarray, kind: str = "<u8") -> bytes:
-    raw = x.astype(kind).tobytes()
+    """Numbers, byte by byte of their places, compressed."""
+    size = np.dtype(kind).itemsize
+    raw = x.astype(kind).reshape(-1).view(np.uint8).reshape(-1, size).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
 
 
 def _un(z: bytes, kind: str = "<u8") -> np.ndarray:
-    return np.frombuffer(pa.decompress(z[8:], int.from_bytes(z[:8], "little"), "zstd"), kind) if z else np.zeros(0, kind)
+    if not z:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.decompress(z[8:], int.from_bytes(z[:8], "little"), "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def short(w: np.ndarray) -> np.ndarray:
+    """48 bits that tell words apart that follow one context."""
+    return mix(w) >> np.uint64(16)
+
+
+def _six(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unsix(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of a context and the short of the word that follows."""
     return mix(v * _A + w)
 
 
@@ -69,7 +92,12 @@ def _pack(limit: int):
 
     def block(part: int, k: int, held: list):
         ids, flags, lens, tokens = (np.concatenate(x) for x in zip(*held))
-        words, at = np.unique(tokens, return_inverse=True)
+        words, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        # Frequent words have small numbers.
+        by = np.argsort(-n, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        words, at = words[by], rank[at]
         cols = [[(part << 32) + k], [ids.tobytes()], [flags.tobytes()], [_z(lens)], [words.tobytes()], [_z(at, "<u4")]]
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64()] + [pa.binary()] * 5)], ["block", "docs", "flags", "lens", "words", "at"])
 
@@ -158,7 +186,7 @@ class Block:
         m = self.model
         self.context = self.shifted(self.gram, START)
         self.den = self.shifted(self.count, m.n_docs)
-        self.gram = pair_key(self.context, self.w)
+        self.gram = pair_key(self.context, short(self.w))
         self.order += 1
         key, at, self.of = np.unique(self.gram, return_index=True, return_inverse=True)
         context, den = self.context[at], self.den[at]
@@ -168,20 +196,20 @@ class Block:
         self.sorted = np.lexsort((key, context, self.bucket))
         self.keys, self.first = key, at
 
-    def send(self):
-        """A row for each bucket: contexts, n-grams to each, their c(h); n-grams, times here, and the two numbers that tell
-        the lower order's probability."""
+    def send(self, part: int):
+        """A row for each bucket of this pass: contexts, n-grams to each, their c(h); the words that follow, times here, and
+        the two numbers that tell the lower order's probability."""
         s = self.sorted
         context, bucket, at = self.context[self.first][s], self.bucket[s], self.first[s]
         here = np.bincount(self.of, self.train, len(self.keys))[s].astype(np.int64)
         cuts = np.append(_begins(bucket), len(s))
         for i, j in zip(cuts[:-1], cuts[1:]):
-            if i == j:
+            if i == j or bucket[i] % PASSES != part:
                 continue
             new = _begins(context[i:j])
             n = np.diff(np.append(new, j - i))
             told = np.stack([here[i:j], self.count[at[i:j]], self.by[at[i:j]].astype(np.int64) if self.order > 2 else np.zeros(j - i, np.int64)])
-            yield int(bucket[i]), context[i:j][new].tobytes(), _z(np.stack([n, self.den[at[i:j]][new]])), self.keys[s[i:j]].tobytes(), _z(told)
+            yield int(bucket[i]), context[i:j][new].tobytes(), _z(np.stack([n, self.den[at[i:j]][new]])), _six(short(self.w[at[i:j]])), _z(told)
 
     def learn(self, answers: list[dict]) -> None:
         """Counts and profiles, by bucket, give P of this order."""
@@ -276,13 +304,15 @@ def _merge(shared, order: int):
         m, bucket = shared.value, t["bucket"][0].as_py()
         contexts = [np.frombuffer(x.as_py(), np.uint64) for x in t["a"]]
         sizes = [_un(x.as_py()).reshape(2, -1).astype(np.int64) for x in t["b"]]
-        grams = [np.frombuffer(x.as_py(), np.uint64) for x in t["c"]]
+        words = [_unsix(x.as_py()) for x in t["c"]]
         told = np.concatenate([_un(x.as_py()).reshape(3, -1) for x in t["d"]], axis=1).astype(np.int64)
         heads, of_head = np.unique(np.concatenate(contexts), return_inverse=True)
         den = np.zeros(len(heads), np.int64)
         den[of_head] = np.concatenate([s[1] for s in sizes])
         head = np.repeat(of_head, np.concatenate([s[0] for s in sizes]))
-        every, at, of = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
+        words_at = np.concatenate(words)
+        with np.errstate(over="ignore"):
+            every, at, of = np.unique(pair_key(heads[head], words_at), return_index=True, return_inverse=True)
         c = np.bincount(of, told[0], len(every)).astype(np.int64)
         seen, head_of = c > 0, head[at]
         lower = m.kept(told[1][at], order - 1) / (told[2][at] if order > 2 else m.total)
@@ -292,7 +322,7 @@ def _merge(shared, order: int):
         profile[GT] = np.bincount(head_of[c > GT], c[c > GT], len(heads))
         below = np.bincount(head_of[seen], lower[seen], len(heads))
         rows, g, h = [], 0, 0
-        for b, hs, s, gs in zip(t["block"].to_pylist(), contexts, sizes, grams):
+        for b, hs, s, gs in zip(t["block"].to_pylist(), contexts, sizes, words):
             mine, own = c[of[g : g + len(gs)]], of_head[h : h + len(hs)]
             # Only contexts of an unseen n-gram need alpha.
             bare = np.add.reduceat(mine == 0, np.cumsum(s[0]) - s[0]) > 0
@@ -300,7 +330,7 @@ def _merge(shared, order: int):
             g, h = g + len(gs), h + len(hs)
         by = np.argsort(head_of[seen], kind="stable")
         n = np.bincount(head_of[seen], minlength=len(heads))
-        rows.append((1, 0, bucket, heads.tobytes(), _z(np.concatenate([[n, den], profile])), every[seen][by].tobytes(), _z(c[seen][by]), _z(below, "<f8"), _stats(c)))
+        rows.append((1, 0, bucket, heads.tobytes(), _z(np.concatenate([[n, den], profile])), _six(words_at[at][seen][by]), _z(c[seen][by]), _z(below, "<f8"), _stats(c)))
         large = den > m.large
         if large.any():
             rows.append((2, 0, bucket, heads[large].tobytes(), _z(profile[:, large]), _z(below[large], "<f8"), b"", b"", None))
@@ -346,14 +376,14 @@ def _score(shared):
     return run
 
 
-def _send(shared):
+def _send(shared, part: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows, answers = [], answers.to_pylist()
         with np.errstate(over="ignore"):
             for row in blocks.to_pylist():
                 x = _known(row, answers, shared.value)
                 x.next_order()
-                rows += [(b, row["block"], *r) for b, *r in x.send()]
+                rows += [(b, row["block"], *r) for b, *r in x.send(part)]
         return _sent(rows)
 
     return run
@@ -370,8 +400,8 @@ class Trained:
         self.blocks = self.scratch.write(d.mapInArrow(_pack(TOKENS), "block long, docs binary, flags binary, lens binary, words binary, at binary"), "blocks")
         m.n_buckets = max(2, -(-(self.blocks.count() * TOKENS) // BUCKET))
         sent = "bucket int, block long, a binary, b binary, c binary, d binary"
-        words = self.blocks.mapInArrow(_send_words(m.n_buckets), sent)
-        self.parts = [None, self._write(words, _merge_words, 1)]
+        self.parts = [None, self._write(self.blocks.mapInArrow(_send_words(m.n_buckets), sent), _merge_words, 1)]
+        free_shuffles(spark)
         got = self._totals(1)
         m.n, m.types, of = got[0], got[1], got[2:]
         m.n_docs = self._end_count()
@@ -383,18 +413,20 @@ class Trained:
             m.unknown = (m.total - kept) / m.total
             m.large = max(SPLIT, m.n // HOT)
         for n in range(2, order + 1):
-            asked = self._cogroup(_send(self._shared()), sent)
-            self.parts.append(self._write(asked, _merge(self._shared(), n), n))
+            done = None
+            for part in range(PASSES):
+                out = self._write(self._cogroup(_send(self._shared(), part), sent), _merge(self._shared(), n), n, part)
+                free_shuffles(spark)
+                done = out if done is None else done.unionByName(out)
+            self.parts.append(done)
             m.discounts.append(discounts(self._totals(n)[2:]))
             m.split.append(self._split(n))
 
     def _shared(self):
         return self.spark.sparkContext.broadcast(self.model)
 
-    def _write(self, sent: DataFrame, merge, n: int) -> DataFrame:
-        out = self.scratch.write(sent.groupBy("bucket").applyInArrow(merge, _ROWS), f"order{n}", "kind")
-        free_shuffles(self.spark)
-        return out
+    def _write(self, sent: DataFrame, merge, n: int, part: int = 0) -> DataFrame:
+        return self.scratch.write(sent.groupBy("bucket").applyInArrow(merge, _ROWS), f"order{n}-{part}", "kind")
 
     def _cogroup(self, run, schema: str) -> DataFrame:
         """run over each block with the answers that it has had."""
@@ -422,8 +454,8 @@ class Trained:
         return keys[by], np.array([[r[x] for x in names] for r in rows], np.int64).reshape(-1, PROFILE)[by], np.array([r.below for r in rows], np.float64)[by]
 
     def table_of(self, n: int) -> DataFrame:
-        """context, gram, count, p: the n-grams that were seen, with P, and a row with no gram for each context's alpha in
-        p. For n = 1 the words. Contexts of several buckets have a row in each of them."""
+        """context, gram, count, p: the n-grams that were seen, with P (gram is the short of the last word), and a row with
+        no gram for each context's alpha in p. For n = 1 the words. Contexts of several buckets have a row in each."""
         shared = self._shared()
         rows = self.parts[n].where("kind = 1").select("a", "b", "c", "d", "e")
         return rows.mapInArrow(_table(shared, n), "context long, gram long, count long, p double")
@@ -445,7 +477,7 @@ def _table(shared, n: int):
                     w, c = np.frombuffer(r["a"], "<i8"), _un(r["b"]).astype(np.int64)
                     yield pa.record_batch([pa.nulls(len(w), pa.int64()), pa.array(w), pa.array(c), pa.array(m.kept(c, 1) / m.total)], names)
                     continue
-                heads, sizes, grams, c, below = np.frombuffer(r["a"], np.uint64), _un(r["b"]).reshape(2 + PROFILE, -1).astype(np.int64), np.frombuffer(r["c"], "<i8"), _un(r["d"]).astype(np.int64), _un(r["e"], "<f8")
+                heads, sizes, grams, c, below = np.frombuffer(r["a"], np.uint64), _un(r["b"]).reshape(2 + PROFILE, -1).astype(np.int64), _unsix(r["c"]).view(np.int64), _un(r["d"]).astype(np.int64), _un(r["e"], "<f8")
                 profile, keys = sizes[2:].T.copy(), m.split[n][0]
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, heads), len(keys) - 1)

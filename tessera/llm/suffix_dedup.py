@@ -115,10 +115,13 @@ class Block:
         return order, new
 
 
-def _bounds(values: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket begins among sorted hashes."""
-    width = (1 << 64) // n_buckets
-    return np.append(np.searchsorted(values, np.array([b * width for b in range(n_buckets)], np.uint64)), len(values))
+def _buckets(values: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
+    """bucket, first and last (exclusive) of sorted hashes, for the buckets that any of them belongs to."""
+    if not len(values):
+        return []
+    own = np.minimum(values // np.uint64((1 << 64) // n_buckets), np.uint64(n_buckets - 1)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return list(zip(own[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(own)).tolist()))
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -158,11 +161,8 @@ def _send_hashes(n_buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 m, twice = Block(row).hashes()
-                at = _bounds(m, n_buckets)
-                for b in range(n_buckets):
-                    i, j = at[b], at[b + 1]
-                    if i < j:
-                        yield pa.record_batch([pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([m[i:j].tobytes()]), pa.array([np.packbits(twice[i:j]).tobytes()])], ["bucket", "block", "m", "twice"])
+                for b, i, j in _buckets(m, n_buckets):
+                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([m[i:j].tobytes()]), pa.array([np.packbits(twice[i:j]).tobytes()])], ["bucket", "block", "m", "twice"])
 
     return run
 
@@ -196,15 +196,12 @@ def _send_strings(n_buckets: int):
                 least, most = np.minimum.reduceat(x.doc[order], new), np.maximum.reduceat(x.doc[order], new)
                 of = order[new]
                 lens = x.last[of] + LENGTH - 1 - x.first[of]
-                at = _bounds(x.m[of], n_buckets)
-                for b in range(n_buckets):
-                    i, j = at[b], at[b + 1]
-                    if i < j:
-                        data = gather(x.data, x.first[of[i:j]], lens[i:j]).tobytes()
-                        yield pa.record_batch(
-                            [pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([x.m[of[i:j]].tobytes()]), pa.array([pa.compress(lens[i:j].astype("<u2").tobytes(), "zstd", asbytes=True)]), pa.array([least[i:j].tobytes()]), pa.array([np.packbits(most[i:j] > least[i:j]).tobytes()]), pa.array([len(data)], pa.int64()), pa.array([pa.compress(data, "zstd", asbytes=True)])],
-                            names,
-                        )
+                for b, i, j in _buckets(x.m[of], n_buckets):
+                    data = gather(x.data, x.first[of[i:j]], lens[i:j]).tobytes()
+                    yield pa.record_batch(
+                        [pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([x.m[of[i:j]].tobytes()]), pa.array([pa.compress(lens[i:j].astype("<u2").tobytes(), "zstd", asbytes=True)]), pa.array([least[i:j].tobytes()]), pa.array([np.packbits(most[i:j] > least[i:j]).tobytes()]), pa.array([len(data)], pa.int64()), pa.array([pa.compress(data, "zstd", asbytes=True)])],
+                        names,
+                    )
 
     return run
 

@@ -1,12 +1,17 @@
 """Cases that lie beyond bounds which operators once had."""
 
 import hashlib
+import os
 import random
+import sys
 
 import pyarrow as pa
 import pytest
 
-from tessera.llm import chat, jaccard, packing, quality_rules, secrets, suffix_dedup
+sys.path.insert(0, os.path.dirname(__file__))
+import brute  # noqa: E402
+
+from tessera.llm import chat, jaccard, packing, quality_rules, secrets, suffix_dedup  # noqa: E402
 
 
 def test_template_of_many_lines(spark):
@@ -54,6 +59,15 @@ def test_long_runs(spark):
     assert got == want
 
 
+def test_runs_of_any_length(spark):
+    """70,000 and 200,000 equal bytes, blanks, and a period of 4, against brute force over two documents."""
+    for unit, n in (("a", 70_000), ("a", 200_000), (" ", 70_000), ("abcd", 20_000)):
+        rows = [(1, unit * n), (2, "b " + unit * n)]
+        got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.op4(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want = {d: tuple(x) for d, _, *x in brute.repeats(rows)}
+        assert got == want and want[2][0] >= len(unit) * n
+
+
 def test_long_transcripts(spark):
     """Transcripts of many blocks and chunks, by number and by lines, are those of one pass over all their rows."""
     r = random.Random(6)

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 from tessera.sources.scratch import Scratch, scratch_root
 
-__all__ = ["Scratch", "ascii_lower", "fits", "free_shuffles", "held_out", "let", "row_key", "scratch_root", "small", "split_words", "table", "without"]
+__all__ = ["Scratch", "ascii_lower", "fits", "free_shuffles", "held_out", "let", "row_key", "scratch_root", "small", "split_words", "table", "with_window_hashes", "without"]
 
 #: A frame is broadcast only if it has been measured and holds at most so many rows and, of texts and arrays, bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
@@ -54,6 +54,31 @@ def split_words(text: Column, between: str) -> Column:
     return F.coalesce(F.array_remove(F.split(text, between + "+"), ""), F.array().cast("array<string>"))
 
 
+def with_window_hashes(df: DataFrame, words: str, sizes: list[int], name: str = "_h") -> DataFrame:
+    """df with a column name + m for each size m: a hash of each m consecutive words, by place.
+
+    A word is hashed once; windows of 2, 4, 8 .. words combine two of half the size, and others add up such. Cutting each
+    window out of the array takes far longer.
+    """
+
+    def joined(a: str, b: str, k: int) -> Column:
+        n = F.greatest(F.size(b) - k, F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, k + 1, n), lambda x, y: F.xxhash64(x, y))
+
+    of = lambda m: f"{name}{m}"
+    df, m = df.withColumn(of(1), F.transform(words, lambda x: F.xxhash64(x))), 1
+    while 2 * m <= max(sizes):
+        df, m = df.withColumn(of(2 * m), joined(of(m), of(m), m)), 2 * m
+    for size in sorted(set(sizes)):
+        have = 1 << (size.bit_length() - 1)
+        own = of(have)
+        while have < size:
+            more = 1 << ((size - have).bit_length() - 1)
+            step = of(size) if have + more == size else f"{of(size)}_{have + more}"
+            df, own, have = df.withColumn(step, joined(own, of(more), have)), step, have + more
+    return df
+
+
 def row_key(docs: DataFrame, *columns: str) -> Column:
     """128 bits that tell rows apart by these columns, of which nulls are told from empty texts."""
     told = [F.coalesce(F.concat(F.lit("1"), F.octet_length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("0")) for c in columns]

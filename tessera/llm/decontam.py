@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, ascii_lower, fits, split_words
+from tessera.llm.common import Scratch, ascii_lower, fits, split_words, with_window_hashes
 
 #: What stands between words: any ASCII character but a digit or a letter.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -26,26 +26,12 @@ def words(text: Column) -> Column:
     return split_words(ascii_lower(text), BETWEEN)
 
 
-def _starts(w: Column, m: int) -> Column:
-    """1-based starts of the windows of m words."""
-    return F.when(F.size(w) >= m, F.sequence(F.lit(1), F.size(w) - (m - 1))).otherwise(F.array().cast("array<int>"))
-
-
-def _word_hashes(w: Column) -> Column:
-    return F.transform(w, lambda x: F.xxhash64(x))
-
-
-def _hashes(wh: Column, m: int) -> Column:
-    """A hash of each window of m words, of their hashes: each word is hashed once."""
-    return F.transform(_starts(wh, m), lambda i: F.xxhash64(F.slice(wh, i, m)))
-
-
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """item string, m int, h long, win string: the distinct windows of each item."""
     w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    m = F.least(F.lit(size), F.size("w"))
-    w = w.withColumn("m", m).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1)))
-    return w.withColumn("g", F.slice("w", F.col("i"), F.col("m"))).select("item", "m", F.xxhash64(_word_hashes(F.col("g"))).alias("h"), F.array_join("g", " ").alias("win")).distinct()
+    w = with_window_hashes(w.withColumn("m", F.least(F.lit(size), F.size("w"))), "w", list(range(1, size + 1)))
+    w = w.select("item", "m", "w", F.posexplode(F.element_at(F.array(*[F.col(f"_h{m}") for m in range(1, size + 1)]), F.col("m"))).alias("i", "h"))
+    return w.select("item", "m", "h", F.array_join(F.slice("w", F.col("i") + 1, F.col("m")), " ").alias("win")).distinct()
 
 
 def window_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -59,10 +45,10 @@ def window_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size
     # An item shorter than a window is a window of its own length, so at most `size` lengths occur.
     lengths = sorted(r.m for r in wins.select("m").distinct().collect()) or [size]
     d = docs.select("doc_id", F.col("text").alias("t")).select("doc_id", words(F.col("t")).alias("w"))
-    d = d.withColumn("wh", _word_hashes(F.col("w")))
+    d = with_window_hashes(d, "w", lengths)
     n = F.size("w")
     # A first element that matches nothing keeps a row of each document without a second pass.
-    hashes = F.concat(F.array(F.lit(None).cast("long")), *[_hashes(F.col("wh"), m) for m in lengths])
+    hashes = F.concat(F.array(F.lit(None).cast("long")), *[F.col(f"_h{m}") for m in lengths])
     start, length, before = F.col("idx"), F.lit(lengths[0]), F.lit(0)
     for a, b in zip(lengths, lengths[1:]):
         before = before + F.greatest(F.col("n_words") - (a - 1), F.lit(0))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, let, row_key, small, split_words, without
+from tessera.llm.common import Scratch, let, row_key, small, split_words, with_window_hashes, without
 
 SPACE, BETWEEN, SYMBOLS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]", "#*$%&|<>"
 WINDOW = 8
@@ -33,7 +33,7 @@ class LineLimits:
     left_share: float = 0.25
 
 
-def _repeat_words(w: Column) -> Column:
+def _repeat_words(w: Column, hashes: Column) -> Column:
     """Words within windows that occur twice or more. Window hashes tell most texts without any; the rest compare text."""
     starts = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
 
@@ -48,8 +48,7 @@ def _repeat_words(w: Column) -> Column:
         return covered(F.array_sort(F.transform(twice, lambda i: F.get(s, i).i)))
 
     pairs = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i, WINDOW), " ").alias("g"), i.alias("i"))))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-    return F.when(let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h)), let(pairs, exact)).otherwise(F.lit(0))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(pairs, exact)).otherwise(F.lit(0))
 
 
 def _line(x: Column) -> Column:
@@ -73,14 +72,16 @@ def figures(docs: DataFrame, *keep: Column) -> DataFrame:
     lines = F.split("t", "\n")
     worded = F.filter(lines, lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     d = d.withColumn("w", split_words(F.col("t"), BETWEEN)).withColumn("ln", worded)
+    keep_names = [c for c in d.columns if c not in ("uid", "doc_id", "host", "t", "w", "ln")]
+    d = with_window_hashes(d, "w", [WINDOW])
     count = lambda c: F.size(c).cast("long")
     d = d.select(
-        "uid", "doc_id", "host", *[c for c in d.columns if c not in ("uid", "doc_id", "host", "t", "w", "ln")],
+        "uid", "doc_id", "host", *keep_names,
         count("w").alias("n_words"),
         F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (count("ln") - count(F.array_distinct("ln"))).alias("n_dup_lines"),
-        _repeat_words(F.col("w")).cast("long").alias("n_repeat_words"),
+        _repeat_words(F.col("w"), F.col(f"_h{WINDOW}")).cast("long").alias("n_repeat_words"),
         _line_hashes(F.col("t")).alias("hs"),
     )
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))

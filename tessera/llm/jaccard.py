@@ -30,6 +30,7 @@ from tessera.llm.kernel import mix, spans, texts, word_hashes
 
 SIZE, NUM, DEN = 5, 80, 100
 MINIMA, MATCHES, SKETCH_BITS, VERIFY_COST = 6, 4, 20, 20
+HOT = 1 << 10
 _A = np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(7)
 _ODD = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,6 +171,11 @@ def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) ->
     return out
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """A row of keys for each part that its c rows are dealt to."""
+    return keys.withColumn("part", F.explode(F.expr(f"sequence(0L, if(c > {HOT}, c div {HOT}, 0L))")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per document."""
     scratch = Scratch(spark, "jaccard")
@@ -180,13 +186,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = scratch.write(outline.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("minima").alias("minima")), "classes")
 
     shared = classes.select("rep", "n", F.posexplode("minima").alias("j", "m"))
+    sizes = scratch.write(shared.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    # A minimum of over HOT classes is dealt to parts of about HOT, so that no task meets all of them. There are at most a
+    # HOT-th as many such minima as rows.
+    hot = small(sizes.where(F.col("c") > HOT).withColumnRenamed("c", "hot"))
+    shared = shared.join(hot, ["j", "m"], "left").withColumn("part", F.expr(f"pmod(xxhash64(rep), coalesce(hot div {HOT}, 0) + 1)")).drop("hot")
+    shared = scratch.write(shared.join(_dealt(sizes), ["j", "m", "part"]), "shared")
     # The leader is the most central of a minimum's classes, the one whose minima most others have: of copies with edits
     # of their own, that is what they were copied from.
-    sizes = shared.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1")
-    shared = scratch.write(shared.join(sizes, ["j", "m"]), "shared")
     central = shared.groupBy("rep").agg(F.sum("c").alias("central"))
-    lead = shared.join(central, "rep").groupBy("j", "m").agg(F.max(F.struct("central", (-F.col("rep")).alias("a"), F.col("n"))).alias("x")).select("j", "m", (-F.col("x.a")).alias("a"), F.col("x.n").alias("na"))
-    stars = shared.join(lead, ["j", "m"]).where("a <> rep").where(DEN * F.least("n", "na") >= NUM * F.greatest("n", "na")).select("a", F.col("rep").alias("b")).distinct()
+    lead = shared.join(central, "rep").groupBy("j", "m").agg(F.max(F.struct("central", (-F.col("rep")).alias("a"), F.col("n"))).alias("x"), F.max("c").alias("c"))
+    lead = _dealt(lead.select("j", "m", "c", (-F.col("x.a")).alias("a"), F.col("x.n").alias("na"))).drop("c")
+    stars = shared.join(lead, ["j", "m", "part"]).where("a <> rep").where(DEN * F.least("n", "na") >= NUM * F.greatest("n", "na")).select("a", F.col("rep").alias("b")).distinct()
     links = verified(scratch, d, stars, "stars")
     joined = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 

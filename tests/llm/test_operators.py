@@ -91,6 +91,29 @@ def test_jaccard(spark, docs):
     assert got == sorted(brute.near(rows)) and sum(a != c for a, _, c in got) > 10
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_jaccard_dealt(spark, docs, monkeypatch, broadcast):
+    """Frequent minima dealt to several parts give the same stars, so the same components, broadcast or not."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    rows = docs[0] + [(1000 + i, " ".join(words[:k] + [f"x{i}"] + words[k:])) for i in range(40) for k in [r.randrange(150)]]
+    stars, verified = [], jaccard.verified
+
+    def seen(scratch, d, pairs, name):
+        if name == "stars":
+            stars.append(rows_of(pairs, "a", "b"))
+        return verified(scratch, d, pairs, name)
+
+    monkeypatch.setattr(jaccard, "verified", seen)
+    whole = rows_of(jaccard.op2(spark, frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    dealt = rows_of(jaccard.op2(spark, frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert whole == dealt == sorted(brute.near(rows))
+    assert stars[0] == stars[1] and len(stars[0]) > 39
+
+
 @pytest.mark.parametrize("order, blocks", [(2, "large"), (3, "large"), (2, "small"), (3, "small"), (4, "small")])
 def test_katz(spark, docs, monkeypatch, order, blocks):
     """All n-grams, discounts and back-off against plain Python; with many blocks and contexts of several buckets, too."""

@@ -1,7 +1,8 @@
 """Functions, types, headers, imports and globals of C and C++ texts, by one tolerant reading of each text.
 
-There is no grammar here: the text is lexed, braces are matched, and each brace or semicolon at declaration level is told
-by the tokens that lead to it. What can't be told yields nothing, and `parse_warning` says why. One Arrow pass gives a
+There is no grammar here: the text is lexed, macros that make braces or declarators are expanded, braces are matched, and
+each brace or semicolon at declaration level is told by the tokens that lead to it. Places, lines and texts are those of the
+source, whatever a macro made. What can't be told yields nothing, and `parse_warning` says why. One Arrow pass gives a
 row per text with nested records; the functions below unnest it, and all else is DataFrame operators over those.
 """
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tessera.operators.lexer import Token, tokens
+from tessera.operators.macros import expand
+
 # Fixed values.
 KEYWORDS = {"if", "for", "while", "switch", "return", "sizeof", "alignof", "decltype", "new", "delete", "throw", "catch", "static_cast", "dynamic_cast", "reinterpret_cast", "const_cast"}
 MODIFIERS = ("virtual", "static", "inline", "constexpr", "consteval", "noexcept", "override", "final")
@@ -36,11 +40,6 @@ SCHEMA = (
     " globals array<struct<pos: int, name: string, line: int, declaration: string>>, casts array<struct<line: int, match: string>>, parse_warning string"
 )
 
-_TOKEN = re.compile(
-    r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<pp>^[ \t]*\#(?:[^\n\\]|\\.)*)|(?P<string>(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|(?:u8|[uUL])?"(?:\\.|[^"\\\n])*"?|(?:u8|[uUL])?'(?:\\.|[^'\\\n])*'?)"""
-    r"""|(?P<name>~?[^\W\d]\w*)|(?P<number>\.?\d(?:[\w.']|[eEpP][+-])*)|(?P<op>::|->\*?|<<=|>>=|<=>|[-+*/%&|^=!<>]=|&&|\|\||\+\+|--|\.\.\.|\S)""",
-    re.S | re.M,
-)
 _INCLUDE = re.compile(r"\s*#\s*include\b")
 _CONDITION = re.compile(r"\s*#\s*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b")
 #: Words whose brackets tell nothing about what is declared.
@@ -53,24 +52,6 @@ _BUILTIN = {"void", "int", "char", "bool", "float", "double", "auto", "long", "s
 _NOT_NAMES = KEYWORDS | {"do", "else", "case", "default", "goto", "break", "continue", "try", "operator", "co_return", "co_await"}
 
 
-class Token:
-    __slots__ = ("kind", "text", "start", "end")
-
-    def __init__(self, kind: str, text: str, start: int, end: int):
-        self.kind, self.text, self.start, self.end = kind, text, start, end
-
-
-def tokens(text: str, limit: int | None = None) -> list[Token]:
-    """The tokens of a text without comments; at most `limit` of them."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        if m.lastgroup and (kind := "string" if m["string"] is not None else m.lastgroup) != "comment":
-            out.append(Token(kind, m[0], m.start(), m.end()))
-            if limit and len(out) > limit:
-                break
-    return out
-
-
 def _pairs(t: list[Token]) -> dict[int, int]:
     """The place of the token that closes each opening bracket that is closed, and the other way round. Each kind of
     bracket is matched by itself."""
@@ -289,8 +270,11 @@ class Reading:
         every = tokens(text, limit)
         heads = [re.sub(r"\s+$", "", x.text).strip() for x in every if x.kind == "pp" and _INCLUDE.match(x.text)]
         self.headers = list(dict.fromkeys(heads))
+        every, too_much = expand(every)
         self.t = one_branch(every)
         self.pair = _pairs(self.t)
+        #: Parameters of old-style definitions, by the place of their brace.
+        self.old: dict[int, list[dict]] = {}
         self.imports = sorted(
             [("import", (m[1] or m[2] or m[3]).strip(), self.line(m.start()), m[0].strip()) for m in _IMPORT.finditer(text)]
             + [("module_decl", m[1].strip(), self.line(m.start()), m[0].strip()) for m in _MODULE.finditer(text)],
@@ -299,7 +283,7 @@ class Reading:
         self.casts = [(self.line(a), m) for a, m in casts(self.t, text, self.pair)]
         # Scopes wait here, the innermost first, so that no depth of nesting is a depth of calls.
         self.waiting: list[tuple[int, int, list[str]]] = [(0, len(self.t), [])]
-        self.warnings: list[tuple[int, str]] = []
+        self.warnings: list[tuple[int, str]] = [(0, too_much)] if too_much else []
         while self.waiting:
             self.read(*self.waiting.pop())
         for found in (self.functions, self.types, self.globals):
@@ -323,6 +307,9 @@ class Reading:
             if x in ("(", "["):
                 i = pair.get(i, len(t)) + 1
             elif x == ";":
+                if (body := self.old_style(start, i, end)) is not None:
+                    i = body
+                    continue
                 self.statement(start, i, scope)
                 i = start = i + 1
             elif x == ":" and i == start + 1 and t[start].text in ("public", "private", "protected"):
@@ -391,6 +378,46 @@ class Reading:
             self.function(start, at, i, close, scope, template)
         return False
 
+    def old_style(self, start: int, i: int, end: int) -> int | None:
+        """Where the body begins if the statement from start to the semicolon at i is a definition whose parameters are
+        declared behind its brackets: int add(a, b) int a; char *b; { .. }"""
+        t, at = self.t, self.plain(start, i)
+        text = [t[j].text for j in at]
+        if "(" not in text or "=" in text[: text.index("(")]:
+            return None
+        own, k = self.declarator(at)
+        shut = self.pair.get(at[k], i)
+        if own < 0 or t[at[own]].kind != "name" or text[own] in KEYWORDS or shut + 1 >= i:
+            return None
+        names = [x.text for x in t[at[k] + 1 : shut : 2] if x.kind == "name" and x.text not in _BUILTIN | _QUALIFIERS]
+        if not names or 2 * len(names) != shut - at[k] or any(x.text != "," for x in t[at[k] + 2 : shut : 2]):
+            return None
+        told: dict[str, dict] = {}
+        begin = shut + 1
+        while True:
+            semicolon, base = begin, None
+            while semicolon < end and t[semicolon].text not in (";", "{", "}", "=", ":"):
+                semicolon = self.pair.get(semicolon, end) + 1 if t[semicolon].text in ("(", "[") else semicolon + 1
+            if semicolon + 1 >= end or t[semicolon].text != ";":
+                return None
+            for part in _split(t[begin:semicolon]):
+                if base is None:
+                    stars = next((n for n, x in enumerate(part) if x.text in ("*", "(")), len(part))
+                    base = part[: min(stars, next((n for n, x in enumerate(part) if x.text in names), len(part)))]
+                    part = part[len(base) :]
+                name = next((x.text for x in part if x.text in names), "")
+                if not base or not name or name in told:
+                    return None
+                told[name] = (parameter([*base, *part]) or {}) | {"name": name}
+                if any(x.text == "(" for x in part) or any(x.text == "[" for x in part):
+                    told[name]["is_pointer"] = True
+            begin = semicolon + 1
+            if t[begin].text == "{":
+                break
+        plain = {"type": "int", "is_pointer": False, "is_reference": False, "is_const": False}
+        self.old[begin] = [{"name": n, **plain} | told.get(n, {}) for n in names]
+        return begin
+
     def initialises(self, at: list[int]) -> bool:
         """Whether a brace after these tokens gives a member its first value: A(int a) : x{a} {}"""
         k, t = len(at) - 1, self.t
@@ -491,7 +518,8 @@ class Reading:
                 return
         elif "operator" in text[:k]:
             own = text.index("operator")
-            name = "".join(text[own:k])
+            # operator bool, operator const char*, operator new[]
+            name = "".join(x if n < 2 and not (n and (x[0].isalpha() or x[0] == "_")) or not re.match(r"\w", x) or not re.match(r"\w", text[own + n - 1]) else " " + x for n, x in enumerate(text[own:k]))
         elif (first := self.named_from(text, own)) >= 0 and t[at[first]].kind == "name" and text[first] not in KEYWORDS:
             name, own = "".join(text[first : own + 1]), first
         else:
@@ -503,9 +531,10 @@ class Reading:
         overlap = next((n for n in range(min(len(scope), len(parts)), 0, -1) if scope[-n:] == parts[:n]), 0) if len(parts) > 1 else 0
         fqn = "::".join([*scope, *parts[overlap:]])
         shut = self.pair.get(at[k], i)
-        params = [p for p in map(parameter, _split(t[at[k] + 1 : shut])) if p]
-        begin = self.owned_from(t[owner].start)
-        signature, body = self.text[begin : t[i].start].strip(), self.text[t[i].start : t[close].end]
+        params = self.old[i] if i in self.old else [p for p in map(parameter, _split(t[at[k] + 1 : shut])) if p]
+        # Where a macro makes the brace and what is before it, its use is the signature, and the body begins there, too.
+        begin = self.owned_from(min(t[owner].start, t[i].start))
+        signature, body = self.text[begin : t[i].start if t[i].start > t[owner].start else t[i].end].strip(), self.text[t[i].start : t[close].end]
         inner = t[i : close + 1]
         called = calls(inner, self.text)
         # A do-while has one while of its own, which is not a second loop.
@@ -513,7 +542,7 @@ class Reading:
         complexity = words.count("for") + words.count("while") + words.count("if") + words.count("switch") + words.count("?") + len(called)
         lowered, low = body.lower(), signature.lower()
         digest = hashlib.md5(",".join(p["type"] for p in params).encode()).hexdigest()[:8]
-        said = set(re.findall(r"\w+", signature))
+        said = set(re.findall(r"\w+", signature)) | {x.text for x in t[owner:i] if x.made}
         first, last = self.line(begin), self.line(t[close].start)
         self.functions.append((
             i,

@@ -30,7 +30,8 @@ LEGACY = (
     Pattern("manual_delete", "critical", r"\bdelete\s*(\[\])?\s*[A-Za-z_][A-Za-z0-9_]*\s*;", "Manual delete detected; prefer std::unique_ptr or stack allocation."),
 )
 CAST = Pattern("c_style_cast", "major", "", "Potential C-style cast detected; prefer static_cast/reinterpret_cast.")
-IGNORED_DIRS = (".git", "build", "out", "bin", "obj", "__pycache__", ".venv", "node_modules")
+#: Fixed values. A file is passed over if its path holds one of these anywhere, as in rebuild/.
+IGNORED_DIRS = ("node_modules", ".git", "build", ".venv", "__pycache__")
 
 
 def scan_patterns(files: DataFrame, catalogue: tuple[Pattern, ...] = LEGACY, text: Column | None = None) -> DataFrame:
@@ -62,7 +63,7 @@ def ordered_findings(files: DataFrame) -> DataFrame:
 
 
 def search_lines(files: DataFrame, regex: str) -> DataFrame:
-    """path, line, text of each line that the pattern finds; files below ignored folders are passed over."""
+    """path, line, text of each line that the pattern finds; files whose path holds an ignored name are passed over."""
     kept = files.where(~F.coalesce(F.col("path"), F.lit("")).rlike("|".join(r"\Q" + d + r"\E" for d in IGNORED_DIRS)))
     at = kept.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("i", "text"))
     return at.where(F.col("text").rlike(regex)).select("path", (F.col("i") + 1).alias("line"), strip(F.col("text")).alias("text"))

@@ -12,6 +12,7 @@ from tessera.operators import graph, guard, includes, parity, patterns, rules
 from tessera.operators.extract import call_table, extract, token_table, unnest
 from tessera.plans import plan as P
 from tessera.plans.workflow import lite, modernize
+from tessera.sources import dialect as D
 from tessera.sources import files as S
 from tessera.sources import units as U
 from tessera.sources.corpus import code_corpus
@@ -225,6 +226,31 @@ def guard_first_original(spark, sf_dir):
     return guard.signature_drift(before, after).select("file_id", "message")
 
 
+# The corpus in old C: what macros make is told by its use, wherever it stands.
+_DIALECT = U.unit_sql("i, fqn, types, sig, body, complexity, modifiers", ((i, f.fqn, f.types, f.signature, f.body, f.complexity, f.modifiers) for i, f in enumerate(D.FUNCTIONS)))
+_DIALECT_AT = f"(SELECT *, {_ID} AS id, a + strpos(text[a + 1:], body) - 1 + length(body) AS b FROM (SELECT *, strpos(text, sig) - 1 AS a FROM (SELECT *, replace({U.quoted(D.DIALECT)}, '@', k) AS text FROM {_DIALECT} f) f) f) f"
+
+
+def _dialect(spark, sf_dir, what):
+    return unnest(extract(U.unit_corpus(spark, sf_dir, D.DIALECT)), what)
+
+
+@query(f"SELECT file_id, fqn, id AS unique_fqn, md5(sig) AS signature_md5, sha256(body) AS function_hash, a AS start_byte, b AS end_byte, {_LINE('a')} AS start_line, {_LINE('b')} AS end_line, complexity, modifiers FROM {_DIALECT_AT}")
+def dialect_functions(spark, sf_dir):
+    f = _dialect(spark, sf_dir, "functions")
+    return f.select("file_id", "fqn", "unique_fqn", F.md5("signature").alias("signature_md5"), "function_hash", *[F.col(c).cast("long").alias(c) for c in ("start_byte", "end_byte", "start_line", "end_line")], "complexity", F.array_join("modifiers", ",").alias("modifiers"))
+
+
+@query("SELECT file_id, fqn, pos, name, type, is_pointer, is_reference, is_const FROM " + U.unit_sql("fqn, pos, name, type, is_pointer, is_reference, is_const", ((f.fqn, i, *p) for f in D.FUNCTIONS for i, p in enumerate(f.params))))
+def dialect_parameters(spark, sf_dir):
+    return _dialect(spark, sf_dir, "functions").select("file_id", "fqn", F.posexplode("parameters").alias("pos", "p")).select("file_id", "fqn", "pos", "p.*")
+
+
+@query("SELECT file_id, fqn, pos, name, display, kind FROM " + U.unit_sql("fqn, pos, name, display, kind", ((f.fqn, i, *c) for f in D.FUNCTIONS for i, c in enumerate(f.calls))))
+def dialect_calls(spark, sf_dir):
+    return _dialect(spark, sf_dir, "functions").select("file_id", "fqn", F.posexplode("call_details").alias("pos", "c")).select("file_id", "fqn", "pos", "c.*")
+
+
 _E = "SELECT event_id AS file_id, "
 
 

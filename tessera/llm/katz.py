@@ -34,7 +34,7 @@ from tessera.llm.kernel import mix, spans, texts, word_hashes
 START, END = np.uint64(1), np.uint64(2)
 GT, HOT, ORDER = 5, 1 << 20, 2
 #: Tokens to a block, to a bucket, and of one context to a bucket.
-TOKENS, BUCKET, SPLIT = 1_500_000, 1_500_000, 500_000
+TOKENS, BUCKET, SPLIT = 1_500_000, 750_000, 500_000
 #: An order's buckets are served in so many passes, one after another, of which each frees its shuffles.
 PASSES = 2
 _A = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -1,17 +1,19 @@
 """Near duplicates: the documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
 
-1. One pass takes each text's shingle set as 64-bit hashes, and keeps its size, a 128-bit key of the whole set, a few
-   minima of hashes, and a sketch of how often shingles occur. Equal sets are one class, stood for by its smallest id.
-2. Classes that share a minimum are compared with the smallest of them: a star, never all pairs. This joins most
-   groups of copies.
-3. The adaptive multi-match prefix join finds every other link. Shingles are ordered by frequency. A prefix that is l - 1
-   longer than the plain one must share l shingles; each document takes the l of least estimated cost, from the
-   frequencies of its own prefix. Only pairs that stage 2 has not connected are candidates, of which the sizes, the
-   places of the shared shingles and a bound on the difference of the sets strike most; each that is left is verified.
-4. Components of all verified links.
+1. One pass takes each text's shingle set as 64-bit hashes, and keeps its size, a 128-bit key of the whole set, and a
+   sketch of how often shingles occur. Equal sets are one class, stood for by its smallest id.
+2. Adaptive multi-match prefixes: shingles are ordered by frequency. A prefix that is l - 1 longer than the plain one must
+   share l shingles; each document takes the l of least estimated cost, from the frequencies of its own prefix. What
+   shares a prefix shingle with another class is kept: every candidate comes from there.
+3. Candidates are first those pairs of which one leads a shingle: the most central of the classes that have it in their
+   prefixes. That is a star for each shingle, never all pairs of a group. They are struck by size, place of the
+   shared shingles, number of matches and a bound on the difference of the sets; what is left is verified, and connected.
+4. Then the join over all else: pairs that share enough prefix shingles and that step 3 has not connected. Components of
+   all verified links.
 
 Cases: null and empty texts have size 0 and link with nothing. A null doc_id takes the id of a document with an equal
-set, or null. Rows that repeat a doc_id are one document, linked through any of its texts. Extra columns are ignored.
+set, or null. Rows that repeat a doc_id are one document, linked through any of its texts. A very long text is one row of a
+task, its shingles in memory. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, small
@@ -29,12 +31,9 @@ from tessera.llm.components import components
 from tessera.llm.kernel import mix, spans, texts, word_hashes
 
 SIZE, NUM, DEN = 5, 80, 100
-MINIMA, MATCHES, SKETCH_BITS, VERIFY_COST = 6, 4, 20, 20
+MATCHES, SKETCH_BITS, VERIFY_COST = 4, 20, 20
 HOT = 1 << 10
 _A = np.uint64(0xD6E8FEB86659FD93)
-_rng = np.random.default_rng(7)
-_ODD = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -66,8 +65,8 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "k1", "k2", "minima", "sketch"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    names = ["doc_id", "n", "k1", "k2", "sketch"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -76,10 +75,9 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
                 counts += np.bincount(at.astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 keys = [_key(s) for s in sets]
-                minima = [((s[None, :] ^ _XOR[:, None]) * _ODD[:, None]).min(1).view(np.int64) if len(s) else None for s in sets]
-                yield pa.record_batch([batch.column("doc_id")[i:j].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(minima, types[4]), pa.nulls(j - i, types[5])], names)
+                yield pa.record_batch([batch.column("doc_id")[i:j].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.nulls(j - i, types[4])], names)
     if counts.any():
-        yield pa.record_batch([pa.nulls(1, t) for t in types[:5]] + [pa.array([zlib.compress(counts.tobytes(), 1)], types[5])], names)
+        yield pa.record_batch([pa.nulls(1, t) for t in types[:4]] + [pa.array([zlib.compress(counts.tobytes(), 1)], types[4])], names)
 
 
 def _summed(pdf):
@@ -171,55 +169,65 @@ def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) ->
     return out
 
 
-def _dealt(keys: DataFrame) -> DataFrame:
-    """A row of keys for each part that its c rows are dealt to."""
-    return keys.withColumn("part", F.explode(F.expr(f"sequence(0L, if(c > {HOT}, c div {HOT}, 0L))")))
+def _near() -> Column:
+    """Whether a shared prefix shingle counts for a pair, a being the larger: sizes and parities leave room for a link, and
+    it stands in the prefixes that the l of the larger asks for."""
+    need, l = F.expr(f"({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}"), F.col("la")  # noqa: E741
+    apart = sum(F.bit_count(F.col(x + "a").bitwiseXOR(F.col(x + "b"))) for x in "pq")
+    return (DEN * F.col("nb") >= NUM * F.col("na")) & (F.col("ia") < F.col("na") - need + l) & (F.col("ib") < F.col("nb") - need + l) & (apart <= F.col("na") + F.col("nb") - 2 * need)
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """a and b, of rows for each shingle that counts for a pair: those with as many as l."""
+    return pairs.groupBy("a", "b", "la").agg(F.count("*").alias("c")).where("c >= la").select("a", "b").distinct()
+
+
+_SIDE = ("n", "l", "i", "p", "q")
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """a and b: candidates of which one leads a shingle. The leader is the most central class that has it in its prefix, the
+    one whose prefix shingles most others have: of copies with edits of their own, that is what they were copied from.
+    A shingle of over HOT classes is dealt to parts of about HOT, so that no task meets all of them."""
+    central = shared.groupBy("rep").agg(F.sum("c").alias("central"))
+    lead = shared.join(central, "rep").groupBy("token").agg(F.max(F.struct("central", (-F.col("rep")).alias("a"), *_SIDE)).alias("x"), F.max("c").alias("c"))
+    lead = lead.select("token", F.explode(F.expr(f"sequence(0L, c div {HOT})")).alias("part"), (-F.col("x.a")).alias("lead"), *[F.col(f"x.{x}").alias(f"{x}0") for x in _SIDE])
+    met = shared.withColumn("part", F.expr(f"pmod(xxhash64(rep), c div {HOT} + 1)")).join(lead, ["token", "part"]).where("lead <> rep")
+    first = (F.col("n") > F.col("n0")) | ((F.col("n") == F.col("n0")) & (F.col("rep") > F.col("lead")))
+    side = lambda x, y, by: [F.when(first, F.col(x)).otherwise(F.col(y)).alias(by + "a"), F.when(first, F.col(y)).otherwise(F.col(x)).alias(by + "b")]
+    return _enough(met.select(*side("rep", "lead", ""), *[c for x in _SIDE for c in side(x, x + "0", x)]).where(_near()))
+
+
+def others(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a and b: all candidates whose roots differ."""
+    post = shared.join(nodes, shared.rep == nodes.doc_id).select("token", "rep", "root", *_SIDE)
+    a, b = (post.select("token", F.col("rep").alias(x), *[F.col(c).alias(c + x) for c in ("root", *_SIDE)]) for x in "ab")
+    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    return _enough(a.join(b, (a.token == b.token) & (F.col("roota") != F.col("rootb")) & larger & _near()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per document."""
     scratch = Scratch(spark, "jaccard")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    outline = scratch.write(d.mapInArrow(_outline, "doc_id long, n long, k1 long, k2 long, minima array<long>, sketch binary"), "outline")
+    outline = scratch.write(d.mapInArrow(_outline, "doc_id long, n long, k1 long, k2 long, sketch binary"), "outline")
     sketch = spark.sparkContext.broadcast(_sketch(outline.where("sketch is not null").select("sketch")))
     rows = outline.where("sketch is null").select("doc_id", "n", "k1", "k2")
-    classes = scratch.write(outline.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("minima").alias("minima")), "classes")
-
-    shared = classes.select("rep", "n", F.posexplode("minima").alias("j", "m"))
-    sizes = scratch.write(shared.groupBy("j", "m").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    # A minimum of over HOT classes is dealt to parts of about HOT, so that no task meets all of them. There are at most a
-    # HOT-th as many such minima as rows.
-    hot = small(sizes.where(F.col("c") > HOT).withColumnRenamed("c", "hot"))
-    shared = shared.join(hot, ["j", "m"], "left").withColumn("part", F.expr(f"pmod(xxhash64(rep), coalesce(hot div {HOT}, 0) + 1)")).drop("hot")
-    shared = scratch.write(shared.join(_dealt(sizes), ["j", "m", "part"]), "shared")
-    # The leader is the most central of a minimum's classes, the one whose minima most others have: of copies with edits
-    # of their own, that is what they were copied from.
-    central = shared.groupBy("rep").agg(F.sum("c").alias("central"))
-    lead = shared.join(central, "rep").groupBy("j", "m").agg(F.max(F.struct("central", (-F.col("rep")).alias("a"), F.col("n"))).alias("x"), F.max("c").alias("c"))
-    lead = _dealt(lead.select("j", "m", "c", (-F.col("x.a")).alias("a"), F.col("x.n").alias("na"))).drop("c")
-    stars = shared.join(lead, ["j", "m", "part"]).where("a <> rep").where(DEN * F.least("n", "na") >= NUM * F.greatest("n", "na")).select("a", F.col("rep").alias("b")).distinct()
-    links = verified(scratch, d, stars, "stars")
-    joined = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    classes = scratch.write(outline.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    reps = classes.select(F.col("rep").alias("doc_id"), "k1").groupBy("doc_id").agg(F.count("*").alias("of"))
-    nodes = reps.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-    nodes = scratch.write(nodes, "nodes")
     found = d.mapInArrow(_prefixes(sketch), "doc_id long, n long, l long, prefix array<long>, p long, q long")
-    index = scratch.write(found.join(nodes, "doc_id"), "index")
-    post = index.select("doc_id", "root", "n", "l", "p", "q", F.posexplode("prefix").alias("i", "token"))
-    post = post.select("token", "doc_id", "root", "p", "q", (F.shiftleft("n", 32) + F.shiftleft("l", 24) + F.col("i")).alias("meta"))
-    a, b = post.alias("a"), post.alias("b")
-    n, at = (lambda x: F.shiftright(F.col(f"{x}.meta"), 32)), (lambda x: F.col(f"{x}.meta").bitwiseAND(0xFFFFFF))
-    l = F.shiftright(F.col("a.meta"), 24).bitwiseAND(255)  # noqa: E741
-    larger = (n("a") > n("b")) | ((n("a") == n("b")) & (F.col("a.doc_id") > F.col("b.doc_id")))
-    # Sets of these sizes that link share `need` shingles, so l of them in the prefixes that are l longer than n - need.
-    need = F.expr(f"({NUM} * (shiftright(a.meta, 32) + shiftright(b.meta, 32)) + {NUM + DEN - 1}) div {NUM + DEN}")
-    apart = sum(F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in "pq")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & larger & (DEN * n("b") >= NUM * n("a"))
-    on = on & (at("a") < n("a") - need + l) & (at("b") < n("b") - need + l) & (apart <= n("a") + n("b") - 2 * need)
-    more = a.join(b, on).groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), l.alias("l")).agg(F.count("*").alias("c")).where("c >= l").select("a", "b").distinct()
-    rest = verified(scratch, d, more, "rest")
-    scratch.drop("index")
+    index = scratch.write(found.join(reps, "doc_id", "left_semi"), "index")
+    post = index.select(F.col("doc_id").alias("rep"), "n", "l", "p", "q", F.posexplode("prefix").alias("i", "token"))
+    sizes = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = scratch.write(post.join(sizes, "token"), "shared")
+
+    links = verified(scratch, d, stars(shared), "stars")
+    joined = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    nodes = reps.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rest = verified(scratch, d, others(shared, scratch.write(nodes, "nodes")), "rest")
+    for name in ("index", "shared"):
+        scratch.drop(name)
 
     edges = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest.select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots = components(spark, edges)

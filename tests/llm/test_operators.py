@@ -114,6 +114,22 @@ def test_jaccard_dealt(spark, docs, monkeypatch, broadcast):
     assert stars[0] == stars[1] and len(stars[0]) > 39
 
 
+def test_jaccard_without_stars(spark, docs, monkeypatch):
+    """Stars only spare the join pairs: where they find nothing, it finds all links."""
+    rows, _ = docs
+    found, verified = {}, jaccard.verified
+
+    def seen(scratch, d, pairs, name):
+        out = verified(scratch, d, pairs, name)
+        found[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "verified", seen)
+    monkeypatch.setattr(jaccard, "stars", lambda shared: shared.select(*[F.col("rep").alias(x) for x in "ab"]).where("false"))
+    got = rows_of(jaccard.op2(spark, frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute.near(rows)) and found["stars"] == 0 < found["rest"]
+
+
 @pytest.mark.parametrize("order, blocks", [(2, "large"), (3, "large"), (2, "small"), (3, "small"), (4, "small")])
 def test_katz(spark, docs, monkeypatch, order, blocks):
     """All n-grams, discounts and back-off against plain Python; with many blocks and contexts of several buckets, too."""

@@ -564,16 +564,20 @@ def read_text(text: str | None, limit: int | None = None) -> dict:
     return {"functions": r.functions, "types": r.types, "headers": record(("pos", "header"), enumerate(r.headers)), "imports": record(("kind", "target", "line", "raw"), r.imports), "globals": r.globals, "casts": record(("line", "match"), r.casts), "parse_warning": r.warning}
 
 
-def extract(files: DataFrame, max_tokens: int | None = None) -> DataFrame:
-    """A row per file (file_id, text) with nested functions, types, headers, imports, globals and casts."""
-    target = to_arrow_schema(StructType.fromDDL(SCHEMA))
+def extract(files: DataFrame, *keep: str, max_tokens: int | None = None) -> DataFrame:
+    """A row per file (file_id, text) with nested functions, types, headers, imports, globals and casts, and the columns to
+    keep."""
+    own = StructType.fromDDL(SCHEMA)
+    schema = StructType([*own.fields, *(files.schema[c] for c in keep)])
+    target = to_arrow_schema(own)
 
     def run(batches):
         for batch in batches:
             rows = [{"file_id": i, **read_text(t, max_tokens)} for i, t in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_pylist(rows, target)
+            read = pa.RecordBatch.from_pylist(rows, target)
+            yield pa.RecordBatch.from_arrays([*read.columns, *(batch.column(c) for c in keep)], names=[*read.schema.names, *keep])
 
-    return files.select(F.col("file_id").cast("long").alias("file_id"), "text").mapInArrow(run, SCHEMA)
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "text", *keep).mapInArrow(run, schema)
 
 
 def unnest(parsed: DataFrame, what: str) -> DataFrame:

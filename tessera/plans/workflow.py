@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +17,9 @@ from tessera.operators.extract import extract, unnest
 from tessera.operators.graph import last_records
 from tessera.operators.patterns import error_context
 from tessera.operators.rules import apply_rules
+from tessera.plans.answers import Answers, prompt_key
 from tessera.plans.plan import analyzer_findings, file_metrics, plan, rating, route, score
-from tessera.sources.scratch import Scratch
+from tessera.sources.scratch import Run, Scratch
 
 #: A function of a text, or of a text and its plan (a line for each transformation).
 Rewriter = Callable[..., str]
@@ -36,57 +38,72 @@ def _call(f: Callable[..., str], *args: str, tries: int = 3) -> str | None:
     return None
 
 
-def ask(rows: DataFrame, f: Callable[..., str], *columns: str) -> DataFrame:
+def ask(rows: DataFrame, f: Callable[..., str], *columns: str, role: str = "", answers: Answers | None = None) -> DataFrame:
     """rows with `answer`, by a function of those columns that is called once for each distinct set of them; null where
-    it fails."""
+    it fails. With answers, which are kept, only what none is known for is asked."""
 
     def run(batches):
         for b in batches:
             args = zip(*(b.column(c).to_pylist() for c in columns))
             yield pa.record_batch([b.column("key"), pa.array([_call(f, *(x or "" for x in a)) for a in args], pa.string())], ["key", "answer"])
 
-    key = F.sha2(F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])), 256)
-    keyed = rows.withColumn("key", key)
-    answers = keyed.select("key", *columns).dropDuplicates(["key"]).mapInArrow(run, "key string, answer string")
-    return keyed.join(answers, "key").drop("key")
+    keyed = rows.withColumn("key", prompt_key(role, *columns))
+    prompts = keyed.select("key", *columns)
+    said = answers.ask(prompts, partial(_call, f)) if answers else prompts.dropDuplicates(["key"]).mapInArrow(run, "key string, answer string")
+    return keyed.join(said, "key").drop("key")
 
 
-def rewrite(files: DataFrame, rewriter: Rewriter) -> DataFrame:
+def rewrite(files: DataFrame, rewriter: Rewriter, answers: Answers | None = None) -> DataFrame:
     """file_id, text by a function of a text (and of the column `plan`, if there is one): the code of its answer. A failure
     or a blank answer keeps the text."""
     args = ("text", "plan") if "plan" in files.columns else ("text",)
     code = fenced_code(F.col("answer"))
-    return ask(files.select("file_id", *args), rewriter, *args).select("file_id", F.when(F.coalesce(code, F.lit("")) != "", code).otherwise(F.col("text")).alias("text"))
+    return ask(files.select("file_id", *args), rewriter, *args, role="modernizer", answers=answers).select("file_id", F.when(F.coalesce(code, F.lit("")) != "", code).otherwise(F.col("text")).alias("text"))
 
 
-def lite(files: DataFrame, rewriter: Rewriter | None = None) -> DataFrame:
+def lite(files: DataFrame, rewriter: Rewriter | None = None, answers: Answers | None = None) -> DataFrame:
     """Rewriting alone: rules, the rewriter, and rules again. file_id, text, applied (by the last rules), normalized
     (whether the first rules changed it) and enforced (whether the last ones did)."""
     first = apply_rules(files)
     if rewriter is None:
         return first.select("file_id", "text", "applied", F.col("changed").alias("normalized"), F.lit(False).alias("enforced"))
     first = Scratch(files.sparkSession, "rewrite").write(first.join(files.select("file_id", "plan"), "file_id") if "plan" in files.columns else first, "rules")
-    last = apply_rules(rewrite(first, rewriter)).withColumnRenamed("changed", "enforced")
+    last = apply_rules(rewrite(first, rewriter, answers)).withColumnRenamed("changed", "enforced")
     return last.join(first.select("file_id", F.col("changed").alias("normalized")), "file_id")
 
 
-def fix(broken: DataFrame, fixer: Fixer, verify: Verify) -> DataFrame:
+def fix(broken: DataFrame, fixer: Fixer, verify: Verify, answers: Answers | None = None) -> DataFrame:
     """file_id, text: of (file_id, text, error_log), by a fixer that sees the errors and the lines about them. Its answer is
     taken if it looks like code and compiles; else the text stays."""
     scratch = Scratch(broken.sparkSession, "fix")
     lines = error_context(broken.select("file_id", F.col("error_log").alias("error_text")), broken.select("file_id", "text"))
     about = lines.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("error_line", "line", "text"))), lambda x: F.format_string("%d: %s", x.line, x.text)), "\n").alias("about"))
-    asked = ask(broken.select("file_id", "text", "error_log").join(about, "file_id", "left"), fixer, "text", "error_log", "about")
-    answers = scratch.write(asked.select("file_id", "text", fenced_code(F.col("answer")).alias("answer")), "answers")
-    good = verify(answers.where(plausible_code(F.col("answer"))).select("file_id", F.col("answer").alias("text"))).where("success").select("file_id", F.lit(True).alias("ok"))
-    return answers.join(good, "file_id", "left").select("file_id", F.when(F.col("ok"), F.col("answer")).otherwise(F.col("text")).alias("text"))
+    asked = ask(broken.select("file_id", "text", "error_log").join(about, "file_id", "left"), fixer, "text", "error_log", "about", role="fixer", answers=answers)
+    said = scratch.write(asked.select("file_id", "text", fenced_code(F.col("answer")).alias("answer")), "answers")
+    good = verify(said.where(plausible_code(F.col("answer"))).select("file_id", F.col("answer").alias("text"))).where("success").select("file_id", F.lit(True).alias("ok"))
+    return said.join(good, "file_id", "left").select("file_id", F.when(F.col("ok"), F.col("answer")).otherwise(F.col("text")).alias("text"))
 
 
 def _plan_lines(plans: DataFrame) -> DataFrame:
     return plans.select("file_id", F.array_join(F.transform("transformations", lambda t: F.concat(F.lit("- "), t.type, F.lit(": "), t.description)), "\n").alias("plan"))
 
 
-def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify | None = None, max_attempts: int = 3, fixer: Fixer | None = None, planned: bool = False) -> DataFrame:
+def _about(files: DataFrame, max_attempts: int, planned: bool, *functions) -> dict:
+    """What a run that goes on must have in common with the one before."""
+    n, digest = files.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("file_id", "text")), F.lit(0))).first()
+    return {"files": n, "digest": digest, "max_attempts": max_attempts, "planned": planned, "functions": [f is not None for f in functions]}
+
+
+def _round(anew: DataFrame, broken: DataFrame | None, plans: DataFrame, rewriter, fixer, verify, planned: bool, answers: Answers | None) -> DataFrame:
+    """file_id, text, normalized, enforced: what is written anew, and what is repaired."""
+    source = anew.join(_plan_lines(plans), "file_id") if planned and rewriter else anew
+    new = lite(source, rewriter, answers).select("file_id", "text", "normalized", "enforced")
+    if broken is None:
+        return new
+    return new.unionByName(fix(broken, fixer, verify, answers).join(broken.select("file_id", "normalized", "enforced"), "file_id"))
+
+
+def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify | None = None, max_attempts: int = 3, fixer: Fixer | None = None, planned: bool = False, answers: Answers | None = None, run: str | None = None, rounds: int | None = None) -> DataFrame:
     """file_id, text, new_text, n_findings, function_count, risk_score, normalized, enforced, n_issues, issues, semantic_ok,
     success, error_log, attempts, score, rating.
 
@@ -94,21 +111,27 @@ def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify
     rewriter gets the plan of its file too. After each attempt the router tells where a file goes: it is done, or the
     fixer repairs what didn't compile (without a fixer that is written anew), or it is planned, and rewritten from the
     original, again. Each round is written once and read from there: a text is rewritten, read and compiled once a round.
+
+    With run, a folder that the cluster shares, each round is committed there, and a call with the same files and options goes
+    on behind the last whole round, in any session; rounds then tells how many new ones this call may add, and files that
+    aren't done by then are not in its result. With answers, what the rewriter and the fixer say is kept as it comes, so that a
+    round that was broken off doesn't ask again.
     """
-    scratch = Scratch(files.sparkSession, "modernize")
     files = files.select("file_id", "text")
+    scratch = Run(files.sparkSession, run, _about(files, max_attempts, planned, rewriter, fixer, verify)) if run else Scratch(files.sparkSession, "modernize")
+    if rounds is not None and (not run or rounds < 1):
+        raise ValueError("rounds are one or more of those of a run")
     parsed = scratch.write(extract(files), "parsed")
     before = last_records(unnest(parsed, "functions"))
     found = analyzer_findings(files, before, unnest(parsed, "types"))
     plans = scratch.write(plan(found, files).join(file_metrics(files, before, found).select("file_id", "function_count"), "file_id"), "plans")
-    anew, broken, done = files, None, None
+    anew, broken, done, added = files, None, None, 0
     for attempt in range(1, max_attempts + 1):
-        source = anew.join(_plan_lines(plans), "file_id") if planned and rewriter else anew
-        new = lite(source, rewriter).select("file_id", "text", "normalized", "enforced")
-        if broken is not None:
-            fixed = fix(broken, fixer, verify).join(broken.select("file_id", "normalized", "enforced"), "file_id")
-            new = new.unionByName(fixed)
-        new = scratch.write(new, f"new{attempt}")
+        if run and not scratch.has(f"round{attempt}"):
+            if added == rounds:
+                break
+            added += 1
+        new = scratch.read(f"new{attempt}") if run and scratch.has(f"new{attempt}") else scratch.write(_round(anew, broken, plans, rewriter, fixer, verify, planned, answers), f"new{attempt}")
         after = unnest(scratch.write(extract(new), f"read{attempt}"), "functions")
         found = scratch.write(guard.issues(before.join(new.select("file_id"), "file_id", "left_semi"), after, new), f"issues{attempt}")
         issues = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("category", "message", "severity"))).alias("issues"))

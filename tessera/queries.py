@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import unit_queries
+from tessera import flow_queries, unit_queries
 from tessera.functions import text as T
 from tessera.functions.regexops import mask
 from tessera.operators import graph, guard, includes, parity, patterns
@@ -408,8 +408,8 @@ def modernized(spark, sf_dir):
     return m.select("file_id", "n_findings", "risk_score", F.col("n_issues").cast("int").alias("n_issues"), "semantic_ok", "attempts", "score", "rating", F.md5("new_text").alias("text_md5"))
 
 
-_queries.update(unit_queries.QUERIES | {"output_diff": unit_queries.output_diff})
-_oracle.update(unit_queries.ORACLE | {"output_diff": unit_queries.diff_sql(_CORPUS, _REWRITTEN)})
+_queries.update(unit_queries.QUERIES | flow_queries.QUERIES | {"output_diff": unit_queries.output_diff})
+_oracle.update(unit_queries.ORACLE | flow_queries.ORACLE | {"output_diff": unit_queries.diff_sql(_CORPUS, _REWRITTEN)})
 
 
 def queries() -> dict:

@@ -1,8 +1,10 @@
-"""Tables written once and read again, in the shared folder that the cluster names."""
+"""Tables written once and read again: in the shared folder that the cluster names, for as long as the application lives, or
+in a folder of a run's own, which another session can go on with."""
 
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -50,3 +52,59 @@ class Scratch:
     def drop(self, name: str) -> None:
         path, fs = self._at(f"{self.base}/{name}")
         fs.delete(path, True)
+
+
+class Run(Scratch):
+    """A folder of tables that outlives the application. A manifest names the tables that are whole; to write one of them
+    again reads it instead, so a job that is run again from its start goes on behind the last table that it ended."""
+
+    MANIFEST = "manifest.json"
+
+    def __init__(self, spark: SparkSession, path: str, about: dict):
+        self.spark, self.base = spark, path.rstrip("/")
+        where, fs = self._at(self.base)
+        fs.mkdirs(where)
+        told = self._read() or {"about": about, "tables": []}
+        if told["about"] != about:
+            raise ValueError(f"{path} holds a run over other data or options: {told['about']}, not {about}")
+        self.told = told
+        self._commit()
+
+    def _read(self) -> dict | None:
+        path, fs = self._at(f"{self.base}/{self.MANIFEST}")
+        if not fs.exists(path):
+            # A crash between removing the old manifest and naming the new one leaves that under its other name.
+            path, fs = self._at(f"{self.base}/{self.MANIFEST}.new")
+            if not fs.exists(path):
+                return None
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _commit(self) -> None:
+        new, fs = self._at(f"{self.base}/{self.MANIFEST}.new")
+        old, _ = self._at(f"{self.base}/{self.MANIFEST}")
+        out = fs.create(new, True)
+        out.write(json.dumps(self.told).encode())
+        out.close()
+        fs.delete(old, False)
+        if not fs.rename(new, old):
+            raise OSError(f"{old.toString()} could not be written")
+
+    def has(self, name: str) -> bool:
+        return name in self.told["tables"]
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/{name}")
+
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        if not self.has(name):
+            super().write(df, name, *by)
+            self.told["tables"].append(name)
+            self._commit()
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Nothing is dropped, as a later session may read it."""

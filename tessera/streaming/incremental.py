@@ -11,17 +11,18 @@ from tessera.operators.extract import extract, unnest
 
 def stream_sources(spark: SparkSession, path: str) -> DataFrame:
     """A stream of (file_id, path, text, seen_at)."""
-    s = spark.readStream.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    s = spark.readStream.text(path, wholetext=True, recursiveFileLookup=True)
     p = F.col("_metadata.file_path")
     return s.select(F.xxhash64(p).alias("file_id"), p.alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("seen_at"))
 
 
-def new_functions(stream: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """Functions by the hash of their body, once each within the watermark."""
-    f = unnest(extract(stream), "functions")
-    if "seen_at" not in stream.columns:
-        return f.dropDuplicates(["function_hash"])
-    return f.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["function_hash"])
+def new_functions(stream: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Functions by the hash of their body, once each. The state has a row for each body; with a watermark bodies are
+    forgotten that long, by the files' own times, behind the latest file, and files older than that aren't read."""
+    if watermark is None:
+        return unnest(extract(stream), "functions").dropDuplicates(["function_hash"])
+    read = extract(stream.withWatermark("seen_at", watermark), "seen_at")
+    return read.select("file_id", "seen_at", F.explode("functions").alias("x")).select("file_id", "seen_at", "x.*").dropDuplicatesWithinWatermark(["function_hash"])
 
 
 def write_new_functions(stream: DataFrame, target: str, checkpoint: str):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normalize_output
+from tessera.operators.linediff import unified
 
 _TIMING = r"(?ms)^\s*Command being timed:.*\z"
 
@@ -36,15 +37,14 @@ def differential(runs: DataFrame) -> DataFrame:
 
 
 def output_diff(pairs: DataFrame) -> DataFrame:
-    """id, diff: unified diffs of two text columns, before and after."""
-    import difflib
+    """id, diff: unified diffs of two text columns, before and after; linediff.line_changes has a row for each change."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             both = zip(b.column("before").to_pylist(), b.column("after").to_pylist())
-            yield pa.record_batch([b.column("id"), pa.array(["\n".join(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "before", "after", lineterm="")) for x, y in both], pa.string())], ["id", "diff"])
+            yield pa.record_batch([b.column("id"), pa.array([unified(x, y) for x, y in both], pa.string())], ["id", "diff"])
 
     return pairs.select(F.col("id").cast("long").alias("id"), "before", "after").mapInArrow(run, "id long, diff string")
 

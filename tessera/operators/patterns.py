@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from tessera.functions.regexops import matches, strip
 from tessera.operators.extract import extract
+from tessera.operators.running import running_sum
+from tessera.sources.scratch import Scratch
 
 TAG = "C++23 Overhaul"
 
@@ -73,8 +75,8 @@ def search_code(files: DataFrame, regex: str, limit: int = 500) -> DataFrame:
     """As search_lines, up to and with the file, by path, that brings the matches over the limit."""
     hits = search_lines(files, regex)
     per_file = hits.groupBy("path").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return hits.join(per_file.select("path", before.alias("before")).where(F.col("before") <= limit).select("path"), "path", "left_semi")
+    counted = running_sum(per_file, "n", [F.col("path")], Scratch(files.sparkSession, "search"))
+    return hits.join(counted.where(F.col("before") <= limit).select("path"), "path", "left_semi")
 
 
 def error_context(errors: DataFrame, files: DataFrame, around: int = 2, first: int = 3) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
-from tessera.operators import graph, guard, includes, parity, patterns, rules
+from tessera.operators import graph, guard, includes, patterns, rules
 from tessera.operators.extract import call_table, extract, token_table, unnest
+from tessera.operators.linediff import line_changes
 from tessera.plans import plan as P
 from tessera.plans.workflow import lite, modernize
 from tessera.sources import dialect as D
@@ -356,5 +357,4 @@ def diff_sql(corpus: str, rewritten: str) -> str:
 def output_diff(spark, sf_dir):
     files = code_corpus(spark, sf_dir)
     both = files.select(F.col("file_id").alias("id"), F.col("text").alias("before")).join(rules.apply_rules(files).select(F.col("file_id").alias("id"), F.col("text").alias("after")), "id")
-    lines = parity.output_diff(both).select("id", F.explode(F.split("diff", "\n")).alias("change"))
-    return lines.where("change rlike '^[-+]' and change not rlike '^(---|[+]{3}) '")
+    return line_changes(both).select("id", F.concat("op", "text").alias("change"))

@@ -577,7 +577,7 @@ def extract(files: DataFrame, *keep: str, max_tokens: int | None = None) -> Data
             read = pa.RecordBatch.from_pylist(rows, target)
             yield pa.RecordBatch.from_arrays([*read.columns, *(batch.column(c) for c in keep)], names=[*read.schema.names, *keep])
 
-    return files.select(F.col("file_id").cast("long").alias("file_id"), "text", *keep).mapInArrow(run, schema)
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "text", *(c for c in keep if c != "text")).mapInArrow(run, schema)
 
 
 def unnest(parsed: DataFrame, what: str) -> DataFrame:

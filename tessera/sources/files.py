@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,18 @@ def safe_path(path: str, root: str) -> Path:
 
 
 def list_directory(spark: SparkSession, path: str, root: str) -> DataFrame:
-    """name and type (file or directory) of the entries, by name."""
-    rows = [(e.name, "directory" if e.is_dir() else "file") for e in os.scandir(safe_path(path, root))]
+    """name and type (file or directory) of a folder's own entries, by name: of any folder that Spark reads, below the root.
+    datasource.SourceFiles lists all that is below one, in tasks."""
+    if "://" in root:
+        full = posixpath.normpath(path or ".")
+        if full.startswith(("/", "..")):
+            raise PermissionError(f"{path} is outside {root}")
+        where = root.rstrip("/") + "/" + full
+    else:
+        where = safe_path(path, root).as_uri()
+    at = spark._jvm.org.apache.hadoop.fs.Path(where)
+    entries = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    rows = [(e.getPath().getName(), "directory" if e.isDirectory() else "file") for e in entries]
     return spark.createDataFrame(rows, "name string, type string").orderBy("name")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,7 +15,8 @@ from tessera.sources import dialect as D
 from tessera.sources import files as S
 from tessera.sources import units as U
 from tessera.sources.corpus import code_corpus
-from tessera.sources.scratch import Scratch, scratch_root
+from tessera.sources.datasource import SourceFiles
+from tessera.sources.scratch import Scratch
 
 
 def _t(spark, sf_dir, name):
@@ -325,21 +324,28 @@ def directory(spark, sf_dir):
 
 @query("SELECT r_name AS name, concat('read_', r_regionkey) AS fqn, 'success' AS status, length(concat('int read_', r_regionkey, '() { return ', r_regionkey, '; }')) AS n_chars, 1 AS n_rows FROM region")
 def file_round_trip(spark, sf_dir):
-    """Files written below a root, read back one by one (with an envelope) and all together (as a table)."""
+    """A file a row, written below a root by one job and read back by another."""
+    spark.dataSource.register(SourceFiles)
+    k, name = F.col("r_regionkey").cast("string"), F.concat("r_name", F.lit(".cpp"))
+    text = F.concat(F.lit("int read_"), k, F.lit("() { return "), k, F.lit("; }"))
     root = Scratch(spark, "files").base
-    if not root.startswith(("file:/", "/")):
-        raise ValueError("writes files for a test; needs a folder")
-    local = "/" + root.removeprefix("file:").lstrip("/")
-    rows = []
-    for r in _t(spark, sf_dir, "region").collect():
-        wrote = json.loads(S.write_code(f"sub/{r.r_name}.cpp", f"int read_{r.r_regionkey}() {{ return {r.r_regionkey}; }}", local))
-        got = json.loads(S.read_code(f"sub/{r.r_name}.cpp", local))
-        n = S.read_source(spark, f"{local}/sub/{r.r_name}.cpp").count()
-        rows.append((r.r_name, got["status"] if got["status"] == wrote["status"] else "error", len(got["content"]), n))
-    told = spark.createDataFrame(rows, "name string, status string, n_chars long, n_rows int")
-    f = S.read_sources(spark, local)
-    f = f.withColumn("name", F.regexp_extract("path", r"([^/]+)\.cpp$", 1))
-    return told.join(f.select("name", "file_id"), "name").join(unnest(extract(f), "functions").select("file_id", "fqn"), "file_id").select("name", "fqn", "status", "n_chars", "n_rows")
+    _t(spark, sf_dir, "region").select(name.alias("path"), text.alias("text")).write.format("source_files").option("root", root).option("path", "sub").mode("overwrite").save()
+    back = spark.read.format("source_files").option("root", root).option("path", "sub").option("texts", "true").load()
+    f = extract(back.where("type = 'file'").select(F.xxhash64("path").alias("file_id"), "path", "text"), "path", "text")
+    got = f.select(F.regexp_replace("path", r"\.cpp$", "").alias("name"), "text", F.explode("functions").alias("x"))
+    return got.groupBy("name", "x.fqn", "text").agg(F.count("*").cast("int").alias("n_rows")).select("name", "fqn", F.when(F.col("text").isNotNull(), "success").otherwise("error").alias("status"), F.length("text").cast("long").alias("n_chars"), "n_rows")
+
+
+@query(f"SELECT concat('f', c_custkey % 20, '/u', c_custkey, '.cpp') AS path, concat('u', c_custkey, '.cpp') AS name, CAST(octet_length(encode({_TEXT})) AS BIGINT) AS size, md5({_TEXT}) AS text_md5, {len(U.FUNCTIONS)} AS n_functions FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k FROM customer)")
+def source_tree(spark, sf_dir):
+    """A tree of files, one for each customer: written, listed, and read, a job each."""
+    spark.dataSource.register(SourceFiles)
+    root, k = Scratch(spark, "tree").base, F.col("file_id")
+    tree = U.unit_corpus(spark, sf_dir).select(F.concat(F.lit("f"), (k % 20).cast("string"), F.lit("/u"), k.cast("string"), F.lit(".cpp")).alias("path"), "text")
+    tree.write.format("source_files").option("root", root).option("path", "src").mode("overwrite").save()
+    back = spark.read.format("source_files").option("root", root).option("path", "src").option("texts", "true").load().where("type = 'file'")
+    f = extract(back.select(F.xxhash64("path").alias("file_id"), "path", "name", "size", "text"), "path", "name", "size", "text")
+    return f.select("path", "name", "size", F.md5("text").alias("text_md5"), F.size("functions").alias("n_functions"))
 
 
 @query(f"SELECT file_id, fqn AS child, CASE WHEN fqn LIKE 'n%::%' AND regexp_replace(fqn, '::[^:]+$', '') IN (SELECT replace(x, '@', k) FROM (VALUES ('n@::Base_@'), ('n@::inner::Box_@')) w(x)) THEN regexp_replace(fqn, '::[^:]+$', '') END AS parent FROM (SELECT DISTINCT file_id, k, fqn FROM {_FUNCTIONS} f UNION SELECT DISTINCT file_id, k, fqn FROM {_TYPE_ROWS} t)")

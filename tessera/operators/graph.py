@@ -29,6 +29,39 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return found.withColumn("first", first).where(F.col("tier").eqNullSafe(F.col("first"))).select("file_id", "src", "display", "dst").distinct()
 
 
+def _tagged(parsed: DataFrame) -> DataFrame:
+    """file_id, key, known (tier, dst) or asked (src, display): what each function is looked up by, and what it looks up, of
+    the nested functions of parsed rows. Both come of one pass, so no text is read twice."""
+    f = parsed.select("file_id", F.explode("functions").alias("f")).select("file_id", F.col("f.unique_fqn").alias("id"), "f.fqn", "f.name", F.col("f.call_details").alias("calls"))
+    known, asked = "struct<tier: int, dst: string>", "struct<src: string, display: string>"
+    keys = [F.struct(F.col(c).alias("key"), F.struct(F.lit(t).alias("tier"), F.col("id").alias("dst")).alias("known"), F.lit(None).cast(asked).alias("asked")) for t, c in enumerate(("id", "fqn", "name"))]
+    calls = F.transform("calls", lambda c: F.struct(normalized(c["name"], c["display"]).alias("key"), F.lit(None).cast(known).alias("known"), F.struct(F.col("id").alias("src"), c["display"].alias("display")).alias("asked")))
+    return f.select("file_id", F.explode(F.concat(F.array(*keys), calls)).alias("x")).select("file_id", "x.*")
+
+
+def _met(parsed: DataFrame) -> DataFrame:
+    """file_id, known, first (the targets of the lowest tier), asked, a row for each key of a file."""
+    g = _tagged(parsed).groupBy("file_id", "key").agg(F.collect_set("known").alias("known"), F.collect_set("asked").alias("asked"))
+    least = F.array_min(F.transform("known", lambda x: x.tier))
+    return g.select("file_id", "known", F.transform(F.filter("known", lambda x: x.tier == least), lambda x: x.dst).alias("first"), "asked")
+
+
+def resolved_calls(parsed: DataFrame) -> DataFrame:
+    """As resolve_calls, of parsed rows with their nested functions, which are read once."""
+    return _met(parsed).select("file_id", F.explode("asked").alias("a"), "first").select("file_id", "a.src", "a.display", F.explode_outer("first").alias("dst")).distinct()
+
+
+def call_degrees(parsed: DataFrame) -> DataFrame:
+    """As degrees of the functions and edges of parsed rows, which are read once."""
+    pairs = F.flatten(F.transform("asked", lambda a: F.transform(F.filter("first", lambda d: d != a.src), lambda d: F.struct(a.src.alias("src"), d.alias("dst")))))
+    # A function by itself is a row without a source.
+    alone = F.transform(F.filter("known", lambda x: x.tier == 0), lambda x: F.struct(F.lit(None).cast("string").alias("src"), x.dst.alias("dst")))
+    rows = _met(parsed).select("file_id", F.explode(F.concat(pairs, alone)).alias("x")).select("file_id", "x.src", "x.dst").distinct()
+    one = lambda i, o, c: F.struct(F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = rows.select("file_id", F.explode(F.when(F.col("src").isNull(), F.array(one(0, 0, "dst"))).otherwise(F.array(one(0, 1, "src"), one(1, 0, "dst")))).alias("x")).select("file_id", "x.*")
+    return _classes(ends.groupBy("file_id", "id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out")))
+
+
 def edges(resolved: DataFrame) -> DataFrame:
     return resolved.where("dst is not null and dst <> src").select("file_id", "src", "dst").distinct()
 
@@ -41,7 +74,10 @@ def degrees(nodes: DataFrame, edge_list: DataFrame, key: str = "file_id") -> Dat
     """key, id, n_in, n_out, is_leaf, is_root, node_class of each node (key, id): distinct callers and callees."""
     ends = edge_list.select(key, F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edge_list.select(key, F.col("dst").alias("id"), F.lit(0), F.lit(1)))
     d = nodes.select(key, "id").distinct().join(ends.groupBy(key, "id").agg(F.sum("i").alias("i"), F.sum("o").alias("o")), [key, "id"], "left")
-    d = d.select(key, "id", F.coalesce("i", F.lit(0)).alias("n_in"), F.coalesce("o", F.lit(0)).alias("n_out"))
+    return _classes(d.select(key, "id", F.coalesce("i", F.lit(0)).alias("n_in"), F.coalesce("o", F.lit(0)).alias("n_out")))
+
+
+def _classes(d: DataFrame) -> DataFrame:
     leaf, root = F.col("n_out") == 0, (F.col("n_in") >= 2) & (F.col("n_out") <= 1)
     return d.select("*", leaf.alias("is_leaf"), root.alias("is_root"), F.when(leaf, "leaf").when(root, "root").otherwise("middle").alias("node_class"))
 

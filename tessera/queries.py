@@ -137,19 +137,16 @@ def body_hashes(spark, sf_dir):
 
 @query(f"SELECT file_id, src, dst FROM {_EDGES}")
 def calls_resolved(spark, sf_dir):
-    f = _parts(spark, sf_dir, "functions")
-    return graph.edges(graph.resolve_calls(call_table(f), f))
+    return graph.edges(graph.resolved_calls(extract(code_corpus(spark, sf_dir))))
 
 
 @query(f"SELECT file_id, id AS src, unnest(CASE WHEN k % 5 = 0 THEN ['malloc', 'free'] ELSE ['printf'] END) AS display FROM {_FACTS}")
 def external_calls(spark, sf_dir):
-    f = _parts(spark, sf_dir, "functions")
-    return graph.external_calls(graph.resolve_calls(call_table(f), f))
+    return graph.external_calls(graph.resolved_calls(extract(code_corpus(spark, sf_dir))))
 
 
 def _corpus_degrees(spark, sf_dir):
-    f = _parts(spark, sf_dir, "functions")
-    return graph.degrees(f.select("file_id", F.col("unique_fqn").alias("id")), graph.edges(graph.resolve_calls(call_table(f), f)))
+    return graph.call_degrees(extract(code_corpus(spark, sf_dir)))
 
 
 @query(f"SELECT file_id, id, n_in, n_out, n_out = 0 AS is_leaf, n_in >= 2 AND n_out <= 1 AS is_root FROM {_DEGREES}")
@@ -396,8 +393,7 @@ def function_map(spark, sf_dir):
 
 @query(f"WITH RECURSIVE e AS (SELECT {FILE_ID} AS file_id, p_partkey AS s, p_partkey - 7 AS d FROM part WHERE {_CALLS}), r AS (SELECT file_id, s, d FROM e UNION SELECT r.file_id, r.s, e.d FROM r JOIN e ON e.s = r.d AND e.file_id = r.file_id) SELECT file_id, concat('fn_', s) AS src, concat('fn_', d) AS dst FROM r")
 def call_closure(spark, sf_dir):
-    f = _parts(spark, sf_dir, "functions")
-    c = graph.call_closure(graph.edges(graph.resolve_calls(call_table(f), f)))
+    c = graph.call_closure(graph.edges(graph.resolved_calls(extract(code_corpus(spark, sf_dir)))))
     name = lambda x: F.substring_index(x, "#", 1).alias(x)
     return c.select("file_id", name("src"), name("dst")).distinct()
 

@@ -77,8 +77,7 @@ _EDGES = f"""(SELECT DISTINCT c.file_id, c.src, f.id AS dst FROM (SELECT file_id
 
 @query(f"SELECT file_id, src, dst FROM {_EDGES}")
 def unit_edges(spark, sf_dir):
-    f = _unit(spark, sf_dir, "functions")
-    return graph.edges(graph.resolve_calls(call_table(f), f))
+    return graph.edges(graph.resolved_calls(extract(U.unit_corpus(spark, sf_dir))))
 
 
 _TYPE_ROWS = U.unit_sql("i, fqn, kind, source, bases", ((i, *t) for i, t in enumerate(U.TYPES)))

@@ -7,6 +7,8 @@ import sys
 
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
@@ -131,9 +133,64 @@ def test_joined_values():
         assert parts(text) == [], text[:50]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'#define PRIVATE_KEY "{VALUE}"', f'os.environ.get("DB_PASSWORD", "{VALUE}")', f"x = os.getenv('API_KEY') or '{VALUE}'", f"db_pwd = os.getenv('K') or '{VALUE}'", f"pw = x ? '{VALUE}' : 'b'", f"pw = x ? y : '{VALUE}'", f'pw = f("{VALUE}", 1)', f'pw = Secret(value="{VALUE}")', f'{{"credentials": ["{VALUE}"]}}',
+        f'<add key="dbpwd" value="{VALUE}"/>', f"a0=1&password={VALUE}&b=2", f"pw = x == 1 ? '{VALUE}' : other", f"pw = '{VALUE}' if debug else None", f"- name: DB_PASSWORD\n  value: {VALUE}\n", f'{{"name": "DB_PASSWORD", "value": "{VALUE}"}}', f"pw = (('{VALUE}'))", f'pw = env.X ?? "{VALUE}"', f'pw = env.X || "{VALUE}"',
+        f'pw = [\n "{VALUE}",\n "short"\n]', "pw: Map<" + "A, " * 200 + f'B> = "{VALUE}"', "pw = " + "(" * 500 + f'"{VALUE}"' + ")" * 500, f'setProperty("app.secret", "{VALUE}");', f'pw = get("db_password") or "{VALUE}"',
+    ],
+)
+def test_more_syntaxes(text):
+    assert [text[a:b] for a, b in secrets.literals(text)] == [VALUE]
+
+
+def test_phrases_and_keys():
+    """Blanks are for passphrases; a key's name within a call is no value."""
+    for text, want in (('passphrase = "open sesame now"', ["open sesame now"]), ("db_password: 'correct horse battery staple'", ["correct horse battery staple"])):
+        assert [text[a:b] for a, b in secrets.literals(text)] == want
+    for text in ('password = "Please enter your password"', 'password = config.get("db_password")', 'password = input("Enter password: ")', 'password = os.environ["DB_PASSWORD"]', 'f("name", "value")', "password = x == 1", 'passphrase_hint = "open sesame now"', 'token = "a b c d e"', 'password = get("open sesame now")', "key = open(path, 'r')", 'api_key = "plain words here"'):
+        assert secrets.literals(text) == [], text
+
+
+_NAMES = {"db_password": True, "apiKey": True, "AUTH_TOKEN": True, "host": False, "retries": False, "page_title": False}
+_LITERALS = {"Zk93+xQp77/aa": True, "hunter2-Xy99z": True, "none": False, "abc": False, "${DB_PW}": False, "xxxxxxxx": False}
+_FORMS = ["{n} = '{v}'", '{n}: "{v}"', "{n} := `{v}`", '"{n}" => "{v}"', "String {n} = \"{v}\";", "#define {n} \"{v}\"", "--{n} '{v}'", "<{n}>{v}</{n}>", "{n} = f('{v}', 2)", "{n} = x or '{v}'", "{n} = x ? '{v}' : y", "cfg['{n}'] = '{v}'", "put('{n}', '{v}')", "{n} = ['{v}']", "{n}: Optional[str] = '{v}'", "set {n} '{v}'"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(_FORMS), st.sampled_from(sorted(_NAMES)), st.sampled_from(sorted(_LITERALS))), max_size=8), st.booleans())
+def test_small_grammar(lines, constants):
+    """Programs of a small grammar, of which it is known by their making where the secrets are. With constants a value
+    comes by way of a name of its own, which is given it further down."""
+    text, below, want = "", "", []
+    for k, (form, name, literal) in enumerate(lines):
+        own = f"c{k}z"
+        if constants and "'{v}'" in form and "(" not in form and "[" not in form:
+            text += form.format(n=name, v="\0").replace("'\0'", own) + "\n"
+            below += f"{own} = '{literal}'\n"
+            want += [(own, literal)] if _NAMES[name] and _LITERALS[literal] else []
+        else:
+            begin = len(text)
+            text += form.format(n=name, v=literal) + "\n"
+            if _NAMES[name] and _LITERALS[literal]:
+                at = text.index(literal, begin)
+                want.append((at, at + len(literal)))
+    text += below
+    want = {(text.index(f"{x[0]} = '") + len(x[0]) + 4, text.index(f"{x[0]} = '") + len(x[0]) + 4 + len(x[1])) if isinstance(x[0], str) else x for x in want}
+    assert set(secrets.literals(text)) == want, text
+
+
 def test_lexing_is_linear():
     import time
 
+    for text in (
+        "key set " + "-set " * 200_000, "&".join(f"a{i}=1" for i in range(100_000)) + "&key=1", "key=" * 100_000, "&".join(f"key{i}=abcdefg" for i in range(60_000)), "pw=f(" * 100_000, "pw=(" * 100_000, "pw=[" * 100_000, "a: ," * 200_000 + "key", "key = a + " * 60_000, "key=f('k', " * 60_000, "pw = x ? " * 60_000,
+        "pw = 'a' or " * 60_000, "x > x = " * 100_000 + "key", "pw = k " * 100_000 + "k = '" + "ab1" * 100_000 + "'", "pw = k + k + k + k\n" * 20_000 + "k = '" + "ab1" * 100_000 + "'", "name='x' value='y' " * 50_000 + "key", "pw = x if " * 60_000, "set key " * 100_000, 'pw("k", ' * 60_000, "&k" * 300_000 + "key",
+    ):
+        began = time.time()
+        secrets.literals(text)
+        assert time.time() - began < 12, text[:20]
     began = time.time()
     for text in ("pw = x " * 40_000, "'" * 100_000 + " key", '"""' * 30_000 + " key", "/*" * 50_000 + "key", "<key>" * 40_000, "key: |\n" * 20_000, "key=" * 20_000, "[" * 100_000 + "key", "key = " + "(" * 50_000):
         secrets.literals(text)

@@ -8,7 +8,9 @@ fill, so where none has room the piece is cut to fill the emptiest ones.
 Blocks are packed apart: a block is a bounded number of pieces, so memory does not grow with the input and a lost task
 repeats one block. Ids are taken once a document; sequences are numbered by block.
 
-Cases: null or empty text is the separator id alone. Repeated rows are packed each. A null doc_id is kept.
+Cases: null or empty text is the separator id alone. Repeated rows are packed each. A null doc_id is kept. A text is encoded as a
+whole, however long, by a task that holds its ids; a block ends behind it. Extra columns are ignored, whatever their names. An
+empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ LENGTH, SEPARATOR = 2048, 1
 QUADRATIC = 1 / 1024
 #: Documents in a block at most.
 BLOCK = 8192
+#: Bits of a sequence's number within its block, and of the block's within its partition; the rest tells the partition.
+IN_BLOCK, IN_PART = 22, 20
 
 
 def place(lengths: list[int], room: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -92,8 +96,15 @@ def place(lengths: list[int], room: int = LENGTH) -> list[tuple[int, int, int, i
     return out
 
 
+def sequence_base(part: int, block: int, sequences: int) -> int:
+    """The number of a block's first sequence. No two blocks share one; what doesn't fit is an error."""
+    if part >> (63 - IN_BLOCK - IN_PART) or block >> IN_PART or sequences > 1 << IN_BLOCK:
+        raise OverflowError(f"partition {part}, block {block} of {sequences} sequences is beyond the numbers of sequences")
+    return (part << (IN_BLOCK + IN_PART)) + (block << IN_BLOCK)
+
+
 def _pack(vocabulary: str, length: int, separator: int):
-    def block(rows: list[tuple], key: int):
+    def block(rows: list[tuple], part: int, number: int):
         """rows: (doc_id, ids as bytes)"""
         lens = [len(x) // 4 for _, x in rows]
         pieces = []
@@ -106,6 +117,7 @@ def _pack(vocabulary: str, length: int, separator: int):
         for i, at, m, s, off in place([lens[r] % length for r in rest], length):
             pieces.append((rest[i], lens[rest[i]] // length * length + at, m, k + s, off))
         cols = list(zip(*pieces))
+        first = sequence_base(part, number, max(cols[3]) + 1)
         return pa.record_batch(
             [
                 pa.array([rows[r][0] for r in cols[0]], pa.int64()),
@@ -113,7 +125,7 @@ def _pack(vocabulary: str, length: int, separator: int):
                 pa.array(cols[2], pa.int64()),
                 pa.array([zlib.crc32(rows[r][1][4 * a : 4 * (a + m)]) for r, a, m in zip(*cols[:3])], pa.int64()),
                 pa.array([lens[r] for r in cols[0]], pa.int64()),
-                pa.array([(key << 31) + s for s in cols[3]], pa.int64()),
+                pa.array([first + s for s in cols[3]], pa.int64()),
                 pa.array(cols[4], pa.int64()),
             ],
             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
@@ -131,10 +143,10 @@ def _pack(vocabulary: str, length: int, separator: int):
                     rows.append((d, ids[at[k] : at[k + 1]].astype("<u4").tobytes() + np.uint32(separator).astype("<u4").tobytes()))
                     size += len(rows[-1][1])
                 if len(rows) >= BLOCK or size >= 32 * CHUNK:
-                    yield block(rows, (part << 12) + blocks)
+                    yield block(rows, part, blocks)
                     blocks, rows, size = blocks + 1, [], 0
         if rows:
-            yield block(rows, (part << 12) + blocks)
+            yield block(rows, part, blocks)
 
     return run
 

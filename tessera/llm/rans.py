@@ -4,29 +4,34 @@ A segment holds the ids of documents in turn. Its header has the documents, the
 share, and a checkpoint for each block: its number of ids, where its bytes are, the states of its interleaved lanes and
 a checksum of its ids and bytes. So each block is decoded by itself, and a block's lanes are decoded side by side in numpy.
 
-Segments are rows of a Parquet table (part, seg, n_ids, data) in ascending doc_id order, so that any store that Spark
-writes will do.
-
-Cases: null or empty text is the end id alone. A null doc_id comes first. Repeated rows are written each.
+A segment is a file. Tasks write theirs, in ascending doc_id order, into a folder that all share, under names that no other
+attempt has; a manifest, a table that is committed as a whole, names the files that count, with their places, sizes and
+checksums. So a task that runs twice leaves a file that is never read, and what a lost executor wrote is there. The first
+id's number of a segment is told in two levels: within its partition by the task, and over partitions from a total of each.
+
+Cases: null or empty text is the end id alone. A null doc_id comes first. Repeated rows are written each. A text is encoded as
+a whole, however long, into one segment, whose documents have 2^32 ids at most. Extra columns are ignored, whatever their names.
+An empty table has an empty manifest, and no rows.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, small
+from tessera.llm.common import Scratch
 from tessera.llm.kernel import CHUNK, pieces, raw
 from tessera.llm.tokens import VOCABULARY, encoder
 
 END = 2
 MAGIC, BITS, LOW = b"TSRA", 20, np.uint64(1 << 31)
+MANIFEST = "part int, seg int, before long, n_ids long, n_docs long, n_bytes long, crc32 long, file string"
 SEGMENT, BLOCK, LANES = 1 << 22, 1 << 20, 2048
 _U32 = np.uint64(32)
 
@@ -131,16 +136,22 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [None if x else int(d) for d, x in zip(ids_, null)], lens, np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def _write(vocabulary: str, end: int):
+def _write(folder: str, vocabulary: str, end: int, limit: int):
     def run(batches):
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        enc, part, seg = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        enc, part, seg, before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        store, base = fs.FileSystem.from_uri(folder)
         docs, lens, ids, size = [], [], [], 0
 
         def flush():
-            flat = np.concatenate(ids)
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([pack_segment(docs, lens, flat)], pa.binary())], ["part", "seg", "n_ids", "data"])
+            data, name = pack_segment(docs, lens, np.concatenate(ids)), f"{part:06d}-{seg:06d}-{uuid.uuid4().hex}.tsra"
+            store.create_dir(base, recursive=True)
+            with store.open_output_stream(f"{base}/{name}") as f:
+                f.write(data)
+            row = (part, seg, before, size, len(docs), len(data), zlib.crc32(data), name)
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.string()))], [c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
             names, texts = batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text")
@@ -151,9 +162,9 @@ def _write(vocabulary: str, end: int):
                 lens += (np.diff(at) + 1).tolist()
                 ids.append(got)
                 size += len(got)
-                if size >= SEGMENT:
+                if size >= limit:
                     yield flush()
-                    seg += 1
+                    seg, before = seg + 1, before + size
                     docs, lens, ids, size = [], [], [], 0
         if docs:
             yield flush()
@@ -161,31 +172,51 @@ def _write(vocabulary: str, end: int):
     return run
 
 
-def _read(batches):
+def _read(folder: str):
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-    for batch in batches:
-        for base, data in zip(batch.column("base").to_pylist(), batch.column("data")):
-            docs, lens, ids = unpack_segment(data.as_py())
-            ends = np.cumsum(lens, dtype=np.int64)
-            starts = ends - lens
-            raw = ids.astype("<u4").tobytes()
-            crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(base + starts, pa.int64()), pa.array(lens.astype(np.int64)), pa.array(crcs, pa.int64())], names)
-
-
-def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """part, seg, n_ids, data: the segments to write, in ascending doc_id order by (part, seg)."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with store.open_input_file(f"{base}/{r['file']}") as f:
+                    data = f.read()
+                if len(data) != r["n_bytes"] or zlib.crc32(data) != r["crc32"]:
+                    raise ValueError(f"{r['file']} is damaged")
+                docs, lens, ids = unpack_segment(data)
+                ends = np.cumsum(lens, dtype=np.int64)
+                starts = ends - lens
+                raw = ids.astype("<u4").tobytes()
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(r["first"] + starts, pa.int64()), pa.array(lens.astype(np.int64)), pa.array(crcs, pa.int64())], names)
+
+    return run
+
+
+def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
+    """The manifest of the files that its tasks write into the folder, an address that Arrow opens (file, hdfs, s3, gs, abfs):
+    part, seg, before (ids of the part's segments before), n_ids, n_docs, n_bytes, crc32, file. It must be written, once."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     d = d.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
-    return d.mapInArrow(_write(vocabulary, end), "part int, seg int, n_ids long, data binary")
+    return d.mapInArrow(_write(folder, vocabulary, end, SEGMENT), MANIFEST)
 
 
-def read_ids(segments: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the documents of written segments, by decoding them."""
-    w = Window.orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1)
-    base = segments.select("part", "seg", "n_ids").select("part", "seg", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("base"))
-    return segments.join(small(base), ["part", "seg"]).select("base", "data").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the documents of the files that a written manifest names, by decoding them."""
+    spark = manifest.sparkSession
+    offsets, first = [], 0
+    for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        offsets.append((r["part"], first))
+        first += r["n"]
+    known = F.broadcast(spark.createDataFrame(offsets, "part int, offset long"))
+    rows = manifest.join(known, "part").select("file", "n_bytes", "crc32", (F.col("offset") + F.col("before")).alias("first"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "file").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return read_ids(Scratch(spark, "ids").write(write_ids(docs), "segments"))
+    scratch = Scratch(spark, "ids")
+    folder = f"{scratch.base}/segments"
+    return read_ids(scratch.write(write_ids(docs, folder), "manifest"), folder)

@@ -223,3 +223,20 @@ def repeats(docs, size=50):
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out.append((d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return out
+
+
+def kept(docs, share=0.02, many=20, left_words=20, left_share=0.25):
+    """(doc_id, words in lines that too many distinct texts of a host have, kept) of (doc_id, text, host) rows."""
+    low = lambda x: re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower())).strip(" ")
+    lines = lambda t: [y for x in (t or "").split("\n") if (y := low(x))]
+    texts = defaultdict(set)
+    for _, t, host in docs:
+        texts[host].add(t)
+    common = {host: {x for x, n in Counter(x for t in own for x in set(lines(t))).items() if n > many and n > share * len(own)} for host, own in texts.items()}
+    out = []
+    for doc, t, host in docs:
+        n = len(SPACED.findall(t or ""))
+        gone = sum(len(x.split(" ")) for x in lines(t) if x in common[host])
+        failed = quality([(doc, t)])[0][6]
+        out.append((doc, gone, not failed and not (gone and (n - gone < left_words or n - gone < left_share * n))))
+    return out

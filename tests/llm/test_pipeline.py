@@ -1,6 +1,7 @@
 """The pipeline's stages against plain Python."""
 
 import os
+import random
 import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -43,3 +44,20 @@ def test_odd_rows(spark):
             d = stage(spark, d, SF)
             assert d.columns == docs.columns
         assert corpus_pipeline.STAGES[4][1](spark, d, SF).count() in (0, 2)
+
+
+def test_lines_and_no_benchmark(spark, tmp_path):
+    """A line rule that removes documents, and a benchmark without items, which removes none."""
+    r = random.Random(3)
+    own = lambda i, n: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{r.choice('klmnop')}{r.choice('qrstuv')}{k}" for k in range(n))
+    line = "this line is on each page of the host and says nothing at all that anyone would want to keep in a corpus"
+    rows = [(i, f"{own(i, 5)}\n{line}" if i < 60 else own(i, 40), "s") for i in range(120)]
+    docs = spark.createDataFrame([(d, t, "en", h, len(t)) for d, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(d for d, _, k in brute.kept(rows) if k) == list(range(60, 120))
+    assert stages["decontamination"](spark, kept, str(tmp_path)).count() == 60
+    pieces = corpus_pipeline.run(spark, str(tmp_path))
+    assert {x.doc_id for x in pieces.select("doc_id").collect()} == set(range(60, 120))

@@ -9,11 +9,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from tessera.llm import chat, jaccard, packing, quality_rules, secrets, suffix_dedup  # noqa: E402
+from tessera.llm import chat, jaccard, packing, quality_rules, rans, secrets, suffix_dedup  # noqa: E402
 
 
 def test_template_of_many_lines(spark):
@@ -195,3 +196,68 @@ def test_lexing_is_linear():
     for text in ("pw = x " * 40_000, "'" * 100_000 + " key", '"""' * 30_000 + " key", "/*" * 50_000 + "key", "<key>" * 40_000, "key: |\n" * 20_000, "key=" * 20_000, "[" * 100_000 + "key", "key = " + "(" * 50_000):
         secrets.literals(text)
     assert time.time() - began < 30
+
+
+def test_kept_against_brute_force(spark):
+    """Verdicts and words in common lines of hosts of several sizes, with copies, nulls, repeated lines and odd blanks."""
+    r = random.Random(12)
+    word = lambda: r.choice("ab cd ef gh ij kl".split()) + r.choice("klmnopqrst") + r.choice("uvwxyz")
+    line = lambda n: " ".join(word() for _ in range(n))
+    boiler = ["Accept All Cookies 12", "accept  all cookies 99 ", "\tShare this page now", line(9), line(30)]
+    rows = []
+    for i in range(400):
+        host = r.choice(["a", "a", "a", "b", None, "c"])
+        own = [line(r.randint(1, 12)) for _ in range(r.randint(1, 6))]
+        text = own + [b for b in boiler if r.random() < (0.5 if host in ("a", None) else 0.1)] + own[:1] * r.choice([0, 0, 1])
+        r.shuffle(text)
+        rows.append((i, "\n".join(text), host))
+    rows += [(1000 + i, rows[5][1], "b") for i in range(60)] + [(2000 + i, None, "b") for i in range(3)] + [(3000, "", "a"), (3001, " \n\x0b", None), rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = sorted(((x.doc_id, x.n_line_words, x.kept) for x in quality_rules.op9(spark, df).collect()))
+    want = sorted(brute.kept(rows))
+    assert got == want
+    assert sum(1 for _, n, k in want if n and not k) > 10 and sum(1 for _, n, k in want if n and k) > 10 and len({x[2] for x in want}) == 2
+    assert sorted(x.doc_id for x in quality_rules.filter_quality(spark, df).collect()) == [d for d, _, k in want if k]
+
+
+def test_sequence_numbers():
+    """No two blocks have numbers in common, whatever their place, and what doesn't fit is an error."""
+    places = [(p, b) for p in (0, 1, 2, 4095, (1 << 21) - 1) for b in (0, 1, 4095, 4096, 4097, (1 << 20) - 1)]
+    first = sorted(packing.sequence_base(p, b, 1 << 22) for p, b in places)
+    assert all(y - x >= 1 << 22 for x, y in zip(first, first[1:])) and 0 <= first[0] and first[-1] + (1 << 22) <= 1 << 63
+    for part, block, n in ((1 << 21, 0, 1), (0, 1 << 20, 1), (0, 0, (1 << 22) + 1)):
+        with pytest.raises(OverflowError):
+            packing.sequence_base(part, block, n)
+
+
+def test_files_of_ids(spark, tmp_path, monkeypatch):
+    """Files by themselves, named by a manifest: what another attempt left is never read, and damage is told."""
+    monkeypatch.setattr(rans, "SEGMENT", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        _files_of_ids(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _files_of_ids(spark, tmp_path):
+    rows = [(i, f"some words of text number {i} " * (i % 5)) for i in range(100)] + [(None, "x"), (3, None), (3, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(7)).repartition(3)
+    folder = f"file://{tmp_path}/segments"
+    rans.write_ids(df, folder).write.parquet(str(tmp_path / "lost"))  # an attempt that no manifest names
+    rans.write_ids(df, folder).write.parquet(str(tmp_path / "manifest"))
+    manifest = spark.read.parquet(str(tmp_path / "manifest"))
+    files = {r.file for r in manifest.collect()}
+    assert len(files) >= 4 and files < set(os.listdir(tmp_path / "segments"))
+    out = rans.read_ids(manifest, folder)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString() and "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    told = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out.collect()), key=lambda x: x[1])
+    assert [x[0] for x in told] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0)) and len(told) == len(rows)
+    assert all(x[1] + x[2] == y[1] for x, y in zip(told, told[1:])) and told[0][1] == 0
+    name = sorted(files)[1]
+    data = bytearray((tmp_path / "segments" / name).read_bytes())
+    data[-1] ^= 1
+    (tmp_path / "segments" / name).write_bytes(data)
+    with pytest.raises(Exception, match="damaged"):
+        out.collect()
+    assert rans.op10(spark, df.where("false")).count() == 0

@@ -4,15 +4,17 @@ Suffix arrays find them, of just the places where a repeat can be. Each window o
 its 32-byte pieces; neighbouring windows mostly share it, and make up a run. Equal windows have equal least hashes, so
   1  texts are packed into blocks, the unit of recovery;
   2  a block sends the distinct least hashes of its runs to buckets, and gets back, a bit each, which of them occur in
-     other documents too;
+     other documents too, and which have so many different strings that no task should sort them together;
   3  of those runs it sends each distinct string once, with the smallest doc_id that holds it. Where the strings of one
      least hash differ, they are suffix-sorted (gsaca), their common piece being one symbol, and neighbours whose first 50 bytes agree share their smallest
-     doc_id; where they are all alike there is nothing to sort. Blocks get back the smallest doc_id of each window;
+     doc_id; where they are all alike there is nothing to sort. The windows of a piece with very many contexts go apart, by a
+     hash of their own: contexts that differ in a window share no window. Blocks get back the smallest doc_id of each;
   4  a block removes what a smaller doc_id covers.
 No document is sent anywhere, no pair of documents is made, and a passage that many documents hold is sent once a block.
 
 Cases: null or empty text is 0 bytes. Texts under 50 bytes lose nothing. Rows of one doc_id don't affect one another. A
-null doc_id comes after all others: such rows lose what any document with an id holds, and take from none.
+null doc_id comes after all others: such rows lose what any document with an id holds, and take from none. A text is held
+whole, however long, in a block of its own. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ LENGTH, PIECE = 50, 32
 BLOCK, BUCKET, BATCH = 4 << 20, 12 << 20, 1 << 15
 #: Windows to a run at most, so that its length and bounds fit 16 bits.
 WINDOWS = 1 << 15
+#: Different strings of one least hash, counted block by block, beyond which its windows go apart.
+SPLIT = 1 << 12
 LAST = np.iinfo(np.int64).max
 
 
@@ -97,24 +101,54 @@ class Block:
             self.m, self.first, self.last, self.hash = runs(self.data, self.off)
         self.doc = self.docs[np.searchsorted(self.off, self.first, "right") - 1] if len(self.first) else np.zeros(0, np.int64)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct least hashes, in order, and whether two documents of the block have them."""
-        order = np.argsort(self.m, kind="stable")
-        m, d = self.m[order], self.doc[order]
-        new = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
-        return m[new], (np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)) if len(m) else np.zeros(0, bool)
-
-    def strings(self, bits: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Of the runs whose hash is shared: their order by (hash, bytes), and where each distinct string begins in it."""
-        own, _ = self.hashes()
+    def keep(self, of: np.ndarray) -> None:
+        self.m, self.first, self.last, self.hash, self.doc = (x[of] for x in (self.m, self.first, self.last, self.hash, self.doc))
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct least hashes, in order, whether two documents of the block have them, and their distinct strings."""
+        order = np.lexsort((self.hash, self.m))
+        m, d, h = self.m[order], self.doc[order], self.hash[order]
+        if not len(m):
+            return m, np.zeros(0, bool), np.zeros(0, np.int64)
+        new = np.concatenate([[True], m[1:] != m[:-1]])
+        other = new | np.concatenate([[True], h[1:] != h[:-1]])
+        new = np.flatnonzero(new)
+        return m[new], np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), np.add.reduceat(other.astype(np.int64), new)
+
+    def strings(self, bits: bytes, hot: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Of the runs whose hash is shared: their order by (hash, bytes), and where each distinct string begins in it. Runs
+        of hashes with very many strings are cut into their windows, each with a hash of its own. No other run stays."""
+        own = np.unique(self.m)
         shared = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-        kept = np.flatnonzero(shared[np.searchsorted(own, self.m)]) if len(own) else np.zeros(0, np.int64)
-        order = kept[np.lexsort((self.hash[kept], self.m[kept]))]
+        self.keep(np.flatnonzero(shared[np.searchsorted(own, self.m)]) if len(own) else np.zeros(0, np.int64))
+        apart = np.isin(self.m, np.frombuffer(hot, np.uint64))
+        if apart.any():
+            n = np.where(apart, self.last - self.first, 1)
+            each = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            apart = apart[each]
+            self.keep(each)
+            self.first = self.first + at * apart
+            self.last = np.where(apart, self.first + 1, self.last)
+            for i in range(0, len(each), CHUNK // LENGTH):
+                k = np.flatnonzero(apart[i : i + CHUNK // LENGTH]) + i
+                if len(k):
+                    self.hash[k] = _string_hashes(gather(self.data, self.first[k], np.full(len(k), LENGTH)), np.full(len(k), LENGTH))
+            with np.errstate(over="ignore"):
+                self.m[apart] = mix(self.hash[apart] + np.uint64(PIECE))
+        order = np.lexsort((self.hash, self.m))
         m, h = self.m[order], self.hash[order]
         new = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (h[1:] != h[:-1])])) if len(m) else np.zeros(0, np.int64)
         return order, new
 
 
+def _string_hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A hash of each of the strings that stand one after another."""
+    with np.errstate(over="ignore"):
+        g, own = _prefix_hash(data), np.cumsum(lens) - lens
+        return mix((g[own + lens] - g[own]) * powers(_R_INV, len(data) + 1)[own] + lens.astype(np.uint64))
+
+
 def _buckets(values: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
     """bucket, first and last (exclusive) of sorted hashes, for the buckets that any of them belongs to."""
     if not len(values):
@@ -157,30 +191,44 @@ def _pack(batches):
 
 
 def _send_hashes(n_buckets: int):
+    names = ["bucket", "block", "m", "twice", "several"]
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                m, twice = Block(row).hashes()
+                m, twice, strings = Block(row).hashes()
                 for b, i, j in _buckets(m, n_buckets):
-                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([m[i:j].tobytes()]), pa.array([np.packbits(twice[i:j]).tobytes()])], ["bucket", "block", "m", "twice"])
+                    several = np.flatnonzero(strings[i:j] > 1)
+                    told = np.stack([several, strings[i:j][several]]).astype("<u4").tobytes()
+                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([m[i:j].tobytes()]), pa.array([np.packbits(twice[i:j]).tobytes()]), pa.array([told])], names)
 
     return run
 
 
-def _which(t: pa.Table) -> pa.Table:
-    """For each block of a bucket which of its hashes other documents have too."""
-    ms = [np.frombuffer(x.as_py(), np.uint64) for x in t["m"]]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(m)) for x, m in zip(t["twice"], ms)])
-    every, at, count = np.unique(np.concatenate(ms), return_inverse=True, return_counts=True)
-    shared = ((count > 1) | (np.bincount(at, twice, len(every)) > 0))[at]
-    ends = np.cumsum([len(m) for m in ms])
-    return pa.table({"block": t["block"], "bucket": t["bucket"], "n": pa.array([len(m) for m in ms], pa.int64()), "bits": pa.array([np.packbits(shared[e - len(m) : e]).tobytes() for e, m in zip(ends, ms)])})
+def _which(limit: int):
+    """For each block of a bucket which of its hashes other documents have too, and the hashes with over `limit` strings."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ms = [np.frombuffer(x.as_py(), np.uint64) for x in t["m"]]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(m)) for x, m in zip(t["twice"], ms)])
+        every, at, count = np.unique(np.concatenate(ms), return_inverse=True, return_counts=True)
+        shared = ((count > 1) | (np.bincount(at, twice, len(every)) > 0))[at]
+        ends = np.cumsum([len(m) for m in ms])
+        several = [np.frombuffer(x.as_py(), "<u4").reshape(2, -1).astype(np.int64) for x in t["several"]]
+        strings = np.bincount(at[np.concatenate([x[0] + e - len(m) for x, e, m in zip(several, ends, ms)])], np.concatenate([x[1] for x in several]), len(every))
+        hot = (strings > limit)[at] & shared
+        return pa.table({
+            "block": t["block"], "bucket": t["bucket"], "n": pa.array([len(m) for m in ms], pa.int64()),
+            "bits": pa.array([np.packbits(shared[e - len(m) : e]).tobytes() for e, m in zip(ends, ms)]), "hot": pa.array([m[hot[e - len(m) : e]].tobytes() for e, m in zip(ends, ms)]),
+        })
+
+    return run
 
 
 def _bits_of_block(t: pa.Table) -> pa.Table:
     rows = sorted(zip(t["bucket"].to_pylist(), t["n"].to_pylist(), t["bits"].to_pylist()))
     bits = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in rows])
-    return pa.table({"block": t["block"][:1], "bits": pa.array([np.packbits(bits).tobytes()])})
+    return pa.table({"block": t["block"][:1], "bits": pa.array([np.packbits(bits).tobytes()]), "hot": pa.array([b"".join(t["hot"].to_pylist())])})
 
 
 def _send_strings(n_buckets: int):
@@ -190,7 +238,7 @@ def _send_strings(n_buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 x = Block(row)
-                order, new = x.strings(row["bits"])
+                order, new = x.strings(row["bits"], row["hot"])
                 if not len(order):
                     continue
                 least, most = np.minimum.reduceat(x.doc[order], new), np.maximum.reduceat(x.doc[order], new)
@@ -277,13 +325,7 @@ def _sort(t: pa.Table) -> pa.Table:
     parts = [(np.frombuffer(m, np.uint64), np.frombuffer(pa.decompress(n, 2 * (len(m) // 8), "zstd"), "<u2").astype(np.int64), np.frombuffer(d, np.int64), np.unpackbits(np.frombuffer(f, np.uint8), count=len(m) // 8), np.frombuffer(pa.decompress(x, s, "zstd"), np.uint8)) for m, n, d, f, s, x in zip(*(t[c].to_pylist() for c in ("m", "lens", "least", "many", "size", "bytes")))]
     m, lens, least, many, data = (np.concatenate(x) for x in zip(*parts))
     starts = np.cumsum(lens) - lens
-    with np.errstate(over="ignore"):
-        h = np.empty(len(m), np.uint64)
-        at = 0
-        for p in parts:
-            g, own = _prefix_hash(p[4]), np.cumsum(p[1]) - p[1]
-            h[at : at + len(own)] = mix((g[own + p[1]] - g[own]) * powers(_R_INV, len(p[4]) + 1)[own] + p[1].astype(np.uint64))
-            at += len(own)
+    h = np.concatenate([_string_hashes(p[4], p[1]) for p in parts])
     order = np.lexsort((h, m))
     new = np.concatenate([[True], (m[order][1:] != m[order][:-1]) | (h[order][1:] != h[order][:-1])])
     which = np.empty(len(m), np.int64)
@@ -328,7 +370,7 @@ def _remove(keep_text: bool):
             x = Block(row)
             step = np.zeros(len(x.data) + 1, np.int32)
             if len(found):
-                order, new = x.strings(row["bits"])
+                order, new = x.strings(row["bits"], row["hot"])
                 rows = sorted(found.to_pylist(), key=lambda r: r["bucket"])
                 base = np.cumsum([0] + [r["n"] for r in rows])
                 string = np.concatenate([np.frombuffer(r["string"], "<u4").astype(np.int64) + b for r, b in zip(rows, base)])
@@ -365,10 +407,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, keep_text: bool = False
     schema = "block long, docs binary, lens binary, data binary, size long"
     blocks = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, schema), "blocks")
     n_buckets = max(2, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET))
-    bits = blocks.mapInArrow(_send_hashes(n_buckets), "bucket int, block long, m binary, twice binary").groupBy("bucket").applyInArrow(_which, "block long, bucket int, n long, bits binary")
-    bits = scratch.write(bits.groupBy("block").applyInArrow(_bits_of_block, "block long, bits binary"), "bits")
+    bits = blocks.mapInArrow(_send_hashes(n_buckets), "bucket int, block long, m binary, twice binary, several binary").groupBy("bucket").applyInArrow(_which(SPLIT), "block long, bucket int, n long, bits binary, hot binary")
+    bits = scratch.write(bits.groupBy("block").applyInArrow(_bits_of_block, "block long, bits binary, hot binary"), "bits")
     free_shuffles(spark)
-    size = bits.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    size = bits.agg(F.sum(F.octet_length("bits") + F.octet_length("hot"))).first()[0] or 0
     told = lambda how: blocks.join(F.broadcast(bits) if size <= 32 << 20 else bits, "block", how)
     found = told("inner").mapInArrow(_send_strings(n_buckets), "bucket int, block long, m binary, lens binary, least binary, many binary, size long, bytes binary")
     found = scratch.write(found.groupBy("bucket").applyInArrow(_sort, "block long, bucket int, n long, string binary, a binary, b binary, doc binary"), "found")

@@ -261,3 +261,18 @@ def _files_of_ids(spark, tmp_path):
     with pytest.raises(Exception, match="damaged"):
         out.collect()
     assert rans.op10(spark, df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 40, 1 << 12])
+def test_piece_with_many_contexts(spark, monkeypatch, limit):
+    """A rule of dashes or blanks in many contexts: its windows go apart, and what repeats is the same."""
+    r = random.Random(9)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", limit)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    own = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows = [(i, own(30) + ("-" * 60 if i % 2 else " " * 33) + own(r.choice([3, 30])) + (f"{own(9)} shared by some of them and longer than fifty bytes {i % 4} {own(4)}" if i % 3 else "")) for i in range(160)]
+    rows += [(1000 + i, rows[i][1][20:]) for i in range(0, 160, 7)] + [(2000, "-" * 700), (2001, " " * 90 + "-" * 90), (None, rows[3][1]), (7, rows[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((x.doc_id, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.op4(spark, df).collect()), key=repr)
+    want = sorted(((d, *x) for d, _, *x in brute.repeats([(suffix_dedup.LAST if d is None else d, t) for d, t in rows])), key=repr)
+    assert got == sorted(((None if d == suffix_dedup.LAST else d, *x) for d, *x in want), key=repr) and sum(x[1] > 0 for x in got) > 30

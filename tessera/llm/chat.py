@@ -12,7 +12,8 @@ between its ends. So the roles are the likeliest of the whole transcript; a turn
 
 Cases: rows that repeat in all four columns count once; other rows of one turn follow one another by role and text. A
 null role states nothing; a null or empty text gives an empty turn only if its row states a role. A null conv_id is one
-transcript, a null turn comes first.
+transcript, a null turn comes first. A row is read whole, however long its text. Extra columns are ignored, whatever their names.
+An empty table has no turns.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ sample of labelled rows. Since the mean is linear, scoring needs one number per
 
 Cases: a null or empty text has no features and gets the score of the bias. Repeated rows are scored each. Labels that
 are null, or of documents that don't exist, are not used; without labels the score is 0.5. lang, source, doc_id and the
-labels are no inputs of a score.
+labels are no inputs of a score. A text is read whole, however long, by a task that holds a batch. Extra columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,8 +97,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.nda
     scratch = Scratch(spark, "classifier")
     y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     size = F.octet_length("text")
+    # Labels of documents that are there, and have a text.
+    y = scratch.write(y, "labelled")
+    there = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(small(y), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"))
     # Ids of the sample: the smallest hashes, so that it doesn't depend on order.
-    y = scratch.write(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "labels")
+    y = scratch.write(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "labels")
     got = scratch.write(docs.select("doc_id", "text").where("text is not null").join(small(y), "doc_id").dropDuplicates(["doc_id"]), "sample")
     total = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = got.select("doc_id", size.alias("size")).withColumn("total", total).where((F.col("total") <= SAMPLE_BYTES) | (F.col("total") == F.col("size"))).select("doc_id")

@@ -16,7 +16,8 @@ A context of over 1 / HOT of all tokens (so HOT of them at most) is dealt to sev
 its profile is added up, and broadcast. The table's parts are rows of a Parquet table for each order (see `table_of`).
 
 Cases: null or empty text is the end token alone. Repeated rows are counted and scored each. A null doc_id is in no
-fold: it is trained on, and held_out is false. Without training texts every token is unknown.
+fold: it is trained on, and held_out is false. Without training texts every token is unknown. A text is held whole, however
+long, in one block. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

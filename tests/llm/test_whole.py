@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from tessera.llm import chat, jaccard, packing, quality_rules, rans, secrets, suffix_dedup  # noqa: E402
+from tessera.llm import chat, classifier, jaccard, packing, quality_rules, rans, secrets, suffix_dedup  # noqa: E402
 
 
 def test_template_of_many_lines(spark):
@@ -276,3 +276,22 @@ def test_piece_with_many_contexts(spark, monkeypatch, limit):
     got = sorted(((x.doc_id, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.op4(spark, df).collect()), key=repr)
     want = sorted(((d, *x) for d, _, *x in brute.repeats([(suffix_dedup.LAST if d is None else d, t) for d, t in rows])), key=repr)
     assert got == sorted(((None if d == suffix_dedup.LAST else d, *x) for d, *x in want), key=repr) and sum(x[1] > 0 for x in got) > 30
+
+
+def test_labels_of_nothing(spark, monkeypatch):
+    """Labels of documents that aren't there don't take the place of others in the sample."""
+    monkeypatch.setattr(classifier, "SAMPLE_ROWS", 40)
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda rows: seen.append(len(rows)) or (classifier.np.zeros(1 << classifier.BITS, classifier.np.float32), 0.0))
+    docs = spark.createDataFrame([(i, f"words of text {i}") for i in range(0, 4000, 50)] + [(1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    classifier.fit(spark, docs, labels)
+    assert seen == [40]
+
+
+def test_clashing_columns_of_chats(spark):
+    rows = [(1, 1, "user", "hello?"), (1, 2, None, "Sure, here is it"), (2, None, None, "")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    odd = plain.withColumns({c: F.lit(9) for c in ("line", "block", "n_lines", "rendered", "key", "lines", "part", "state")})
+    told = lambda df: sorted(map(repr, chat.format_chats(df).collect()))
+    assert told(odd) == told(plain)

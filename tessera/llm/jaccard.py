@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, small
 from tessera.llm.components import components
-from tessera.llm.kernel import mix, spans, texts, word_hashes
+from tessera.llm.kernel import mix, spans, texts, trimmed, word_hashes
 
 SIZE, NUM, DEN = 5, 80, 100
 MATCHES, SKETCH_BITS, VERIFY_COST = 4, 20, 20
@@ -164,7 +164,7 @@ def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) ->
     need = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-need")
     t = scratch.write(docs.select(F.col("doc_id").alias("id"), "text").join(small(need), "id", "left_semi"), f"{name}-texts")
     both = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    out = scratch.write(both.mapInArrow(_verify, "a long, b long").distinct(), f"{name}-links")
+    out = scratch.write(both.mapInArrow(trimmed(_verify), "a long, b long").distinct(), f"{name}-links")
     scratch.drop(f"{name}-texts")
     return out
 
@@ -210,13 +210,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per document."""
     scratch = Scratch(spark, "jaccard")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    outline = scratch.write(d.mapInArrow(_outline, "doc_id long, n long, k1 long, k2 long, sketch binary"), "outline")
+    outline = scratch.write(d.mapInArrow(trimmed(_outline), "doc_id long, n long, k1 long, k2 long, sketch binary"), "outline")
     sketch = spark.sparkContext.broadcast(_sketch(outline.where("sketch is not null").select("sketch")))
     rows = outline.where("sketch is null").select("doc_id", "n", "k1", "k2")
     classes = scratch.write(outline.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    found = d.mapInArrow(_prefixes(sketch), "doc_id long, n long, l long, prefix array<long>, p long, q long")
+    found = d.mapInArrow(trimmed(_prefixes(sketch)), "doc_id long, n long, l long, prefix array<long>, p long, q long")
     index = scratch.write(found.join(reps, "doc_id", "left_semi"), "index")
     post = index.select(F.col("doc_id").alias("rep"), "n", "l", "p", "q", F.posexplode("prefix").alias("i", "token"))
     sizes = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")

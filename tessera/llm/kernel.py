@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,21 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def trimmed(run):
+    """run over a task's batches, and then what it has freed is given back: workers wait for their next task as long as the
+    executor lives, and would hold it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 to base**(n-1) mod 2**64, kept up to the size of a chunk."""
     have = _powers.get(int(base))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernel import CHUNK, pieces, raw
+from tessera.llm.kernel import CHUNK, pieces, raw, trimmed
 from tessera.llm.tokens import VOCABULARY, encoder
 
 LENGTH, SEPARATOR = 2048, 1
@@ -154,7 +154,7 @@ def _pack(vocabulary: str, length: int, separator: int):
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, a row per piece."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(vocabulary, length, separator), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_pack(vocabulary, length, separator)), schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

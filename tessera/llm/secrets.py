@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.kernel import trimmed
+
 _any_case = lambda x: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in x)
 ASSIGN = re.compile("(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{24,}")
@@ -490,7 +492,7 @@ def _scan(batches):
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans, a row per document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_scan), "doc_id long, n_assign long, n_access long, n_hex long, n_literal long, base_sha256 string, spans string")
 
 
 def redacted(text: str | None, mask: str = "[SECRET]") -> str | None:
@@ -515,7 +517,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             new = pa.array([redacted(t.as_py()) for t in batch.column(i)], batch.schema.field(i).type)
             yield batch.set_column(i, batch.schema.field(i), new)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(trimmed(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -8,7 +8,7 @@ another, and each keeps what it replaced:
   3  digits: runs of three or more spelled digits (English, German, French, Spanish, with "double", "plus", "dash" and "dot"
      between them) become digits, and O, o, I, l in groups of digits do;
   4  words: a bare "at", "arroba", "arobase", "klammeraffe" or a spaced @ between a name and a domain, and "dot", "punkt", "punto", "point" between the
-     parts of an address, become @ and .
+     parts of an address, become @ and . ; "underscore", "dash" and "hyphen" in the name _ and -
 Identifiers found in what comes out, that hold something rewritten, are mapped back through all transducers to the code
 points of the source, and added if no fixed one of the kind covers them. They must pass more than the fixed ones: a domain
 ends in letters, cards pass Luhn without being one digit throughout, nothing adjoins a letter or digit. Nine to fifteen
@@ -182,7 +182,7 @@ SPELLED = {
 _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
 _REPEAT = {"double": 2, "triple": 3, "treble": 3}
 _APART = r"(?:[\x20\t\n,/()-]{1,3}|\.)"
-_PART = rf"(?:(?:(?:double|triple|treble)[\x20\t\n]{{1,3}})?(?:{_DIGIT})|[0-9]{{1,4}}|{_DOT}|dash|hyphen|minus)(?![^\W_])"
+_PART = rf"(?:(?:(?:double|triple|treble)[\x20\t\n]{{1,3}})?(?:{_DIGIT}|o)|[0-9]{{1,4}}|{_DOT}|dash|hyphen|minus)(?![^\W_])"
 _RUN = re.compile(rf"(?i)(?<![^\W_])(?:plus[\x20\t\n]{{1,3}}|\+[\x20]?)?(?:(?:double|triple|treble)[\x20\t\n]{{1,3}})?(?:{_DIGIT}|[0-9]{{1,4}})(?![^\W_])(?:{_APART}{_PART})++")
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_DIGIT})(?![^\W_])")
 _TOKEN = re.compile(rf"(?i)(?P<word>[^\W\d_]+)|(?P<num>[0-9]+)|(?P<apart>[^\w]+)")
@@ -198,8 +198,8 @@ def _spelled(run: str) -> str:
         if kind == "num":
             out.append(t)
         elif kind == "word":
-            if t in SPELLED:
-                out.append(str(SPELLED[t]) * times)
+            if t in SPELLED or t == "o":
+                out.append(str(SPELLED.get(t, 0)) * times)
             times = _REPEAT.get(t, 1)
             out.append({"plus": "+", "dash": "-", "hyphen": "-", "minus": "-"}.get(t, "." if re.fullmatch(_DOT, t) else ""))
         elif t.strip() == "+":
@@ -233,7 +233,10 @@ def digits(text: str) -> Rewritten:
 _DOT_WORD = rf"(?:[\x20\t]{{1,3}}(?:{_DOT})[\x20\t]{{1,3}}|[\x20\t]{{1,3}}\.[\x20\t]{{1,3}}|\.)"
 _AT_WORD = re.compile(rf"(?i)[\x20\t]{{1,3}}(?:{_AT}|@)[\x20\t]{{1,3}}|[\x20\t]{{1,3}}@|@[\x20\t]{{0,3}}")
 _DOMAIN = re.compile(rf"(?i)[a-z0-9][a-z0-9-]*+(?:{_DOT_WORD}[a-z0-9-]++)+")
-_TOD_WORD = rf"(?:[\x20\t]{{1,3}}(?:{'|'.join(x[::-1] for x in _DOT.split('|'))})[\x20\t]{{1,3}}|\.)"
+#: Between the parts of a name there may be others.
+_NAME_JOINS = rf"{_DOT}|underscore|dash|hyphen"
+_NAME_WORD = rf"[\x20\t]{{1,3}}(?:{_NAME_JOINS})[\x20\t]{{1,3}}"
+_TOD_WORD = rf"(?:[\x20\t]{{1,3}}(?:{'|'.join(x[::-1] for x in _NAME_JOINS.split('|'))})[\x20\t]{{1,3}}|\.)"
 _NAME_BACK = re.compile(rf"(?i)[a-z0-9_%+-]++(?:{_TOD_WORD}[a-z0-9_%+-]++)*")
 _JOINED = re.compile(rf"(?i)(?<![^\W_])[a-z0-9.+%]++([_-])at\1[a-z0-9]++(?:\1(?:{_DOT})\1[a-z0-9]++)++")
 _DOTTED = re.compile(rf"(?i)(?<![\w.])[0-9]{{1,3}}(?:[\x20\t]{{0,3}}(?:{_DOT})[\x20\t]{{0,3}}[0-9]{{1,3}}|[\x20\t]{{0,3}}\.[\x20\t]{{0,3}}[0-9]{{1,3}}){{3}}(?!\w)")
@@ -269,7 +272,7 @@ def words(text: str) -> Rewritten:
         if not dots or text[end : end + 1] == "@":
             continue
         disguised = any(x[0] != "." for x in dots)
-        before = [x for x in re.finditer(rf"(?i){_DOT_WORD}", text[name : m.start()]) if x[0] != "."]
+        before = list(re.finditer(rf"(?i){_NAME_WORD}", text[name : m.start()]))
         if m[0] == "@" and not disguised and not before:
             continue
         spaced_only = all(x[0].strip() == "." for x in dots)
@@ -277,7 +280,8 @@ def words(text: str) -> Rewritten:
             continue
         if "@" in m[0] and not disguised and m[0].startswith("@") and m[0] != "@" and not before and "\n" in m[0]:
             continue
-        edits += [(x.start() + name, x.end() + name, ".") for x in before]
+        said = lambda x: {"un": "_", "da": "-", "hy": "-"}.get(x.strip().lower()[:2], ".")
+        edits += [(x.start() + name, x.end() + name, said(x[0])) for x in before]
         if m[0] != "@":
             edits.append((*m.span(), "@"))
         edits += [(x.start() + d.start(), x.end() + d.start(), ".") for x in dots if x[0] != "."]

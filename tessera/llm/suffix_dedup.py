@@ -106,14 +106,20 @@ class Block:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct least hashes, in order, whether two documents of the block have them, and their distinct strings."""
-        order = np.lexsort((self.hash, self.m))
-        m, d, h = self.m[order], self.doc[order], self.hash[order]
+        order = np.argsort(self.m, kind="stable")
+        m, d = self.m[order], self.doc[order]
         if not len(m):
             return m, np.zeros(0, bool), np.zeros(0, np.int64)
-        new = np.concatenate([[True], m[1:] != m[:-1]])
-        other = new | np.concatenate([[True], h[1:] != h[:-1]])
-        new = np.flatnonzero(new)
-        return m[new], np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), np.add.reduceat(other.astype(np.int64), new)
+        new = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+        several = np.ones(len(new), np.int64)
+        of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(m))))
+        again = np.flatnonzero((np.bincount(of) > 1)[of])
+        if len(again):
+            g, h = of[again], self.hash[order[again]]
+            by = np.lexsort((h, g))
+            other = np.concatenate([[True], (g[by][1:] != g[by][:-1]) | (h[by][1:] != h[by][:-1])])
+            several = np.maximum(np.bincount(g[by][other], minlength=len(new)), 1)
+        return m[new], np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), several
 
     def strings(self, bits: bytes, hot: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Of the runs whose hash is shared: their order by (hash, bytes), and where each distinct string begins in it. Runs

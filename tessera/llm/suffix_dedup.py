@@ -36,7 +36,7 @@ BLOCK, BUCKET, BATCH = 4 << 20, 12 << 20, 1 << 15
 #: Windows to a run at most, so that its length and bounds fit 16 bits.
 WINDOWS = 1 << 15
 #: Different strings of one least hash, counted block by block, beyond which its windows go apart.
-SPLIT = 1 << 12
+SPLIT = 1 << 15
 LAST = np.iinfo(np.int64).max
 
 
@@ -127,7 +127,8 @@ class Block:
         own = np.unique(self.m)
         shared = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
         self.keep(np.flatnonzero(shared[np.searchsorted(own, self.m)]) if len(own) else np.zeros(0, np.int64))
-        apart = np.isin(self.m, np.frombuffer(hot, np.uint64))
+        busy = np.sort(np.frombuffer(hot, np.uint64))
+        apart = busy[np.searchsorted(busy, self.m) % len(busy)] == self.m if len(busy) else np.zeros(0, bool)
         if apart.any():
             n = np.where(apart, self.last - self.first, 1)
             each = np.repeat(np.arange(len(n)), n)

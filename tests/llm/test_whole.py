@@ -263,7 +263,7 @@ def _files_of_ids(spark, tmp_path):
     assert rans.op10(spark, df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [3, 40, 1 << 12])
+@pytest.mark.parametrize("limit", [3, 40, 1 << 15])
 def test_piece_with_many_contexts(spark, monkeypatch, limit):
     """A rule of dashes or blanks in many contexts: its windows go apart, and what repeats is the same."""
     r = random.Random(9)

@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from tessera.sources.scratch import Scratch
 
 
+#: What of a reading (extract's only) the resolution of calls needs, and what a function's context does.
+CALLS = ("functions.unique_fqn", "functions.fqn", "functions.name", "functions.call_details")
+CONTEXT = (*CALLS, "functions.pos", "functions.signature", "functions.body", "types.pos", "types.fqn", "types.name", "types.kind", "types.source_code")
+
+
 def normalized(name, display):
     """What a call is looked up by: the display if it is qualified, else the name."""
     return F.when(F.contains(display, F.lit("::")), display).otherwise(name)

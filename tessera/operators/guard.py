@@ -13,6 +13,10 @@ LOGIC = "CAUTION: Potential logic deletion in '%s' (complexity dropped %d -> %d)
 MALLOC, FREE = "malloc pattern leaked into output", "free pattern leaked into output"
 
 
+#: What of a reading (extract's only) the issues need.
+COMPARED = ("functions.pos", "functions.unique_fqn", "functions.name", "functions.parameters", "functions.complexity")
+
+
 def _first(functions: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id", "name").orderBy("pos", "unique_fqn")
     return functions.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("file_id", "name", F.size("parameters").alias("params_before"), F.col("complexity").alias("complexity_before"))

@@ -59,7 +59,7 @@ def ordered_findings(files: DataFrame) -> DataFrame:
 
     per = [found_by(p) for p in LEGACY]
     found = files.select("file_id", F.explode(F.concat(*per)).alias("f")).select("file_id", "f.*")
-    c = extract(files).select("file_id", F.posexplode("casts").alias("i", "c")).select("file_id", F.lit(CAST.name).alias("pattern"), F.lit(CAST.severity).alias("severity"), "c.line", "i", "c.match", F.lit(CAST.message).alias("message"))
+    c = extract(files, only=("casts",)).select("file_id", F.posexplode("casts").alias("i", "c")).select("file_id", F.lit(CAST.name).alias("pattern"), F.lit(CAST.severity).alias("severity"), "c.line", "i", "c.match", F.lit(CAST.message).alias("message"))
     by = Window.partitionBy("file_id").orderBy("line", "pattern", "i")
     return found.unionByName(c).select("file_id", F.row_number().over(by).alias("position"), "pattern", "severity", "line", "match", "message", F.lit(TAG).alias("tag"))
 

@@ -25,6 +25,10 @@ def triggers(text: Column) -> dict[str, Column]:
     return {what: text.rlike("|".join(r"\Q" + x + r"\E" for x in words)) for what, words in TRIGGERS.items()}
 
 
+#: What of a reading (extract's only) the findings need.
+ANALYZED = ("functions.unique_fqn", "functions.legacy_patterns", "types.fqn")
+
+
 def analyzer_findings(files: DataFrame, functions: DataFrame, types: DataFrame) -> DataFrame:
     """file_id, finding: of function flags, type definitions and what the text mentions."""
     flag = lambda name, text: F.when(F.col(f"legacy_patterns.{name}"), F.concat(F.lit(text), F.col("unique_fqn")))

@@ -18,7 +18,7 @@ from tessera.operators.graph import last_records
 from tessera.operators.patterns import error_context
 from tessera.operators.rules import apply_rules
 from tessera.plans.answers import Answers, prompt_key
-from tessera.plans.plan import analyzer_findings, file_metrics, plan, rating, route, score
+from tessera.plans.plan import ANALYZED, analyzer_findings, file_metrics, plan, rating, route, score
 from tessera.sources.scratch import Run, Scratch
 
 #: A function of a text, or of a text and its plan (a line for each transformation).
@@ -121,7 +121,7 @@ def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify
     scratch = Run(files.sparkSession, run, _about(files, max_attempts, planned, rewriter, fixer, verify)) if run else Scratch(files.sparkSession, "modernize")
     if rounds is not None and (not run or rounds < 1):
         raise ValueError("rounds are one or more of those of a run")
-    parsed = scratch.write(extract(files), "parsed")
+    parsed = scratch.write(extract(files, only=(*ANALYZED, *guard.COMPARED)), "parsed")
     before = last_records(unnest(parsed, "functions"))
     found = analyzer_findings(files, before, unnest(parsed, "types"))
     plans = scratch.write(plan(found, files).join(file_metrics(files, before, found).select("file_id", "function_count"), "file_id"), "plans")
@@ -132,7 +132,7 @@ def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify
                 break
             added += 1
         new = scratch.read(f"new{attempt}") if run and scratch.has(f"new{attempt}") else scratch.write(_round(anew, broken, plans, rewriter, fixer, verify, planned, answers), f"new{attempt}")
-        after = unnest(scratch.write(extract(new), f"read{attempt}"), "functions")
+        after = unnest(scratch.write(extract(new, only=guard.COMPARED), f"read{attempt}"), "functions")
         found = scratch.write(guard.issues(before.join(new.select("file_id"), "file_id", "left_semi"), after, new), f"issues{attempt}")
         issues = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("category", "message", "severity"))).alias("issues"))
         s = guard.summary(found, new).select("file_id", "n_issues", "semantic_ok").join(issues, "file_id", "left")

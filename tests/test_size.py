@@ -1,5 +1,7 @@
 """What must not grow with the tables: what a worker holds, and how much one task does."""
 
+import time
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -45,3 +47,28 @@ def test_blanks_are_read_once():
     n = 300_000
     assert [x.text for x in tokens("a" + "\n" * n + " #if x\n" + " " * n)] == ["a", " #if x"]
     assert [x.text for x in tokens("a\n \f #b\n\t#c")] == ["a", "#", "b", "\t#c"]
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    from tessera.sources.scratch import _CLEANUP, Scratch
+
+    before = spark.conf.get(_CLEANUP)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {x.rsplit("/", 1)[-1] for x in local.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    had = names()
+    Scratch(spark, "t").write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "x")
+    for _ in range(50):
+        if names() <= had:
+            break
+        time.sleep(0.1)
+    assert names() <= had
+    assert spark.conf.get(_CLEANUP) == before
+
+
+def test_a_table_in_parts_is_listed_as_one(spark, tmp_path):
+    from tessera.unit_queries import _TABLES, directory
+
+    for i, t in enumerate(_TABLES):
+        (tmp_path / f"{t}.parquet").mkdir() if i % 2 else (tmp_path / f"{t}.parquet").touch()
+    got = directory(spark, str(tmp_path)).collect()
+    assert [(r.position, r.name, r.type) for r in got] == [(i + 1, f"{t}.parquet", "file") for i, t in enumerate(_TABLES)]

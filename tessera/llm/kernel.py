@@ -24,6 +24,13 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """To the system, what was freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run):
     """run over a task's batches, and then what it has freed is given back: workers wait for their next task as long as the
     executor lives, and would hold it."""
@@ -32,9 +39,7 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return whole
 

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.kernel import give_back
+
 VOCABULARY = "word_bpe_49k.json"
 _SPLITS = "\u0130"  # the letter whose lower case is a letter and a mark
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -41,6 +43,9 @@ class Encoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.at: dict[str, int] = {}
         self.first, self.ids, self.uses = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # What reading the vocabulary took beside it.
+        del vocab
+        give_back()
 
     def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         n = len(self.first) - 1

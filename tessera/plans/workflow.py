@@ -19,6 +19,7 @@ from tessera.operators.patterns import error_context
 from tessera.operators.rules import apply_rules
 from tessera.plans.answers import Answers, prompt_key
 from tessera.plans.plan import ANALYZED, analyzer_findings, file_metrics, plan, rating, route, score
+from tessera.sources.files import dealt
 from tessera.sources.scratch import Run, Scratch
 
 #: A function of a text, or of a text and its plan (a line for each transformation).
@@ -68,7 +69,9 @@ def lite(files: DataFrame, rewriter: Rewriter | None = None, answers: Answers |
     if rewriter is None:
         return first.select("file_id", "text", "applied", F.col("changed").alias("normalized"), F.lit(False).alias("enforced"))
     first = Scratch(files.sparkSession, "rewrite").write(first.join(files.select("file_id", "plan"), "file_id") if "plan" in files.columns else first, "rules")
-    last = apply_rules(rewrite(first, rewriter, answers)).withColumnRenamed("changed", "enforced")
+    # Joins leave as many tasks as there are bytes; rules take their time by the text.
+    n = first.count()
+    last = apply_rules(dealt(rewrite(first, rewriter, answers), n)).withColumnRenamed("changed", "enforced")
     return last.join(first.select("file_id", F.col("changed").alias("normalized")), "file_id")
 
 
@@ -94,10 +97,10 @@ def _about(files: DataFrame, max_attempts: int, planned: bool, *functions) -> di
     return {"files": n, "digest": digest, "max_attempts": max_attempts, "planned": planned, "functions": [f is not None for f in functions]}
 
 
-def _round(anew: DataFrame, broken: DataFrame | None, plans: DataFrame, rewriter, fixer, verify, planned: bool, answers: Answers | None) -> DataFrame:
-    """file_id, text, normalized, enforced: what is written anew, and what is repaired."""
+def _round(anew: DataFrame, broken: DataFrame | None, plans: DataFrame, rewriter, fixer, verify, planned: bool, answers: Answers | None, n: int) -> DataFrame:
+    """file_id, text, normalized, enforced: what is written anew, of about n files, and what is repaired."""
     source = anew.join(_plan_lines(plans), "file_id") if planned and rewriter else anew
-    new = lite(source, rewriter, answers).select("file_id", "text", "normalized", "enforced")
+    new = lite(dealt(source, n), rewriter, answers).select("file_id", "text", "normalized", "enforced")
     if broken is None:
         return new
     return new.unionByName(fix(broken, fixer, verify, answers).join(broken.select("file_id", "normalized", "enforced"), "file_id"))
@@ -125,14 +128,16 @@ def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify
     before = last_records(unnest(parsed, "functions"))
     found = analyzer_findings(files, before, unnest(parsed, "types"))
     plans = scratch.write(plan(found, files).join(file_metrics(files, before, found).select("file_id", "function_count"), "file_id"), "plans")
+    # Files to be read: all, then those that aren't done.
+    left = plans.count()
     anew, broken, done, added = files, None, None, 0
     for attempt in range(1, max_attempts + 1):
         if run and not scratch.has(f"round{attempt}"):
             if added == rounds:
                 break
             added += 1
-        new = scratch.read(f"new{attempt}") if run and scratch.has(f"new{attempt}") else scratch.write(_round(anew, broken, plans, rewriter, fixer, verify, planned, answers), f"new{attempt}")
-        after = unnest(scratch.write(extract(new, only=guard.COMPARED), f"read{attempt}"), "functions")
+        new = scratch.read(f"new{attempt}") if run and scratch.has(f"new{attempt}") else scratch.write(_round(anew, broken, plans, rewriter, fixer, verify, planned, answers, left), f"new{attempt}")
+        after = unnest(scratch.write(extract(dealt(new, left), only=guard.COMPARED), f"read{attempt}"), "functions")
         found = scratch.write(guard.issues(before.join(new.select("file_id"), "file_id", "left_semi"), after, new), f"issues{attempt}")
         issues = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("category", "message", "severity"))).alias("issues"))
         s = guard.summary(found, new).select("file_id", "n_issues", "semantic_ok").join(issues, "file_id", "left")
@@ -145,6 +150,7 @@ def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify
         counts = r.agg(F.count_if(to_fixer).alias("broken"), F.count_if((F.col("next") != "end") & ~to_fixer).alias("anew")).first()
         if not counts.broken and not counts.anew:
             break
+        left = counts.broken + counts.anew
         broken = r.where(to_fixer).select("file_id", F.col("new_text").alias("text"), "error_log", "normalized", "enforced") if counts.broken else None
         anew = files.join(r.where((F.col("next") != "end") & ~to_fixer).select("file_id"), "file_id", "left_semi")
     out = files.join(plans.select("file_id", "n_findings", "function_count", "risk_score"), "file_id").join(done, "file_id")

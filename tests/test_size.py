@@ -72,3 +72,22 @@ def test_a_table_in_parts_is_listed_as_one(spark, tmp_path):
         (tmp_path / f"{t}.parquet").mkdir() if i % 2 else (tmp_path / f"{t}.parquet").touch()
     got = directory(spark, str(tmp_path)).collect()
     assert [(r.position, r.name, r.type) for r in got] == [(i + 1, f"{t}.parquet", "file") for i, t in enumerate(_TABLES)]
+
+
+def test_each_round_is_dealt_by_files(spark, monkeypatch):
+    from tessera.plans import workflow as W
+
+    tasks = []
+
+    def counted(f):
+        def run(files, *a, **k):
+            tasks.append(files.select(F.spark_partition_id()).distinct().count())
+            return f(files, *a, **k)
+
+        return run
+
+    monkeypatch.setattr(W, "extract", counted(W.extract))
+    monkeypatch.setattr(W, "apply_rules", counted(W.apply_rules))
+    assert W.modernize(U.unit_corpus(spark, SF), lambda t, plan: t, None, 1, planned=True).where("success").count() == 1500
+    # The reading, the rules before and after the rewriter, and the reading of what was written.
+    assert len(tasks) == 4 and min(tasks) >= U.tasks(spark, 1500) - 2

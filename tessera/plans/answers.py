@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import Scratch
+
+#: Prompts of a wave to a file that it is read from.
+FILE = 50_000
 SCHEMA = "key string, answer string, run string, asked_at timestamp"
 
 
@@ -20,7 +24,7 @@ def prompt_key(role: str, *columns: str):
 class Answers:
     """A folder of answers by the key of their prompt.
 
-    What is asked is told from what is known by an anti-join before any call. Calls go out in waves of about `wave` prompts,
+    What is asked is told from what is known by one anti-join before any call, and written by wave. Calls go out in waves of about `wave` prompts,
     each committed as a whole before the next, so a failure costs what one wave had not yet committed; a task asks `batch`
     prompts at most, so a lost executor costs no more than its running tasks. An answer that is null is not kept, and is
     asked again by the next run. Two runs that ask the same at once keep both answers, of which the earlier counts.
@@ -51,11 +55,19 @@ class Answers:
 
         asked = prompts.dropDuplicates(["key"])
         left = asked.join(self.table().select("key"), "key", "left_anti")
+        # What all waves ask is found once. A wave is told by the key alone, and reads its own folder.
         n = left.count()
         waves = -(-n // self.wave)
+        if waves:
+            parts = -(-min(n, self.wave) // FILE)
+            wave, part = F.pmod(F.xxhash64("key"), F.lit(waves)), F.pmod(F.hash("key"), F.lit(parts))
+            scratch = Scratch(self.spark, "asked")
+            by_wave = left.withColumn("wave", wave).repartition(waves * parts, "wave", part)
+            kept = scratch.write(by_wave, "left", "wave")
         for w in range(waves):
-            # A wave is told by the key alone, and what earlier waves have kept is not in it.
-            mine = left.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == w)
+            mine = kept.where(F.col("wave") == w).drop("wave")
             said = mine.repartition(max(1, -(-n // waves // self.batch)), "key").mapInArrow(run, "key string, answer string").where("answer is not null")
             said.select("key", "answer", F.lit(self.run).alias("run"), F.current_timestamp().alias("asked_at")).write.mode("append").parquet(self.path)
+        if waves:
+            scratch.drop("left")
         return asked.select("key").join(self.table().select("key", "answer"), "key", "left")

@@ -91,3 +91,20 @@ def test_each_round_is_dealt_by_files(spark, monkeypatch):
     assert W.modernize(U.unit_corpus(spark, SF), lambda t, plan: t, None, 1, planned=True).where("success").count() == 1500
     # The reading, the rules before and after the rewriter, and the reading of what was written.
     assert len(tasks) == 4 and min(tasks) >= U.tasks(spark, 1500) - 2
+
+
+def test_waves_find_what_they_ask_once(spark, tmp_path):
+    from tessera.plans.answers import Answers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    prompts = spark.range(40).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("q")).coalesce(1).mapInArrow(count, "key string, q string")
+    said = Answers(spark, str(tmp_path / "a"), wave=4).ask(prompts, lambda q: f"{q}!")
+    # To count them, and to write them by wave; not ten waves more.
+    assert 40 <= seen.value <= 80
+    assert {r.key: r.answer for r in said.collect()} == {str(i): f"{i}!" for i in range(40)}

@@ -1,7 +1,7 @@
 """Line search by an index: a table of byte trigrams to files, and the trigrams that a regular expression requires.
 
 The index is two written tables: the files' texts, dealt to parts of about FILES files, and a row for each trigram and
-file, sorted by trigram. A search asks the expression for a condition over trigrams that each line it finds must fulfil,
+part, with the files of the part that have it, sorted by trigram. A search asks the expression for a condition over trigrams that each line it finds must fulfil,
 reads the postings of those alone, and then only the parts that hold candidates, of which the lines are searched as ever. So
 its rows are those of a full scan; an expression of which nothing can be told is a full scan.
 
@@ -198,15 +198,36 @@ def _condition(needs: Needs, has) -> Column:
     return out
 
 
-_GRAMS = "gram int, file_id long, part int"
+_GRAMS = "gram int, part int, files array<long>"
+#: So many trigrams are held before their rows leave the worker.
+HELD = 1 << 20
+
+
+def _rows(part: int, files: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each trigram of these files of a part."""
+    every = np.concatenate(grams)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], np.repeat(np.array(files, np.int64), [len(g) for g in grams])[order]
+    begins = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    ends = pa.array(np.r_[begins, len(every)].astype(np.int32))
+    return pa.record_batch([pa.array(every[begins]), pa.array(np.full(len(begins), part, np.int32)), pa.ListArray.from_arrays(ends, pa.array(of))], ["gram", "part", "files"])
 
 
 def _postings(batches):
+    # Files of a part stand together; where they don't, the part has several rows for a trigram.
+    now, files, grams, held = None, [], [], 0
     for batch in batches:
         for k, part, text in zip(*(batch.column(c).to_pylist() for c in ("file_id", "part", "text"))):
+            if files and (part != now or held >= HELD):
+                yield _rows(now, files, grams)
+                files, grams, held = [], [], 0
             b = np.frombuffer((text or "").encode(), np.uint8).astype(np.int32)
-            grams = np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) > 2 else np.zeros(0, np.int32)
-            yield pa.record_batch([pa.array(grams, pa.int32()), pa.array(np.full(len(grams), k, np.int64)), pa.array(np.full(len(grams), part, np.int32))], ["gram", "file_id", "part"])
+            own = np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) > 2 else np.zeros(0, np.int32)
+            now, held = part, held + len(own)
+            files.append(k)
+            grams.append(own)
+    if files:
+        yield _rows(now, files, grams)
 
 
 class SearchIndex:
@@ -214,6 +235,7 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._listed: DataFrame | None = None
 
     def build(self, files: DataFrame, files_to_a_part: int = FILES) -> SearchIndex:
         """Writes the index of (file_id, path, text); file_id tells files apart, null ones aren't indexed."""
@@ -221,14 +243,18 @@ class SearchIndex:
         parts = max(1, -(-own.count() // files_to_a_part))
         own = own.withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(parts)).cast("int"))
         own.repartition(min(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/texts")
+        self._listed = None
         texts = self._texts()
         found = texts.select("file_id", "part", "text").mapInArrow(_postings, _GRAMS)
-        # By trigram and file, so that one that nearly all files have is not one task's, and a search skips row groups.
-        found.repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.mode("overwrite").parquet(f"{self.path}/grams")
+        # By trigram and part, so that one that nearly all files have is not one task's, and a search skips row groups.
+        found.repartitionByRange("gram", "part").sortWithinPartitions("gram", "part").write.mode("overwrite").parquet(f"{self.path}/grams")
         return self
 
     def _texts(self) -> DataFrame:
-        return self.spark.read.schema("file_id long, path string, text string, part int").parquet(f"{self.path}/texts")
+        # The folders of the parts are listed once, not once a search.
+        if self._listed is None:
+            self._listed = self.spark.read.schema("file_id long, path string, text string, part int").parquet(f"{self.path}/texts")
+        return self._listed
 
     def candidates(self, regex: str) -> DataFrame | None:
         """file_id, part of the files that may hold a line; None if that is all of them."""
@@ -236,7 +262,7 @@ class SearchIndex:
         asked = sorted(map(_number, _leaves(needs)))
         if not asked:
             return None
-        seen = self.spark.read.schema(_GRAMS).parquet(f"{self.path}/grams").where(F.col("gram").isin(asked)).groupBy("file_id", "part").agg(F.collect_set("gram").alias("grams"))
+        seen = self.spark.read.schema(_GRAMS).parquet(f"{self.path}/grams").where(F.col("gram").isin(asked)).select("gram", "part", F.explode("files").alias("file_id")).groupBy("file_id", "part").agg(F.collect_set("gram").alias("grams"))
         return seen.where(_condition(needs, lambda g: F.array_contains("grams", F.lit(g)))).select("file_id", "part")
 
     def files(self, regex: str) -> DataFrame:

@@ -108,3 +108,12 @@ def test_waves_find_what_they_ask_once(spark, tmp_path):
     # To count them, and to write them by wave; not ten waves more.
     assert 40 <= seen.value <= 80
     assert {r.key: r.answer for r in said.collect()} == {str(i): f"{i}!" for i in range(40)}
+
+
+def test_postings_are_rows_of_a_part():
+    from tessera.operators.search_index import _postings
+
+    texts = ["abcabc", None, "xbc", "abc", "", "bca"]
+    batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array([0, 0, 0, 1, 1, 1], pa.int32()), pa.array(texts)], ["file_id", "part", "text"])
+    rows = [(r["gram"].to_bytes(3, "big").decode(), r["part"], r["files"]) for b in _postings([batch.slice(0, 2), batch.slice(2)]) for r in b.to_pylist()]
+    assert rows == [("abc", 0, [0]), ("bca", 0, [0]), ("cab", 0, [0]), ("xbc", 0, [2]), ("abc", 1, [3]), ("bca", 1, [5])]

@@ -18,6 +18,9 @@ from tessera.operators.extract import read_text
 SCHEMA = "path string, version long, unique_fqn string, change string, old_hash string, new_hash string, start_line int, end_line int"
 _ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+#: What of a function is compared and told.
+_TOLD = frozenset({"unique_fqn", "function_hash", "start_line", "end_line"})
+
 
 class _Versions(StatefulProcessor):
     """Each path's functions. Of equal ids the last in the file counts. What is known of a path is one value, as each call of
@@ -36,7 +39,7 @@ class _Versions(StatefulProcessor):
         for version, text in sorted({(r.version, r.text) for r in rows}, key=lambda x: (x[0], x[1] is not None, x[1] or "")):
             if known is not None and version <= known:
                 continue
-            new = {f["unique_fqn"]: (f["function_hash"], f["start_line"], f["end_line"]) for f in read_text(text, None, {"functions"}, False)["functions"]}
+            new = {f["unique_fqn"]: (f["function_hash"], f["start_line"], f["end_line"]) for f in read_text(text, None, {"functions"}, _TOLD)["functions"]}
             yield from self.step(key[0], version, old, new)
             known, old = version, new
         if known != before:

@@ -117,3 +117,19 @@ def test_postings_are_rows_of_a_part():
     batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array([0, 0, 0, 1, 1, 1], pa.int32()), pa.array(texts)], ["file_id", "part", "text"])
     rows = [(r["gram"].to_bytes(3, "big").decode(), r["part"], r["files"]) for b in _postings([batch.slice(0, 2), batch.slice(2)]) for r in b.to_pylist()]
     assert rows == [("abc", 0, [0]), ("bca", 0, [0]), ("cab", 0, [0]), ("xbc", 0, [2]), ("abc", 1, [3]), ("bca", 1, [5])]
+
+
+def test_of_a_function_only_what_is_told_is_made():
+    for text in (U.UNIT, D.DIALECT):
+        every = X.read_text(text)["functions"]
+        for told in ({"fqn"}, {"unique_fqn", "call_details"}, {"pos", "body"}, {"modifiers", "function_hash"}, {"complexity", "legacy_patterns"}):
+            got = X.read_text(text, None, {"functions"}, frozenset(told))["functions"]
+            assert [{k: f[k] for k in told} for f in got] == [{k: f[k] for k in told} for f in every]
+            assert all(("body" in f) == bool(told & X._OF_TEXT) and ("complexity" in f) == bool(told & X._OF_CALLS) for f in got)
+
+
+def test_pieces_tell_their_places():
+    text = 'a /* é */ R"x(")x" u\'c\' \n#if 1\n \f #b ~c .5f \x1c::u8v // d\n'
+    got = tokens(text)
+    assert [(x.kind, x.text) for x in got] == [("name", "a"), ("string", 'R"x(")x"'), ("string", "u'c'"), ("pp", "#if 1"), ("op", "#"), ("name", "b"), ("name", "~c"), ("number", ".5f"), ("op", "::"), ("name", "u8v")]
+    assert all(text[x.start : x.end] == x.text for x in got)

@@ -27,6 +27,8 @@ from tessera.operators.patterns import search_lines
 FILES = 256
 #: So many parts are named in a search at most.
 NAMED = 1000
+#: So many candidates go to the texts at most; of more both are exchanged.
+FEW = 1 << 17
 #: What one expression's alternatives may come to before they are given up: they then require nothing.
 STRINGS, GRAMS = 64, 256
 _UNLIKE = re.compile(r"&&|\\[QERXhHvVpPGzNkcexX0-9]|\(\?[a-z]*x|\(\?<[A-Za-z]|\[[^\]\\]*(?:\\.[^\]\\]*)*\[")
@@ -273,6 +275,7 @@ class SearchIndex:
             return texts.select("file_id", "path", "text")
         parts = [r.part for r in found.select("part").distinct().limit(NAMED + 1).collect()]
         texts = texts.where(F.col("part").isin(parts)) if len(parts) <= NAMED else texts
+        found = F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
         return texts.join(found, ["part", "file_id"], "left_semi").select("file_id", "path", "text")
 
     def search(self, regex: str) -> DataFrame:

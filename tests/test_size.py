@@ -133,3 +133,15 @@ def test_pieces_tell_their_places():
     got = tokens(text)
     assert [(x.kind, x.text) for x in got] == [("name", "a"), ("string", 'R"x(")x"'), ("string", "u'c'"), ("pp", "#if 1"), ("op", "#"), ("name", "b"), ("name", "~c"), ("number", ".5f"), ("op", "::"), ("name", "u8v")]
     assert all(text[x.start : x.end] == x.text for x in got)
+
+
+def test_texts_stay_where_they_are_if_candidates_are_few(spark, tmp_path, monkeypatch):
+    from tessera.operators import search_index as I
+
+    files = spark.range(600).select(F.col("id").alias("file_id"), F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("needle "), "id").alias("text"))
+    index = I.SearchIndex(spark, str(tmp_path / "i")).build(files, 50)
+    for few, joined in ((I.FEW, "broadcast"), (5, "")):
+        monkeypatch.setattr(I, "FEW", few)
+        plan = index.files("needle")._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == bool(joined)
+        assert index.search("needle 1.").count() == 110

@@ -145,3 +145,13 @@ def test_texts_stay_where_they_are_if_candidates_are_few(spark, tmp_path, monkey
         plan = index.files("needle")._jdf.queryExecution().optimizedPlan().toString()
         assert ("strategy=broadcast" in plan) == bool(joined)
         assert index.search("needle 1.").count() == 110
+
+
+def test_a_reading_makes_no_object_a_token(monkeypatch):
+    from tessera.operators import lexer as L
+
+    made = []
+    monkeypatch.setattr(L, "Token", lambda *a: made.append(a))
+    assert len(X.read_text(U.UNIT.replace("@", "7"))["functions"]) == len(U.FUNCTIONS) and not made
+    c = L.columns("int a; // b\n  #if x\n")
+    assert (c.said, c.kinds, c.starts, c.ends) == (["int", "a", ";", "  #if x"], ["name", "name", "op", "pp"], [0, 4, 5, 12], [3, 5, 6, 19])

@@ -6,7 +6,8 @@
 
 The root may be a path or an address of any file system that Arrow opens (file, hdfs, s3, gs, abfs). What is read or written
 must lie below it, links followed. The driver lists the folder's own entries; tasks list what is below them, and read texts
-only if asked. A text that isn't UTF-8 is null.
+only if asked. A text that isn't UTF-8 is null. A task holds a few entries and texts at once, of a folder of any size; where
+the file system isn't a local one, Arrow lists each single folder as a whole.
 
 The writer takes rows of (path, text). Files are written beside the target, each under another name and then renamed, so a
 task that runs twice leaves one file. The commit names the whole folder at once when it overwrites, or moves the files into
@@ -21,12 +22,17 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, name string, type string, size long, text string"
+_ARROW = pa.schema([("path", pa.string()), ("name", pa.string()), ("type", pa.string()), ("size", pa.int64()), ("text", pa.string())])
+#: So many entries, or bytes of texts and a text, leave a task at once.
+ENTRIES, TEXT_BYTES = 1024, 1 << 20
 
 
 class Place(NamedTuple):
@@ -65,6 +71,20 @@ class _Entries(InputPartition):
     files: list[str]
 
 
+def _entries(fs: arrow_fs.FileSystem, folder: str) -> Iterator[arrow_fs.FileInfo]:
+    """A folder's own entries; of a local one only a few are held."""
+    if not isinstance(fs, arrow_fs.LocalFileSystem):
+        yield from fs.get_file_info(arrow_fs.FileSelector(folder, recursive=False))
+        return
+    with os.scandir(folder) as found:
+        while paths := [x.path for x in islice(found, ENTRIES)]:
+            yield from fs.get_file_info(paths)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.at = place(options)
@@ -79,15 +99,30 @@ class _Reader(DataSourceReader):
         n = max(1, min(self.parts, len(folders) + len(files)))
         return [_Entries(folders[k::n], files[k::n]) for k in range(n)]
 
-    def read(self, partition: _Entries) -> Iterator[tuple]:
+    def read(self, partition: _Entries) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self.rows(partition):
+            rows.append(row)
+            held += row[3] or 0 if self.texts else 0
+            if len(rows) == ENTRIES or held >= TEXT_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def rows(self, partition: _Entries) -> Iterator[tuple]:
         fs = self.at.open()
         for folder in partition.folders:
             yield from self.told(fs, fs.get_file_info(folder))
-            if self.recursive:
-                for info in fs.get_file_info(arrow_fs.FileSelector(folder, recursive=True)):
+            waiting = [folder] if self.recursive else []
+            while waiting:
+                for info in _entries(fs, waiting.pop()):
+                    if info.type == arrow_fs.FileType.Directory:
+                        waiting.append(info.path)
                     yield from self.told(fs, info)
-        for info in fs.get_file_info(partition.files):
-            yield from self.told(fs, info)
+        for k in range(0, len(partition.files), ENTRIES):
+            for info in fs.get_file_info(partition.files[k : k + ENTRIES]):
+                yield from self.told(fs, info)
 
     def told(self, fs: arrow_fs.FileSystem, info: arrow_fs.FileInfo) -> Iterator[tuple]:
         if info.type == arrow_fs.FileType.NotFound:

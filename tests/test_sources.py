@@ -67,3 +67,19 @@ def test_list_directory(spark, tmp_path):
         for path in ("..", "/etc", "b/../.."):
             with pytest.raises(PermissionError):
                 S.list_directory(spark, path, root)
+
+
+def test_a_folder_is_read_in_parts(tmp_path):
+    from tessera.sources import datasource as D
+
+    (tmp_path / "src" / "one" / "deep").mkdir(parents=True)
+    for i in range(2 * D.ENTRIES + 3):
+        (tmp_path / "src" / "one" / f"f{i}.c").write_text("x" * (i % 7))
+    for i in range(3):
+        (tmp_path / "src" / "one" / "deep" / f"large{i}.c").write_text("x" * D.TEXT_BYTES)
+    r = D._Reader({"root": str(tmp_path), "path": "src", "texts": "true"})
+    got = [b for p in r.partitions() for b in r.read(p)]
+    assert max(b.num_rows for b in got) <= D.ENTRIES and max(sum(map(len, filter(None, b.column("text").to_pylist()))) for b in got) < 2 * D.TEXT_BYTES
+    told = {x["path"]: x["size"] for b in got for x in b.to_pylist()}
+    assert len(told) == sum(b.num_rows for b in got) == 2 * D.ENTRIES + 3 + 5
+    assert told["one/f6.c"] == 6 and told["one/deep/large2.c"] == D.TEXT_BYTES and told["one"] is None and told["one/deep"] is None

@@ -43,11 +43,28 @@ def leaks(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.lit("leak").alias("category"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("message"), F.lit("medium").alias("severity"))
 
 
+def _compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """As removed_functions, signature_drift and logic_drift together: both versions meet by one exchange on the name."""
+    b = before.select("file_id", "name", F.struct("pos", "unique_fqn", F.size("parameters").alias("params"), "complexity").alias("b"))
+    a = after.select("file_id", "name", F.struct(F.size("parameters").alias("params"), "complexity").alias("a"))
+    g = b.unionByName(a, allowMissingColumns=True).groupBy("file_id", "name").agg(F.min("b").alias("first"), F.count("b").alias("n"), F.collect_list("a").alias("after"))
+    known, first = F.col("file_id").isNotNull() & F.col("name").isNotNull(), F.col("first")
+    issue = lambda category, message, severity: F.struct(F.lit(category).alias("category"), message.alias("message"), F.lit(severity).alias("severity"))
+    gone = F.when((F.size("after") == 0) | ~known, F.col("n").cast("int")).otherwise(0)
+    drift = F.filter("after", lambda x: known & (x.params != first.params))
+    less = F.filter("after", lambda x: known & (first.complexity > 5) & (x.complexity < first.complexity / 2))
+    found = F.concat(
+        F.array_repeat(issue("regression", F.format_string(REMOVED, "name"), "high"), gone),
+        F.transform(drift, lambda x: issue("signature", F.format_string(SIGNATURE, "name", first.params, x.params), "medium")),
+        F.transform(less, lambda x: issue("logic_drift", F.format_string(LOGIC, "name", first.complexity, x.complexity), "medium")),
+    )
+    return g.select("file_id", F.explode(found).alias("x")).select("file_id", "x.*")
+
+
 def issues(before: DataFrame, after: DataFrame, new_files: DataFrame) -> DataFrame:
     """All issues. A file of which nothing was written is in order."""
     blank = new_files.where(F.coalesce(F.regexp_replace("text", r"\s", ""), F.lit("")) == "").select("file_id")
-    out = removed_functions(before, after).unionByName(signature_drift(before, after)).unionByName(logic_drift(before, after)).unionByName(leaks(new_files))
-    return out.join(blank, "file_id", "left_anti")
+    return _compared(before, after).unionByName(leaks(new_files)).join(blank, "file_id", "left_anti")
 
 
 def summary(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from tessera.operators.graph import last_records
 from tessera.operators.patterns import error_context
 from tessera.operators.rules import apply_rules
 from tessera.plans.answers import Answers, prompt_key
-from tessera.plans.plan import ANALYZED, analyzer_findings, file_metrics, plan, rating, route, score
+from tessera.plans.plan import ANALYZED, analyzer_findings, plan, rating, route, score
 from tessera.sources.files import dealt
 from tessera.sources.scratch import Run, Scratch
 
@@ -69,8 +69,12 @@ def lite(files: DataFrame, rewriter: Rewriter | None = None, answers: Answers |
     if rewriter is None:
         return first.select("file_id", "text", "applied", F.col("changed").alias("normalized"), F.lit(False).alias("enforced"))
     first = Scratch(files.sparkSession, "rewrite").write(first.join(files.select("file_id", "plan"), "file_id") if "plan" in files.columns else first, "rules")
+    return _enforced(first, first.count(), rewriter, answers)
+
+
+def _enforced(first: DataFrame, n: int, rewriter: Rewriter, answers: Answers | None) -> DataFrame:
+    """What the rewriter makes of about n files that went through the rules, and the rules of that."""
     # Joins leave as many tasks as there are bytes; rules take their time by the text.
-    n = first.count()
     last = apply_rules(dealt(rewrite(first, rewriter, answers), n)).withColumnRenamed("changed", "enforced")
     return last.join(first.select("file_id", F.col("changed").alias("normalized")), "file_id")
 
@@ -97,15 +101,32 @@ def _about(files: DataFrame, max_attempts: int, planned: bool, *functions) -> di
     return {"files": n, "digest": digest, "max_attempts": max_attempts, "planned": planned, "functions": [f is not None for f in functions]}
 
 
-def _round(anew: DataFrame, broken: DataFrame | None, plans: DataFrame, rewriter, fixer, verify, planned: bool, answers: Answers | None, n: int) -> DataFrame:
-    """file_id, text, normalized, enforced: what is written anew, of about n files, and what is repaired."""
-    source = anew.join(_plan_lines(plans), "file_id") if planned and rewriter else anew
-    new = lite(dealt(source, n), rewriter, answers).select("file_id", "text", "normalized", "enforced")
+def _ruled(files: DataFrame, plans: DataFrame | None, n: int) -> DataFrame:
+    """file_id, text, changed (and plan) of about n files after the rules, which make the same of a file in every round."""
+    first = apply_rules(dealt(files, n)).select("file_id", "text", "changed")
+    return first if plans is None else first.join(_plan_lines(plans), "file_id")
+
+
+def _round(anew: DataFrame, broken: DataFrame | None, rewriter, fixer, verify, answers: Answers | None, n: int) -> DataFrame:
+    """file_id, text, normalized, enforced: what is written anew, of about n files that went through the rules, and what is
+    repaired."""
+    if rewriter:
+        new = _enforced(anew, n, rewriter, answers).select("file_id", "text", "normalized", "enforced")
+    else:
+        new = anew.select("file_id", "text", F.col("changed").alias("normalized"), F.lit(False).alias("enforced"))
     if broken is None:
         return new
     return new.unionByName(fix(broken, fixer, verify, answers).join(broken.select("file_id", "normalized", "enforced"), "file_id"))
 
 
+def _again(new: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """new with `again`: whether the text is that of the round before, which was read then."""
+    if earlier is None:
+        return new.withColumn("again", F.lit(False))
+    was = earlier.select("file_id", F.sha2("new_text", 256).alias("was"))
+    return new.join(was, "file_id", "left").withColumn("again", F.coalesce(F.sha2("text", 256) == F.col("was"), F.lit(False))).drop("was")
+
+
 def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify | None = None, max_attempts: int = 3, fixer: Fixer | None = None, planned: bool = False, answers: Answers | None = None, run: str | None = None, rounds: int | None = None) -> DataFrame:
     """file_id, text, new_text, n_findings, function_count, risk_score, normalized, enforced, n_issues, issues, semantic_ok,
     success, error_log, attempts, score, rating.
@@ -125,22 +146,35 @@ def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify
     if rounds is not None and (not run or rounds < 1):
         raise ValueError("rounds are one or more of those of a run")
     parsed = scratch.write(extract(files, only=(*ANALYZED, *guard.COMPARED)), "parsed")
-    before = last_records(unnest(parsed, "functions"))
+    before = scratch.write(last_records(unnest(parsed, "functions")).drop("first_pos", "id_collision"), "before")
+    count = before.groupBy("file_id").agg(F.countDistinct("unique_fqn").alias("function_count"))
     found = analyzer_findings(files, before, unnest(parsed, "types"))
-    plans = scratch.write(plan(found, files).join(file_metrics(files, before, found).select("file_id", "function_count"), "file_id"), "plans")
+    plans = scratch.write(plan(found, files).join(count, "file_id", "left").na.fill(0, ["function_count"]), "plans")
     # Files to be read: all, then those that aren't done.
-    left = plans.count()
-    anew, broken, done, added = files, None, None, 0
+    total = left = plans.count()
+    earlier, broken, done, added = None, None, None, 0
     for attempt in range(1, max_attempts + 1):
         if run and not scratch.has(f"round{attempt}"):
             if added == rounds:
                 break
             added += 1
-        new = scratch.read(f"new{attempt}") if run and scratch.has(f"new{attempt}") else scratch.write(_round(anew, broken, plans, rewriter, fixer, verify, planned, answers, left), f"new{attempt}")
-        after = unnest(scratch.write(extract(dealt(new, left), only=guard.COMPARED), f"read{attempt}"), "functions")
-        found = scratch.write(guard.issues(before.join(new.select("file_id"), "file_id", "left_semi"), after, new), f"issues{attempt}")
+        if run and scratch.has(f"new{attempt}"):
+            new = scratch.read(f"new{attempt}")
+            new = new if "again" in new.columns else new.withColumn("again", F.lit(False))
+        else:
+            ruled = scratch.write(_ruled(files, plans if planned and rewriter else None, total), "rules") if attempt == 1 or run else ruled
+            anew = ruled if earlier is None else ruled.join(earlier.where("not fixing").select("file_id"), "file_id", "left_semi")
+            new = scratch.write(_again(_round(anew, broken, rewriter, fixer, verify, answers, left), earlier), f"new{attempt}")
+        # The reading of a text that is as it was is as it was.
+        other = new.where("not again")
+        after = unnest(scratch.write(extract(dealt(other, left), only=guard.COMPARED), f"read{attempt}"), "functions")
+        known = before if earlier is None else before.join(other.select("file_id"), "file_id", "left_semi")
+        found = scratch.write(guard.issues(known, after, other), f"issues{attempt}")
         issues = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("category", "message", "severity"))).alias("issues"))
-        s = guard.summary(found, new).select("file_id", "n_issues", "semantic_ok").join(issues, "file_id", "left")
+        s = guard.summary(found, other).select("file_id", "n_issues", "semantic_ok").join(issues, "file_id", "left")
+        if earlier is not None:
+            s = s.unionByName(earlier.join(new.where("again").select("file_id"), "file_id", "left_semi").select(*s.columns))
+        new = new.drop("again")
         v = verify(new.select("file_id", "text")) if verify else new.select("file_id", F.lit(True).alias("success"), F.lit("").alias("error_log"))
         r = new.withColumnRenamed("text", "new_text").join(s, "file_id").join(v, "file_id").withColumn("attempts", F.lit(attempt))
         r = scratch.write(r.withColumn("next", route(F.col("success"), F.col("semantic_ok"), F.lit(attempt), F.lit(max_attempts), F.col("error_log"))), f"round{attempt}")
@@ -151,8 +185,8 @@ def modernize(files: DataFrame, rewriter: Rewriter | None = None, verify: Verify
         if not counts.broken and not counts.anew:
             break
         left = counts.broken + counts.anew
-        broken = r.where(to_fixer).select("file_id", F.col("new_text").alias("text"), "error_log", "normalized", "enforced") if counts.broken else None
-        anew = files.join(r.where((F.col("next") != "end") & ~to_fixer).select("file_id"), "file_id", "left_semi")
+        earlier = r.where("next != 'end'").withColumn("fixing", to_fixer)
+        broken = earlier.where("fixing").select("file_id", F.col("new_text").alias("text"), "error_log", "normalized", "enforced") if counts.broken else None
     out = files.join(plans.select("file_id", "n_findings", "function_count", "risk_score"), "file_id").join(done, "file_id")
     s = F.round(score(F.col("n_findings"), F.col("success"), F.col("semantic_ok")), 6)
     return out.select("file_id", "text", "new_text", "n_findings", "function_count", "risk_score", "normalized", "enforced", "n_issues", "issues", "semantic_ok", "success", "error_log", "attempts", s.alias("score"), rating(s).alias("rating"))

@@ -155,3 +155,56 @@ def test_a_reading_makes_no_object_a_token(monkeypatch):
     assert len(X.read_text(U.UNIT.replace("@", "7"))["functions"]) == len(U.FUNCTIONS) and not made
     c = L.columns("int a; // b\n  #if x\n")
     assert (c.said, c.kinds, c.starts, c.ends) == (["int", "a", ";", "  #if x"], ["name", "name", "op", "pp"], [0, 4, 5, 12], [3, 5, 6, 19])
+
+
+def test_a_round_reads_and_rules_only_what_is_new(spark, monkeypatch):
+    from tessera.plans import workflow as W
+    from tessera.unit_queries import _breaks, _compiles, _mends
+
+    seen = {"extract": [], "apply_rules": []}
+
+    def counted(name, f):
+        def run(files, *a, **k):
+            seen[name].append(files.count())
+            return f(files, *a, **k)
+
+        return run
+
+    for name in seen:
+        monkeypatch.setattr(W, name, counted(name, getattr(W, name)))
+    files = U.unit_corpus(spark, "/root/testdata/sf0.001").where("file_id <= 30")
+    n, keys = files.count(), [r.file_id for r in files.select("file_id").collect()]
+    dropped, mended = sum(k % 5 == 4 for k in keys), sum(k % 5 != 4 and k % 3 == 1 for k in keys)
+    rows = {r.file_id: r for r in W.modernize(files, _breaks, _compiles, 3, _mends, planned=True).collect()}
+    # All, what is new of them, what the fixer mended, and nothing: what is told of a text that stays is kept.
+    assert seen["extract"] == [n, n, mended, 0]
+    assert seen["apply_rules"] == [n, n, dropped, dropped]
+    assert {k: (r.attempts, r.semantic_ok, r.success) for k, r in rows.items()} == {k: (3 if k % 5 == 4 or k % 3 == 2 else 2 if k % 3 == 1 else 1, k % 5 != 4, k % 5 == 4 or k % 3 != 2) for k in keys}
+    assert all((r.n_issues > 1 and r.issues[0].category) == "leak" or any(x.category == "regression" for x in r.issues) for k, r in rows.items() if k % 5 == 4)
+
+
+def test_issues_are_those_of_each_kind(spark):
+    from tessera.operators import guard
+
+    schema = "file_id long, pos int, unique_fqn string, name string, parameters array<string>, complexity int"
+    before = [(1, 0, "f#1", "f", ["a"], 9), (1, 5, "f#2", "f", [], 2), (1, 9, "g#1", "g", [], 6), (1, 12, "h#1", None, [], 6), (2, 0, "k#1", "k", ["a", "b"], 7), (3, 0, "x#1", "x", [], 1)]
+    after = [(1, 0, "f#2", "f", [], 2), (1, 3, "f#3", "f", ["a"], 4), (1, 9, "h#1", None, [], 0), (2, 0, "k#1", "k", ["a"], 4), (4, 0, "n#1", "n", [], 1)]
+    b, a = spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)
+    files = spark.createDataFrame([(1, "free(p)"), (2, "int k;"), (3, " \n")], "file_id long, text string")
+    want = guard.removed_functions(b, a).union(guard.signature_drift(b, a)).union(guard.logic_drift(b, a)).union(guard.leaks(files)).where("file_id <> 3")
+    got = guard.issues(b, a, files)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 7
+    # One exchange of both versions, no window.
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_rule_is_searched_by_its_first_word():
+    import re
+
+    from tessera.operators.rules import RULES, headed
+
+    assert headed(r"\bNULL\b") == r"NULL(?<=\bNULL)\b" and headed(r"\ba\b|\bbc\b") == r"a(?<=\ba)\b|bc(?<=\bbc)\b"
+    assert all(headed(x) == x for x in (r"\bab?\b", r"\babc*", r"\bx{2}", r"\bab(?:c|d)|e", r"#\s*a", r"\bab|c"))
+    text = U.UNIT + " NULLx xNULL _NULL NULL* std ::auto_ptr xstd::auto_ptr char*p achar *q char * é1 éNULL time_tx localtime printf (x) sprintf(x) mymalloc(1) malloc\n(2) throw  ( ) rethrow()"
+    for r in RULES:
+        assert [m.span() for m in r.compiled.finditer(text)] == [m.span() for m in re.finditer(r.linear or r.regex, text, re.M)]

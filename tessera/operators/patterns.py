@@ -4,6 +4,8 @@ come from the reading of extract."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +66,22 @@ def ordered_findings(files: DataFrame) -> DataFrame:
     return found.unionByName(c).select("file_id", F.row_number().over(by).alias("position"), "pattern", "severity", "line", "match", "message", F.lit(TAG).alias("tag"))
 
 
+def _lines(files: DataFrame, *keep: str) -> DataFrame:
+    kept = files.where(~F.coalesce(F.col("path"), F.lit("")).rlike("|".join(r"\Q" + d + r"\E" for d in IGNORED_DIRS)))
+    return kept.select("path", *keep, F.posexplode(F.split("text", r"\r?\n")).alias("i", "text"))
+
+
 def search_lines(files: DataFrame, regex: str) -> DataFrame:
     """path, line, text of each line that the pattern finds; files whose path holds an ignored name are passed over."""
-    kept = files.where(~F.coalesce(F.col("path"), F.lit("")).rlike("|".join(r"\Q" + d + r"\E" for d in IGNORED_DIRS)))
-    at = kept.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("i", "text"))
-    return at.where(F.col("text").rlike(regex)).select("path", (F.col("i") + 1).alias("line"), strip(F.col("text")).alias("text"))
+    return _lines(files).where(F.col("text").rlike(regex)).select("path", (F.col("i") + 1).alias("line"), strip(F.col("text")).alias("text"))
+
+
+def search_lines_for(files: DataFrame, regexes: tuple[str, ...]) -> DataFrame:
+    """expression (its place), path, line, text: as search_lines for each of the patterns, by one reading of the lines. A
+    pattern is looked for in the files whose array `wanted` has a true value at its place."""
+    found = [F.get("wanted", F.lit(i)) & F.col("text").rlike(x) for i, x in enumerate(regexes)]
+    which = F.filter(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(found)]), lambda x: x.isNotNull())
+    return _lines(files, "wanted").where(reduce(or_, found)).select(F.explode(which).alias("expression"), "path", (F.col("i") + 1).alias("line"), strip(F.col("text")).alias("text"))
 
 
 def search_code(files: DataFrame, regex: str, limit: int = 500) -> DataFrame:

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.patterns import search_lines
+from tessera.operators.patterns import search_lines, search_lines_for
+from tessera.sources.scratch import Scratch
 
 #: Files to a part of the written texts.
 FILES = 256
@@ -200,6 +201,10 @@ def _condition(needs: Needs, has) -> Column:
     return out
 
 
+def _has(gram: int) -> Column:
+    return F.array_contains("grams", F.lit(gram))
+
+
 _GRAMS = "gram int, part int, files array<long>"
 #: So many trigrams are held before their rows leave the worker.
 HELD = 1 << 20
@@ -264,8 +269,12 @@ class SearchIndex:
         asked = sorted(map(_number, _leaves(needs)))
         if not asked:
             return None
-        seen = self.spark.read.schema(_GRAMS).parquet(f"{self.path}/grams").where(F.col("gram").isin(asked)).select("gram", "part", F.explode("files").alias("file_id")).groupBy("file_id", "part").agg(F.collect_set("gram").alias("grams"))
-        return seen.where(_condition(needs, lambda g: F.array_contains("grams", F.lit(g)))).select("file_id", "part")
+        return self._seen(asked).where(_condition(needs, _has)).select("file_id", "part")
+
+    def _seen(self, asked: list[int]) -> DataFrame:
+        """file_id, part, grams: which of the trigrams a file has, where it has any."""
+        rows = self.spark.read.schema(_GRAMS).parquet(f"{self.path}/grams").where(F.col("gram").isin(asked))
+        return rows.select("gram", "part", F.explode("files").alias("file_id")).groupBy("file_id", "part").agg(F.collect_set("gram").alias("grams"))
 
     def files(self, regex: str) -> DataFrame:
         """file_id, path, text of the candidates. Parts without any aren't read: a few are named, of more Spark learns as it
@@ -281,3 +290,19 @@ class SearchIndex:
     def search(self, regex: str) -> DataFrame:
         """path, line, text, as search_lines of all files."""
         return search_lines(self.files(regex), regex)
+
+    def search_for(self, regexes: tuple[str, ...]) -> DataFrame:
+        """expression (its place), path, line, text: as search for each of the expressions, by one reading of the postings and
+        one of the texts."""
+        needs = [required(x) for x in regexes]
+        asked = sorted({g for x in needs for g in map(_number, _leaves(x))})
+        texts, anywhere = self._texts(), F.array(*[F.lit(not _leaves(x)) for x in needs])
+        if not asked:
+            return search_lines_for(texts.withColumn("wanted", anywhere), regexes)
+        found = self._seen(asked).select("file_id", "part", F.array(*[_condition(x, _has) for x in needs]).alias("wanted")).where(F.array_contains("wanted", True))
+        # Written once, as it is both counted and joined.
+        found = Scratch(self.spark, "found").write(found, "files")
+        found = F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
+        # Where each expression requires something, a file that isn't found has nothing.
+        joined = texts.join(found, ["part", "file_id"], "left" if any(not _leaves(x) for x in needs) else "inner")
+        return search_lines_for(joined.select("path", "text", F.coalesce("wanted", anywhere).alias("wanted")), regexes)

@@ -208,3 +208,24 @@ def test_a_rule_is_searched_by_its_first_word():
     text = U.UNIT + " NULLx xNULL _NULL NULL* std ::auto_ptr xstd::auto_ptr char*p achar *q char * é1 éNULL time_tx localtime printf (x) sprintf(x) mymalloc(1) malloc\n(2) throw  ( ) rethrow()"
     for r in RULES:
         assert [m.span() for m in r.compiled.finditer(text)] == [m.span() for m in re.finditer(r.linear or r.regex, text, re.M)]
+
+
+def test_many_searches_read_the_texts_once(spark, tmp_path):
+    from tessera.flow_queries import QUERIES
+    from tessera.operators.search_index import SearchIndex
+
+    rows = [(i, f"p/{i}", f"key {i}\r\n token=abc{i % 3}\nxxxx\n\n") for i in range(40)] + [(98, "build/x", "xxx"), (99, None, None), (100, "e", "")]
+    index = SearchIndex(spark, str(tmp_path / "i")).build(spark.createDataFrame(rows, "file_id long, path string, text string"), 8)
+    for asked in (("x{3}", r"\d\d", "token=abc1", "abc[02]", "zzzz", "^$"), ("xxxx", "abc2", "nowhere"), (r"\d9",)):
+        want = [(i, r.path, r.line, r.text) for i, e in enumerate(asked) for r in index.search(e).collect()]
+        got = index.search_for(asked)
+        assert sorted(map(str, got.select("expression", "path", "line", "text").toLocalIterator())) == sorted(str(spark_row(x)) for x in want) and len(want) >= 3
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("/i/texts") <= 1
+    plan = QUERIES["indexed_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
+
+
+def spark_row(x):
+    from pyspark.sql import Row
+
+    return Row(expression=x[0], path=x[1], line=x[2], text=x[3])

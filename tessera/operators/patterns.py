@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,10 +76,12 @@ def search_lines(files: DataFrame, regex: str) -> DataFrame:
     return _lines(files).where(F.col("text").rlike(regex)).select("path", (F.col("i") + 1).alias("line"), strip(F.col("text")).alias("text"))
 
 
-def search_lines_for(files: DataFrame, regexes: tuple[str, ...]) -> DataFrame:
+def search_lines_for(files: DataFrame, regexes: tuple[str, ...], held: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
     """expression (its place), path, line, text: as search_lines for each of the patterns, by one reading of the lines. A
-    pattern is looked for in the files whose array `wanted` has a true value at its place."""
-    found = [F.get("wanted", F.lit(i)) & F.col("text").rlike(x) for i, x in enumerate(regexes)]
+    pattern is looked for in the files whose array `wanted` has a true value at its place, and on the lines that hold all of
+    its strings in held, which must be on each line that it finds."""
+    holds = [[F.contains("text", F.lit(x)) for x in held[i]] if held else [] for i in range(len(regexes))]
+    found = [reduce(and_, [F.get("wanted", F.lit(i)), *holds[i], F.col("text").rlike(x)]) for i, x in enumerate(regexes)]
     which = F.filter(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(found)]), lambda x: x.isNotNull())
     return _lines(files, "wanted").where(reduce(or_, found)).select(F.explode(which).alias("expression"), "path", (F.col("i") + 1).alias("line"), strip(F.col("text")).alias("text"))
 

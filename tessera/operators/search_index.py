@@ -185,6 +185,21 @@ def required(regex: str) -> Needs:
     return needs if len(_leaves(needs)) <= GRAMS else ALWAYS
 
 
+def literals(regex: str) -> tuple[str, ...]:
+    """Strings that a line must hold that the expression finds, as they stand in it: to look for them spares trying an
+    expression whose trials are many."""
+    if required(regex) == ALWAYS:
+        return ()
+    from re import _constants as C
+    from re import _parser
+
+    tree = _parser.parse(regex)
+    if tree.state.flags & re.I:
+        return ()
+    runs = "".join(chr(x) if op is C.LITERAL else "\0" for op, x in tree).split("\0")
+    return tuple(dict.fromkeys(x for x in runs if len(x) > 2 and "\ufffd" not in x))
+
+
 def _leaves(needs: Needs) -> set[bytes]:
     return {y for x in needs.parts for y in (_leaves(x) if isinstance(x, Needs) else {x})}
 
@@ -294,15 +309,15 @@ class SearchIndex:
     def search_for(self, regexes: tuple[str, ...]) -> DataFrame:
         """expression (its place), path, line, text: as search for each of the expressions, by one reading of the postings and
         one of the texts."""
-        needs = [required(x) for x in regexes]
+        needs, held = [required(x) for x in regexes], tuple(map(literals, regexes))
         asked = sorted({g for x in needs for g in map(_number, _leaves(x))})
         texts, anywhere = self._texts(), F.array(*[F.lit(not _leaves(x)) for x in needs])
         if not asked:
-            return search_lines_for(texts.withColumn("wanted", anywhere), regexes)
+            return search_lines_for(texts.withColumn("wanted", anywhere), regexes, held)
         found = self._seen(asked).select("file_id", "part", F.array(*[_condition(x, _has) for x in needs]).alias("wanted")).where(F.array_contains("wanted", True))
         # Written once, as it is both counted and joined.
         found = Scratch(self.spark, "found").write(found, "files")
         found = F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
         # Where each expression requires something, a file that isn't found has nothing.
         joined = texts.join(found, ["part", "file_id"], "left" if any(not _leaves(x) for x in needs) else "inner")
-        return search_lines_for(joined.select("path", "text", F.coalesce("wanted", anywhere).alias("wanted")), regexes)
+        return search_lines_for(joined.select("path", "text", F.coalesce("wanted", anywhere).alias("wanted")), regexes, held)

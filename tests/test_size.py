@@ -225,6 +225,15 @@ def test_many_searches_read_the_texts_once(spark, tmp_path):
     assert plan.count("posexplode") == 1
 
 
+def test_an_expression_is_tried_where_its_strings_are():
+    from tessera.operators.search_index import literals
+
+    assert literals("ción.*ción.*ciónción") == ("ción", "ciónción") and literals(r"\+1 \(\d{3}\) 555-\d{4}") == ("+1 (", ") 555-")
+    assert literals("(abc|d)efg") == ("efg",) and literals("abcd?") == ("abc",) and literals("(?:abc)*") == ()
+    for e in ("(?i)abc", "(?x)a b c", r"\Qabc", "abc&&d", "(?i:abc)", "abc|def", "[abc]d", "("):
+        assert literals(e) == ()
+
+
 def spark_row(x):
     from pyspark.sql import Row
 
